@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.llm import jaccard_queries
+from tessera.llm import bpe_queries, jaccard_queries
 
-MODULES = [jaccard_queries]
+MODULES = [jaccard_queries, bpe_queries]
 
 
 def queries() -> dict:
