@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe_queries, jaccard_queries
+from tessera.llm import bpe_queries, jaccard_queries, packing_queries
 
-MODULES = [jaccard_queries, bpe_queries]
+MODULES = [jaccard_queries, bpe_queries, packing_queries]
 
 
 def queries() -> dict:
