@@ -171,9 +171,13 @@ class JaccardJoin:
         return table.reshape(-1)
 
     def _bound(self, df: DataFrame) -> DataFrame:
-        """Length and positional filters: no pair is dropped that could reach the threshold."""
+        """Length and positional filters on rows of a shared shingle and its places pa and pb.
+
+        A pair that reaches the threshold has a first shared shingle. Nothing before it is shared, so what
+        follows it on either side must suffice; other rows of the pair may go.
+        """
         need = (F.lit(self.num) * (F.col("na") + F.col("nb")) + (self.num + self.den - 1)) / F.lit(self.num + self.den)
-        most = F.least("pa", "pb") + 1 + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1)
+        most = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
         fits = F.least("na", "nb") * self.den >= F.greatest("na", "nb") * self.num
         return df.where(fits & (most >= F.floor(need)))
 

@@ -109,11 +109,15 @@ def _tokens(path: str, end: int):
 class WordEncoder:
     """Ids of whole texts as little-endian 16-bit numbers, ``end`` last.
 
-    The vocabulary drops white space and never merges across it, so what a text's blank-separated parts
-    encode to is kept (for up to ``keep`` parts) and looked up.
+    The vocabulary drops white space, never merges across it, and marks the last token of each run of
+    letters. So what a text's blank-separated parts encode to is kept (for up to ``keep`` parts) and
+    looked up, and new runs of letters are encoded many at a time and told apart by those marks.
     """
 
-    def __init__(self, path: str, end: int, keep: int = 400_000):
+    MARKS = ".,;:!?|$%&*#"
+    TOGETHER = 5_000
+
+    def __init__(self, path: str, end: int, keep: int = 600_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -121,10 +125,51 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        if self.tokenizer.get_vocab_size() > 1 << 16:
+        vocabulary = self.tokenizer.get_vocab()
+        if max(vocabulary.values()) >= 1 << 16:
             raise ValueError("ids need more than 16 bits")
+        self.last = np.zeros(1 << 16, bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.end, self.keep, self.known = np.array([end], "<u2").tobytes(), keep, {}
 
+    def _one_by_one(self, parts: list[str]) -> None:
+        for lo in range(0, len(parts), self.TOGETHER):
+            some = parts[lo : lo + self.TOGETHER]
+            for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                self.known[p] = np.array(e.ids, "<u2").tobytes()
+
+    def _letters(self, words: list[str]) -> None:
+        for lo in range(0, len(words), self.TOGETHER):
+            some = words[lo : lo + self.TOGETHER]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u2")
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(some):  # a word that normalises to more than one run
+                self._one_by_one(some)
+                continue
+            raw, at = ids.tobytes(), 0
+            for w, z in zip(some, (2 * ends).tolist()):
+                self.known[w] = raw[at:z]
+                at = z
+
+    def _learn(self, parts: list[str]) -> None:
+        letters, odd, led = set(), set(), []
+        for p in parts:
+            word = p if p.isalpha() else p.rstrip(self.MARKS)
+            if not word.isalpha() or not (word.isascii() or (max(word) < "\u0250" and "\u0130" not in word)):
+                odd.add(p)  # other letters may normalise to a letter and a mark
+            elif word is p:
+                letters.add(p)
+            else:
+                led.append((p, word))
+                if word not in self.known:
+                    letters.add(word)
+                if (mark := p[len(word) :]) not in self.known:
+                    odd.add(mark)
+        self._letters(list(letters))
+        self._one_by_one(list(odd))
+        for p, word in led:
+            self.known[p] = self.known[word] + self.known[p[len(word) :]]
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         distinct: set[str] = set()
@@ -132,11 +177,7 @@ class WordEncoder:
             distinct.update(parts)
         if len(self.known) + len(distinct) > self.keep:
             self.known = {p: self.known[p] for p in distinct if p in self.known}
-        new = [p for p in distinct if p not in self.known]
-        for lo in range(0, len(new), 20_000):
-            some = new[lo : lo + 20_000]
-            for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self.known[p] = np.array(e.ids, "<u2").tobytes()
+        self._learn([p for p in distinct if p not in self.known])
         look = self.known.__getitem__
         return [b"".join(map(look, parts)) + self.end for parts in split]
 
