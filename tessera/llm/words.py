@@ -69,6 +69,7 @@ def scan(texts: list, separators: np.ndarray = _SPACE) -> Scan:
     data = np.frombuffer(b"\n".join(rows) + b"\n", dtype=np.uint8)
     begins = np.concatenate([[0], np.cumsum([len(r) + 1 for r in rows])[:-1]]).astype(np.int64)
     gap = separators[data]
+    data = np.where(gap, np.uint8(32), data)
     before = np.concatenate([[True], gap[:-1]])
     start, end = np.flatnonzero(~gap & before), np.flatnonzero(gap & ~before)
     doc = np.searchsorted(begins, start, side="right") - 1
