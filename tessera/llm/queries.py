@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe_queries, jaccard_queries, packing_queries, pii_queries, quality_queries, toxicity_queries
+from tessera.llm import bpe_queries, jaccard_queries, packing_queries, pii_queries, quality_queries, toxicity_queries, urls_queries
 
-MODULES = [toxicity_queries, jaccard_queries, bpe_queries, quality_queries, pii_queries, packing_queries]
+MODULES = [urls_queries, toxicity_queries, jaccard_queries, bpe_queries, quality_queries, pii_queries, packing_queries]
 
 
 def queries() -> dict:
