@@ -2,9 +2,29 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe_queries, jaccard_queries, packing_queries, pii_queries, quality_queries, toxicity_queries, urls_queries
+from tessera.llm import (
+    bpe_queries,
+    jaccard_queries,
+    packing_queries,
+    pii_queries,
+    pq_queries,
+    quality_queries,
+    toxicity_queries,
+    urls_queries,
+    vafile_queries,
+)
 
-MODULES = [urls_queries, toxicity_queries, jaccard_queries, bpe_queries, quality_queries, pii_queries, packing_queries]
+MODULES = [
+    urls_queries,
+    pq_queries,
+    toxicity_queries,
+    vafile_queries,
+    jaccard_queries,
+    bpe_queries,
+    quality_queries,
+    pii_queries,
+    packing_queries,
+]
 
 
 def queries() -> dict:
