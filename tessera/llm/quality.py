@@ -83,7 +83,8 @@ class QualityModel:
                 done += 1
                 if not len(f):
                     continue
-                share = (n / n.sum()).astype(np.float32)
+                share = n.astype(np.float32)
+                share /= share.sum()
                 own = v[f]
                 h = share @ own
                 z = w @ h + b
@@ -106,11 +107,11 @@ class QualityModel:
         return 1 / (1 + np.exp(-np.clip(out, -500, 500)))
 
 
-def train(docs: DataFrame, labels: DataFrame, *, sample: int = 5000) -> QualityModel:
+def train(docs: DataFrame, labels: DataFrame, *, sample: int = 4000) -> QualityModel:
     """Fits on at most ``sample`` labelled documents outside the held-out part; only hashed features are gathered."""
-    found = training_rows(docs, labels, "quality", sample).select("text", "y").mapInArrow(_collect, "y int, x binary, n binary").collect()
+    found = training_rows(docs, labels, "quality", sample).select("text", "y").mapInArrow(_collect, "y int, x binary, n binary").toLocalIterator()
     rows = sorted((r["y"], bytes(r["x"]), bytes(r["n"])) for r in found)
-    return QualityModel.fit([(int(y > 0), np.frombuffer(x, "<i4"), np.maximum(np.frombuffer(n, "<u2"), 1).astype(np.float64)) for y, x, n in rows])
+    return QualityModel.fit([(int(y > 0), np.frombuffer(x, "<i4"), np.frombuffer(n, "<u2")) for y, x, n in rows])
 
 
 def score_documents(docs: DataFrame, model: QualityModel) -> DataFrame:

@@ -51,20 +51,23 @@ def features(texts: list) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _collect(kinds):
+    """Each text's features, and those that the swap takes away and adds."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, y = b.column(0).to_pylist(), b.column(1)
             for lo, hi in chunks(texts):
-                part = [texts[lo:hi], [swapped(t, kinds) for t in texts[lo:hi]]]
-                cols = []
-                for ts in part:
-                    row, f = features(ts)
-                    cols.append([x.astype("<i4").tobytes() for x in np.split(f, np.cumsum(np.bincount(row, minlength=hi - lo))[:-1])])
-                yield pa.RecordBatch.from_arrays([y.slice(lo, hi - lo), pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.binary())], names=["y", "x", "cf"])
+                own, other = (_by_row(features(ts), hi - lo) for ts in (texts[lo:hi], [swapped(t, kinds) for t in texts[lo:hi]]))
+                cols = [own, [np.setdiff1d(x, z) for x, z in zip(own, other)], [np.setdiff1d(z, x) for x, z in zip(own, other)]]
+                yield pa.RecordBatch.from_arrays([y.slice(lo, hi - lo), *(pa.array([x.astype("<i4").tobytes() for x in c], pa.binary()) for c in cols)], names=["y", "x", "lost", "won"])
 
     return run
 
 
+def _by_row(found: tuple[np.ndarray, np.ndarray], n: int) -> list[np.ndarray]:
+    return np.split(found[1], np.cumsum(np.bincount(found[0], minlength=n))[:-1])
+
+
 @dataclass
 class ToxicityModel:
     slot: np.ndarray  # of each bucket the number of its feature, or -1
@@ -72,37 +75,42 @@ class ToxicityModel:
     bias: float
 
     @classmethod
-    def fit(cls, rows: list[tuple[int, np.ndarray, np.ndarray]], *, counterfactual: float = 1.0, l2: float = 1e-4, most: int = 800, keep=(), steps: int = 300) -> ToxicityModel:
-        """rows: label, buckets, buckets after the swap. Features are those that lean most to either label."""
-        slot = np.full(BUCKETS, -1, np.int32)
+    def fit(cls, rows: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]], *, counterfactual: float = 1.0, l2: float = 1e-4, most: int = 800, keep=(), steps: int = 300) -> ToxicityModel:
+        """rows: label, buckets, buckets that the swap takes away and adds. Features are those that lean most to either label."""
+        slot = np.full(BUCKETS, -1, np.int16)
         y = np.array([r[0] for r in rows], np.float64)
-        n, p = np.zeros(BUCKETS), np.zeros(BUCKETS)
-        for label, x, _ in rows:
+        n, p = np.zeros(BUCKETS, np.int32), np.zeros(BUCKETS, np.int32)
+        for label, x, _, _ in rows:
             n[x] += 1
             p[x] += label
         rate = y.mean() if len(y) else 0.0
         if not len(rows) or rate in (0.0, 1.0):
             rate = min(max(rate, 0.01), 0.99)
             return cls(slot, np.zeros(1), float(np.log(rate / (1 - rate))))
-        z = np.where(n >= 3, (p - rate * n) / np.sqrt(np.maximum(n, 1) * rate * (1 - rate)), 0)
-        best = np.argsort(-np.abs(z), kind="stable")[:most]
-        chosen = np.unique(np.concatenate([best[np.abs(z[best]) > 3], np.array([k for k in keep if n[k] > 0], np.int64)]))
+        some = np.flatnonzero(n >= 3)
+        z = np.abs(p[some] - rate * n[some]) / np.sqrt(n[some] * rate * (1 - rate))
+        best = np.argsort(-z, kind="stable")[:most]
+        chosen = np.unique(np.concatenate([some[best[z[best] > 3]], np.array([k for k in keep if n[k] > 0], np.int64)]))
         slot[chosen] = np.arange(len(chosen))
         m = len(chosen)
-        x, cf = np.zeros((len(rows), m), np.float32), np.zeros((len(rows), m), np.float32)
-        for i, (_, a, b) in enumerate(rows):
-            for at, into in ((a, x), (b, cf)):
+        x, delta = np.zeros((len(rows), m), np.float32), []
+        for i, (_, own, lost, won) in enumerate(rows):
+            f = slot[own]
+            x[i, f[f >= 0]] = 1
+            change = np.zeros(m, np.float32)
+            for at, sign in ((lost, 1), (won, -1)):
                 f = slot[at]
-                into[i, f[f >= 0]] = 1
-        moved = np.flatnonzero((x != cf).any(axis=1))
-        delta = x[moved] - cf[moved]
+                change[f[f >= 0]] = sign
+            if change.any():
+                delta.append(change)
+        moved, delta = len(delta), np.array(delta, np.float32).reshape(-1, m)
         w, bias = np.zeros(m), float(np.log(rate / (1 - rate)))
         g1, g2, b1, b2 = np.zeros(m + 1), np.zeros(m + 1), 0.9, 0.999
         for t in range(1, steps + 1):
             err = 1 / (1 + np.exp(-(x @ w.astype(np.float32) + bias))) - y
             grad = np.append(x.T @ err.astype(np.float32) / len(y) + l2 * w, err.mean())
-            if len(moved):
-                grad[:m] += 2 * counterfactual * delta.T @ (delta @ w.astype(np.float32)) / len(moved)
+            if moved:
+                grad[:m] += 2 * counterfactual * delta.T @ (delta @ w.astype(np.float32)) / moved
             g1, g2 = b1 * g1 + (1 - b1) * grad, b2 * g2 + (1 - b2) * grad * grad
             step = 0.1 * (g1 / (1 - b1**t)) / (np.sqrt(g2 / (1 - b2**t)) + 1e-8)
             w, bias = w - step[:m], bias - step[m]
@@ -118,20 +126,20 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(out, -500, 500)))
 
 
-def train(docs: DataFrame, labels: DataFrame, *, sample: int = 8000, counterfactual: float = 1.0, kinds=IDENTITY) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, *, sample: int = 6000, counterfactual: float = 1.0, kinds=IDENTITY) -> ToxicityModel:
     """Fits on at most ``sample`` labelled documents outside the held-out part; only hashed features are gathered."""
-    rows = training_rows(docs, labels, "toxic", sample).select("text", "y").mapInArrow(_collect(kinds), "y int, x binary, cf binary").collect()
+    found = training_rows(docs, labels, "toxic", sample).select("text", "y").mapInArrow(_collect(kinds), "y int, x binary, lost binary, won binary")
+    rows = sorted((r["y"], bytes(r["x"]), bytes(r["lost"]), bytes(r["won"])) for r in found.toLocalIterator())
     terms = features([w for ks in kinds for w in ks])[1]
-    read = lambda x: np.frombuffer(x, "<i4").astype(np.int64)
-    rows = sorted((r["y"], bytes(r["x"]), bytes(r["cf"])) for r in rows)
-    return ToxicityModel.fit([(y, read(x), read(cf)) for y, x, cf in rows], counterfactual=counterfactual, keep=terms.tolist())
+    read = lambda x: np.frombuffer(x, "<i4")
+    return ToxicityModel.fit([(int(y > 0), read(x), read(lost), read(won)) for y, x, lost, won in rows], counterfactual=counterfactual, keep=terms.tolist())
 
 
 def score_documents(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """doc_id, held_out, score of every row.
 
     Null and empty texts score the model's prior. Rows are independent: repeated and null doc_ids keep
-    theirs; other columns are ignored. The model is of fixed size (16 MB) and broadcast; nothing is shuffled.
+    theirs; other columns are ignored. The model is of fixed size (8 MB) and broadcast; nothing is shuffled.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
