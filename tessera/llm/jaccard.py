@@ -24,7 +24,7 @@ from tessera.llm.sets import shingles
 from tessera.llm.words import chunks
 
 SLICES = 64
-SIGNATURE = 32
+SIGNATURE = 128
 
 
 def _set_ids(row: np.ndarray, h: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -50,7 +50,7 @@ def _scan_sets(k: int, slots: int):
                 row, h = shingles(texts[lo:hi], k)
                 np.add.at(counts, (h & np.uint64(slots - 1)).astype(np.int64), 1)
                 n, d1, d2 = _set_ids(row, h, hi - lo)
-                sig = np.bincount(row * SIGNATURE + (h >> np.uint64(59)).astype(np.int64), minlength=(hi - lo) * SIGNATURE)
+                sig = np.bincount(row * SIGNATURE + (h >> np.uint64(57)).astype(np.int64), minlength=(hi - lo) * SIGNATURE)
                 sig = sig.astype("<i4").reshape(hi - lo, SIGNATURE)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -146,8 +146,9 @@ class JaccardJoin:
     component. Other columns are ignored, whatever their names. An empty table gives an empty result.
 
     Cost: one scan for counts, one for prefixes (a quarter of all shingles, shuffled once by shingle),
-    and texts only of classes that share a prefix shingle. Round one tests each class against the
-    smallest class and the preceding one under each shingle, so its candidates grow with the postings; round two
+    and texts only of classes that share a prefix shingle. Round one tests each class against
+    two others under each shingle: that with the fewest rarer shingles, the centre of a group of near copies, and the
+    preceding one in that order. So its candidates grow with the postings. Round two
     tests the pairs that lie in different components by then and whose length, positional and suffix
     bounds allow a link. Every pair is verified at most once.
     """
@@ -170,14 +171,15 @@ class JaccardJoin:
             table[r["slice"]] += np.frombuffer(zlib.decompress(r["counts"]), "<u4")
         return table.reshape(-1)
 
-    def _bound(self, df: DataFrame) -> DataFrame:
+    def _bound(self, df: DataFrame, first: bool) -> DataFrame:
         """Length and positional filters on rows of a shared shingle and its places pa and pb.
 
-        A pair that reaches the threshold has a first shared shingle. Nothing before it is shared, so what
-        follows it on either side must suffice; other rows of the pair may go.
+        Every row of a pair that reaches the threshold passes with ``first`` unset. With it, only rows pass that
+        can be the pair's first shared shingle: nothing before it is shared, so what follows must suffice.
         """
         need = (F.lit(self.num) * (F.col("na") + F.col("nb")) + (self.num + self.den - 1)) / F.lit(self.num + self.den)
         most = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+        most = most if first else most + F.least("pa", "pb")
         fits = F.least("na", "nb") * self.den >= F.greatest("na", "nb") * self.num
         return df.where(fits & (most >= F.floor(need)))
 
@@ -210,7 +212,7 @@ class JaccardJoin:
         )
         shared = scratch.save(shared.join(rep.where("cls is not null").select("d1", "d2", "cls"), ["d1", "d2"]).select("token", "cls", "n", "pos"))
 
-        order = Window.partitionBy("token").orderBy("n", "cls")
+        order = Window.partitionBy("token").orderBy("pos", "n", "cls")
         me = F.struct("cls", "n", "pos")
         tested = shared.select(me.alias("x"), F.array(F.first(me).over(order), F.lag(me).over(order)).alias("ys"))
         tested = tested.select("x", F.explode("ys").alias("y")).where("y is not null and x.cls != y.cls")
@@ -218,7 +220,7 @@ class JaccardJoin:
             F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b"),
             F.col("x.n").alias("na"), F.col("y.n").alias("nb"), F.col("x.pos").alias("pa"), F.col("y.pos").alias("pb"),
         )
-        tested = scratch.save(self._bound(tested).select("a", "b").distinct())
+        tested = scratch.save(self._bound(tested, first=False).select("a", "b").distinct())
 
         named = scratch.save(rep.join(shared.select("cls").distinct(), "cls", "left_semi").select("cls", "n", "sig"))
         texts = docs.select(F.col("doc_id").cast("long").alias("cls"), F.col("text").cast("string").alias("text")).where("text is not null")
@@ -231,7 +233,7 @@ class JaccardJoin:
         placed = scratch.save(placed.where("low < high").select("token", "cls", "n", "pos", "component"))
         x = placed.select("token", F.col("cls").alias("xa"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("component").alias("ca"))
         y = placed.select("token", F.col("cls").alias("xb"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("component").alias("cb"))
-        rest = self._bound(x.join(y, "token").where("ca < cb"))
+        rest = self._bound(x.join(y, "token").where("ca < cb"), first=True)
         rest = rest.select(F.least("xa", "xb").alias("a"), F.greatest("xa", "xb").alias("b")).distinct()
         rest = scratch.save(rest.join(tested, ["a", "b"], "left_anti"))
         second = self._links(rest, named, texts, scratch)
