@@ -1,12 +1,15 @@
 """Registered queries and their SQL."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from tessera.plans import result_plans, scoring_plans, similarity_plans, text_plans, training_plans
+
+MODULES = (text_plans, similarity_plans, scoring_plans, result_plans, training_plans)
 
 
 def queries() -> dict:
-    return dict(QUERIES)
+    return {name: f for m in MODULES for name, f in m.Q.items()}
 
 
 def oracle_sql() -> dict:
-    return dict(SQL)
+    return {name: sql for m in MODULES for name, sql in m.SQL.items()}
