@@ -8,17 +8,23 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tessera import params
 
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """Compatibility normalisation; Spark has no expression for it."""
     return text.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, also where an inner lambda uses it for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip_invisible(text: Column) -> Column:
     """Deletes zero-width characters, direction marks, soft hyphens and word joiners."""
     return F.regexp_replace(text, r"[\u200B-\u200D\uFEFF\u00AD\u200E\u200F\u202A-\u202E\u2060-\u206F]", "")

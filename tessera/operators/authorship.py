@@ -47,12 +47,10 @@ class BigramModel:
 
 def long_sentences(docs: DataFrame, most: int = 12) -> DataFrame:
     """(doc, i, text): sentences of more than five words; of more than twelve, twelve evenly spaced; none if fewer than three."""
-    s = F.filter(T.sentences(F.col("text")), lambda x: F.size(T.words(x)) > 5)
-    rows = docs.select("doc", s.alias("s")).where(F.size("s") >= 3)
-    n = F.size("s")
-    place = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: F.floor(i * (n - 1) / (most - 1)).cast("int"))
-    take = F.when(n > most, place).otherwise(F.sequence(F.lit(0), n - 1))
-    return rows.select("doc", F.posexplode(F.transform(take, lambda i: F.get("s", i))).alias("i", "text"))
+    long = F.filter(T.sentences(F.col("text")), lambda x: F.size(T.words(x)) > 5)
+    spaced = lambda s: F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: F.get(s, F.floor(i * (F.size(s) - 1) / (most - 1)).cast("int")))
+    chosen = T.let(long, lambda s: F.when(F.size(s) > most, spaced(s)).when(F.size(s) >= 3, s).otherwise(F.array().cast("array<string>")))
+    return docs.select("doc", F.posexplode(chosen).alias("i", "text"))
 
 
 def burstiness(docs: DataFrame, model: BigramModel) -> DataFrame:

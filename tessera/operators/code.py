@@ -7,6 +7,9 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
+
+from tessera.functions.text import let
 
 # Constructs that point to a language, in the order that breaks ties.
 LANGUAGE_MARKS = {
@@ -42,11 +45,12 @@ def renamed_tokens(block: Column) -> Column:
     tokens = F.filter(F.regexp_extract_all(F.regexp_replace(F.coalesce(block, F.lit("")), _COMMENT, " "), F.lit(_LEX), F.lit(1)), lambda t: F.length(t) < 50)
     reserved = F.array(*map(F.lit, RESERVED))
     is_name = lambda t: t.rlike(r"^[A-Za-z_]") & ~F.array_contains(reserved, F.lower(t))
-    names = F.array_distinct(F.filter(tokens, is_name))
-    return F.transform(tokens, lambda t: F.when(is_name(t), F.concat(F.lit("var"), (F.array_position(names, t) - 1).cast("string"))).otherwise(t))
+    both = lambda ts: F.struct(ts.alias("tokens"), F.array_distinct(F.filter(ts, is_name)).alias("names"))
+    rename = lambda s: F.transform(s["tokens"], lambda t: F.when(is_name(t), F.concat(F.lit("var"), (F.array_position(s["names"], t) - 1).cast("string"))).otherwise(t))
+    return let(let(tokens, both), rename)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Matching-block ratio of two token arrays over their first 10 000 tokens; both empty 1, one empty 0."""
 

@@ -71,23 +71,28 @@ def embedding_pairs(vectors: DataFrame) -> DataFrame:
     return pairs.select("batch", "a", "b", F.coalesce(cosine(F.col("ea"), F.col("eb")), F.lit(0.0)).alias("semantic"))
 
 
-def hashed_embedding(text: Column, dims: int = 32) -> Column:
-    """Unit vector of signed feature hashes of the content tokens; zeros without any.
+def hashed_embeddings(docs: DataFrame, dims: int = 32) -> DataFrame:
+    """(batch, doc, embedding): unit vectors of signed feature hashes of the content tokens; documents without tokens have none.
 
     Stands in for a transformer encoder, for which any ``pandas_udf`` from text to array<float> can be used.
     """
-    number = lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long")
-    place = F.transform(T.content_tokens(text), lambda w: F.struct((number(w) % dims).alias("i"), (1 - 2 * (F.floor(number(w) / dims) % 2)).alias("s")))
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.aggregate(F.filter(place, lambda p: p["i"] == i), F.lit(0).cast("long"), lambda s, p: s + p["s"]).cast("double"))
-    norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(raw, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))
+    number = F.conv(F.substring(F.md5("w"), 1, 8), 16, 10).cast("long")
+    rows = docs.select("batch", "doc", F.explode(T.content_tokens(F.col("text"))).alias("w")).select("batch", "doc", number.alias("h"))
+    cells = rows.groupBy("batch", "doc", (F.col("h") % dims).alias("i")).agg(F.sum(1 - 2 * (F.floor(F.col("h") / dims) % 2)).alias("v"))
+    whole = cells.groupBy("batch", "doc").agg(F.map_from_entries(F.collect_list(F.struct("i", "v"))).alias("m"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
+    place = F.sequence(F.lit(0).cast("long"), F.lit(dims - 1).cast("long"))
+    value = lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0)) / F.col("norm")
+    return whole.where("norm > 0").select("batch", "doc", F.transform(place, value).alias("embedding"))
 
 
 def shingle_hashes(text: Column, k: int = 2) -> Column:
     """Distinct 32-bit hashes of the k-word shingles of the lower-cased text; fewer words are one shingle."""
     w = T.words(F.lower(text))
-    last = F.greatest(F.size(w) - (k - 1), F.lit(1))
-    grams = F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(w, i, F.lit(k)), " "))
+    n = F.greatest(F.size(w) - (k - 1), F.lit(0))
+    grams = F.slice(w, F.lit(1), n)
+    for j in range(1, k):
+        grams = F.zip_with(grams, F.slice(w, F.lit(j + 1), n), lambda a, b: F.concat_ws(" ", a, b))
+    grams = F.when(F.size(w) >= k, grams).otherwise(F.array(F.array_join(w, " ")))
     return F.array_distinct(F.transform(grams, lambda g: F.conv(F.substring(F.md5(g), 1, 8), 16, 10).cast("long")))
 
 
@@ -99,8 +104,9 @@ def permutations(n: int = 128) -> list[tuple[int, int, int]]:
 def minhash_signatures(docs: DataFrame, n: int = 128, k: int = 2) -> DataFrame:
     """(batch, doc, signature array<long>): minima of (a x + b) mod 2^31 - 1 over the shingles, all inside one row."""
     table = F.array(*(F.struct(F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for _, a, b in permutations(n)))
-    low = lambda p: F.array_min(F.transform("h", lambda x: (p["a"] * x + p["b"]) % MERSENNE))
-    return docs.select("batch", "doc", shingle_hashes(F.col("text"), k).alias("h")).select("batch", "doc", F.transform(table, low).alias("signature"))
+    start = F.array_repeat(F.lit(MERSENNE).cast("long"), n)
+    lower = lambda low, x: F.zip_with(low, table, lambda m, p: F.least(m, (p["a"] * x + p["b"]) % MERSENNE))
+    return docs.select("batch", "doc", F.aggregate(shingle_hashes(F.col("text"), k), start, lower).alias("signature"))
 
 
 def lsh_candidates(signatures: DataFrame, bands: int = 32, rows: int = 4) -> DataFrame:

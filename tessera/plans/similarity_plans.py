@@ -51,7 +51,7 @@ FROM embeddings x JOIN embeddings y ON x.label = y.label AND x.vec_id < y.vec_id
 
 HASHED = """num AS (SELECT doc, unnest(w) AS t FROM tok), place AS (SELECT doc, CAST('0x' || substr(md5(t), 1, 8) AS BIGINT) AS h FROM num),
 cell AS (SELECT doc, h % 32 AS i, sum(1 - 2 * ((h // 32) % 2)) AS v FROM place GROUP BY ALL)"""
-Q["c4_text_embedding"] = lambda s, d: base.docs(s, d).select("doc", F.posexplode(similarity.hashed_embedding(C("text"))).alias("i", "v")).where("v != 0").select("doc", C("i").cast("long").alias("i"), F.round("v", 6).alias("v"))
+Q["c4_text_embedding"] = lambda s, d: similarity.hashed_embeddings(base.docs(s, d)).select("doc", F.posexplode("embedding").alias("i", "v")).where("v != 0").select("doc", C("i").cast("long").alias("i"), F.round("v", 6).alias("v"))
 SQL["c4_text_embedding"] = base.with_(base.DOCS, TOKENS, HASHED) + ", n AS (SELECT doc, sqrt(sum(v * v)) AS n FROM cell GROUP BY 1) SELECT doc, i, round(v / n, 6) AS v FROM cell JOIN n USING (doc) WHERE v <> 0"
 
 Q["c5_c7_score_pairs"] = lambda s, d: (
