@@ -48,6 +48,7 @@ Q["h5_e6_classifier"] = lambda s, d: _predicted(s, d).select("doc", "y", "is_tes
 
 def _auc(s, d):
     mean, std = training.cross_validated_auc(_features(s, d)) or (None, None)
+    mean, std = (None if x is None else float(x) for x in (mean, std))
     return s.createDataFrame([(mean, std)], "mean double, std double").select(F.round("mean", 2).alias("mean"), F.round("std", 2).alias("std"))
 
 
