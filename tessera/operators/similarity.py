@@ -102,11 +102,13 @@ def permutations(n: int = 128) -> list[tuple[int, int, int]]:
 
 
 def minhash_signatures(docs: DataFrame, n: int = 128, k: int = 2) -> DataFrame:
-    """(batch, doc, signature array<long>): minima of (a x + b) mod 2^31 - 1 over the shingles, all inside one row."""
-    table = F.array(*(F.struct(F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for _, a, b in permutations(n)))
-    start = F.array_repeat(F.lit(MERSENNE).cast("long"), n)
-    lower = lambda low, x: F.zip_with(low, table, lambda m, p: F.least(m, (p["a"] * x + p["b"]) % MERSENNE))
-    return docs.select("batch", "doc", F.aggregate(shingle_hashes(F.col("text"), k), start, lower).alias("signature"))
+    """(batch, doc, signature array<long>): minima of (a x + b) mod 2^31 - 1 over the shingles.
+
+    The minima are combined before the shuffle, so a document costs one row a task.
+    """
+    rows = docs.select("batch", "doc", F.explode(shingle_hashes(F.col("text"), k)).alias("x"))
+    low = [F.min((F.lit(a).cast("long") * F.col("x") + F.lit(b).cast("long")) % MERSENNE).alias(f"m{i}") for i, a, b in permutations(n)]
+    return rows.groupBy("batch", "doc").agg(*low).select("batch", "doc", F.array(*(f"m{i}" for i in range(n))).alias("signature"))
 
 
 def lsh_candidates(signatures: DataFrame, bands: int = 32, rows: int = 4) -> DataFrame:
