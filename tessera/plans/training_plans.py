@@ -90,12 +90,12 @@ SQL["h9_feature_summary"] = " UNION ALL ".join(
 
 
 def _names(s, d):
-    """File names of an evaluation set, one for each document: originals and copies by number."""
+    """File names of an evaluation set, one for each document of two sources: originals and copies by number."""
     k = F.floor(C("doc") / 2).cast("string")
-    return base.docs(s, d).where("batch = 'src1'").select(F.concat(F.lit("para_"), F.when(C("doc") % 2 == 0, "orig").otherwise("copy"), F.lit("_"), k).alias("name"))
+    return base.docs(s, d).where("batch in ('src2', 'src3')").select(F.concat(F.lit("para_"), F.when(C("doc") % 2 == 0, "orig").otherwise("copy"), F.lit("_"), k).alias("name"))
 
 
-_NAMES = "f AS (SELECT CASE WHEN doc % 2 = 0 THEN 'orig' ELSE 'copy' END AS role, doc // 2 AS i, 'para_' || CASE WHEN doc % 2 = 0 THEN 'orig' ELSE 'copy' END || '_' || (doc // 2) AS name FROM docs WHERE batch = 'src1')"
+_NAMES = "f AS (SELECT CASE WHEN doc % 2 = 0 THEN 'orig' ELSE 'copy' END AS role, doc // 2 AS i, 'para_' || CASE WHEN doc % 2 = 0 THEN 'orig' ELSE 'copy' END || '_' || (doc // 2) AS name FROM docs WHERE batch IN ('src2', 'src3'))"
 _LABELLED = """, l AS (SELECT 'para' AS class, x.name AS a, y.name AS b FROM f x JOIN f y ON x.role = 'orig' AND y.role = 'copy' AND x.i = y.i),
 u AS (SELECT 'unrelated' AS class, x.name AS a, y.name AS b FROM f x JOIN f y ON x.role = 'orig' AND (y.role = 'orig' AND x.i < y.i OR y.role = 'copy' AND x.i <> y.i))"""
 Q["h10_labelled_pairs"] = lambda s, d: training.labelled_pairs(_names(s, d), "para")
@@ -123,7 +123,7 @@ def _events(s, d):
 
 
 Q["h14_registry_state"] = lambda s, d: training.registry_state(_events(s, d)).select("version", "is_active")
-SQL["h14_registry_state"] = """WITH o AS (SELECT 'v' || o_orderkey AS version, o_orderstatus AS st, o_orderdate AS at FROM orders WHERE o_orderkey % 10 = 0)
-SELECT version, version = (SELECT version FROM o WHERE st = 'F' ORDER BY at DESC, version DESC LIMIT 1) AS is_active FROM o"""
+SQL["h14_registry_state"] = """WITH o AS (SELECT 'v' || o_orderkey AS version, o_orderstatus AS st, o_orderdate AS done FROM orders WHERE o_orderkey % 10 = 0)
+SELECT version, version = (SELECT version FROM o WHERE st = 'F' ORDER BY done DESC, version DESC LIMIT 1) AS is_active FROM o"""
 Q["h14_missing_runs"] = lambda s, d: training.missing_runs(_events(s, d).where("event = 'trained'"), _events(s, d).where("event = 'activated'")).select("version")
 SQL["h14_missing_runs"] = "SELECT 'v' || o_orderkey AS version FROM orders WHERE o_orderkey % 10 = 0 AND o_orderstatus <> 'F'"
