@@ -9,6 +9,7 @@ from tessera.llm import (
     pii_queries,
     pq_queries,
     quality_queries,
+    token_counts_queries,
     toxicity_queries,
     urls_queries,
     vafile_queries,
@@ -17,6 +18,7 @@ from tessera.llm import (
 MODULES = [
     urls_queries,
     pq_queries,
+    token_counts_queries,
     toxicity_queries,
     vafile_queries,
     jaccard_queries,
