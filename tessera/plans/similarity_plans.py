@@ -110,28 +110,32 @@ Q["c11_lexical_overlap"] = lambda s, d: (
 
 
 def _near(s, d):
-    p = base.pairs(s, d).where("fused >= 0.9").select("a", "b")
+    """The pairs that share a band, with both texts. Documents of equal signature meet their smallest one only."""
     t = base.docs(s, d)
+    p = similarity.lsh_candidates(_signatures(s, d)).select("a", "b")
     return p.join(t.select(C("doc").alias("a"), C("text").alias("text_a")), "a").join(t.select(C("doc").alias("b"), C("text").alias("text_b")), "b")
 
 
 Q["c11_word_jaccard"] = lambda s, d: _near(s, d).select("a", "b", F.round(similarity.jaccard(similarity.lexical_words(C("text_a")), similarity.lexical_words(C("text_b"))), 6).alias("jaccard"))
 
 
-def _pair_corpora(s, d):
-    p = base.pairs(s, d).where("fused >= 0.95").select(F.concat_ws("-", "a", "b").alias("batch"), "a", "b")
+def _pair_corpora(s, d, pairs):
+    p = pairs.select(F.concat_ws("-", "a", "b").alias("batch"), "a", "b")
     t = base.docs(s, d).select(C("doc"), "text")
     docs = p.select("batch", F.explode(F.array("a", "b")).alias("doc")).join(t, "doc")
     return similarity.tfidf_pairs(similarity.tfidf_vectors(docs))
 
 
-Q["c12_pair_fitted_tfidf"] = lambda s, d: _pair_corpora(s, d).select("a", "b", F.round("tfidf", 5).alias("tfidf"))
+Q["c12_pair_fitted_tfidf"] = lambda s, d: _pair_corpora(s, d, base.pairs(s, d).where("fused >= 0.95")).select("a", "b", F.round("tfidf", 5).alias("tfidf"))
 SQL["c12_pair_fitted_tfidf"] = (
     base.with_(base.DOCS.replace("docs AS", "docs0 AS", 1), base.PAIRS.replace("FROM docs x JOIN docs y", "FROM docs0 x JOIN docs0 y"),
     "own AS (SELECT a || '-' || b AS batch, unnest([a, b]) AS doc FROM pairs WHERE fused >= 0.95)", "docs AS (SELECT own.batch, own.doc, text FROM own JOIN docs0 ON docs0.doc = own.doc)", TOKENS, TFIDF)
     + "SELECT a, b, round(tfidf, 5) AS tfidf FROM sims"
 )
 
+# c12 keeps the id window of its SQL; this one takes the same candidates as c11
+Q["c12_candidates_tfidf"] = lambda s, d: _pair_corpora(s, d, similarity.lsh_candidates(_signatures(s, d))).select("a", "b", F.round("tfidf", 5).alias("tfidf"))
+
 Q["c13_matched_sentences"] = lambda s, d: similarity.matched_sentences(base.docs(s, d)).withColumn("n_chars", C("n_chars").cast("long"))
 SQL["c13_matched_sentences"] = base.with_(base.DOCS, SENT) + r""", r AS (SELECT DISTINCT batch, doc, regexp_replace(lower(x), '\s+', ' ', 'g') AS x FROM (SELECT batch, doc, unnest(s) AS x FROM sent))
 SELECT p.batch, p.doc AS a, q.doc AS b, count(*) AS n_sentences, CAST(sum(length(p.x)) AS BIGINT) AS n_chars FROM r p JOIN r q ON p.batch = q.batch AND p.x = q.x AND p.doc < q.doc WHERE length(p.x) >= 20 GROUP BY ALL"""
@@ -165,14 +169,16 @@ Q["d2_renamed_tokens"] = lambda s, d: blocks(s, d).where("doc % 3 = 0").select("
 SQL["d2_renamed_tokens"] = _D + "SELECT doc, 'def var0 ( var1 ) : var2 = 0 for var3 in var1 : var2 + = var3 * ' || (doc % 5) || ' return var2' AS tokens FROM docs WHERE doc % 4 <> 0 AND doc % 3 = 0"
 
 
-def _code_scores(s, d):
-    rows = code.block_rows(blocks(s, d))
-    pairs = base.pairs(s, d).where("fused >= 0.5").select("batch", "a", "b")
-    return code.with_code_score(pairs, code.max_block_similarity(pairs, rows))
+def _code_scores(s, d, pairs):
+    return code.with_code_score(pairs, code.max_block_similarity(pairs, code.block_rows(blocks(s, d))))
+
+
+def _code_candidates(s, d):
+    return similarity.lsh_candidates(similarity.minhash_signatures(code.token_grams(code.block_rows(blocks(s, d))), k=1))
 
 
-Q["d3_d5_code_score"] = lambda s, d: _code_scores(s, d).withColumn("code_score", F.round("code_score", 6))
-Q["d5_has_both"] = lambda s, d: _code_scores(s, d).groupBy("batch").agg(F.count_if(C("code_score") > 0).alias("n_scored"), F.count_if(C("code_score") >= 0.999).alias("n_equal"), F.count("*").alias("n"))
+Q["d3_d5_code_score"] = lambda s, d: _code_scores(s, d, _code_candidates(s, d)).withColumn("code_score", F.round("code_score", 6))
+Q["d5_has_both"] = lambda s, d: _code_scores(s, d, base.pairs(s, d).where("fused >= 0.5").select("batch", "a", "b")).groupBy("batch").agg(F.count_if(C("code_score") > 0).alias("n_scored"), F.count_if(C("code_score") >= 0.999).alias("n_equal"), F.count("*").alias("n"))
 SQL["d5_has_both"] = base.with_(base.DOCS, base.PAIRS) + """SELECT batch, count(*) FILTER (WHERE a % 4 <> 0 AND b % 4 <> 0) AS n_scored,
   count(*) FILTER (WHERE a % 4 <> 0 AND b % 4 <> 0 AND a % 3 = b % 3 AND a % 5 = b % 5) AS n_equal, count(*) AS n FROM pairs WHERE fused >= 0.5 GROUP BY 1"""
-Q["d6_code_candidates"] = lambda s, d: similarity.lsh_candidates(similarity.minhash_signatures(code.token_grams(code.block_rows(blocks(s, d))), k=1)).groupBy("batch").agg(F.count("*").alias("n"))
+Q["d6_code_candidates"] = lambda s, d: _code_candidates(s, d).groupBy("batch").agg(F.count("*").alias("n"))
