@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.scratch import Scratch
 from tessera.llm.words import chunks
 
 KINDS = ("email", "ip", "card", "phone")
@@ -102,7 +103,19 @@ def _key(token: str) -> str:
     return plain[-7:] if plain.isdigit() and len(plain) > 7 else plain
 
 
-def nodes(text: str, base: list[tuple[int, int, int]]) -> Nodes:
+def _ties(like: list[int], seen: np.ndarray) -> list[tuple[int, int]]:
+    """Ties each token to one of its like: the first of the most frequent base label, or the first where none has one.
+
+    So what is known at one place is at most two ties from all others, however many lie between, with n - 1 edges.
+    """
+    given = [int(seen[i]) for i in like if seen[i] != O]
+    most = max(set(given), key=lambda k: (given.count(k), -k)) if given else O
+    hub = next(i for i in like if seen[i] == most)
+    return [(hub, i) for i in like if i != hub]
+
+
+def nodes(text: str, base: list[tuple[int, int, int]], *, learn: bool = False) -> Nodes:
+    """learn: repeated tokens are tied to the next of their like, so that each weighs about the same in training."""
     span = [m.span() for m in _TOKEN.finditer(text)]
     cover = sorted((a, b, k) for k, a, b in base)
     seen = np.full(len(span), O)
@@ -117,8 +130,7 @@ def nodes(text: str, base: list[tuple[int, int, int]]) -> Nodes:
     for i, (a, b) in enumerate(span):
         if len(k := _key(text[a:b])) >= 5:
             by[k].append(i)
-    # each token is tied to the next of its like: a chain of ties joins all of them, with n - 1 edges
-    skip = [(x, y) for like in by.values() for x, y in zip(like, like[1:])]
+    skip = [e for like in by.values() for e in (zip(like, like[1:]) if learn else _ties(like, seen))]
     return Nodes(span, seen, [_shape(text[a:b]) for a, b in span], chain, skip)
 
 
@@ -167,8 +179,11 @@ class SkipChain:
         ws[1] += np.eye(k) * 2.0  # repeated tokens agree at least this much
         return cls(u, *ws)
 
-    def infer(self, d: Nodes, rounds: int = 12) -> np.ndarray:
-        """Marginals [tokens, labels] by damped sum-product messages; base labels are given."""
+    def infer(self, d: Nodes, rounds: int = 200) -> np.ndarray:
+        """Marginals [tokens, labels] by damped sum-product messages; base labels are given.
+
+        Stops when no message changes; ``rounds`` ends those that swing.
+        """
         k, n = O + 1, len(d.span)
         local = np.stack([self.unary[f].sum(axis=0) for f in d.feature]) if n else np.zeros((0, k))
         given = d.seen != O
@@ -234,28 +249,51 @@ def listed(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in sorted(spans))
 
 
+def _limit(sizes: list[int], tokens: int) -> int:
+    """The most tokens a document may give so that all of them give no more than ``tokens``."""
+    lo, hi = 0, max(sizes, default=0)
+    while lo < hi:
+        mid = (lo + hi + 1) // 2
+        lo, hi = (mid, hi) if sum(min(n, mid) for n in sizes) <= tokens else (lo, mid - 1)
+    return lo
+
+
 def train(docs: DataFrame, *, sample: int = 4000, tokens: int = 50_000) -> SkipChain:
     """Learns from at most ``sample`` documents that hold a digit or an @ sign, the same at every run.
 
-    Only their tokens are gathered, and whole documents are taken in order up to ``tokens`` tokens.
+    All of them give at most ``tokens`` tokens together. Where they hold more, the long ones give a stretch, at a place by
+    their hash, of as many tokens as leaves room for every other; it is cut on the executors, which first count.
     """
+    scratch = Scratch(docs.sparkSession, "pii")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for t in b.column(0).to_pylist():
-                d = nodes(t, base_spans(t))
-                out.append((d.seen.tolist(), d.feature, [list(e) for e in d.chain], [list(e) for e in d.skip]))
-            kinds = (pa.list_(pa.int64()), *[pa.list_(pa.list_(pa.int64()))] * 3)
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], names=["seen", "feature", "chain", "skip"])
+            yield pa.RecordBatch.from_arrays([pa.array([sum(1 for _ in _TOKEN.finditer(t)) for t in b.column(1).to_pylist()], pa.int64())], names=["n"])
+
+    def gather(limit: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                out = []
+                for h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    d = nodes(t, base_spans(t), learn=True)
+                    lo = h % (len(d.seen) - limit + 1) if len(d.seen) > limit else 0
+                    hi = lo + limit
+                    inside = lambda edges: [[x - lo, y - lo] for x, y in edges if lo <= x and y < hi]  # noqa: B023, E731
+                    out.append((d.seen[lo:hi].tolist(), d.feature[lo:hi], inside(d.chain), inside(d.skip)))
+                kinds = (pa.list_(pa.int64()), *[pa.list_(pa.list_(pa.int64()))] * 3)
+                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([o[i] for o in out], k) for i, k in enumerate(kinds))], names=["h", "seen", "feature", "chain", "skip"])
+
+        return run
 
     text = docs.select(F.col("text").cast("string").alias("text")).where(F.col("text").rlike("[0-9@]"))
-    some = text.select(F.xxhash64("text").alias("h")).distinct().orderBy("h").limit(sample)
-    text = text.withColumn("h", F.xxhash64("text")).join(F.broadcast(some), "h").groupBy("h").agg(F.min("text").alias("text")).orderBy("h").select("text")
-    rows = text.mapInArrow(run, "seen array<long>, feature array<array<long>>, chain array<array<long>>, skip array<array<long>>").collect()
-    rows = [Nodes([(0, 0)] * len(r["seen"]), np.array(r["seen"], np.int64), [list(f) for f in r["feature"]], [tuple(e) for e in r["chain"]], [tuple(e) for e in r["skip"]]) for r in rows]
-    size = np.cumsum([len(r.seen) for r in rows])
-    return SkipChain.fit([r for r, n in zip(rows, size) if n <= tokens])
+    some = text.select(F.xxhash64("text").alias("h")).distinct().orderBy("h").limit(min(sample, tokens))
+    text = text.withColumn("h", F.xxhash64("text")).join(F.broadcast(some), "h").groupBy("h").agg(F.min("text").alias("text"))
+    text = scratch.save(text)
+    limit = _limit([r["n"] for r in text.mapInArrow(count, "n long").collect()], tokens)
+    rows = text.mapInArrow(gather(limit), "h long, seen array<long>, feature array<array<long>>, chain array<array<long>>, skip array<array<long>>").collect()
+    scratch.drop(text)
+    rows = sorted(rows, key=lambda r: r["h"])
+    return SkipChain.fit([Nodes([(0, 0)] * len(r["seen"]), np.array(r["seen"], np.int64), [list(f) for f in r["feature"]], [tuple(e) for e in r["chain"]], [tuple(e) for e in r["skip"]]) for r in rows])
 
 
 def find(docs: DataFrame, model: SkipChain) -> DataFrame:
