@@ -22,57 +22,108 @@ from tessera.llm.bpe import batches_of
 from tessera.llm.scratch import Scratch
 
 UNIT = 1 << 18  #: weights are shares in this unit; with it 2**44 tokens fit 64-bit arithmetic
-OTHERS = 1024  #: more sources than this share this many queues by hash
+BLOCK = 1 << 20  #: numbers in a table of counts
 _encoders: dict = {}
 
 
 class Mixture:
-    """Tokens served from each queue at any point of the packed stream."""
+    """Tokens served from each queue at any point of the packed stream, for any number of queues.
+
+    Queues of one weight have earned the same at every slot, so what all of them were served follows from their
+    totals in order and their running sums. Weights add up to little more than UNIT, so there are at most some
+    hundreds of different ones. Queues of one weight begin with credits spread over one token, so that they
+    are not all served in the same slot. Within a slot queues are served by weight, then total, then in the order given.
+    """
 
     def __init__(self, totals: list[int], weights: list[float] | None = None):
         t = np.array(totals, np.int64)
         w = np.array(totals if weights is None else weights, np.float64)
         w = w / w.sum() if len(w) and w.sum() else w
-        self.totals, self.weights = t, np.maximum(1, np.round(w * UNIT)).astype(np.int64)
-        self.tokens = int(t.sum())
-
-    def served(self, slot: np.ndarray) -> np.ndarray:
-        """[slots, queues]: whole tokens of credit, as far as the queue has tokens."""
-        return np.minimum(self.totals, slot[:, None] * self.weights // UNIT)
-
-    def at(self, position: np.ndarray) -> np.ndarray:
-        """[positions, queues]: of the stream's first tokens, how many come from each queue.
-
-        Within a slot queues are served in their order.
-        """
-        p = np.asarray(position, np.int64)
-        lo = np.zeros(len(p), np.int64)
-        end = max(int(-(-(t + 1) * UNIT // w)) for t, w in zip(self.totals.tolist(), self.weights.tolist())) if len(self.totals) else 0
-        hi = np.full(len(p), end, np.int64)
-        while (lo < hi).any():  # the last slot with no more than p tokens served
+        w = np.maximum(1, np.round(w * UNIT)).astype(np.int64)
+        order = np.lexsort((t, w))
+        self.rank = np.empty(len(t), np.int64)  # a queue's place in the order
+        self.rank[order] = np.arange(len(t))
+        self.totals, self.weights, self.tokens = t[order], w[order], int(t.sum())
+        self.each, self.first, self.group = np.unique(self.weights, return_index=True, return_inverse=True)
+        self.last = np.append(self.first[1:], len(t))
+        self.start = (np.arange(len(t)) - self.first[self.group]) * UNIT // (self.last - self.first)[self.group]
+        self.most = int(t.max(initial=0))
+        self.keys = self.group * (self.most + 1) + self.totals
+        self.sums = np.concatenate([[0], np.cumsum(self.totals)])
+        self.end = int((-(-(self.totals + 1) * UNIT // self.weights)).max(initial=0))
+        self.block = max(1, BLOCK // max(1, len(self.each)))
+
+    def _part(self, group: np.ndarray, slot: np.ndarray, upto: np.ndarray) -> np.ndarray:
+        """Tokens served up to a slot from the queues of a group that come before ``upto``."""
+        first, credit = self.first[group], slot * self.each[group]
+        earned = credit // UNIT
+        size = self.last[group] - first
+        ahead = np.minimum(first - (-(UNIT - credit % UNIT) * size // UNIT), upto)  # from here on the head start makes one more
+        low, high = np.minimum(earned, self.most), np.minimum(earned + 1, self.most)
+        base = group * (self.most + 1)
+        a = np.minimum(np.searchsorted(self.keys, base + low, side="right"), ahead)
+        b = np.clip(np.searchsorted(self.keys, base + high, side="right"), ahead, upto)
+        return self.sums[a] - self.sums[first] + (ahead - a) * low + self.sums[b] - self.sums[ahead] + (upto - b) * high
+
+    def groups(self, slot: np.ndarray) -> np.ndarray:
+        """[slots, groups + 1]: tokens served up to a slot from all groups before each; the last column is everything."""
+        part = self._part(np.arange(len(self.each)), slot[:, None], self.last)
+        return np.concatenate([np.zeros((len(slot), 1), np.int64), np.cumsum(part, axis=1)], axis=1)
+
+    def before(self, groups: np.ndarray, row: np.ndarray, slot: np.ndarray, queue: np.ndarray) -> np.ndarray:
+        """Tokens served up to a slot from the queues before this one; ``groups[row]`` is of the same slots."""
+        g = self.group[queue]
+        return groups[row, g] + self._part(g, slot, queue)
+
+    def own(self, slot: np.ndarray, queue: np.ndarray) -> np.ndarray:
+        return np.minimum(self.totals[queue], (slot * self.weights[queue] + self.start[queue]) // UNIT)
+
+    def position(self, queue: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """The place in the stream of a token of a queue."""
+        out = np.empty(len(token), np.int64)
+        for lo in range(0, len(token), self.block):
+            q, k = queue[lo : lo + self.block], token[lo : lo + self.block]
+            slot = -((self.start[q] - (k + 1) * UNIT) // self.weights[q])
+            row, was, now = np.arange(len(q)), self.groups(slot - 1), self.groups(slot)
+            out[lo : lo + self.block] = was[:, -1] + self.before(now, row, slot, q) - self.before(was, row, slot - 1, q) + k - self.own(slot - 1, q)
+        return out
+
+    def slots(self, position: np.ndarray) -> np.ndarray:
+        """The last slot with no more than ``position`` tokens served."""
+        lo, hi = np.zeros(len(position), np.int64), np.full(len(position), self.end, np.int64)
+        while (lo < hi).any():
             mid = (lo + hi + 1) >> 1
-            ok = self.served(mid).sum(axis=1) <= p
+            ok = self.groups(mid)[:, -1] <= position
             lo, hi = np.where(ok, mid, lo), np.where(ok, hi, mid - 1)
-        done = self.served(lo)
-        more = self.served(lo + 1) - done
-        before = np.cumsum(more, axis=1) - more
-        left = (p - done.sum(axis=1))[:, None]
-        return done + np.clip(left - before, 0, more)
+        return lo
+
+    def at(self, position: np.ndarray, index: np.ndarray, queue: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the stream's first ``position[index]`` tokens, how many come from a queue and how many from those before it."""
+        slot = self.slots(position)
+        was, now = self.groups(slot), self.groups(slot + 1)
+        left, slot = (position - was[:, -1])[index], slot[index]
+        done = self.before(was, index, slot, queue)
+        ahead = self.before(now, index, slot + 1, queue) - done
+        own = self.own(slot, queue)
+        return own + np.clip(left - ahead, 0, self.own(slot + 1, queue) - own), done + np.minimum(left, ahead)
 
 
-def boundaries(tokens: int, window: int, first: int, last: int) -> np.ndarray:
-    """Starts of sequences first..last (and the end of the last): windows, then powers of two for what is left."""
-    full = tokens // window
-    left, tail = tokens % window, [full * window]
-    for bit in reversed(range(left.bit_length())):
-        if left >> bit & 1:
-            tail.append(tail[-1] + (1 << bit))
-    n = np.arange(first, last + 2)
-    return np.where(n <= full, n * window, np.array(tail)[np.clip(n - full, 0, len(tail) - 1)])
+class Windows:
+    """Where sequences start: windows, then powers of two for what is left."""
 
+    def __init__(self, tokens: int, window: int):
+        self.window, self.full = window, tokens // window
+        left, tail = tokens % window, [self.full * window]
+        for bit in reversed(range(left.bit_length())):
+            if left >> bit & 1:
+                tail.append(tail[-1] + (1 << bit))
+        self.tail = np.array(tail)
 
-def n_sequences(tokens: int, window: int) -> int:
-    return tokens // window + int(tokens % window).bit_count()
+    def start(self, sequence: np.ndarray) -> np.ndarray:
+        return np.where(sequence <= self.full, sequence * self.window, self.tail[np.clip(sequence - self.full, 0, len(self.tail) - 1)])
+
+    def holding(self, position: np.ndarray) -> np.ndarray:
+        return np.where(position < self.tail[0], position // self.window, self.full + np.searchsorted(self.tail, position, side="right") - 1)
 
 
 def _tokens(path: str, end: int):
@@ -188,67 +239,66 @@ def word_encoder(path: str, end: int) -> WordEncoder:
     return _encoders[path, end]
 
 
+def _spread(size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of rows, each as often as its size, and the count within the row."""
+    row = np.repeat(np.arange(len(size)), size)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+
+
+def _cuts(mixture: Mixture, windows: Windows, q: np.ndarray, n: np.ndarray, begin: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """(row, sequence, from, to, offset) of the pieces of documents; from and to count the queue's tokens."""
+    first, last = (windows.holding(mixture.position(q, k)) for k in (begin, begin + n - 1))
+    wide = last - first + 1
+    some = np.minimum(n, wide)  # what is looked at: sequences, or tokens where they are fewer
+    for rows in np.split(np.arange(len(q)), np.flatnonzero(np.diff(np.cumsum(some) // BLOCK)) + 1):
+        thin = rows[n[rows] < wide[rows]]
+        dense = rows[n[rows] >= wide[rows]]
+        r, i = _spread(wide[dense])
+        row, sequence = dense[r], first[dense][r] + i
+        r, i = _spread(n[thin])
+        place = windows.holding(mixture.position(q[thin][r], begin[thin][r] + i))
+        new = np.flatnonzero(np.diff(r, prepend=-1) | np.diff(place, prepend=-1))
+        row, sequence = np.concatenate([row, thin[r[new]]]), np.concatenate([sequence, place[new]])
+        order = np.argsort(sequence, kind="stable")
+        row, sequence = row[order], sequence[order]
+        found, index = np.unique(sequence, return_inverse=True)
+        for a in range(0, len(found), mixture.block):
+            lo, hi = np.searchsorted(index, [a, a + mixture.block])
+            for x in range(lo, hi, BLOCK):
+                part = slice(x, min(x + BLOCK, hi))
+                at, inside = np.unique(index[part], return_inverse=True)
+                s = row[part]
+                own, ahead = mixture.at(windows.start(found[at]), inside, q[s])
+                own_end, ahead_end = mixture.at(windows.start(found[at] + 1), inside, q[s])
+                f, t = np.maximum(own, begin[s]), np.minimum(own_end, begin[s] + n[s])
+                ok = t > f
+                yield s[ok], sequence[part][ok], f[ok], t[ok], (ahead_end - ahead + f - own)[ok]
+
+
 def _pieces(mixture: Mixture, queues: dict[str, int], window: int):
     """Rows (doc_id, queue, n, begin, ids) to the pieces of each document; begin: its place in its queue."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows = Windows(mixture.tokens, window)
         for b in batches:
             if not b.num_rows:
                 continue
-            q = np.array([queues[x] for x in b.column(1).to_pylist()], np.int64)
-            n, begin = b.column(2).to_numpy(), b.column(3).to_numpy()
-            ids = b.column(4)
-            doc, piece, start, length, sequence, offset, crc = [], [], [], [], [], [], []
-            for s in np.unique(q):
-                rows = np.flatnonzero(q == s)
-                rows = rows[np.argsort(begin[rows], kind="stable")]
-                for run_ in np.split(rows, np.flatnonzero(np.diff(begin[rows]) > 64 * window) + 1):
-                    self_first = _sequence_of(mixture, int(s), int(begin[run_[0]]), window)
-                    self_last = _sequence_of(mixture, int(s), int(begin[run_[-1]] + n[run_[-1]] - 1), window)
-                    step = 4096  # sequences looked at together
-                    for a in range(self_first, self_last + 1, step):
-                        z = min(a + step - 1, self_last)
-                        edge = boundaries(mixture.tokens, window, a, z)
-                        cum = mixture.at(edge)
-                        own, base = cum[:, s], np.cumsum(np.diff(cum, axis=0), axis=1)[:, s - 1] if s else np.zeros(len(edge) - 1, np.int64)
-                        lo = np.searchsorted(own, begin[run_], side="right") - 1
-                        hi = np.searchsorted(own, begin[run_] + n[run_], side="left") - 1
-                        for r, x, y in zip(run_.tolist(), np.maximum(lo, 0).tolist(), np.minimum(hi, len(own) - 2).tolist()):
-                            if begin[r] + n[r] <= own[0] or begin[r] >= own[-1]:
-                                continue
-                            text = np.frombuffer(ids[r].as_buffer(), "<u2")
-                            for w in range(x, y + 1):
-                                f, t = max(int(own[w]), int(begin[r])), min(int(own[w + 1]), int(begin[r] + n[r]))
-                                if t <= f:
-                                    continue
-                                doc.append(r)
-                                start.append(f - int(begin[r]))
-                                length.append(t - f)
-                                sequence.append(a + w)
-                                offset.append(int(base[w]) + f - int(own[w]))
-                                crc.append(zlib.crc32(text[f - int(begin[r]) : t - int(begin[r])].astype("<u4").tobytes()))
-            at = pa.array(doc, pa.int64())
-            long = lambda x: pa.array(x, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(at), long(start), long(length), long(crc), b.column(2).take(at), long(sequence), long(offset), b.column(1).take(at)],
-                names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "queue"],
-            )
+            q = mixture.rank[[queues[x] for x in b.column(1).to_pylist()]]
+            n, begin, ids = b.column(2).to_numpy(), b.column(3).to_numpy(), b.column(4)
+            text = [np.frombuffer(x.as_buffer(), "<u2") for x in ids]
+            for row, sequence, f, t, offset in _cuts(mixture, windows, q, n, begin):
+                start = f - begin[row]
+                crc = [zlib.crc32(text[r][x:y].astype("<u4").tobytes()) for r, x, y in zip(row.tolist(), start.tolist(), (t - begin[row]).tolist())]
+                at = pa.array(row, pa.int64())
+                long = lambda x: pa.array(x, pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).take(at), long(start), long(t - f), long(crc), b.column(2).take(at), long(sequence), long(offset), b.column(1).take(at)],
+                    names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "queue"],
+                )
 
     return run
 
 
-def _sequence_of(mixture: Mixture, queue: int, token: int, window: int) -> int:
-    """The sequence that holds a token of a queue."""
-    lo, hi = 0, n_sequences(mixture.tokens, window) - 1
-    while lo < hi:
-        mid = np.unique(np.linspace(lo + 1, hi, min(64, hi - lo)).astype(np.int64))
-        starts = np.array([boundaries(mixture.tokens, window, int(m), int(m))[0] for m in mid])
-        ok = mid[mixture.at(starts)[:, queue] <= token]
-        above = mid[len(ok) :]
-        lo, hi = int(ok[-1]) if len(ok) else lo, int(above[0]) - 1 if len(above) else hi
-    return lo
-
-
 def pack(docs: DataFrame, vocabulary: str, *, window: int = 4096, end: int = 2, weights: dict[str, float] | None = None, broadcast_rows: int = 200_000) -> DataFrame:
     """Pieces of every document in sequences of ``window`` tokens, each filled to the mixture's proportions.
 
@@ -261,14 +311,13 @@ def pack(docs: DataFrame, vocabulary: str, *, window: int = 4096, end: int = 2,
     their rows; other columns are ignored; an empty table gives no rows.
 
     Token ids are written once (16 bits each) and read once. Only token totals by task and queue are
-    gathered across tasks, and totals by queue, at most OTHERS + 1 rows, reach the driver.
+    gathered across tasks. Every source is a queue of its own, however many there are; the driver and each task
+    hold a name and a total for each of them.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")
     source = F.concat(F.lit("s"), F.col("source").cast("string")) if "source" in docs.columns else F.lit("s")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(source, F.lit("null")).alias("queue"))
-    if weights is None and rows.select("queue").distinct().limit(OTHERS + 1).count() > OTHERS:
-        rows = rows.withColumn("queue", F.concat(F.lit("h"), F.pmod(F.xxhash64("queue"), F.lit(OTHERS)).cast("string")))
     schema = "pid int, idx long, doc_id long, queue string, n long, before long, ids binary"
     tokens = scratch.save(rows.mapInArrow(_tokens(vocabulary, end), schema))
     parts = tokens.groupBy("queue", "pid").agg(F.sum("n").alias("n"))
