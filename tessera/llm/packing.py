@@ -19,16 +19,32 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.llm.bpe import batches_of
+from tessera.llm.pieces import IdTable, rows_of
 from tessera.llm.scratch import Scratch
 
-UNIT = 1 << 18  #: weights are shares in this unit; with it 2**44 tokens fit 64-bit arithmetic
+BITS = 18
+UNIT = 1 << BITS  #: weights are shares in this unit
 BLOCK = 1 << 20  #: numbers in a table of counts
 _encoders: dict = {}
 
 
+def _earned(slot: np.ndarray, weight: np.ndarray, start: np.ndarray | int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Whole tokens and rest of (slot * weight + start) / UNIT, with the slot in two parts: the product itself may not fit 64 bits."""
+    rest = (slot & (UNIT - 1)) * weight + start
+    return (slot >> BITS) * weight + (rest >> BITS), rest & (UNIT - 1)
+
+
+def _slot_of(tokens: np.ndarray, weight: np.ndarray, start: np.ndarray | int = 0) -> np.ndarray:
+    """The first slot in which so many tokens are earned."""
+    q, r = np.divmod(tokens, weight)
+    return q * UNIT - (start - r * UNIT) // weight
+
+
 class Mixture:
     """Tokens served from each queue at any point of the packed stream, for any number of queues.
 
+    Exact up to 2**62 slots; there are about as many slots as tokens, or UNIT times the tokens of a source without weight.
+
     Queues of one weight have earned the same at every slot, so what all of them were served follows from their
     totals in order and their running sums. Weights add up to little more than UNIT, so there are at most some
     hundreds of different ones. Queues of one weight begin with credits spread over one token, so that they
@@ -50,15 +66,17 @@ class Mixture:
         self.most = int(t.max(initial=0))
         self.keys = self.group * (self.most + 1) + self.totals
         self.sums = np.concatenate([[0], np.cumsum(self.totals)])
-        self.end = int((-(-(self.totals + 1) * UNIT // self.weights)).max(initial=0))
+        if ((self.totals + 1) / self.weights).max(initial=0) * UNIT > 2.0**62:
+            raise ValueError("more than 2**62 slots: a source without weight is too large")
+        self.end = int(_slot_of(self.totals + 1, self.weights).max(initial=0))
         self.block = max(1, BLOCK // max(1, len(self.each)))
 
     def _part(self, group: np.ndarray, slot: np.ndarray, upto: np.ndarray) -> np.ndarray:
         """Tokens served up to a slot from the queues of a group that come before ``upto``."""
-        first, credit = self.first[group], slot * self.each[group]
-        earned = credit // UNIT
+        first = self.first[group]
+        earned, rest = _earned(slot, self.each[group])
         size = self.last[group] - first
-        ahead = np.minimum(first - (-(UNIT - credit % UNIT) * size // UNIT), upto)  # from here on the head start makes one more
+        ahead = np.minimum(first - (-(UNIT - rest) * size // UNIT), upto)  # from here on the head start makes one more
         low, high = np.minimum(earned, self.most), np.minimum(earned + 1, self.most)
         base = group * (self.most + 1)
         a = np.minimum(np.searchsorted(self.keys, base + low, side="right"), ahead)
@@ -76,14 +94,14 @@ class Mixture:
         return groups[row, g] + self._part(g, slot, queue)
 
     def own(self, slot: np.ndarray, queue: np.ndarray) -> np.ndarray:
-        return np.minimum(self.totals[queue], (slot * self.weights[queue] + self.start[queue]) // UNIT)
+        return np.minimum(self.totals[queue], _earned(slot, self.weights[queue], self.start[queue])[0])
 
     def position(self, queue: np.ndarray, token: np.ndarray) -> np.ndarray:
         """The place in the stream of a token of a queue."""
         out = np.empty(len(token), np.int64)
         for lo in range(0, len(token), self.block):
             q, k = queue[lo : lo + self.block], token[lo : lo + self.block]
-            slot = -((self.start[q] - (k + 1) * UNIT) // self.weights[q])
+            slot = _slot_of(k + 1, self.weights[q], self.start[q])
             row, was, now = np.arange(len(q)), self.groups(slot - 1), self.groups(slot)
             out[lo : lo + self.block] = was[:, -1] + self.before(now, row, slot, q) - self.before(was, row, slot - 1, q) + k - self.own(slot - 1, q)
         return out
@@ -144,11 +162,11 @@ def _tokens(path: str, end: int):
                 before = []
                 for q, x in zip(part.column(2).to_pylist(), ids):
                     before.append(seen.get(q, 0))
-                    seen[q] = before[-1] + len(x) // 2
+                    seen[q] = before[-1] + len(x)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.full(len(ids), pid, np.int32)), pa.array(np.arange(idx, idx + len(ids))), part.column(0), part.column(2),
-                        pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(before, pa.int64()), pa.array(ids, pa.binary()),
+                        pa.array([len(x) for x in ids], pa.int64()), pa.array(before, pa.int64()), pa.array([x.astype("<u2").tobytes() for x in ids], pa.binary()),
                     ],
                     names=["pid", "idx", "doc_id", "queue", "n", "before", "ids"],
                 )
@@ -158,82 +176,127 @@ def _tokens(path: str, end: int):
 
 
 class WordEncoder:
-    """Ids of whole texts as little-endian 16-bit numbers, ``end`` last.
+    """Ids of whole texts by the word vocabulary, ``end`` last.
 
-    The vocabulary drops white space, never merges across it, and marks the last token of each run of
-    letters. So what a text's blank-separated parts encode to is kept (for up to ``keep`` parts) and
-    looked up, and new runs of letters are encoded many at a time and told apart by those marks.
+    The vocabulary lower-cases, drops white space, never merges across runs of letters, single digits and runs of other
+    characters, and marks the last token of each. So texts are cut into such runs on their bytes, and what a run
+    encodes to is kept in a table; new runs are encoded many at a time and told apart by the marks. A blank-separated part
+    with bytes outside ASCII and the Latin letters up to U+024F goes to the library as a whole, and so does
+    every text that holds the string of a special token.
     """
 
-    MARKS = ".,;:!?|$%&*#"
+    SPACE, LETTER, DIGIT, OTHER, ODD, STOP = range(6)
     TOGETHER = 5_000
 
-    def __init__(self, path: str, end: int, keep: int = 600_000):
+    def __init__(self, path: str, end: int, keep: int = 1_500_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         vocabulary = self.tokenizer.get_vocab()
         if max(vocabulary.values()) >= 1 << 16:
             raise ValueError("ids need more than 16 bits")
         self.last = np.zeros(1 << 16, bool)
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.end, self.keep, self.known = np.array([end], "<u2").tobytes(), keep, {}
-
-    def _one_by_one(self, parts: list[str]) -> None:
-        for lo in range(0, len(parts), self.TOGETHER):
-            some = parts[lo : lo + self.TOGETHER]
-            for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self.known[p] = np.array(e.ids, "<u2").tobytes()
-
-    def _letters(self, words: list[str]) -> None:
-        for lo in range(0, len(words), self.TOGETHER):
-            some = words[lo : lo + self.TOGETHER]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u2")
+        self.special = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.end, self.table = end, IdTable(keep)
+        kind = np.full(256, self.ODD, np.uint8)
+        kind[33:127] = self.OTHER
+        kind[[9, 10, 13, 32]] = self.SPACE
+        kind[48:58] = self.DIGIT
+        kind[97:123] = kind[0x80:0xC0] = kind[0xC3:0xCA] = self.LETTER  # bytes are in lower case by then
+        self.kind = kind
+
+    def _cut(self, texts: list[str]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+        """Bytes in lower case, start and end of every run, and its kind; a STOP run ends each text."""
+        whole = "\n".join(texts).encode() + b"\n"
+        data = whole.lower()
+        byte = np.frombuffer(data + b"\n\n\n", np.uint8)
+        kind = self.kind[byte]
+        if not whole.isascii():
+            lead = np.flatnonzero((byte == 0xC3) | (byte == 0xC4))
+            after = byte[lead + 1]  # multiplication and division signs, and the dotted I, which has two code points in lower case
+            kind[lead[np.where(byte[lead] == 0xC3, (after == 0x97) | (after == 0xB7), after == 0xB0)]] = self.ODD
+        odd = np.flatnonzero(kind == self.ODD)
+        if len(odd):
+            space = np.concatenate([[-1], np.flatnonzero(kind == self.SPACE)])
+            part = np.unique(np.searchsorted(space, odd))
+            step = np.zeros(len(kind) + 1, np.int8)
+            step[space[part - 1] + 1] += 1
+            step[space[part]] -= 1
+            kind[np.cumsum(step[:-1], dtype=np.int8) > 0] = self.ODD
+        kind = kind[:-3]
+        stop = np.cumsum(np.array([len(t.encode()) + 1 for t in texts] if not whole.isascii() else [len(t) + 1 for t in texts], np.int64)) - 1
+        kind[stop] = self.STOP
+        start = np.ones(len(kind), bool)
+        start[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == self.DIGIT) | (kind[1:] == self.STOP)
+        quote = np.flatnonzero((byte[:-3] == 39) & start & (kind == self.OTHER))
+        if len(quote):  # 's 't 'm 'd, 're 've 'll
+            one, two = byte[quote + 1], byte[quote + 2]
+            short = (one == 115) | (one == 116) | (one == 109) | (one == 100)
+            long = ((one == 114) | (one == 118)) & (two == 101) | (one == 108) & (two == 108)
+            for hit, size in ((short, 2), (long, 3)):
+                at = quote[hit & (kind[np.minimum(quote + 1, len(kind) - 1)] == self.LETTER)]
+                start[at + 1] = False
+                then = at + size
+                start[then] |= kind[then] == self.LETTER
+        begin = np.flatnonzero(start)
+        end = np.append(begin[1:], len(kind))
+        runs = kind[begin]
+        some = runs != self.SPACE
+        return data, begin[some], end[some], runs[some]
+
+    def _learn(self, parts: list[tuple[bytes, np.ndarray]], pieces: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids and sizes of new runs; a run with odd bytes may be several to the library."""
+        text = [parts[p][0][a:b].decode() for p, a, b in pieces]
+        plain = [i for i, (p, a, _) in enumerate(pieces) if not parts[p][1][a]]
+        odd = [i for i, (p, a, _) in enumerate(pieces) if parts[p][1][a]]
+        out: list = [None] * len(text)
+        for lo in range(0, len(plain), self.TOGETHER):
+            some = plain[lo : lo + self.TOGETHER]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join([text[i] for i in some])], add_special_tokens=False)[0].ids, np.int32)
             ends = np.flatnonzero(self.last[ids]) + 1
-            if len(ends) != len(some):  # a word that normalises to more than one run
-                self._one_by_one(some)
-                continue
-            raw, at = ids.tobytes(), 0
-            for w, z in zip(some, (2 * ends).tolist()):
-                self.known[w] = raw[at:z]
-                at = z
-
-    def _learn(self, parts: list[str]) -> None:
-        letters, odd, led = set(), set(), []
-        for p in parts:
-            word = p if p.isalpha() else p.rstrip(self.MARKS)
-            if not word.isalpha() or not (word.isascii() or (max(word) < "\u0250" and "\u0130" not in word)):
-                odd.add(p)  # other letters may normalise to a letter and a mark
-            elif word is p:
-                letters.add(p)
+            if len(ends) == len(some):
+                for i, x in zip(some, np.split(ids, ends[:-1])):
+                    out[i] = x
             else:
-                led.append((p, word))
-                if word not in self.known:
-                    letters.add(word)
-                if (mark := p[len(word) :]) not in self.known:
-                    odd.add(mark)
-        self._letters(list(letters))
-        self._one_by_one(list(odd))
-        for p, word in led:
-            self.known[p] = self.known[word] + self.known[p[len(word) :]]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        distinct: set[str] = set()
-        for parts in split:
-            distinct.update(parts)
-        if len(self.known) + len(distinct) > self.keep:
-            self.known = {p: self.known[p] for p in distinct if p in self.known}
-        self._learn([p for p in distinct if p not in self.known])
-        look = self.known.__getitem__
-        return [b"".join(map(look, parts)) + self.end for parts in split]
+                odd += some
+        for lo in range(0, len(odd), self.TOGETHER):
+            some = odd[lo : lo + self.TOGETHER]
+            for i, e in zip(some, self.tokenizer.encode_batch_fast([text[i] for i in some], add_special_tokens=False)):
+                out[i] = np.array(e.ids, np.int32)
+        return np.concatenate(out), np.array([len(x) for x in out], np.int32)
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text, as 16-bit numbers."""
+        special = [i for i, t in enumerate(texts) if "<" in t and any(x in t.lower() for x in self.special)]
+        plain = list(texts)
+        for i in special:
+            plain[i] = ""
+        data, start, end, kind = self._cut(plain)
+        stop = kind == self.STOP
+        odd = np.zeros(len(data), bool)
+        odd[start[kind == self.ODD]] = True
+        inner = ~stop
+        (row,) = rows_of(self.table, [(data, start[inner], end[inner])], lambda pieces: self._learn([(data, odd)], pieces))
+        flat, size = self.table.lay(row)
+        doc = np.cumsum(stop)[inner]  # stops before the run: its text's number
+        n = np.bincount(doc, weights=size, minlength=len(texts)).astype(np.int64)
+        at = np.cumsum(n + 1)
+        ids = np.full(int(at[-1]), self.end, np.uint16)
+        keep = np.ones(len(ids), bool)
+        keep[at - 1] = False
+        ids[keep] = flat
+        out = np.split(ids, at[:-1])
+        for i in special:
+            out[i] = np.array([*self.tokenizer.encode(texts[i], add_special_tokens=False).ids, self.end], np.uint16)
+        return out
 
 
 def word_encoder(path: str, end: int) -> WordEncoder:
+    """One encoder a worker."""
     if (path, end) not in _encoders:
         _encoders[path, end] = WordEncoder(path, end)
     return _encoders[path, end]
@@ -304,7 +367,8 @@ def pack(docs: DataFrame, vocabulary: str, *, window: int = 4096, end: int = 2,
 
     weights: target share of tokens by source; without them the corpus's own shares, which hold to the last
     window. A source without a weight gets a share of nearly nothing and so fills the end. All sequences
-    but the last few are full; what is left fills sequences of powers of two, so nothing is padded.
+    but the last few are full; what is left fills sequences of powers of two, so nothing is padded. Texts are encoded
+    as the library does by default, which takes the strings of special tokens in a text for these tokens.
 
     One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, queue. A null text is
     an empty one and holds the end token alone; null sources are a queue of their own; repeated and null doc_ids keep

@@ -8,7 +8,7 @@ import public_tokenizers
 import tiktoken
 from tokenizers import Tokenizer
 
-from tessera.llm import bpe, packing
+from tessera.llm import bpe, packing, pieces
 
 ODD = ["", " ", "\n\n x", "don't we'll 'tis ''s", "aaaaaaaaaa aaaa", "a\tb \x85c", "\U0001f600\U0001f600", "x" * 5000, "İstanbul ΑΣ", "tab\t\there  two", "<|endoftext|> end"]
 
@@ -38,6 +38,30 @@ def test_any_pattern_and_replay_order():
         assert e.encode([t])[0] == [x for w in e.find(t) for x in ([table.ranks[w.encode()]] if w.encode() in table.ranks else table.one_by_one(w.encode()))]
 
 
+def test_piece_table():
+    rng = np.random.default_rng(1)
+    words = [bytes(rng.integers(97, 100, n, dtype=np.uint8)) for n in rng.integers(1, 100, 4000)]
+    data, size = b"".join(words), np.array([len(w) for w in words])
+    end = np.cumsum(size)
+
+    def learn(some):
+        return np.frombuffer(b"".join(data[a:b] for _, a, b in some), np.uint8).astype(np.int32), np.array([b - a for _, a, b in some], np.int32)
+
+    table = pieces.IdTable(keep=1000)
+    for lo in range(0, 4000, 500):  # forgets, and learns again
+        (row,) = pieces.rows_of(table, [(data, end[lo : lo + 500] - size[lo : lo + 500], end[lo : lo + 500])], learn)
+        assert table.lay(row)[0].astype(np.uint8).tobytes() == b"".join(words[lo : lo + 500])
+    assert table.n <= 1000
+    hashes = pieces.range_hashes
+    try:
+        pieces.range_hashes = lambda *a: (hashes(*a)[0] & np.uint64(3), hashes(*a)[1])  # nearly all first hashes clash
+        table = pieces.IdTable()
+        (row,) = pieces.rows_of(table, [(data, end[:300] - size[:300], end[:300])], learn)
+        assert table.lay(row)[0].astype(np.uint8).tobytes() == b"".join(words[:300])
+    finally:
+        pieces.range_hashes = hashes
+
+
 def check_packed(rows, ids, window):
     for i, own in ids.items():
         at = 0
@@ -56,10 +80,32 @@ def check_packed(rows, ids, window):
     assert all(n == window or n & (n - 1) == 0 for n in sizes.values()) and sorted(sizes) == list(range(len(sizes)))
 
 
+def test_word_encoder_is_the_library_by_default():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tk, own = Tokenizer.from_file(path), packing.WordEncoder(path, 2, keep=300)
+    rng = random.Random(8)
+    pool = ["a", "B", "'s", "'RE", "'", " ", "\n", "\x0b", "\x85", "\xa0", "é", "É", "İ", "ı", "×", "÷", "Σ", "日本", "1", "23", "½", "!!", "_", "<|endoftext|>", "<|ENDOFTEXT|>", "<|", "e\u0301", "ﬁ", "\x00", "😀", "l'homme", "word"]
+    for _ in range(300):
+        some = ["".join(rng.choice(pool) for _ in range(rng.randrange(30))) for _ in range(10)]
+        assert [x.tolist() for x in own(some)] == [tk.encode(t, add_special_tokens=False).ids + [2] for t in some]
+
+
+def test_mixture_beyond_2_to_45_tokens():
+    totals = [1 << 47, (1 << 46) + 12345, 999, (1 << 44) + 7]
+    m = packing.Mixture(totals)
+    weights, starts, order = m.weights.tolist(), m.start.tolist(), m.totals.tolist()
+    for slot in (0, 1, 1 << 20, (1 << 45) + 11, 1 << 47, m.end):
+        own = [min(t, (slot * w + s) >> packing.BITS) for t, w, s in zip(order, weights, starts)]
+        assert m.own(np.full(4, slot), np.arange(4)).tolist() == own and m.groups(np.array([slot]))[0, -1] == sum(own)
+    q, k = np.array([3, 3, 2]), np.array([0, (1 << 46) + 5, 1 << 44])
+    place = m.position(q, k)
+    own, _ = m.at(place, np.arange(3), q)
+    assert own.tolist() == k.tolist() and (m.at(place + 1, np.arange(3), q)[0] == k + 1).all()
+
+
 def test_packing(spark, make_docs):
     path = public_tokenizers.path("word_bpe_49k.json")
     tk = Tokenizer.from_file(path)
-    tk.encode_special_tokens = True
     rows = [(i, t, ["a", "b", "c"][i % 3 if i % 5 else 0]) for i, t in enumerate(texts())] + [(900, None, None)]
     ids = {i: np.array(tk.encode(t or "", add_special_tokens=False).ids + [2]) for i, t, _ in rows}
     for weights in (None, {"a": 1.0, "b": 3.0}):
