@@ -1,8 +1,10 @@
 """Byte-level BPE by merge replay over the distinct pieces of many documents at once.
 
-The distinct pre-tokens of a batch of documents lie one after another in flat arrays; an inverted index
-from token pair to positions holds where each pair stands. Merges are applied in rank order, each to all
-its positions together, and only the two neighbours of a merged pair are looked up again.
+The distinct pre-tokens of some 12 MB of text that a worker has not met before lie one after another in flat arrays;
+an inverted index from token pair to positions holds where each pair stands. Merges are applied in rank order,
+each to all its positions together, and only the two neighbours of a merged pair are looked up again.
+What a worker has learned it keeps, so the replay is over a task's part of the corpus and not over all of it:
+one table of the corpus's pieces would have to meet every piece of every text in a shuffle.
 """
 
 from __future__ import annotations
@@ -18,7 +20,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.words import chunks, piece_hashes
+from tessera.llm.pieces import IdTable, rows_of
+from tessera.llm.words import chunks
 
 NONE = np.int32(1 << 30)
 _FEW = 24
@@ -68,19 +71,20 @@ class MergeTable:
             parts[i : i + 2] = [rank]
         return parts
 
-    def encode(self, pieces: list[bytes]) -> list[list[int]]:
-        """Token ids of each piece; a piece that is a token itself is that token."""
-        out: list = [[self.ranks[p]] if p in self.ranks else None for p in pieces]
-        todo = [i for i, x in enumerate(out) if x is None and pieces[i]]
-        for i, x in enumerate(out):
-            if x is None and not pieces[i]:
-                out[i] = []
-        if todo:
-            for i, ids in zip(todo, self._replay([pieces[i] for i in todo])):
-                out[i] = ids
-        return out
-
-    def _replay(self, pieces: list[bytes]) -> list[list[int]]:
+    def encode(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of the pieces one after another, and how many each has; a piece that is a token itself is that token."""
+        own = np.fromiter((self.ranks.get(p, -1) for p in pieces), np.int64, len(pieces))
+        size = (own >= 0).astype(np.int32)
+        todo = [i for i in np.flatnonzero(own < 0).tolist() if pieces[i]]
+        ids, n = self._replay([pieces[i] for i in todo]) if todo else (np.zeros(0, np.int32), np.zeros(0, np.int32))
+        size[todo] = n
+        flat = np.zeros(int(size.sum()), np.int32)
+        place = np.cumsum(size) - size
+        flat[place[own >= 0]] = own[own >= 0]
+        flat[np.repeat(place[todo] - (np.cumsum(n) - n), n) + np.arange(len(ids))] = ids
+        return flat, size
+
+    def _replay(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         data = np.frombuffer(b"".join(pieces), np.uint8)
         n = len(data)
         length = np.array([len(p) for p in pieces])
@@ -133,9 +137,14 @@ class MergeTable:
             else:
                 self._merge_few(sorted(at.tolist()), r, tok, nxt, prv, rank, alive, index, heap, odd, first)
         whole = np.flatnonzero(alive)
-        flat = tok[whole].tolist()
-        cut = np.searchsorted(whole, np.append(first, n)).tolist()
-        return [self.one_by_one(pieces[i]) if i in odd else flat[cut[i] : cut[i + 1]] for i in range(len(pieces))]
+        flat = tok[whole]
+        cut = np.searchsorted(whole, np.append(first, n))
+        if not odd:
+            return flat, np.diff(cut)
+        parts = np.split(flat, cut[1:-1])
+        for i in odd:
+            parts[i] = np.array(self.one_by_one(pieces[i]), np.int32)
+        return np.concatenate(parts), np.array([len(x) for x in parts])
 
     def _merge_many(self, at, r, tok, nxt, prv, rank, add) -> None:
         second = nxt[at]
@@ -238,36 +247,11 @@ class Splitter:
         return start
 
 
-class Words:
-    """Token ids of the pieces seen so far, by the pieces' hashes; forgets all once there are too many."""
-
-    def __init__(self, keep: int = 1_000_000):
-        self.keep = keep
-        self.clear()
-
-    def clear(self) -> None:
-        self.key, self.check = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-        self.offset, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
-
-    def find(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.minimum(np.searchsorted(self.key, key), max(len(self.key) - 1, 0))
-        return at, self.key[at] == key if len(self.key) else np.zeros(len(key), bool)
-
-    def add(self, key: np.ndarray, check: np.ndarray, rows: list[list[int]]) -> None:
-        size = np.array([len(r) for r in rows], np.int64)
-        offset = np.cumsum(size) - size + len(self.ids)
-        self.ids = np.concatenate([self.ids, np.array([x for r in rows for x in r], np.int32)])
-        order = np.argsort(np.concatenate([self.key, key]), kind="stable")
-        self.key, self.check, self.offset, self.size = (
-            np.concatenate(x)[order] for x in ((self.key, key), (self.check, check), (self.offset, offset), (self.size, size))
-        )
-
-
 class Encoder:
     """Encodes whole texts: the distinct pieces of many texts are replayed together, then laid out by document."""
 
-    def __init__(self, table: MergeTable, pattern: str, keep: int = 1_000_000):
-        self.table, self.words = table, Words(keep)
+    def __init__(self, table: MergeTable, pattern: str, keep: int = 1_500_000):
+        self.table, self.words = table, IdTable(keep)
         self.find = regex.compile(pattern).findall
         self.splitter = Splitter() if pattern == _PUBLIC else None
         self.names = np.array([str(i) for i in range(table.width)], dtype=object)
@@ -293,47 +277,28 @@ class Encoder:
         piece = begins != first[doc] + length[doc] - 1  # not a separator
         return byte[begins[piece]], byte[end[piece]], whole.encode(), doc[piece]
 
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
-        parts, docs, at = [], [], 0
-        fresh: list[tuple] = []
+    def _rows(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The table's entry and the text's number of every piece."""
+        parts, docs = [], []
         for lo, hi in chunks(texts):
             start, end, data, doc = self._cut(texts[lo:hi])
-            key, check = piece_hashes(data, start, end)
-            parts.append(key)
+            parts.append((data, start, end))
             docs.append(doc + lo)
-            some, index = np.unique(key, return_index=True)
-            place, known = self.words.find(some)
-            if (self.words.check[place[known]] != check[index[known]]).any():
-                raise ValueError("two pieces share a hash")  # 2**-64 a pair; better no ids than wrong ones
-            index = index[~known]
-            fresh.append((key[index], check[index], [data[a:b] for a, b in zip(start[index].tolist(), end[index].tolist())]))
-        key, doc = np.concatenate(parts), np.concatenate(docs)
-        self._learn(fresh, key)
-        at, _ = self.words.find(key)
-        size = self.words.size[at]
-        total = np.cumsum(size)
-        flat = self.words.ids[np.repeat(self.words.offset[at] - (total - size), size) + np.arange(total[-1] if len(total) else 0)]
-        per_doc = np.bincount(doc, weights=size, minlength=len(texts)).astype(np.int64)
-        return np.split(flat, np.cumsum(per_doc)[:-1])
-
-    def _learn(self, fresh: list[tuple], key: np.ndarray) -> None:
-        new = {}
-        for ks, cs, bs in fresh:
-            for k, c, b in zip(ks.tolist(), cs.tolist(), bs):
-                if new.setdefault(k, (c, b))[1] != b:
-                    raise ValueError(f"two pieces share a hash: {b!r}, {new[k][1]!r}")
-        if len(self.words.key) + len(new) > self.words.keep and len(self.words.key):
-            wanted = np.unique(key)
-            at, known = self.words.find(wanted)
-            at = at[known]  # of the words so far, those of these texts stay
-            rows = [self.words.ids[o : o + n].tolist() for o, n in zip(self.words.offset[at].tolist(), self.words.size[at].tolist())]
-            k, c = self.words.key[at], self.words.check[at]
-            self.words.clear()
-            self.words.add(k, c, rows)
-        if new:
-            ks = np.fromiter(new, np.uint64, len(new))
-            cs = np.array([c for c, _ in new.values()], np.uint64)
-            self.words.add(ks, cs, self.table.encode([b for _, b in new.values()]))
+        rows = rows_of(self.words, parts, lambda some: self.table.encode([parts[p][0][a:b] for p, a, b in some]))
+        return np.concatenate(rows), np.concatenate(docs)
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        row, doc = self._rows(texts)
+        flat, size = self.words.lay(row)
+        return np.split(flat, np.cumsum(self._per_text(doc, size, len(texts)))[:-1])
+
+    def lengths(self, texts: list[str]) -> np.ndarray:
+        row, doc = self._rows(texts)
+        return self._per_text(doc, self.words.size[row], len(texts))
+
+    @staticmethod
+    def _per_text(doc: np.ndarray, size: np.ndarray, texts: int) -> np.ndarray:
+        return np.bincount(doc, weights=size, minlength=texts).astype(np.int64)  # sums below 2**53 are exact
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [x.tolist() for x in self.ids(texts)] if texts else []

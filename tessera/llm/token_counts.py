@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.llm.bpe import batches_of, encoder
+from tessera.llm.scratch import Scratch
 
-BIN = 1024
+BIN = 128
+LEVELS = (0.5, 0.75, 0.9, 0.95, 0.99, 1.0)
 
 
 def length_histogram(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -28,20 +30,21 @@ def length_histogram(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path, pattern)
         for b in batches:
-            sizes = [len(x) for texts in batches_of([t or "" for t in b.column(0).to_pylist()]) for x in e.ids(texts)]
-            length, n = np.unique(np.array(sizes, np.int64), return_counts=True)
+            sizes = [e.lengths(texts) for texts in batches_of([t or "" for t in b.column(0).to_pylist()])]
+            length, n = np.unique(np.concatenate([np.zeros(0, np.int64), *sizes]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(length), pa.array(n.astype(np.int64))], names=["n_tokens", "n"])
 
     text = docs.select(F.col("text").cast("string").alias("text"))
     return text.mapInArrow(run, "n_tokens long, n long").groupBy("n_tokens").agg(F.sum("n").alias("n_docs"))
 
 
-def limits(histogram: DataFrame) -> DataFrame:
-    """For each length as the limit: documents and tokens up to it, documents beyond it, and all tokens after truncation to it.
+def limits(histogram: DataFrame, levels: tuple[float, ...] = LEVELS) -> DataFrame:
+    """For each length as the limit: documents and tokens up to it, documents beyond it, all tokens after truncation to it,
+    and the levels whose quantile it is, comma-joined.
 
-    Running sums go by bins of BIN lengths, then inside each bin, so no task sees all lengths. An empty histogram gives no rows.
+    The histogram is written first, so its texts are encoded once. Running sums go by bins of BIN lengths, then inside each bin, so no task sees all lengths. An empty histogram gives no rows.
     """
-    rows = histogram.withColumn("bin", F.floor(F.col("n_tokens") / BIN))
+    rows = Scratch(histogram.sparkSession, "lengths").save(histogram).withColumn("bin", F.floor(F.col("n_tokens") / BIN))
     bins = rows.groupBy("bin").agg(F.sum("n_docs").alias("d"), F.sum(F.col("n_docs") * F.col("n_tokens")).alias("t"))
     earlier = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)  # one row for BIN lengths
     whole = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -52,7 +55,10 @@ def limits(histogram: DataFrame) -> DataFrame:
         "n_tokens", "n_docs", "docs", (F.col("d0") + F.sum("n_docs").over(inside)).alias("docs_at_most"), (F.col("t0") + F.sum(F.col("n_docs") * F.col("n_tokens")).over(inside)).alias("tokens_at_most")
     )
     longer = F.col("docs") - F.col("docs_at_most")
-    return rows.select("n_tokens", "n_docs", "docs_at_most", "tokens_at_most", longer.alias("docs_longer"), (F.col("tokens_at_most") + longer * F.col("n_tokens")).alias("truncated_total"))
+    before = F.col("docs_at_most") - F.col("n_docs")
+    level = F.array_join(F.filter(F.array(*map(F.lit, levels)), lambda q: (before < q * F.col("docs")) & (F.col("docs_at_most") >= q * F.col("docs"))).cast("array<string>"), ",")
+    truncated = F.col("tokens_at_most") + longer * F.col("n_tokens")
+    return rows.select("n_tokens", "n_docs", "docs_at_most", "tokens_at_most", longer.alias("docs_longer"), truncated.alias("truncated_total"), level.alias("quantiles"))
 
 
 def quantile(table: DataFrame, q: float) -> DataFrame:

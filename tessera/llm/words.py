@@ -76,17 +76,3 @@ def scan(texts: list, separators: np.ndarray = _SPACE) -> Scan:
     up = _power(len(data))[0][: len(data)]
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_TABLE[data] * up, dtype=np.uint64)])
     return Scan(data, start, end, doc, sums)
-
-
-_TABLE2 = np.random.default_rng(20240301).integers(1, 1 << 63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-def piece_hashes(data: bytes, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent 64-bit hashes of byte ranges."""
-    b = np.frombuffer(data, np.uint8)
-    up, down = _power(len(b))
-    out = []
-    for table in (_TABLE, _TABLE2):
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(table[b] * up[: len(b)], dtype=np.uint64)])
-        out.append(mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64)))
-    return out[0], out[1]
