@@ -29,7 +29,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_TOKEN = re.compile(r"[^\s,;:!?\"'<>|]*[0-9@][^\s,;:!?\"'<>|]*")
+#: A run between separators that holds a digit or an @; tried only where a run begins, so each character is read once.
+_TOKEN = re.compile(r"(?<![^\s,;:!?\"'<>|])[^\s,;:!?\"'<>|0-9@]*+[0-9@][^\s,;:!?\"'<>|]*+")
 _PLAIN = re.compile(r"[0-9@]")
 
 
@@ -115,7 +116,9 @@ def _ties(like: list[int], seen: np.ndarray) -> list[tuple[int, int]]:
 
 
 def nodes(text: str, base: list[tuple[int, int, int]], *, learn: bool = False) -> Nodes:
-    """learn: repeated tokens are tied to the next of their like, so that each weighs about the same in training."""
+    """The tokens of a text with their base labels, neighbours at most two characters apart, and ties between repeats.
+
+    learn: repeated tokens are tied to the next of their like, so that each weighs about the same in training."""
     span = [m.span() for m in _TOKEN.finditer(text)]
     cover = sorted((a, b, k) for k, a, b in base)
     seen = np.full(len(span), O)
@@ -246,6 +249,7 @@ def _plausible(kind: int, text: str) -> bool:
 
 
 def listed(spans: list[tuple[int, int, int]]) -> str:
+    """kind:start:end of the spans by kind and start, comma-joined."""
     return ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in sorted(spans))
 
 

@@ -1,6 +1,12 @@
-"""Personal data in long texts, and what one long text does to training."""
+"""Personal data in long texts, what one long text does to training, and the field against plain enumeration."""
+
+import itertools
+import random
+import re
+import time
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tessera.llm import pii
 
@@ -41,3 +47,61 @@ def test_only_long_texts_still_teach(make_docs):
     text = " ".join(RING * 20)
     model = pii.train(make_docs([text]), tokens=500)
     assert model.unary[0, pii.O] != 4.0
+
+
+def test_tokens_are_found_in_linear_time():
+    rng = random.Random(6)
+    plain = re.compile(r"[^\s,;:!?\"'<>|]+")
+    for _ in range(2000):
+        t = "".join(rng.choice("ab1@,. |x") for _ in range(40))
+        assert [m.span() for m in pii._TOKEN.finditer(t)] == [m.span() for m in plain.finditer(t) if re.search("[0-9@]", m[0])]
+    model = pii.SkipChain.fit([])
+    for t in ("x" * 1_000_000 + " 5", "\u65e5" * 1_000_000 + "@", "9" * 1_000_000, "a." * 500_000 + "7", "1." * 500_000):
+        began = time.process_time()
+        model.spans(t, pii.base_spans(t))
+        assert time.process_time() - began < 1.5
+
+
+def enumerated(model, d):
+    """Marginals by summing over all labellings."""
+    k, n = pii.O + 1, len(d.span)
+    total = np.zeros((n, k))
+    for y in itertools.product(range(k), repeat=n):
+        if any(s != pii.O and s != v for s, v in zip(d.seen, y)):
+            continue
+        e = sum(model.unary[f, v] for fs, v in zip(d.feature, y) for f in fs)
+        e += sum(model.chain[y[a], y[b]] for a, b in d.chain) + sum(model.skip[y[a], y[b]] for a, b in d.skip)
+        for i, v in enumerate(y):
+            total[i, v] += np.exp(e)
+    return total / total.sum(axis=1, keepdims=True)
+
+
+def test_marginals_against_enumeration():
+    rng = np.random.default_rng(3)
+    k = pii.O + 1
+    looped = 0
+    for _ in range(60):
+        chain, skip = rng.normal(size=(2, k, k)) * 0.4
+        model = pii.SkipChain(rng.normal(size=(pii.N_FEATURES, k)) * 0.6, chain + chain.T, skip + skip.T)
+        n = int(rng.integers(1, 7))
+        words = [rng.choice(["555-0346", "10.0.0.1", "a@b.co", "12"]) for _ in range(n)]
+        text = "".join(w + rng.choice([" ", " and then "]) for w in words)
+        d = pii.nodes(text, pii.base_spans(text)[: int(rng.integers(0, 2))])
+        edges = len(d.chain) + len(d.skip)
+        seen = {i: i for i in range(len(d.span))}
+        for a, b in d.chain + d.skip:
+            seen = {i: seen[a] if r == seen[b] else r for i, r in seen.items()}
+        tree = edges == len(d.span) - len(set(seen.values()))
+        looped += not tree
+        gap = np.abs(model.infer(d) - enumerated(model, d)).max()
+        assert gap < (1e-3 if tree else 0.25), (tree, gap)  # exact where there is no loop
+    assert looped > 5
+
+
+def test_spans_of_odd_tables(make_docs):
+    model = pii.train(make_docs([]))
+    assert pii.find(make_docs([]), model).count() == 0 and pii.redact(make_docs([]), model).count() == 0
+    docs = make_docs([(1, "mail a@b.org", "s"), (1, "mail a@b.org", "s"), (None, "mail a@b.org", "s"), (2, None, "s")]).withColumns({"kind": F.lit(1), "spans": F.lit("x"), "h": F.lit(0)})
+    got = pii.find(docs, pii.train(docs)).collect()
+    assert sorted((r["doc_id"] or 0, len(r["base"])) for r in got) == [(0, 1), (1, 1), (1, 1), (2, 0)]
+    assert pii.redact(docs, model).columns == docs.columns
