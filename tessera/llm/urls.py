@@ -1,7 +1,7 @@
 """URL verdicts: rules on hosts and paths, and block decisions carried to aliases.
 
-Redirects, canonical links and the usual spellings of one address make pages aliases of each other; the
-components of that graph, found on the cluster, share their decisions.
+Redirects and canonical links make pages aliases of each other; the components of that graph, found on
+the cluster, share their decisions.
 """
 
 from __future__ import annotations
@@ -13,8 +13,10 @@ from tessera.llm.graph import components
 from tessera.llm.scratch import Scratch
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_LINK = r"""(?is)<link\b(?=[^>]{0,2000}\brel\s*=\s*["']?canonical\b)[^>]{0,2000}?\bhref\s*=\s*["']?([^"'\s>]+)"""
-_REFRESH = r"""(?is)<meta\b(?=[^>]{0,2000}\bhttp-equiv\s*=\s*["']?refresh\b)[^>]{0,2000}?\bcontent\s*=\s*["'][^"'>]{0,200}?url\s*=\s*['"]?([^"'\s>]+)"""
+_TAG = r"(?is)<(?:link|meta)\b[^>]*+"  # what does not close ends with the text, so each character is read once
+_VALUE = r"""\s*=\s*(?:"([^"]*)"?|'([^']*)'?|([^\s"'>]+))"""
+_CANONICAL = r"""(?is)[\s"'/]rel\s*=\s*(?:"[^"]*\bcanonical\b|'[^']*\bcanonical\b|canonical\b)"""
+_REFRESH = r"""(?is)[\s"'/]http-equiv\s*=\s*["']?\s*refresh\b"""
 
 
 def host(url: Column) -> Column:
@@ -27,13 +29,55 @@ def path(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
-def canonical(url: Column) -> Column:
-    """One spelling of an address: without scheme, www. or m., query, fragment, .html and closing slash.
+def query(url: Column) -> Column:
+    """From the ? before any # up to it or the end, with the ?; empty without one."""
+    return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*[^?#]*(\?[^#]*)", 1)
 
-    Servers answer the other spellings with a redirect to it. Null without ://.
+
+def address(url: Column, spellings: bool = True) -> Column:
+    """What names a page: scheme, host, path and query, without the fragment. Null without ://.
+
+    With ``spellings`` also without the scheme and closing slashes of the path, between which servers redirect.
     """
-    bare = F.regexp_replace(host(url), r"^(www|m)\.", "")
-    return F.when(host(url) != "", F.concat(bare, F.regexp_replace(path(url), r"(\.html?|/+)$", "")))
+    whole = F.concat(F.lower(F.regexp_extract(url, r"(?s)^(.*?://)", 1)), host(url), path(url), query(url))
+    bare = F.concat(host(url), F.regexp_replace(path(url), "/+$", ""), query(url))
+    return F.when(host(url) != "", bare if spellings else whole)
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    pattern = r"""(?is)[\s"'/]""" + name + _VALUE
+    return F.trim(F.replace(F.concat(*(F.regexp_extract(tag, pattern, g) for g in (1, 2, 3))), F.lit("&amp;"), F.lit("&")))
+
+
+def targets(html: Column) -> Column:
+    """What the canonical links and refresh redirects of a page point to, as written, of all its link and meta tags."""
+    tags = F.regexp_extract_all(html, F.lit(_TAG), F.lit(0))
+    found = F.transform(
+        tags,
+        lambda t: F.when(F.lower(t).startswith("<link") & t.rlike(_CANONICAL), _attribute(t, "href")).when(
+            F.lower(t).startswith("<meta") & t.rlike(_REFRESH), F.regexp_extract(_attribute(t, "content"), r"""(?is)\burl\s*=\s*["']?\s*([^"'\s]+)""", 1)
+        ),
+    )
+    return F.filter(found, lambda t: t.isNotNull() & (t != ""))
+
+
+def resolved(url: Column, target: Column) -> Column:
+    """The absolute address of a target on a page; null for other schemes and for places on the page itself."""
+    scheme, origin = F.regexp_extract(url, r"(?s)^(.*?):", 1), F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1)
+    folder = F.regexp_extract(path(url), r"(?s)^(.*/)", 1)
+    folder = F.when(folder == "", "/").otherwise(folder)
+    own, rest = F.regexp_extract(target, r"(?s)^([^?#]*)", 1), F.regexp_extract(target, r"(?s)^[^?#]*(.*)", 1)
+    whole = F.when(own == "", path(url)).when(own.startswith("/"), own).otherwise(F.concat(folder, own))
+    step = lambda done, s: F.when(s == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(1)))).when(s == ".", done).otherwise(F.concat(done, F.array(s)))
+    plain = F.array_join(F.aggregate(F.split(F.regexp_replace(whole, r"/(\.{1,2})$", "/$1/"), "/"), F.array().cast("array<string>"), step), "/")
+    plain = F.when(whole.rlike(r"(^|/)\.{1,2}(/|$)"), plain).otherwise(whole)
+    return (
+        F.when(target.startswith("#") | (target == ""), None)
+        .when(target.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), target)
+        .when(target.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), None)
+        .when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
+        .otherwise(F.concat(origin, plain, rest))
+    )
 
 
 def matching_rule(h: Column, p: Column, rules: list[tuple[str, str]]) -> Column:
@@ -54,47 +98,54 @@ def matching_rule(h: Column, p: Column, rules: list[tuple[str, str]]) -> Column:
     return F.array_max(F.transform(fits, lambda r: F.struct(r["size"].alias("size"), r["allow"].alias("allow"), r["rule"].alias("rule"))))
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str]], *, spellings: bool = True) -> DataFrame:
+def judge(pages: DataFrame, rules: list[tuple[str, str]], *, redirects: DataFrame | None = None, spellings: bool = True) -> DataFrame:
     """page_id, url, host, path, rule, verdict, component of every row.
 
     A page with a fitting rule has that rule's verdict. Any other is blocked if a page or link target of
     its component is blocked by a rule and none is explicitly allowed by one, and allowed otherwise. Edges lead from a page to the
-    target of its canonical link and of its refresh redirect (absolute targets and, by the page's host,
-    those that begin with /), and, with ``spellings``, from every address to its canonical spelling.
+    targets of all its canonical links and refresh redirects, absolute or relative, and from the first to the second
+    column of ``redirects`` (absolute urls), where a crawl recorded some. Urls are one node if they differ in
+    the fragment only, or, with ``spellings``, also in scheme or closing slashes; a query is part of the address.
 
     Null urls and urls without :// have empty host and path, no rule, no edges, and are allowed. Repeated rows and ids
     keep their rows; other columns are ignored. The html column may be missing or null. A hub that very many pages link to is an
-    ordinary node: nothing is gathered by component but two flags.
+    ordinary node: nothing is gathered by component but two flags. Only addresses with a link are nodes, numbered one by
+    one, so no two share a number. A tag ends at its first >, and <base> is not read. Rules are literals of the plan.
     """
     scratch = Scratch(pages.sparkSession, "urls")
     html = F.col("html").cast("string") if "html" in pages.columns else F.lit(None).cast("string")
-    some = html.rlike("(?i)canonical|http-equiv")
     url = F.col("url").cast("string")
     rows = pages.select(
-        F.col("page_id").cast("long").alias("page_id"), url.alias("url"), host(url).alias("host"), path(url).alias("path"),
-        F.when(some, F.array(F.regexp_extract(html, _LINK, 1), F.regexp_extract(html, _REFRESH, 1))).alias("targets"),
+        F.col("page_id").cast("long").alias("page_id"), url.alias("url"), host(url).alias("host"), path(url).alias("path"), address(url, spellings).alias("address"),
+        F.when(html.rlike("(?i)canonical|http-equiv"), targets(html)).alias("targets"),
     )
-    rows = rows.withColumn("own", matching_rule(F.col("host"), F.col("path"), rules))
-    rows = scratch.save(rows)
-
-    origin = F.regexp_extract("url", r"(?s)^(.*?://[^/?#]*)", 1)
-    to = F.explode("targets").alias("to")
-    links = rows.where("targets is not null and host != ''").select("url", origin.alias("origin"), to).where("to != ''")
-    links = links.withColumn("to", F.when(F.col("to").startswith("//"), F.concat(F.regexp_extract("url", "^[^/]*", 0), "to")).when(F.col("to").startswith("/"), F.concat("origin", "to")).otherwise(F.col("to")))
-    links = links.where(F.col("to").contains("://")).select("url", "to").distinct()
-    links = scratch.save(links)
-    node = lambda c: F.xxhash64(F.lit("url"), c)
-    edges = links.select(node(F.col("url")).alias("a"), node(F.col("to")).alias("b"))
-    address = rows.where("host != ''").select("url").unionByName(links.select(F.col("to").alias("url"))).distinct()
-    if spellings:
-        edges = edges.unionByName(address.select(node(F.col("url")).alias("a"), F.xxhash64(F.lit("spelling"), canonical(F.col("url"))).alias("b")))
+    rows = scratch.save(rows.withColumn("own", matching_rule(F.col("host"), F.col("path"), rules)))
+
+    links = rows.where("host != ''").select("url", F.explode("targets").alias("to")).select("url", resolved(F.col("url"), F.col("to")).alias("to"))
+    if redirects is not None:
+        links = links.unionByName(redirects.select(F.col(redirects.columns[0]).cast("string").alias("url"), F.col(redirects.columns[1]).cast("string").alias("to")))
+    ends = address(F.col("url"), spellings).alias("a"), address(F.col("to"), spellings).alias("b")
+    links = scratch.save(links.select("url", "to", *ends).where("a is not null and b is not null"))
+    own = lambda c: matching_rule(host(F.col(c)), path(F.col(c)), rules)["allow"]
+    places = links.select(F.col("a").alias("address"), own("url").alias("allow")).unionByName(links.select(F.col("b").alias("address"), own("to").alias("allow")))
+    places = places.groupBy("address").agg(F.max("allow").alias("any_allow"), F.min("allow").alias("all_allow"))
+    # a page's other spellings and repeats share its node, with their rules
+    same = rows.where("own is not null").select("address", F.col("own.allow").alias("allow")).groupBy("address").agg(F.max("allow").alias("more"), F.min("allow").alias("less"))
+    places = places.join(same, "address", "left").select(
+        F.monotonically_increasing_id().alias("node"), "address", F.coalesce(F.greatest("any_allow", "more"), F.lit(False)).alias("any_allow"), (~F.coalesce(F.least("all_allow", "less"), F.lit(True))).alias("any_block")
+    )
+    places = scratch.save(places)
+    number = lambda c, n: places.select(F.col("address").alias(c), F.col("node").alias(n))
+    edges = links.select("a", "b").where("a != b").distinct().join(number("a", "x"), "a").join(number("b", "y"), "b").select("x", "y")
     comp = scratch.save(components(edges, scratch))
-
-    decided = address.select(node(F.col("url")).alias("node"), matching_rule(host(F.col("url")), path(F.col("url")), rules).alias("own")).where("own is not null")
-    decided = decided.join(comp, "node").groupBy("component").agg(F.max(F.col("own.allow")).alias("any_allow"), F.max(~F.col("own.allow")).alias("any_block"))
-    decided = scratch.save(decided.where("any_block and not any_allow").select("component", F.lit(True).alias("blocked")))
-    blocked = comp.join(decided, "component", "left").select("node", "component", "blocked")
-    blocked = scratch.save(blocked)
-    out = rows.withColumn("node", F.when(F.col("host") != "", node(F.col("url")))).join(blocked, "node", "left")
+    placed = places.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    decided = placed.groupBy("component").agg(F.max("any_allow").alias("any_allow"), F.max("any_block").alias("any_block"))
+    decided = decided.select("component", (F.col("any_block") & ~F.col("any_allow")).alias("blocked"))
+    placed = scratch.save(placed.select("address", "component").join(decided, "component"))
+    # pages that share an address without a link are one node, too
+    if spellings:
+        alone = same.join(placed, "address", "left_anti").select("address", (~F.col("less") & ~F.col("more")).alias("blocked"), F.lit(None).cast("long").alias("component"))
+        placed = placed.unionByName(alone)
+    out = rows.join(placed, "address", "left")
     verdict = F.when(F.col("own").isNotNull(), F.when(F.col("own.allow"), "allow").otherwise("block")).when(F.col("blocked"), "block").otherwise("allow")
     return out.select("page_id", "url", "host", "path", F.col("own.rule").alias("rule"), verdict.alias("verdict"), "component")

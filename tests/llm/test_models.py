@@ -86,16 +86,34 @@ def test_consistency_and_redaction(spark, make_docs):
 def test_urls(spark):
     link = "<html><link rel='canonical' href='{}'></html>"
     rows = [
-        (1, "http://a.example.org/es/x", None), (2, "HTTP://A.EXAMPLE.ORG/en/1?q=1", None), (3, "http://b.net/x", link.format("http://a.example.org/es/x")), (4, "http://m.b.net/x.html#t", None),
+        (1, "http://a.example.org/es/x", None), (2, "HTTP://A.EXAMPLE.ORG/en/1?q=1", None), (3, "http://b.net/x", link.format("http://a.example.org/es/x")), (4, "https://b.net/x/#t", None),
         (5, "http://c.net", "<meta http-equiv=refresh content='0; url=http://b.net/x'>"), (6, None, None), (7, "nothing", None), (8, "http://d.net/y", link.format("http://q.com/fr/ok")),
         (9, "http://d.net/y", link.format("http://q.com/de/no")), (10, "http://e.net/z", "<p>"), (10, "http://e.net/z", "<p>"), (11, "http://notexample.org/es/", None),
+        (12, "http://f.net/item?id=1", link.format("http://q.com/de/no2")), (13, "http://f.net/item?id=2", None), (14, "http://f.net/item?id=1#x", None), (15, "http://q.com/de", None),
+        (16, "http://g.net/", f"<LINK data-x='{'y' * 2500}' title=z REL=\"next canonical\" href=\"//q.com/de/x?a=1&amp;b=2\">"),
+        (17, "http://h.net/", "<link rel=canonical href=http://h.net/own><link rel='canonical' href='http://i.net/ok'><link rel=canonical href=http://q.com/de/late>"),
+        (18, "http://j.net/a/b?q=1", "<link rel=canonical href=c.html>"), (19, "http://j.net/a/c.html", "<meta content='3;URL=../../de/../k' http-equiv='Refresh'>"), (20, "http://j.net/k", link.format("http://x.example.org/en/12")),
+        (21, "http://k.net/", "<link rel=canonicalish href=http://q.com/de/z><link rel=next href=http://q.com/de/z><a rel=canonical href=http://q.com/de/z>"), (22, "http://l.net/", link.format("mailto:x@q.com") + "<link " * 3), (23, "https://q.com/de/", None),
     ]
     from tessera.llm.urls_queries import RULES
 
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("verdict", F.lit("x"))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"verdict": F.lit("x"), "address": F.lit(1), "node": F.lit(2), "own": F.lit(3)})
     got = {r["page_id"]: r for r in urls.judge(pages, RULES).collect()}
-    want = {1: "block", 2: "block", 3: "block", 4: "block", 5: "block", 6: "allow", 7: "allow", 8: "allow", 9: "allow", 10: "allow", 11: "allow"}
-    assert {i: r["verdict"] for i, r in got.items()} == want
+    blocked = {1, 2, 3, 4, 5, 12, 14, 15, 16, 17, 18, 19, 20, 23}  # 8 and 9: one address, with an allowed and a blocked alias
+    assert {i for i, r in got.items() if r["verdict"] == "block"} == blocked and set(got) == set(range(1, 24))
     assert got[1]["rule"] == "example.org/es/" and got[2]["host"] == "a.example.org" and got[2]["path"] == "/en/1" and got[11]["rule"] == "org/"
     assert (got[6]["host"], got[6]["path"], got[6]["rule"]) == ("", "", None)
     assert urls.judge(pages.limit(0), RULES).count() == 0
+    crawl = spark.createDataFrame([("http://e.net/z", "http://q.com/de/moved")], "a string, b string")
+    more = {r["page_id"]: r["verdict"] for r in urls.judge(pages.drop("html"), RULES, redirects=crawl, spellings=False).collect()}
+    assert {i for i, v in more.items() if v == "block"} == {1, 2, 10, 23}
+
+
+def test_relative_targets(spark):
+    from urllib.parse import urljoin
+
+    bases = ["http://a.b/c/d?q=1#f", "https://A.b", "http://a.b/", "http://a.b/c/d/e/"]
+    some = ["x", "./x", "../x", "../../../x", "/x/../y/./z", "?q=2", "//h.i/x", "http://z/x", "x/..", "x/y?z=../w", "..", "."]
+    rows = spark.createDataFrame([(b, t) for b in bases for t in some], "u string, t string")
+    for r in rows.withColumn("to", urls.resolved(F.col("u"), F.col("t"))).collect():
+        assert r["to"] == urljoin(r["u"], r["t"]), r
