@@ -1,6 +1,6 @@
 """Quality by supervised subword embeddings.
 
-Every word of a text, and every 3 to 5 byte piece of it with its borders, has a learned vector in a hashed
+Every word of a text, and every piece of 3 to 5 characters of it with its borders, has a learned vector in a hashed
 table; a document is their average, and a softmax layer reads it. Trained by stochastic gradient descent.
 """
 
@@ -26,20 +26,18 @@ _MASK = np.uint64(BUCKETS - 1)
 def _walk(texts: list) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(row, bucket) of words, then of the pieces of each length, with repeats."""
     s = scan(texts)
-    n = len(s.data)
     yield s.doc, ((s.hash(s.start, s.end) ^ _SALT) & _MASK).astype(np.int64)
-    gap = s.data == 32
-    ends = np.cumsum(gap)
-    size = np.array([len((t or "").encode("utf-8", "surrogatepass")) + 1 for t in texts])
-    row = np.repeat(np.arange(len(texts)), size)
-    at = np.arange(n)
+    at = np.flatnonzero((s.data & 0xC0) != 0x80)  # where characters begin
+    n = len(at)
+    ends = np.cumsum(s.data[at] == 32)
+    row = np.repeat(np.arange(len(texts)), [len(t or "") + 1 for t in texts])
+    at = np.append(at, len(s.data))
     for k in PIECES:
         if n < k:
             continue
-        i = at[: n - k + 1]
-        inner = ends[k - 2 : n - 1] - ends[: n - k + 1]  # separators strictly inside the window
-        i = i[inner == 0]
-        yield row[i], (s.hash(i, i + k) & _MASK).astype(np.int64)
+        inside = (ends[k - 2 : n - 1] == ends[: n - k + 1]) & (row[k - 1 :] == row[: n - k + 1])  # of one text, no separator but at its ends
+        i = np.flatnonzero(inside)
+        yield row[i], (s.hash(at[i], at[i + k]) & _MASK).astype(np.int64)
 
 
 def features(texts: list) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -56,7 +54,7 @@ def _collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo, hi in chunks(texts):
             xs = features(texts[lo:hi])
             yield pa.RecordBatch.from_arrays(
-                [b.column(1).slice(lo, hi - lo), pa.array([x.astype("<i4").tobytes() for x, _ in xs], pa.binary()), pa.array([np.minimum(c, 65535).astype("<u2").tobytes() for _, c in xs], pa.binary())],
+                [b.column(1).slice(lo, hi - lo), pa.array([x.astype("<i4").tobytes() for x, _ in xs], pa.binary()), pa.array([c.astype("<u4").tobytes() for _, c in xs], pa.binary())],
                 names=["y", "x", "n"],
             )
 
@@ -68,10 +66,13 @@ class QualityModel:
 
     @classmethod
     def fit(cls, rows: list[tuple[int, np.ndarray, np.ndarray]], *, dim: int = 8, epochs: int = 8, rate: float = 0.5, seed: int = 7) -> QualityModel:
+        """rows: label, distinct buckets, their counts. One step a document, with a falling rate; vectors step eight times as far as the layer."""
+        if not rows:  # nothing to learn from: every text scores a half
+            return cls(np.zeros(BUCKETS, np.float32), 0.0)
         rng = np.random.default_rng(seed)
         v = rng.uniform(-1 / dim, 1 / dim, (BUCKETS, dim)).astype(np.float32)
         y = np.array([r[0] for r in rows])
-        prior = np.log((y.sum() + 1) / (len(y) - y.sum() + 1)) if len(rows) else 0.0
+        prior = np.log((y.sum() + 1) / (len(y) - y.sum() + 1))
         w, b = np.zeros((2, dim), np.float32), np.array([0, prior], np.float32)
         w[1] = rng.normal(0, 1, dim)
         w[0] = -w[1]
@@ -107,11 +108,11 @@ class QualityModel:
         return 1 / (1 + np.exp(-np.clip(out, -500, 500)))
 
 
-def train(docs: DataFrame, labels: DataFrame, *, sample: int = 4000) -> QualityModel:
-    """Fits on at most ``sample`` labelled documents outside the held-out part; only hashed features are gathered."""
-    found = training_rows(docs, labels, "quality", sample).select("text", "y").mapInArrow(_collect, "y int, x binary, n binary").toLocalIterator()
+def train(docs: DataFrame, labels: DataFrame, *, sample: int = 4000, chars: int = 24_000_000) -> QualityModel:
+    """Fits on at most ``sample`` labelled documents of ``chars`` characters together, outside the held-out part; only hashed features are gathered."""
+    found = training_rows(docs, labels, "quality", sample, chars).select("text", "y").mapInArrow(_collect, "y int, x binary, n binary").toLocalIterator()
     rows = sorted((r["y"], bytes(r["x"]), bytes(r["n"])) for r in found)
-    return QualityModel.fit([(int(y > 0), np.frombuffer(x, "<i4"), np.frombuffer(n, "<u2")) for y, x, n in rows])
+    return QualityModel.fit([(int(y > 0), np.frombuffer(x, "<i4"), np.frombuffer(n, "<u4")) for y, x, n in rows])
 
 
 def score_documents(docs: DataFrame, model: QualityModel) -> DataFrame:

@@ -22,10 +22,14 @@ BUCKETS = 1 << 22
 PREFIXES = (4, 5, 6)
 #: Identity terms by kind; a term is swapped for the next of its kind.
 IDENTITY = (
-    ("he", "she"), ("man", "woman"), ("men", "women"), ("boy", "girl"), ("father", "mother"),
+    ("he", "she"), ("his", "her"), ("himself", "herself"), ("man", "woman"), ("men", "women"), ("boy", "girl"), ("father", "mother"),
+    ("brother", "sister"), ("son", "daughter"), ("husband", "wife"),
     ("christian", "muslim", "jewish", "hindu", "buddhist", "atheist"), ("black", "white", "asian", "latino"),
     ("gay", "straight", "lesbian", "bisexual"), ("american", "mexican", "chinese", "african", "european", "arab"),
-    ("young", "old"), ("deaf", "blind", "disabled"), ("mann", "frau"), ("homme", "femme"), ("hombre", "mujer"),
+    ("young", "old"), ("deaf", "blind", "disabled"), 
+    ("er", "sie"), ("mann", "frau"), ("männer", "frauen"), ("junge", "mädchen"), ("vater", "mutter"), ("christlich", "muslimisch", "jüdisch"), ("deutsche", "türkische", "polnische"),
+    ("il", "elle"), ("homme", "femme"), ("hommes", "femmes"), ("garçon", "fille"), ("père", "mère"), ("chrétien", "musulman", "juif"), ("français", "algérien", "portugais"),
+    ("él", "ella"), ("hombre", "mujer"), ("hombres", "mujeres"), ("niño", "niña"), ("padre", "madre"), ("cristiano", "musulmán", "judío"), ("español", "mexicano", "marroquí"),
 )
 _SEPARATOR = np.ones(256, bool)
 _SEPARATOR[[*range(97, 123), *range(48, 58), *range(128, 256)]] = False
@@ -76,7 +80,10 @@ class ToxicityModel:
 
     @classmethod
     def fit(cls, rows: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]], *, counterfactual: float = 1.0, l2: float = 1e-4, most: int = 800, keep=(), steps: int = 300) -> ToxicityModel:
-        """rows: label, buckets, buckets that the swap takes away and adds. Features are those that lean most to either label."""
+        """rows: label, buckets, buckets that the swap takes away and adds.
+
+        Features are those whose share of either label lies more than three standard errors off, at most ``most`` of them by that measure.
+        """
         slot = np.full(BUCKETS, -1, np.int16)
         y = np.array([r[0] for r in rows], np.float64)
         n, p = np.zeros(BUCKETS, np.int32), np.zeros(BUCKETS, np.int32)
@@ -126,13 +133,16 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(out, -500, 500)))
 
 
-def train(docs: DataFrame, labels: DataFrame, *, sample: int = 6000, counterfactual: float = 1.0, kinds=IDENTITY) -> ToxicityModel:
-    """Fits on at most ``sample`` labelled documents outside the held-out part; only hashed features are gathered."""
-    found = training_rows(docs, labels, "toxic", sample).select("text", "y").mapInArrow(_collect(kinds), "y int, x binary, lost binary, won binary")
+def train(docs: DataFrame, labels: DataFrame, *, sample: int = 6000, chars: int = 24_000_000, counterfactual: float = 1.0, most: int = 800, kinds=IDENTITY) -> ToxicityModel:
+    """Fits on at most ``sample`` labelled documents of ``chars`` characters together, outside the held-out part.
+
+    Only hashed features are gathered; the model has at most ``most`` of them, besides the identity terms.
+    """
+    found = training_rows(docs, labels, "toxic", sample, chars).select("text", "y").mapInArrow(_collect(kinds), "y int, x binary, lost binary, won binary")
     rows = sorted((r["y"], bytes(r["x"]), bytes(r["lost"]), bytes(r["won"])) for r in found.toLocalIterator())
     terms = features([w for ks in kinds for w in ks])[1]
     read = lambda x: np.frombuffer(x, "<i4")
-    return ToxicityModel.fit([(int(y > 0), read(x), read(lost), read(won)) for y, x, lost, won in rows], counterfactual=counterfactual, keep=terms.tolist())
+    return ToxicityModel.fit([(int(y > 0), read(x), read(lost), read(won)) for y, x, lost, won in rows], counterfactual=counterfactual, most=most, keep=terms.tolist())
 
 
 def score_documents(docs: DataFrame, model: ToxicityModel) -> DataFrame:
