@@ -142,7 +142,7 @@ class JaccardJoin:
     ``components(docs)`` returns one row per input row: doc_id, n_shingles, component_id (smallest doc_id
     reachable by links, itself included). Null and empty texts, and texts of white space only, have an
     empty set and link with nothing. Rows with equal sets are one class; classes are compared, never
-    copies. Rows that share a doc_id are one document to the links. A null doc_id keeps its row and names no
+    copies. Rows that share a doc_id are one document to the links, also where their texts differ. A null doc_id keeps its row and names no
     component. Other columns are ignored, whatever their names. An empty table gives an empty result.
 
     Cost: one scan for counts, one for prefixes (a quarter of all shingles, shuffled once by shingle),
@@ -156,11 +156,11 @@ class JaccardJoin:
     def __init__(self, k: int = 5, num: int = 3, den: int = 4, slot_bits: int = 21):
         self.k, self.num, self.den, self.slots = k, num, den, 1 << slot_bits
 
-    def classes(self, docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    def classes(self, docs: DataFrame, scratch: Scratch) -> DataFrame:
+        """Of each row its set's name (n, d1, d2) and signature, without a slice; in rows with a slice, counts of the slot table."""
         text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         schema = "doc_id long, n long, d1 long, d2 long, sig binary, slice int, counts binary"
-        both = scratch.save(text.mapInArrow(_scan_sets(self.k, self.slots), schema))
-        return both.where("slice is null").select("doc_id", "n", "d1", "d2", "sig"), both.where("slice is not null").select("slice", "counts")
+        return scratch.save(text.mapInArrow(_scan_sets(self.k, self.slots), schema))
 
     def _frequencies(self, slices: DataFrame) -> np.ndarray:
         """The slot table: 4 bytes a slot, 8 MB by default, whatever the corpus."""
@@ -194,10 +194,20 @@ class JaccardJoin:
             pairs.join(text("a"), "a").join(text("b"), "b").select("a", "b", "ta", "tb").mapInArrow(_verify(self.k, self.num, self.den), "a long, b long").distinct()
         )
 
+    def _same_document(self, rows: DataFrame, rep: DataFrame) -> DataFrame:
+        """Edges (a, b) between the classes of rows that share a doc_id."""
+        some = rows.where("n > 0 and doc_id is not null")
+        again = some.groupBy("doc_id").agg(F.min("d1").alias("low"), F.max("d1").alias("high")).where("low != high").select("doc_id")
+        own = some.select("doc_id", "d1", "d2").join(again, "doc_id", "left_semi").join(rep.select("d1", "d2", "cls"), ["d1", "d2"])
+        least = own.groupBy("doc_id").agg(F.min("cls").alias("a"))
+        return own.join(least, "doc_id").select("a", F.col("cls").alias("b")).where("a != b").distinct()
+
     def components(self, docs: DataFrame) -> DataFrame:
+        """doc_id, n_shingles, component_id of every row; see the class."""
         spark = docs.sparkSession
         scratch = Scratch(spark, "jaccard")
-        rows, slices = self.classes(docs, scratch)
+        both = self.classes(docs, scratch)
+        rows, slices = both.where("slice is null").select("doc_id", "n", "d1", "d2", "sig"), both.where("slice is not null").select("slice", "counts")
         table = spark.sparkContext.broadcast(self._frequencies(slices))
 
         # a class is named by its smallest doc_id, null ids last
@@ -238,9 +248,11 @@ class JaccardJoin:
         rest = scratch.save(rest.join(tested, ["a", "b"], "left_anti"))
         second = self._links(rest, named, texts, scratch)
 
-        final = components(first.unionByName(second), scratch).select(F.col("node").alias("cls"), "component")
+        edges = first.unionByName(second).unionByName(self._same_document(rows, rep))
+        final = components(edges, scratch).select(F.col("node").alias("cls"), "component")
         placed = rep.join(final, "cls", "left").select("d1", "d2", F.coalesce("component", "cls").alias("component"))
         placed = scratch.save(placed)
+        scratch.keep(both, placed)
         some = rows.where("n > 0").join(placed, ["d1", "d2"]).select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
         none = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
         return some.unionByName(none)

@@ -198,6 +198,7 @@ def near_duplicates(
         links = links.groupBy("uid").agg(F.sum("n").alias("n"))
         done = classes.join(links, "uid", "left").join(comp, "node", "left")
         done = scratch.save(done.select("grp", "v", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id")))
+        scratch.keep(rows, done)
         some = rows.where("good").withColumn("grp", grp).join(done, ["grp", "v"])
         out = out.unionByName(some.select("vec_id", "n_links", F.coalesce("component_id", "vec_id").alias("component_id")))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

@@ -142,6 +142,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], *, redirects: DataFram
     decided = placed.groupBy("component").agg(F.max("any_allow").alias("any_allow"), F.max("any_block").alias("any_block"))
     decided = decided.select("component", (F.col("any_block") & ~F.col("any_allow")).alias("blocked"))
     placed = scratch.save(placed.select("address", "component").join(decided, "component"))
+    scratch.keep(rows, placed)
     # pages that share an address without a link are one node, too
     if spellings:
         alone = same.join(placed, "address", "left_anti").select("address", (~F.col("less") & ~F.col("more")).alias("blocked"), F.lit(None).cast("long").alias("component"))

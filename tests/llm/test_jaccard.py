@@ -51,3 +51,11 @@ def test_empty_table_clashing_columns_and_repeats(spark, make_docs):
     docs = make_docs([(1, "a b c d e f", "s"), (1, "a b c d e f", "s"), (None, "a b c d e f", "s"), (7, "q", "s")]).withColumns({"cls": F.lit("z"), "n": F.lit(1), "component_id": F.lit(2)})
     got = JaccardJoin(slot_bits=12).components(docs).collect()
     assert sorted((r["doc_id"] or 0, r["component_id"]) for r in got) == [(0, 1), (1, 1), (1, 1), (7, 7)]
+
+
+def test_one_id_with_several_texts(spark, make_docs):
+    rng = random.Random(3)
+    x, y, z = (" ".join(rng.choice("abcdefghijk") * 3 + str(rng.randrange(99)) for _ in range(80)) for _ in range(3))
+    docs = make_docs([(5, x, "s"), (5, y, "s"), (1, x, "s"), (8, y + " end", "s"), (9, z, "s"), (5, "", "s"), (2, "", "s")])
+    got = sorted((r["doc_id"], r["component_id"], r["n_shingles"]) for r in JaccardJoin(slot_bits=12).components(docs).collect())
+    assert got == [(1, 1, 76), (2, 2, 0), (5, 1, 76), (5, 1, 76), (5, 5, 0), (8, 1, 77), (9, 9, 76)]

@@ -62,7 +62,7 @@ def test_piece_table():
         pieces.range_hashes = hashes
 
 
-def check_packed(rows, ids, window):
+def check_pieces(rows, ids):
     for i, own in ids.items():
         at = 0
         for r in sorted((r for r in rows if r["doc_id"] == i), key=lambda r: r["start"]):
@@ -70,6 +70,10 @@ def check_packed(rows, ids, window):
             assert r["ids_crc32"] == zlib.crc32(own[at : at + r["length"]].astype("<u4").tobytes())
             at += r["length"]
         assert at == len(own)
+
+
+def check_packed(rows, ids, window):
+    check_pieces(rows, ids)
     sizes = {}
     for s in {r["sequence_id"] for r in rows}:
         at = 0
