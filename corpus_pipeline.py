@@ -35,13 +35,25 @@ def of_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each near-duplicate component, once if the row repeats; texts without words all stay."""
-    placed = JaccardJoin().components(docs)
-    gone = placed.where("n_shingles > 0 and doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
-    worded = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]") & F.col("doc_id").isNotNull()
-    # rows that share an id are one document to the join: the smallest row stays
-    return kept.where(~worded).unionByName(kept.where(worded).dropDuplicates(["doc_id"]))
+    """Keeps the smallest doc_id of each near-duplicate component.
+
+    Rows that share a doc_id are one document to the join: of those with words the one with the smallest text stays.
+    Texts without words and rows without a doc_id all stay.
+    """
+    placed = JaccardJoin().components(docs).where("n_shingles > 0 and doc_id is not null")
+    gone, again = (_unused(docs, c) for c in ("gone", "again"))
+    marks = placed.groupBy("doc_id").agg((F.min("component_id") != F.col("doc_id")).alias(gone), (F.count("*") > 1).alias(again)).where(F.col(gone) | F.col(again))
+    marked = docs.join(marks, "doc_id", "left").withColumns({c: F.coalesce(F.col(c), F.lit(False)) for c in (gone, again)})
+    worded = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    sole = marked.where(~worded | ~(F.col(gone) | F.col(again))).select(*docs.columns)
+    whole = F.struct(*(F.col(c) for c in docs.columns)).alias("r")
+    several = marked.where(worded & F.col(again) & ~F.col(gone)).groupBy("doc_id").agg(F.min_by(whole, "text").alias("r")).select("r.*")
+    return sole.unionByName(several)
+
+
+def _unused(docs: DataFrame, name: str) -> str:
+    """A column name that the table does not have."""
+    return "_" * (1 + max((len(c) for c in docs.columns), default=0)) + name
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,10 +78,12 @@ ORACLE_SQL = None  # classifiers and a random field have no SQL
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows for the documents of a folder; a stage's table goes once the next one is written."""
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = scratch.save(docs)
+            scratch.keep(docs)
     return docs
