@@ -84,6 +84,8 @@ def _file(bits: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for d, uids, x in _blocks(batches, lambda d: max(1, BLOCK // d)):
+            order = np.argsort(uids)
+            uids, x = uids[order], x[order]
             cells, low, step = cells_of(x, bits)
             raw = [pa.array([c.tobytes()], pa.binary()) for c in (uids.astype("<i8"), cells, low, step)]
             yield pa.RecordBatch.from_arrays([pa.array([int(uids[0])], pa.int64()), pa.array([d], pa.int32()), *raw], names=["p", "dim", "uids", "cells", "low", "step"])
@@ -163,19 +165,24 @@ def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class VAFile:
     """The vectors of (uid, vec_id, dim, v) with their file of cells, both written once.
 
-    ``bits`` a component, at most 8. Cells take a byte a component where vectors take eight.
+    ``bits`` a component, at most 8. Cells take a byte a component where vectors take eight. Of equal vectors the k + 1
+    with the smallest ids are filed: no other can be among a query's k best, as these score the same. So a crowd of
+    copies, however large, is a few rows to each query.
     """
 
-    def __init__(self, vectors: DataFrame, bits: int = 8):
+    def __init__(self, vectors: DataFrame, k: int, bits: int = 8):
         self.scratch = Scratch(vectors.sparkSession, "vafile")
-        self.vectors = vectors
-        self.cells = self.scratch.save(vectors.select("uid", "dim", "v").mapInArrow(_file(min(bits, 8)), _CELLS))
+        self.vectors, self.k = vectors, k
+        copy = F.row_number().over(Window.partitionBy("v").orderBy("vec_id", "uid"))
+        filed = vectors.withColumn("copy", copy).where(F.col("copy") <= k + 1)
+        self.cells = self.scratch.save(filed.select("uid", "dim", "v").mapInArrow(_file(min(bits, 8)), _CELLS))
 
-    def candidates(self, queries: DataFrame, k: int, query_block: int = 4_000) -> DataFrame:
+    def candidates(self, queries: DataFrame, query_block: int = 4_000) -> DataFrame:
         """(quid, uid, high): the rows whose upper bound reaches the k-th best lower bound of all of a query.
 
         Blocks of cells meet blocks of queries, both of bounded size; a pair returns little more than k rows a query.
         """
+        k = self.k
         rounds = max(1, -(-queries.count() // query_block))
         parts = max(1, self.cells.count())
         spread = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
@@ -198,10 +205,11 @@ class VAFile:
         sure = sure.select("quid", F.when(F.col("n") == k, F.col("sure")).otherwise(float("-inf")).alias("sure"))
         return found.join(sure, "quid").where(F.col("high") >= F.col("sure")).select("quid", "uid", "high")
 
-    def top(self, queries: DataFrame, k: int, *, query_block: int = 4_000) -> DataFrame:
+    def top(self, queries: DataFrame, *, query_block: int = 4_000) -> DataFrame:
         """query_id, rank, vec_id, score: see ``top_k``."""
+        k = self.k
         order = F.row_number().over(Window.partitionBy("quid").orderBy(F.desc("high"), "uid"))
-        left = self.scratch.save(self.candidates(queries, k, query_block).withColumn("turn", order))
+        left = self.scratch.save(self.candidates(queries, query_block).withColumn("turn", order))
         asked = queries.select(F.col("uid").alias("quid"), F.col("v").alias("y"))
 
         def read(rows: DataFrame) -> DataFrame:
@@ -228,4 +236,4 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, *, bits: int = 8, quer
     from get all; an empty table gives none. Scores and their order are exact at any size; one that does not fit
     64 bits is null in ``score``.
     """
-    return VAFile(vectors, bits).top(queries, k, query_block=query_block)
+    return VAFile(vectors, k, bits).top(queries, query_block=query_block)

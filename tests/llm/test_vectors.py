@@ -55,8 +55,8 @@ def test_top_k(spark):
         got = vafile.top_k(own, own.where("vec_id % 5 = 0"), 4, **sizes).collect()
         for q in (i for i in v if i % 5 == 0):
             assert [(-r["score"], r["vec_id"]) for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])] == best(v, q, 4)
-    file = vafile.VAFile(own)
-    assert file.candidates(own.where("vec_id % 5 = 0"), 4).count() < 0.2 * 31 * 150  # of all pairs
+    file = vafile.VAFile(own, 4)
+    assert file.candidates(own.where("vec_id % 5 = 0")).count() < 0.2 * 31 * 150  # of all pairs
     assert vafile.top_k(own.limit(0), own.limit(0), 4).count() == 0
 
 
