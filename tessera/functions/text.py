@@ -6,7 +6,7 @@ import unicodedata
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -33,10 +33,16 @@ def strip_invisible(text: Column) -> Column:
 def sanitize(text: Column) -> Column:
     """Normalises look-alikes, then deletes invisible characters. Null gives an empty text.
 
-    Plain ASCII needs neither and stays out of Python.
+    Every row goes through Python here; ``sanitized`` spares those of plain ASCII.
     """
-    whole = F.coalesce(text, F.lit(""))
-    return F.when(whole.rlike(r"^[\x00-\x7F]*$"), whole).otherwise(strip_invisible(nfkc(whole)))
+    return strip_invisible(nfkc(F.coalesce(text, F.lit(""))))
+
+
+def sanitized(rows: DataFrame, column: str) -> DataFrame:
+    """The rows with ``column`` sanitised. Plain ASCII needs nothing and stays out of Python: the two kinds are separate branches."""
+    whole = rows.withColumn(column, F.coalesce(F.col(column), F.lit("")))
+    plain = F.length(column) == F.octet_length(column)
+    return whole.where(plain).unionByName(whole.where(~plain).withColumn(column, sanitize(F.col(column))))
 
 
 def strip_markdown(text: Column) -> Column:
@@ -44,16 +50,19 @@ def strip_markdown(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"!\[.*?\]\(.*?\)", ""), r"\[(.*?)\]\(.*?\)", "$1")
 
 
-_LABELLED_ID = (
+# Patterns of identifiers, names and fences.
+LABELLED_ID = (
     r"(?i)\b(?:Student\s*(?:ID|Id|No|Number)|Roll(?:\s*(?:No|Number|\.))?|Reg(?:istration)?(?:\s*(?:No|Number|\.))?"
     r"|Matric(?:\s*(?:No|Number|\.))?)\s*[:\-\s#=]+\s*([A-Za-z0-9][A-Za-z0-9\-\/_]{1,30})"
 )
-_PLAIN_ID = r"(?i)\bID\s*[:\-\s#=]+\s*([A-Za-z0-9][A-Za-z0-9\-\/_]{1,30})"
-_BARE_ID = r"\b([0-9]{4,14}|[0-9]{4}-[0-9]{1,2}-[0-9]{2,3}-[0-9]{3,4}|UG-[0-9]{4}\/[0-9]{2,4})\b"
-_LABELLED_NAME = r"(?i)\b(?:Student(?:'s)?\s*Name|Full\s*Name|Name\s*of\s*Student|Submitted\s*By)\s*[:\-\s=]+\s*([^\r\n]{2,80})"
-_NOT_BEFORE_NAME = ("Program", "Project", "Course", "File", "Assignment", "Lab", "Topic", "Subject", "Function", "Class")
-_PLAIN_NAME = "(?i)" + "".join(rf"(?<!\b{w}\s)" for w in _NOT_BEFORE_NAME) + r"\bName\s*[:\-\s=]+\s*([^\r\n]{2,80})"
-_NAME_END = (
+PLAIN_ID = r"(?i)\bID\s*[:\-\s#=]+\s*([A-Za-z0-9][A-Za-z0-9\-\/_]{1,30})"
+BARE_ID = r"\b([0-9]{4,14}|[0-9]{4}-[0-9]{1,2}-[0-9]{2,3}-[0-9]{3,4}|UG-[0-9]{4}\/[0-9]{2,4})\b"
+LABELLED_NAME = r"(?i)\b(?:Student(?:'s)?\s*Name|Full\s*Name|Name\s*of\s*Student|Submitted\s*By)\s*[:\-\s=]+\s*([^\r\n]{2,80})"
+PLAIN_NAME = (
+    r"(?i)(?<!\bProgram\s)(?<!\bProject\s)(?<!\bCourse\s)(?<!\bFile\s)(?<!\bAssignment\s)(?<!\bLab\s)(?<!\bTopic\s)(?<!\bSubject\s)(?<!\bFunction\s)(?<!\bClass\s)"
+    r"\bName\s*[:\-\s=]+\s*([^\r\n]{2,80})"
+)
+NAME_END = (
     r"(?i)\s*(?:\b(?:ID|Student|Roll|Reg|Date|Course|Assignment|Department|Batch|Semester|Instructor|Faculty|Teacher"
     r"|Dr\.|Prof\.|Submitted\s*To|Section)\b|[:\-\|#])"
 )
@@ -68,31 +77,32 @@ def student_id(text: Column) -> Column:
     head = F.substring(F.coalesce(text, F.lit("")), 1, 3000)
     words = F.array(*map(F.lit, params.NOT_AN_ID))
     known = lambda c: F.array_contains(words, F.lower(c))
-    one, two = _found(head, _LABELLED_ID), _found(head, _PLAIN_ID)
+    one, two = _found(head, LABELLED_ID), _found(head, PLAIN_ID)
     one = F.when(~known(one) & (one.rlike("[0-9]") | (F.length(one) >= 3)), one)
     two = F.when(~known(two) & two.rlike("[0-9]"), two)
-    return F.coalesce(one, two, _found(head, _BARE_ID))
+    return F.coalesce(one, two, _found(head, BARE_ID))
 
 
 def student_name(text: Column) -> Column:
     """Name on the first 3000 characters, cut at the next field; null if it holds a word that no name holds."""
     head = F.substring(F.coalesce(text, F.lit("")), 1, 3000)
-    raw = F.coalesce(_found(head, _LABELLED_NAME), _found(head, _PLAIN_NAME))
-    name = F.regexp_replace(F.element_at(F.split(raw, _NAME_END, -1), 1), r"^[ :\-\u2013\t]+|[ :\-\u2013\t]+$", "")
+    raw = F.coalesce(_found(head, LABELLED_NAME), _found(head, PLAIN_NAME))
+    name = F.regexp_replace(F.element_at(F.split(raw, NAME_END, -1), 1), r"^[ :\-\u2013\t]+|[ :\-\u2013\t]+$", "")
     words = F.regexp_extract_all(F.lower(name), F.lit(r"\b([a-z]+)\b"), F.lit(1))
     odd = F.arrays_overlap(words, F.array(*map(F.lit, params.NOT_AN_ID)))
     return F.when(~F.coalesce(odd, F.lit(False)) & (F.length(name) >= 2), name)
 
 
-_FENCE = r"(?s)```(?:\w+)?\n(.*?)```"
+# Fixed value.
+FENCE = r"(?s)```(?:\w+)?\n(.*?)```"
 
 
 def fenced_code(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(_FENCE), F.lit(1))
+    return F.regexp_extract_all(text, F.lit(FENCE), F.lit(1))
 
 
 def without_fences(text: Column) -> Column:
-    return F.regexp_replace(text, _FENCE, "")
+    return F.regexp_replace(text, FENCE, "")
 
 
 def _any(tests: list[Column]) -> Column:
@@ -171,8 +181,8 @@ def words(text: Column) -> Column:
 
 def content_tokens(text: Column) -> Column:
     """Lower-cased words of letters and digits only, without stop words; repeats stay."""
-    stop = F.array(*map(F.lit, params.STOP_WORDS))
-    return F.filter(words(F.lower(text)), lambda w: w.rlike(r"^[\p{L}\p{N}]+$") & ~F.array_contains(stop, w))
+    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?<!\S)[\p{L}\p{N}]++(?!\S)"), F.lit(0))
+    return F.filter(found, lambda w: ~w.isin(params.STOP_WORDS))
 
 
 def sentences(text: Column) -> Column:
@@ -209,11 +219,17 @@ def _punctuation(text: Column) -> Column:
 
 def stylometric(text: Column) -> Column:
     """0 to 1 from sentence length, vocabulary repetition and punctuation; null without words or sentences."""
-    w, s = words(text), sentences(text)
     density = _punctuation(text) / F.greatest(F.length(text), F.lit(1))
-    variety = F.size(F.array_distinct(F.transform(w, F.lower))) / F.size(w)
-    score = 0.3 * F.least(F.size(w) / F.size(s) / 25, F.lit(1.0)) + 0.4 * (1 - variety) + 0.3 * (1 - F.least(density * 10, F.lit(1.0)))
-    return F.when((F.size(w) > 0) & (F.size(s) > 0), _clip(score))
+    low = words(F.lower(text))
+    counts = F.struct(F.size(sentences(text)).alias("s"), low.alias("w"))
+
+    def score(c):
+        n = F.size(c["w"])
+        variety = F.size(F.array_distinct(c["w"])) / n
+        x = 0.3 * F.least(n / c["s"] / 25, F.lit(1.0)) + 0.4 * (1 - variety) + 0.3 * (1 - F.least(density * 10, F.lit(1.0)))
+        return F.when((n > 0) & (c["s"] > 0), _clip(x))
+
+    return let(counts, score)
 
 
 def stylometric_features(text: Column) -> Column:

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import difflib
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tessera.functions.text import let
 
@@ -50,17 +51,27 @@ def renamed_tokens(block: Column) -> Column:
     return let(let(tokens, both), rename)
 
 
-@F.pandas_udf(DoubleType())
-def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Matching-block ratio of two token arrays over their first 10 000 tokens; both empty 1, one empty 0."""
+def _ratio(x: list | None, y: list | None) -> float:
+    x, y = (x or [])[:MAX_TOKENS], (y or [])[:MAX_TOKENS]
+    if x == y:
+        return 1.0
+    return difflib.SequenceMatcher(None, x, y).ratio() if x and y else 0.0
 
-    def one(x, y):
-        x, y = list(x)[:MAX_TOKENS] if x is not None else [], list(y)[:MAX_TOKENS] if y is not None else []
-        if x == y:
-            return 1.0
-        return difflib.SequenceMatcher(None, x, y).ratio() if x and y else 0.0
 
-    return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="float64")
+def sequence_ratio(rows: DataFrame, a: str, b: str, name: str) -> DataFrame:
+    """Adds a column: the matching-block ratio of two token arrays over their first 10 000 tokens; both empty 1, one empty 0.
+
+    The arrays are computed on the rows first; Python sees them, and no expression that makes them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in (a, b))
+            ratio = pa.array([_ratio(p, q) for p, q in zip(x, y)], pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, ratio], names=[*batch.schema.names, name])
+
+    schema = StructType([*rows.schema.fields, StructField(name, DoubleType())])
+    return rows.mapInArrow(run, schema)
 
 
 def block_rows(docs: DataFrame) -> DataFrame:
@@ -78,7 +89,7 @@ def max_block_similarity(pairs: DataFrame, blocks: DataFrame) -> DataFrame:
     y = blocks.select("batch", F.col("doc").alias("b"), F.col("tokens").alias("tb"))
     rows = pairs.select("batch", "a", "b").join(x, ["batch", "a"]).join(y, ["batch", "b"]).select("batch", "a", "b", "ta", "tb")
     same = rows.where(F.col("ta") == F.col("tb")).select("batch", "a", "b", F.lit(1.0).alias("s"))
-    rest = rows.where(F.col("ta") != F.col("tb")).select("batch", "a", "b", sequence_ratio("ta", "tb").alias("s"))
+    rest = sequence_ratio(rows.where(F.col("ta") != F.col("tb")), "ta", "tb", "s").select("batch", "a", "b", "s")
     return same.unionByName(rest).groupBy("batch", "a", "b").agg(F.max("s").alias("code_score"))
 
 

@@ -147,13 +147,14 @@ def lexical_words(text: Column) -> Column:
 def lexical_overlap(pairs: DataFrame, ratio) -> DataFrame:
     """Adds ``lexical``: 0.45 of the word sets' Jaccard and 0.55 of the sequence ratio; 0 if a side is empty.
 
-    pairs: text_a, text_b and whatever else; ratio: the Arrow function of operators.code.
+    pairs: text_a, text_b and whatever else; ratio: operators.code.sequence_ratio. Only pairs with words on both sides reach Python.
     """
-    wa, wb = lexical_words(F.col("text_a")), lexical_words(F.col("text_b"))
-    rows = pairs.withColumns({"_wa": wa, "_wb": wb})
+    rows = pairs.withColumns({"_wa": lexical_words(F.col("text_a")), "_wb": lexical_words(F.col("text_b"))})
     some = (F.size("_wa") > 0) & (F.size("_wb") > 0)
-    score = 0.45 * jaccard(F.col("_wa"), F.col("_wb")) + 0.55 * ratio(F.col("_wa"), F.col("_wb"))
-    return rows.withColumn("lexical", F.when(some, F.round(scores.clip(score), 3)).otherwise(0.0)).drop("_wa", "_wb")
+    scored = ratio(rows.where(some), "_wa", "_wb", "_ratio")
+    score = 0.45 * jaccard(F.col("_wa"), F.col("_wb")) + 0.55 * F.col("_ratio")
+    scored = scored.withColumn("lexical", F.round(scores.clip(score), 3)).drop("_wa", "_wb", "_ratio")
+    return scored.unionByName(rows.where(~some).withColumn("lexical", F.lit(0.0)).drop("_wa", "_wb"))
 
 
 def score_pairs(docs: DataFrame, tfidf: DataFrame, semantic: DataFrame | None = None, pairs: DataFrame | None = None) -> DataFrame:

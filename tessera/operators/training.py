@@ -40,10 +40,31 @@ def seeded(id_: Column, seed: int = 42) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), id_.cast("string"))), 1, 8), 16, 10).cast("long")
 
 
+def numbered(rows: DataFrame, group: str, order: list[Column], bin_: Column) -> DataFrame:
+    """Adds _at, the place of a row in its group from 1, and _n, the group's size.
+
+    bin_: a number of a few thousand values that grows with the order. Bins are counted first and rows are
+    sorted inside their bin only, so a group is as many tasks as it has bins.
+    """
+    rows = rows.withColumn("_bin", bin_)
+    counts = rows.groupBy(group, "_bin").agg(F.count("*").alias("n"))
+    by = Window.partitionBy(group)
+    ahead = F.coalesce(F.sum("n").over(by.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(F.col(group).alias("_group"), F.col("_bin").alias("_b"), ahead.alias("_ahead"), F.sum("n").over(by).alias("_n"))
+    rows = rows.join(counts, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_bin") == F.col("_b")))
+    inside = F.row_number().over(Window.partitionBy(group, "_bin").orderBy(*order))
+    return rows.withColumn("_at", F.col("_ahead") + inside).drop("_bin", "_group", "_b", "_ahead")
+
+
+def _shuffled(rows: DataFrame, seed: int) -> DataFrame:
+    key = seeded(F.col("doc"), seed)
+    return numbered(rows, "y", [key, F.col("doc")], F.shiftright(key, 20))  # 4096 bins of a 32-bit hash
+
+
 def stratified_split(rows: DataFrame, share: float = 0.2, seed: int = 42) -> DataFrame:
-    """Adds is_test: the lowest fifth of each class by seeded hash. The rank needs a sort of each class, not a collect."""
-    w = Window.partitionBy("y").orderBy(seeded(F.col("doc"), seed), "doc")
-    return rows.withColumn("is_test", F.percent_rank().over(w) < share)
+    """Adds is_test: the lowest fifth of each class by seeded hash."""
+    place = F.when(F.col("_n") > 1, (F.col("_at") - 1) / (F.col("_n") - 1)).otherwise(0.0)
+    return _shuffled(rows, seed).withColumn("is_test", place < share).drop("_at", "_n")
 
 
 def pipeline(n: int, c: float = 1.0) -> Pipeline:
@@ -56,23 +77,31 @@ def pipeline(n: int, c: float = 1.0) -> Pipeline:
 
 
 def fit(rows: DataFrame, c: float = 1.0) -> PipelineModel:
-    checked = gate(rows).first()
-    if not checked["ok"]:
-        raise ValueError(f"too few rows to train: {checked.asDict()}")
-    return pipeline(checked["n"], c).fit(rows)
+    """The fitted pipeline; the rows are held while it is fitted, so their signals are computed once."""
+    rows = rows.select("y", *FEATURES).persist()
+    try:
+        checked = gate(rows).first()
+        if not checked["ok"]:
+            raise ValueError(f"too few rows to train: {checked.asDict()}")
+        return pipeline(checked["n"], c).fit(rows)
+    finally:
+        rows.unpersist()
 
 
 def cross_validated_auc(rows: DataFrame, folds: int | None = None, seed: int = 42) -> tuple[float, float] | None:
     """Mean and deviation of ROC-AUC over stratified folds (2 to 5, by the smaller class); None below two folds."""
-    g = gate(rows).first()
-    k = folds if folds is not None else max(2, min(5, g["n0"], g["n1"]))
-    if k < 2 or min(g["n0"], g["n1"]) < 2:
-        return None
-    w = Window.partitionBy("y").orderBy(seeded(F.col("doc"), seed), "doc")
-    rows = rows.withColumn("fold", (F.row_number().over(w) % k).cast("int"))
-    cv = CrossValidator(estimator=pipeline(g["n"]), estimatorParamMaps=ParamGridBuilder().build(), evaluator=BinaryClassificationEvaluator(labelCol="y"), numFolds=k, foldCol="fold")
-    model = cv.fit(rows)
-    return model.avgMetrics[0], model.stdMetrics[0]
+    rows = rows.select("doc", "y", *FEATURES).persist()
+    try:
+        g = gate(rows).first()
+        k = folds if folds is not None else max(2, min(5, g["n0"], g["n1"]))
+        if k < 2 or min(g["n0"], g["n1"]) < 2:
+            return None
+        placed = _shuffled(rows, seed).withColumn("fold", (F.col("_at") % k).cast("int")).select("y", "fold", *FEATURES)
+        cv = CrossValidator(estimator=pipeline(g["n"]), estimatorParamMaps=ParamGridBuilder().build(), evaluator=BinaryClassificationEvaluator(labelCol="y"), numFolds=k, foldCol="fold")
+        model = cv.fit(placed)
+        return model.avgMetrics[0], model.stdMetrics[0]
+    finally:
+        rows.unpersist()
 
 
 def confusion(flag: Column, y: Column) -> list[Column]:
@@ -113,26 +142,51 @@ def threshold_sweep(rows: DataFrame, cuts: tuple[float, ...] = (0.50, 0.60, 0.70
 
 
 def feature_summary(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """(feature, n, mean, std, min, q1, median, q3, max) in one pass."""
-    stacked = F.stack(F.lit(len(columns)), *(x for c in columns for x in (F.lit(c), F.col(c).cast("double")))).alias("feature", "x")
-    q = lambda p: F.percentile("x", F.lit(p))
-    return rows.select(stacked).groupBy("feature").agg(F.count("x").alias("n"), F.mean("x").alias("mean"), F.stddev("x").alias("std"), F.min("x").alias("min"), q(0.25).alias("q1"), q(0.5).alias("median"), q(0.75).alias("q3"), F.max("x").alias("max"))
-
-
-def labelled_pairs(files: DataFrame, kind: str, unrelated: int | None = None, seed: int = 42) -> DataFrame:
-    """(class, a, b): ``kind``_orig_i with ``kind``_copy_i, and originals with other originals and other copies.
+    """(feature, n, mean, std, min, q1, median, q3, max), quartiles interpolated between neighbouring values.
 
-    files: (name). At most ``unrelated`` of the latter, by seeded hash.
+    Values are counted, counts are summed over bins between least and largest value, and only the bins are ordered as a whole.
+    """
+    stacked = F.stack(F.lit(len(columns)), *(x for c in columns for x in (F.lit(c), F.col(c).cast("double")))).alias("feature", "x")
+    long = rows.select(stacked)
+    plain = long.groupBy("feature").agg(F.count("x").alias("n"), F.mean("x").alias("mean"), F.stddev("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"))
+    by = long.where("x is not null").groupBy("feature", "x").agg(F.count("*").alias("k")).join(F.broadcast(plain.select("feature", "min", "max")), "feature")  # a row a feature
+    by = by.withColumn("bin", F.when(F.col("max") > F.col("min"), F.floor((F.col("x") - F.col("min")) / (F.col("max") - F.col("min")) * 4096)).otherwise(F.lit(0)))
+    earlier = Window.partitionBy("feature").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = by.groupBy("feature", "bin").agg(F.sum("k").alias("b")).select("feature", "bin", F.coalesce(F.sum("b").over(earlier), F.lit(0)).alias("ahead"))
+    upto = F.sum("k").over(Window.partitionBy("feature", "bin").orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = by.join(bins, ["feature", "bin"]).select("feature", "x", "k", (F.col("ahead") + upto).alias("upto")).join(F.broadcast(plain.select("feature", "n")), "feature")
+
+    def value(q: float) -> Column:
+        at = q * (F.col("n") - 1)
+        holds = lambda i: (F.col("upto") - F.col("k") <= i) & (i < F.col("upto"))
+        low, high = (F.max(F.when(holds(f(at)), F.col("x"))) for f in (F.floor, F.ceil))
+        part = F.max(at - F.floor(at))
+        return low + (high - low) * part
+
+    quartiles = placed.groupBy("feature").agg(value(0.25).alias("q1"), value(0.5).alias("median"), value(0.75).alias("q3"))
+    return plain.join(quartiles, "feature", "left").select("feature", "n", "mean", "std", "min", "q1", "median", "q3", "max")
+
+
+def labelled_pairs(files: DataFrame, kind: str, unrelated: int | None = None, seed: int = 42, near: int = 2) -> DataFrame:
+    """(class, a, b): ``kind``_orig_i with ``kind``_copy_i, and originals with other originals and other copies of their set.
+
+    files: (set, name); only files of one set are paired. With ``unrelated``, at most so many of the latter, by seeded hash, drawn from
+    the pairs of each original with the ``near`` files that follow it in the seeded order of its set, so not all pairs are made.
     """
     part = lambda g: F.regexp_extract("name", rf"^{kind}_(orig|copy)_(\d+)", g)
-    rows = files.select("name", part(1).alias("role"), F.expr("try_cast(" + f"regexp_extract(name, '^{kind}_(orig|copy)_([0-9]+)', 2) as int)").alias("i")).where("role != ''")
-    orig, copy = rows.where("role = 'orig'").select(F.col("name").alias("a"), F.col("i").alias("ia")), rows.where("role = 'copy'").select(F.col("name").alias("b"), F.col("i").alias("ib"))
-    copied = orig.join(copy, F.col("ia") == F.col("ib")).select(F.lit(kind).alias("class"), "a", "b")
-    others = orig.join(orig.select(F.col("a").alias("b"), F.col("ia").alias("ib")), F.col("ia") < F.col("ib")).select("a", "b")
-    others = others.unionByName(orig.join(copy, F.col("ia") != F.col("ib")).select("a", "b")).select(F.lit("unrelated").alias("class"), "a", "b")
-    if unrelated is not None:
-        others = others.orderBy(seeded(F.concat("a", "b"), seed), "a", "b").limit(unrelated)
-    return copied.unionByName(others)
+    rows = files.select("set", "name", part(1).alias("role"), F.expr("try_cast(" + f"regexp_extract(name, '^{kind}_(orig|copy)_([0-9]+)', 2) as int)").alias("i")).where("role != ''")
+    orig = rows.where("role = 'orig'").select("set", F.col("name").alias("a"), F.col("i").alias("ia"))
+    copy = rows.where("role = 'copy'").select("set", F.col("name").alias("b"), F.col("i").alias("ib"))
+    copied = orig.join(copy.withColumnRenamed("ib", "ia"), ["set", "ia"]).select(F.lit(kind).alias("class"), "a", "b")
+    if unrelated is None:
+        others = orig.join(orig.select("set", F.col("a").alias("b"), F.col("ia").alias("ib")), "set").where("ia < ib").select("a", "b")
+        return copied.unionByName(others.unionByName(orig.join(copy, "set").where("ia != ib").select("a", "b")).select(F.lit("unrelated").alias("class"), "a", "b"))
+    order = Window.partitionBy("set").orderBy(seeded(F.col("name"), seed), "name")
+    me = F.struct("name", "role", "i")
+    after = rows.withColumn("ys", F.array(*(F.lead(me, k).over(order) for k in range(1, near + 1)))).where("role = 'orig'")
+    after = after.withColumn("y", F.explode("ys")).where("y.i != i")
+    others = after.select(F.col("name").alias("a"), F.col("y.name").alias("b")).orderBy(seeded(F.concat("a", "b"), seed), "a", "b").limit(unrelated)
+    return copied.unionByName(others.select(F.lit("unrelated").alias("class"), "a", "b"))
 
 
 def class_means(pairs: DataFrame, columns: list[str]) -> DataFrame:

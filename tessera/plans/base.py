@@ -1,7 +1,8 @@
 """Inputs of the registered queries, and the same in SQL.
 
-Documents are submissions and their source is the batch. Scores that the tables don't hold are fixed
-functions of the document's number, the same in both languages.
+Documents are submissions and their source is the batch. Scores are measured on the texts: style and bigram signals, and
+shared sentences between documents. What the tables don't hold, such as names, roles and external scores, are fixed
+functions of a row's number, the same in both languages. A part of a WITH clause is a string or a tuple of parts.
 """
 
 from __future__ import annotations
@@ -10,7 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import scores
-from tessera.operators import marking
+from tessera.functions import text as T
+from tessera.operators import authorship, marking, similarity
 
 CONFIG_JSON = (
     '{"total_marks": 100, "ai_thresholds": [{"min_value": 0, "max_value": 40, "marks_deduct": 0}, {"min_value": 40, "max_value": 100, "marks_deduct": 20}], '
@@ -41,31 +43,87 @@ DOCS = """docs AS (SELECT source AS batch, doc_id AS doc, text, doc_id % 3 = 0 A
   CASE WHEN doc_id % 7 <> 0 THEN 'Name ' || doc_id END AS student_name FROM documents WHERE text IS NOT NULL)"""
 
 
+SENT = r"sent AS (SELECT batch, doc, list_filter(list_transform(regexp_split_to_array(text, '[.!?]+'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS s, text FROM docs)"
+
+STYLE = """style AS (SELECT doc, batch, text, len(w) AS nw, len(s) AS ns, len(list_distinct(list_transform(w, lambda x: lower(x)))) AS nd, length(text) - length(regexp_replace(text, '[.,;:!?]', '', 'g')) AS np
+  FROM (SELECT doc, batch, text, s, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM sent)),
+stylometric AS (SELECT doc, batch, CASE WHEN nw > 0 AND ns > 0 THEN least(greatest(0.3::DOUBLE * least(nw / ns / 25, 1.0::DOUBLE) + 0.4::DOUBLE * (1 - nd / nw)
+  + 0.3::DOUBLE * (1 - least(np / greatest(length(text), 1) * 10, 1.0::DOUBLE)), 0.0::DOUBLE), 1.0::DOUBLE) END AS stylometric FROM style)"""
+
+BIGRAM = r"""lw AS (SELECT batch, doc, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS w FROM docs),
+bi AS (SELECT doc, w[i] AS w2, CASE WHEN i = 1 THEN '<s>' ELSE w[i - 1] END AS w1 FROM (SELECT doc, w, unnest(range(1, len(w) + 1)) AS i FROM lw)),
+c12 AS (SELECT w1, w2, count(*) AS n12 FROM bi GROUP BY ALL), c1 AS (SELECT w1, sum(n12) AS n1 FROM c12 GROUP BY 1), v AS (SELECT count(DISTINCT w2) AS v FROM c12)"""
+PPL = """ppl AS (SELECT doc, exp(-avg(ln((n12 + 0.5) / (n1 + 0.5 * v)))) AS perplexity FROM bi JOIN c12 USING (w1, w2) JOIN c1 USING (w1), v GROUP BY 1)"""
+BURST = r"""ls AS (SELECT doc, list_filter(s, lambda x: len(list_filter(regexp_split_to_array(x, '\s+'), lambda y: y <> '')) > 5) AS s FROM sent),
+pick AS (SELECT doc, s, CASE WHEN len(s) > 12 THEN list_transform(range(0, 12), lambda i: CAST(floor(i * (len(s) - 1) / 11) AS BIGINT)) ELSE range(0, len(s)) END AS p FROM ls WHERE len(s) >= 3),
+ch AS (SELECT doc, i, s[p[i] + 1] AS t FROM (SELECT doc, s, p, unnest(range(1, len(p) + 1)) AS i FROM pick)),
+sw AS (SELECT doc, i, list_filter(regexp_split_to_array(lower(t), '\s+'), lambda x: x <> '') AS w FROM ch),
+sb AS (SELECT doc, i, w[j] AS w2, CASE WHEN j = 1 THEN '<s>' ELSE w[j - 1] END AS w1 FROM (SELECT doc, i, w, unnest(range(1, len(w) + 1)) AS j FROM sw)),
+sp AS (SELECT doc, i, exp(-avg(ln((coalesce(n12, 0) + 0.5) / (coalesce(n1, 0) + 0.5 * v)))) AS p FROM sb LEFT JOIN c12 USING (w1, w2) LEFT JOIN c1 USING (w1), v GROUP BY ALL),
+bst AS (SELECT doc, var_pop(p) AS burstiness FROM sp GROUP BY 1)"""
+
+
+def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measured signals of every document; a text that gives one no value has a null there.
+
+    Perplexity and burstiness are scaled by fixed numbers, as a bigram model's lie far above a transformer's.
+    """
+    rows = docs(spark, sf_dir)
+    found = authorship.signals(rows, authorship.BigramModel(rows))
+    scaled = found.select("doc", F.round(F.col("perplexity") / 200, 4).alias("perplexity"), F.round(F.col("burstiness") / 500000, 4).alias("burstiness"), "stylometric")
+    return rows.select("doc", "batch").join(scaled, "doc")
+
+
+SIGNALS = (SENT, STYLE, BIGRAM, PPL, BURST, """sig AS (SELECT d.doc, d.batch, round(perplexity / 200, 4) AS perplexity, round(burstiness / 500000, 4) AS burstiness, stylometric
+  FROM docs d LEFT JOIN stylometric s ON s.doc = d.doc LEFT JOIN ppl ON ppl.doc = d.doc LEFT JOIN bst ON bst.doc = d.doc)""")
+
+
 def ai(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Detection results of four documents in five."""
-    rows = docs(spark, sf_dir).where(F.col("doc") % 5 != 0)
-    return rows.select("doc", share(F.col("doc"), 37).alias("ai_prob"), F.lit("local").alias("source"))
+    """Detection results of every document, from its style."""
+    none = F.lit(None).cast("double")
+    p = scores.heuristic_probability(none, none, T.stylometric(F.col("text")))
+    return docs(spark, sf_dir).select("doc", F.round(p, 6).alias("ai_prob"), F.lit("local").alias("source"))
 
 
-AI = "ai AS (SELECT doc, CAST((doc * 37) % 101 AS DOUBLE) / 100 AS ai_prob, 'local' AS source FROM docs WHERE doc % 5 <> 0)"
+AI = (SENT, STYLE, "ai AS (SELECT doc, round(coalesce(stylometric, 0.0), 6) AS ai_prob, 'local' AS source FROM stylometric)")
 
 
-def risks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Risk rows of all documents but each eleventh."""
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs of a batch that share sentences: fused is the share of the shorter text that these make.
+
+    The texts hold no code, so where both sides count as having some, the number of shared sentences, up to ten, stands for its score.
+    """
     rows = docs(spark, sf_dir)
-    d = F.col("doc")
-    similarity = rows.select("batch", "doc", share(d, 53).alias("text_sim_max"), F.when(d % 3 == 0, share(d, 29)).alias("code_sim_max"))
-    return marking.score_documents(rows.where(d % 11 != 0), similarity, ai(spark, sf_dir))
+    side = lambda x: rows.select(F.col("doc").alias(x), F.length("text").alias(f"n{x}"), F.col("has_code").alias(f"c{x}"))
+    found = similarity.matched_sentences(rows).join(side("a"), "a").join(side("b"), "b")
+    fused = F.round(F.least(F.lit(1.0), F.col("n_chars") / F.least("na", "nb")), 4)
+    code = F.when(F.col("ca") & F.col("cb"), F.least(F.col("n_sentences"), F.lit(10)) / 10).otherwise(0.0)
+    return found.select("batch", "a", "b", fused.alias("fused"), code.alias("code_score"), scores.copy_direction(fused, F.col("na"), F.col("nb")).alias("copy_direction"))
+
+
+PAIRS = (SENT, r"""rs AS (SELECT DISTINCT batch, doc, regexp_replace(lower(x), '\s+', ' ', 'g') AS x FROM (SELECT batch, doc, unnest(s) AS x FROM sent)),
+shared AS (SELECT p.doc AS a, q.doc AS b, CAST(sum(length(p.x)) AS DOUBLE) AS n_chars, count(*) AS n FROM rs p JOIN rs q ON p.batch = q.batch AND p.x = q.x AND p.doc < q.doc WHERE length(p.x) >= 20 GROUP BY ALL),
+pairs0 AS (SELECT x.batch, a, b, round(least(1.0::DOUBLE, n_chars / least(length(x.text), length(y.text))), 4) AS fused,
+    CASE WHEN x.has_code AND y.has_code THEN CAST(least(n, 10) AS DOUBLE) / 10 ELSE 0.0 END AS code_score, length(x.text) AS na, length(y.text) AS nb
+  FROM shared JOIN docs x ON x.doc = a JOIN docs y ON y.doc = b),
+pairs AS (SELECT batch, a, b, fused, code_score, CASE WHEN fused < 0.3 THEN 'unknown' WHEN abs(na - nb) < 0.02 * greatest(na, nb) THEN 'mutual'
+    WHEN na < nb THEN 'a_to_b' ELSE 'b_to_a' END AS copy_direction FROM pairs0)""")
+
+
+def risks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Risk rows of all documents, by their style and their closest peer."""
+    best = similarity.max_similarity(pairs(spark, sf_dir), {"fused": "text_sim_max", "code_score": "code_sim_max"})
+    return marking.score_documents(docs(spark, sf_dir), best, ai(spark, sf_dir))
 
 
-RISKS = """risk0 AS (SELECT batch, docs.doc, has_code, CAST((docs.doc * 53) % 101 AS DOUBLE) / 100 AS text_sim_max,
-    CASE WHEN has_code THEN CAST((docs.doc * 29) % 101 AS DOUBLE) / 100 END AS code_sim_max, coalesce(ai.ai_prob, 0.0) AS ai_prob
-  FROM docs LEFT JOIN ai ON ai.doc = docs.doc WHERE docs.doc % 11 <> 0),
+RISKS = (AI, PAIRS, """best AS (SELECT doc, max(fused) AS f, max(code_score) AS c FROM (SELECT a AS doc, fused, code_score FROM pairs UNION ALL SELECT b, fused, code_score FROM pairs) GROUP BY 1),
+risk0 AS (SELECT batch, docs.doc, has_code, coalesce(f, 0.0) AS text_sim_max, CASE WHEN has_code THEN CAST(coalesce(c, 0.0) AS DOUBLE) END AS code_sim_max, coalesce(ai.ai_prob, 0.0) AS ai_prob
+  FROM docs LEFT JOIN ai ON ai.doc = docs.doc LEFT JOIN best ON best.doc = docs.doc),
 risk1 AS (SELECT *, CASE WHEN has_code THEN 0.40::DOUBLE * ai_prob + 0.35::DOUBLE * text_sim_max + 0.25::DOUBLE * code_sim_max
     ELSE 0.55::DOUBLE * ai_prob + 0.45::DOUBLE * text_sim_max END AS weighted_score FROM risk0),
 risks AS (SELECT batch, doc, has_code, text_sim_max, code_sim_max, ai_prob, weighted_score,
     CASE WHEN weighted_score >= 0.70 THEN 'high' WHEN weighted_score >= 0.40 THEN 'medium' ELSE 'low' END AS risk_level,
-    CASE WHEN has_code THEN 'code_present' ELSE 'theory_only' END AS weight_profile FROM risk1)"""
+    CASE WHEN has_code THEN 'code_present' ELSE 'theory_only' END AS weight_profile FROM risk1)""")
 
 
 def batches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,25 +157,6 @@ marks1 AS (SELECT *, ai_deduction + text_copy_deduction + code_ast_deduction + r
 marked AS (SELECT *, greatest(0.0, total_marks - total_deductions) AS marks_obtained FROM marks1)"""
 
 
-def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of a batch whose numbers differ by at most 100, with fixed scores."""
-    rows = docs(spark, sf_dir)
-    a, b = rows.select("batch", F.col("doc").alias("a"), F.length("text").alias("na")), rows.select("batch", F.col("doc").alias("b"), F.length("text").alias("nb"))
-    step = F.floor(F.col("a") / 100)
-    near = a.withColumn("slot", F.explode(F.array(step, step + 1))).join(b.withColumn("slot", F.floor(F.col("b") / 100)), ["batch", "slot"])
-    near = near.where("a < b and b - a <= 100")
-    fused = share(F.col("a") + F.col("b"), 41)
-    code = F.when((F.col("a") % 3 == 0) & (F.col("b") % 3 == 0), share(F.col("a") + F.col("b"), 13)).otherwise(0.0)
-    return near.select("batch", "a", "b", fused.alias("fused"), code.alias("code_score"), scores.copy_direction(fused, F.col("na"), F.col("nb")).alias("copy_direction"))
-
-
-PAIRS = """pairs0 AS (SELECT x.batch, x.doc AS a, y.doc AS b, CAST(((x.doc + y.doc) * 41) % 101 AS DOUBLE) / 100 AS fused,
-    CASE WHEN x.doc % 3 = 0 AND y.doc % 3 = 0 THEN CAST(((x.doc + y.doc) * 13) % 101 AS DOUBLE) / 100 ELSE 0.0 END AS code_score,
-    length(x.text) AS na, length(y.text) AS nb
-  FROM docs x JOIN docs y ON x.batch = y.batch AND x.doc < y.doc AND y.doc - x.doc <= 100),
-pairs AS (SELECT batch, a, b, fused, code_score, CASE WHEN fused < 0.3 THEN 'unknown' WHEN abs(na - nb) < 0.02 * greatest(na, nb) THEN 'mutual'
-    WHEN na < nb THEN 'a_to_b' ELSE 'b_to_a' END AS copy_direction FROM pairs0)"""
-
 ANNOTATIONS = """annotations AS (SELECT doc_id AS doc, CASE WHEN toxic = 1 AND quality = 1 THEN 'mixed' WHEN toxic = 1 THEN 'ai_generated' WHEN quality = 0 THEN 'plagiarized' ELSE 'human' END AS label,
     0.5::DOUBLE + (doc_id % 50) / 100 AS confidence, 'note ' || doc_id AS notes, doc_id AS created_at FROM labels)"""
 
@@ -130,5 +169,11 @@ def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def with_(*parts: str) -> str:
-    return "WITH " + ",\n".join(parts) + "\n"
+def with_(*parts: str | tuple) -> str:
+    """A WITH clause of the parts, each once."""
+
+    def flat(xs):
+        for x in xs:
+            yield from flat(x) if isinstance(x, tuple) else (x,)
+
+    return "WITH " + ",\n".join(dict.fromkeys(flat(parts))) + "\n"

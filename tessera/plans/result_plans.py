@@ -26,7 +26,7 @@ def _export(s, d):
 
 Q["a6_export_json"] = _export
 SQL["a6_export_json"] = base.with_(base.DOCS, base.AI, base.RISKS, base.BATCHES, base.PAIRS) + """SELECT b.batch, b.name, (SELECT count(*) FROM docs d WHERE d.batch = b.batch) AS n,
-  (SELECT count(*) FROM docs d WHERE d.batch = b.batch AND d.doc % 11 = 0) AS n_unscored, (SELECT count(*) FROM pairs p WHERE p.batch = b.batch) AS n_pairs FROM batches b"""
+  (SELECT count(*) FROM docs d WHERE d.batch = b.batch AND d.doc NOT IN (SELECT doc FROM risks)) AS n_unscored, (SELECT count(*) FROM pairs p WHERE p.batch = b.batch) AS n_pairs FROM batches b"""
 Q["a7_export_csv"] = lambda s, d: io.export_csv_rows(base.docs(s, d), base.risks(s, d), base.ai(s, d)).select("submission_id", "student_id", "student_name", "risk_level", "ai_probability", "text_sim_max", "code_sim_max", "weight_profile")
 _PCT = "CASE WHEN {0} IS NULL THEN 'N/A' ELSE format('{{:.1f}}', {0} * 100) END"
 SQL["a7_export_csv"] = _R + f"""SELECT CAST(d.doc AS VARCHAR) AS submission_id, student_id, coalesce(student_name, 'Unknown') AS student_name, coalesce(upper(risk_level), 'N/A') AS risk_level,
@@ -88,13 +88,13 @@ FROM docs x JOIN docs y ON x.batch = y.batch LEFT JOIN pairs p ON p.a = least(x.
 Q["g3_dense_matrix"] = lambda s, d: results.dense_matrix(results.heatmap_cells(base.docs(s, d), base.pairs(s, d), C("student_id"))).select("batch", F.size("labels").cast("long").alias("n"), F.element_at("labels", 1).alias("first"), F.element_at(F.element_at("matrix", 1), 2).alias("cell"))
 SQL["g3_dense_matrix"] = _P + """, l AS (SELECT batch, list(doc ORDER BY student_id) AS ds, list(student_id ORDER BY student_id) AS ls FROM docs GROUP BY 1)
 SELECT l.batch, len(ls) AS n, ls[1] AS first, CAST(coalesce(fused, 0.0) AS DOUBLE) AS cell FROM l LEFT JOIN pairs p ON p.a = least(ds[1], ds[2]) AND p.b = greatest(ds[1], ds[2])"""
-Q["g4_pairs_of_submission"] = lambda s, d: results.pairs_of(base.pairs(s, d), 100, base.docs(s, d)).select("a", "b", "peer", "student_name", "fused")
-SQL["g4_pairs_of_submission"] = _P + "SELECT a, b, d.doc AS peer, d.student_name, fused FROM pairs JOIN docs d ON d.doc = CASE WHEN a = 100 THEN b ELSE a END WHERE a = 100 OR b = 100"
+Q["g4_pairs_of_submission"] = lambda s, d: results.pairs_of(base.pairs(s, d), 132, base.docs(s, d)).select("a", "b", "peer", "student_name", "fused")
+SQL["g4_pairs_of_submission"] = _P + "SELECT a, b, d.doc AS peer, d.student_name, fused FROM pairs JOIN docs d ON d.doc = CASE WHEN a = 132 THEN b ELSE a END WHERE a = 132 OR b = 132"
 Q["g5_top_pairs"] = lambda s, d: results.top_pairs(base.pairs(s, d)).select("batch", "a", "b", "rank", "percent", "level")
 SQL["g5_top_pairs"] = _P + """SELECT batch, a, b, CAST(row_number() OVER (PARTITION BY batch ORDER BY fused DESC, a, b) AS INTEGER) AS rank, CAST(round(fused * 100) AS BIGINT) AS percent,
   CASE WHEN round(fused * 100) >= 70 THEN 'high' WHEN round(fused * 100) >= 35 THEN 'moderate' ELSE 'low' END AS level FROM pairs"""
-Q["g6_batches_with_counts"] = lambda s, d: results.batches_with_counts(base.batches(s, d), base.docs(s, d).where("doc % 2 = 0")).select("batch", "status", "n_submissions").orderBy(F.desc("n_submissions"), "batch")
-SQL["g6_batches_with_counts"] = base.with_(base.DOCS, base.BATCHES) + "SELECT b.batch, status, count(d.doc) AS n_submissions FROM batches b LEFT JOIN docs d ON d.batch = b.batch AND d.doc % 2 = 0 GROUP BY ALL"
+Q["g6_batches_with_counts"] = lambda s, d: results.batches_with_counts(base.batches(s, d), base.docs(s, d)).select("batch", "status", "n_submissions").orderBy(F.desc("n_submissions"), "batch")
+SQL["g6_batches_with_counts"] = base.with_(base.DOCS, base.BATCHES) + "SELECT b.batch, status, count(d.doc) AS n_submissions FROM batches b LEFT JOIN docs d ON d.batch = b.batch GROUP BY ALL"
 Q["g7_batch_search"] = lambda s, d: results.search_batches(base.batches(s, d), "SRC1", "processing").select("batch", "status")
 SQL["g7_batch_search"] = _B + "SELECT batch, status FROM batches WHERE contains(lower(name), 'src1') AND status IN ('pending', 'processing')"
 Q["g8_audit_query"] = lambda s, d: results.audit_query(audit(s, d).where("id is not null"), action="BATCH", limit=100, offset=20).select("id", "action", "category", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"))

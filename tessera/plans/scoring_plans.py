@@ -38,43 +38,23 @@ x AS (SELECT *, round(0.55::DOUBLE * p + 0.45::DOUBLE * t, 5) AS weighted_score,
 SELECT batch, doc, CAST(row_number() OVER (PARTITION BY batch ORDER BY weighted_score DESC, doc) AS INTEGER) AS position, round(t, 5) AS text_sim_max, round(p, 5) AS ai_prob, weighted_score,
   CASE WHEN full_score >= 0.7 THEN 'high' WHEN full_score >= 0.4 THEN 'medium' ELSE 'low' END AS risk_level FROM x"""
 
-BIGRAM = r"""lw AS (SELECT batch, doc, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS w FROM docs),
-bi AS (SELECT doc, w[i] AS w2, CASE WHEN i = 1 THEN '<s>' ELSE w[i - 1] END AS w1 FROM (SELECT doc, w, unnest(range(1, len(w) + 1)) AS i FROM lw)),
-c12 AS (SELECT w1, w2, count(*) AS n12 FROM bi GROUP BY ALL), c1 AS (SELECT w1, sum(n12) AS n1 FROM c12 GROUP BY 1), v AS (SELECT count(DISTINCT w2) AS v FROM c12)"""
-PPL = """, ppl AS (SELECT doc, exp(-avg(ln((n12 + 0.5) / (n1 + 0.5 * v)))) AS perplexity FROM bi JOIN c12 USING (w1, w2) JOIN c1 USING (w1), v GROUP BY 1)"""
-
-
+BIGRAM = base.BIGRAM
 def _model(s, d):
     return authorship.BigramModel(base.docs(s, d))
 
 
 Q["e1_perplexity"] = lambda s, d: _model(s, d).perplexity(base.docs(s, d).select("doc", "text"), ["doc"]).withColumn("perplexity", F.round("perplexity", 4))
-SQL["e1_perplexity"] = base.with_(base.DOCS, BIGRAM) + PPL + " SELECT doc, round(perplexity, 4) AS perplexity FROM ppl"
+SQL["e1_perplexity"] = base.with_(base.DOCS, BIGRAM, base.PPL) + " SELECT doc, round(perplexity, 4) AS perplexity FROM ppl"
 Q["e2_burstiness"] = lambda s, d: authorship.burstiness(base.docs(s, d), _model(s, d)).withColumn("burstiness", F.round(C("burstiness") / 1000, 4))
-SQL["e2_burstiness"] = base.with_(base.DOCS, SENT, BIGRAM) + r""", ls AS (SELECT doc, list_filter(s, lambda x: len(list_filter(regexp_split_to_array(x, '\s+'), lambda y: y <> '')) > 5) AS s FROM sent),
-pick AS (SELECT doc, s, CASE WHEN len(s) > 12 THEN list_transform(range(0, 12), lambda i: CAST(floor(i * (len(s) - 1) / 11) AS BIGINT)) ELSE range(0, len(s)) END AS p FROM ls WHERE len(s) >= 3),
-ch AS (SELECT doc, i, s[p[i] + 1] AS t FROM (SELECT doc, s, p, unnest(range(1, len(p) + 1)) AS i FROM pick)),
-sw AS (SELECT doc, i, list_filter(regexp_split_to_array(lower(t), '\s+'), lambda x: x <> '') AS w FROM ch),
-sb AS (SELECT doc, i, w[j] AS w2, CASE WHEN j = 1 THEN '<s>' ELSE w[j - 1] END AS w1 FROM (SELECT doc, i, w, unnest(range(1, len(w) + 1)) AS j FROM sw)),
-sp AS (SELECT doc, i, exp(-avg(ln((coalesce(n12, 0) + 0.5) / (coalesce(n1, 0) + 0.5 * v)))) AS p FROM sb LEFT JOIN c12 USING (w1, w2) LEFT JOIN c1 USING (w1), v GROUP BY ALL)
-SELECT doc, round(var_pop(p) / 1000, 4) AS burstiness FROM sp GROUP BY 1"""
-
-
-def _signal_rows(s, d):
-    """Fixed perplexity and burstiness beside the measured style; some missing."""
-    x = C("doc")
-    return base.docs(s, d).select(
-        "doc", "batch", F.when(x % 4 != 0, 10.0 + (x * 17) % 250).alias("perplexity"), F.when(x % 3 != 0, ((x * 7) % 120).cast("double")).alias("burstiness"), T.stylometric(C("text")).alias("stylometric")
-    )
-
-
-SIGNALS = """sig AS (SELECT d.doc, d.batch, CASE WHEN d.doc % 4 <> 0 THEN 10.0::DOUBLE + (d.doc * 17) % 250 END AS perplexity, CASE WHEN d.doc % 3 <> 0 THEN CAST((d.doc * 7) % 120 AS DOUBLE) END AS burstiness, stylometric
-  FROM docs d JOIN stylometric s ON s.doc = d.doc),
-parts AS (SELECT *, least(greatest(1.0::DOUBLE - (perplexity - 20) / 180, 0.0), 1.0) AS p1, least(greatest(1.0::DOUBLE - burstiness / 100, 0.0), 1.0) AS p2 FROM sig),
+SQL["e2_burstiness"] = base.with_(base.DOCS, base.SENT, BIGRAM, base.BURST) + "SELECT doc, round(burstiness / 1000, 4) AS burstiness FROM bst"
+
+
+_signal_rows = base.signals
+SIGNALS = (*base.SIGNALS, """parts AS (SELECT *, least(greatest(1.0::DOUBLE - (perplexity - 20) / 180, 0.0), 1.0) AS p1, least(greatest(1.0::DOUBLE - burstiness / 100, 0.0), 1.0) AS p2 FROM sig),
 heur AS (SELECT *, CASE WHEN perplexity IS NULL AND burstiness IS NULL AND stylometric IS NULL THEN 0.0 ELSE
   ((CASE WHEN perplexity IS NULL THEN 0.0 ELSE p1 END) + (CASE WHEN burstiness IS NULL THEN 0.0 ELSE p2 END) + coalesce(stylometric, 0.0))
-  / ((perplexity IS NOT NULL)::INT + (burstiness IS NOT NULL)::INT + (stylometric IS NOT NULL)::INT) END AS h FROM parts)"""
-_S = base.with_(base.DOCS, SENT, STYLE, SIGNALS)
+  / ((perplexity IS NOT NULL)::INT + (burstiness IS NOT NULL)::INT + (stylometric IS NOT NULL)::INT) END AS h FROM parts)""")
+_S = base.with_(base.DOCS, SIGNALS)
 Q["e5_heuristic"] = lambda s, d: _signal_rows(s, d).select("doc", F.round(scores.heuristic_probability(C("perplexity"), C("burstiness"), C("stylometric")), 6).alias("p"))
 SQL["e5_heuristic"] = _S + "SELECT doc, round(h, 6) AS p FROM heur"
 
@@ -85,8 +65,8 @@ def _external(s, d):
 
 Q["e7_blend"] = lambda s, d: authorship.probability(_signal_rows(s, d), external=_external(s, d)).select("doc", F.round("ai_prob", 6).alias("ai_prob"), "source")
 SQL["e7_blend"] = _S + "SELECT doc, round(CASE WHEN doc % 6 = 0 THEN 0.5::DOUBLE * h + 0.5::DOUBLE * (CAST((doc * 31) % 101 AS DOUBLE) / 100) ELSE h END, 6) AS ai_prob, CASE WHEN doc % 6 = 0 THEN 'fused' ELSE 'local' END AS source FROM heur"
-Q["e8_unscored"] = lambda s, d: authorship.unscored(base.docs(s, d), base.ai(s, d)).select("batch", "doc")
-SQL["e8_unscored"] = base.with_(base.DOCS, base.AI) + "SELECT batch, doc FROM docs WHERE doc NOT IN (SELECT doc FROM ai)"
+Q["e8_unscored"] = lambda s, d: authorship.unscored(base.docs(s, d), base.ai(s, d).join(base.annotations(s, d), "doc", "left_semi")).select("batch", "doc")
+SQL["e8_unscored"] = base.with_(base.DOCS, base.AI, base.ANNOTATIONS) + "SELECT batch, doc FROM docs WHERE doc NOT IN (SELECT doc FROM ai JOIN annotations USING (doc))"
 BAND = "CASE WHEN ai_prob IS NULL OR ai_prob < 0.40 THEN 'AUTHENTIC_HUMAN' WHEN ai_prob <= 0.75 THEN 'INCONCLUSIVE_HUMAN_REVIEW_REQUIRED' ELSE 'PROBABLE_SYNTHETIC_GENERATION' END"
 Q["e9_confidence_band"] = lambda s, d: base.docs(s, d).join(base.ai(s, d), "doc", "left").groupBy(scores.confidence_band(C("ai_prob")).alias("band")).agg(F.count("*").alias("n"))
 SQL["e9_confidence_band"] = base.with_(base.DOCS, base.AI) + f"SELECT {BAND} AS band, count(*) AS n FROM docs LEFT JOIN ai ON ai.doc = docs.doc GROUP BY 1"
@@ -102,7 +82,7 @@ def _assessed(s, d):
 
 
 Q["e12_signal_assessments"] = _assessed
-SQL["e12_signal_assessments"] = base.with_(base.DOCS, SENT, STYLE, SIGNALS, base.AI, base.RISKS, base.BATCHES, base.MARKED) + """SELECT s.doc,
+SQL["e12_signal_assessments"] = base.with_(base.DOCS, SIGNALS, base.RISKS, base.BATCHES, base.MARKED) + """SELECT s.doc,
   CASE WHEN coalesce(perplexity, 0) <= 0 THEN 'indeterminate' WHEN perplexity < 28 THEN 'synthetic' WHEN perplexity < 55 THEN 'borderline' ELSE 'human' END AS perplexity,
   CASE WHEN coalesce(burstiness, 0) <= 0 THEN 'indeterminate' WHEN burstiness < 12 THEN 'uniform' WHEN burstiness < 22 THEN 'mixed' ELSE 'natural' END AS burstiness,
   CASE WHEN ai_prob < 0.30 THEN 'AUTHENTIC HUMAN' WHEN ai_prob <= 0.65 THEN 'HUMAN AUDIT REQUIRED' ELSE 'PROBABLE SYNTHETIC' END AS ai_band,

@@ -76,20 +76,14 @@ def _signatures(s, d):
 
 Q["c8_minhash"] = lambda s, d: _signatures(s, d).select("batch", "doc", F.posexplode("signature").alias("i", "m")).groupBy("batch", "doc").agg(F.sum((C("i") + 1) * (C("m") % 1000003)).alias("check_sum"))
 SQL["c8_minhash"] = _S + "SELECT batch, doc, CAST(sum((i + 1) * (m % 1000003)) AS BIGINT) AS check_sum FROM sg GROUP BY ALL"
-Q["c9_lsh_pairs"] = lambda s, d: _lsh_closed(similarity.lsh_candidates(_signatures(s, d)), _signatures(s, d))
-
-
-def _lsh_closed(cand, sigs):
-    """Candidates between classes of equal signatures, each class by its smallest document."""
-    rep = sigs.groupBy("batch", "signature").agg(F.min("doc").alias("doc"))
-    keep = lambda side: rep.select("batch", C("doc").alias(side))
-    return cand.join(keep("a"), ["batch", "a"]).join(keep("b"), ["batch", "b"]).select("batch", "a", "b")
+Q["c9_lsh_pairs"] = lambda s, d: similarity.lsh_candidates(_signatures(s, d))  # pairs of representatives, and each copy with its own
 
 
 SQL["c9_lsh_pairs"] = _S + """, band AS (SELECT batch, doc, i // 4 AS band, list(m ORDER BY i) AS k FROM sg GROUP BY ALL),
-whole AS (SELECT batch, doc, list(m ORDER BY i) AS k FROM sg GROUP BY ALL), rep AS (SELECT batch, min(doc) AS doc FROM whole GROUP BY batch, k)
+whole AS (SELECT batch, doc, list(m ORDER BY i) AS k FROM sg GROUP BY ALL), rep AS (SELECT batch, k, min(doc) AS doc FROM whole GROUP BY batch, k)
 SELECT DISTINCT x.batch, x.doc AS a, y.doc AS b FROM band x JOIN band y ON x.batch = y.batch AND x.band = y.band AND x.k = y.k AND x.doc < y.doc
-JOIN rep p ON p.batch = x.batch AND p.doc = x.doc JOIN rep q ON q.batch = y.batch AND q.doc = y.doc"""
+JOIN rep p ON p.batch = x.batch AND p.doc = x.doc JOIN rep q ON q.batch = y.batch AND q.doc = y.doc
+UNION SELECT w.batch, r.doc, w.doc FROM whole w JOIN rep r ON r.batch = w.batch AND r.k = w.k WHERE r.doc <> w.doc"""
 
 
 def _estimates(s, d):
@@ -126,14 +120,13 @@ def _pair_corpora(s, d, pairs):
     return similarity.tfidf_pairs(similarity.tfidf_vectors(docs))
 
 
-Q["c12_pair_fitted_tfidf"] = lambda s, d: _pair_corpora(s, d, base.pairs(s, d).where("fused >= 0.95")).select("a", "b", F.round("tfidf", 5).alias("tfidf"))
+Q["c12_pair_fitted_tfidf"] = lambda s, d: _pair_corpora(s, d, base.pairs(s, d)).select("a", "b", F.round("tfidf", 5).alias("tfidf"))
 SQL["c12_pair_fitted_tfidf"] = (
-    base.with_(base.DOCS.replace("docs AS", "docs0 AS", 1), base.PAIRS.replace("FROM docs x JOIN docs y", "FROM docs0 x JOIN docs0 y"),
-    "own AS (SELECT a || '-' || b AS batch, unnest([a, b]) AS doc FROM pairs WHERE fused >= 0.95)", "docs AS (SELECT own.batch, own.doc, text FROM own JOIN docs0 ON docs0.doc = own.doc)", TOKENS, TFIDF)
+    base.with_(base.DOCS.replace("docs AS", "docs0 AS", 1), base.SENT.replace("FROM docs", "FROM docs0"), base.PAIRS[1].replace("JOIN docs ", "JOIN docs0 "),
+    "own AS (SELECT a || '-' || b AS batch, unnest([a, b]) AS doc FROM pairs)", "docs AS (SELECT own.batch, own.doc, text FROM own JOIN docs0 ON docs0.doc = own.doc)", TOKENS, TFIDF)
     + "SELECT a, b, round(tfidf, 5) AS tfidf FROM sims"
 )
-
-# c12 keeps the id window of its SQL; this one takes the same candidates as c11
+# the same over the pairs that share a signature band
 Q["c12_candidates_tfidf"] = lambda s, d: _pair_corpora(s, d, similarity.lsh_candidates(_signatures(s, d))).select("a", "b", F.round("tfidf", 5).alias("tfidf"))
 
 Q["c13_matched_sentences"] = lambda s, d: similarity.matched_sentences(base.docs(s, d)).withColumn("n_chars", C("n_chars").cast("long"))
@@ -156,17 +149,20 @@ _BLOCKS = [
 
 
 def blocks(s, d):
-    """Two documents in three hold a block; its names come from the document's first words."""
+    """Every document has a block after one of three templates; its names come from the document's first words."""
     word = F.regexp_extract("text", "([A-Za-z]{3,})", 1)
     template = F.element_at(F.array(*map(F.lit, _BLOCKS)), (C("doc") % 3 + 1).cast("int"))
     block = F.replace(F.replace(template, F.lit("{k}"), (C("doc") % 5).cast("string")), F.lit("total"), F.concat(F.lit("f_"), word))
-    return base.docs(s, d).where("doc % 4 != 0").select("batch", "doc", F.array(block, F.concat(block, F.lit("\nx = 1"))).alias("blocks"))
+    return base.docs(s, d).select("batch", "doc", F.array(block, F.concat(block, F.lit("\nx = 1"))).alias("blocks"))
 
 
-Q["d1_language"] = lambda s, d: blocks(s, d).select("doc", code.language(F.element_at("blocks", 1)).alias("language"))
-SQL["d1_language"] = _D + "SELECT doc, CASE doc % 3 WHEN 0 THEN 'python' WHEN 1 THEN 'c' ELSE 'java' END AS language FROM docs WHERE doc % 4 <> 0"
-Q["d2_renamed_tokens"] = lambda s, d: blocks(s, d).where("doc % 3 = 0").select("doc", F.array_join(code.renamed_tokens(F.element_at("blocks", 1)), " ").alias("tokens"))
-SQL["d2_renamed_tokens"] = _D + "SELECT doc, 'def var0 ( var1 ) : var2 = 0 for var3 in var1 : var2 + = var3 * ' || (doc % 5) || ' return var2' AS tokens FROM docs WHERE doc % 4 <> 0 AND doc % 3 = 0"
+Q["d1_language"] = lambda s, d: blocks(s, d).join(base.docs(s, d).select("doc", "text"), "doc").select("doc", code.language(F.concat_ws("\n", F.element_at("blocks", 1), "text")).alias("language"))
+_BLOCK_SQL = ", b AS (SELECT doc, replace(replace([" + ", ".join("'" + b.replace("'", "''") + "'" for b in _BLOCKS) + r"][doc % 3 + 1], '{k}', CAST(doc % 5 AS VARCHAR)), 'total', 'f_' || regexp_extract(text, '([A-Za-z]{3,})', 1)) || chr(10) || text AS t FROM docs)"
+SQL["d1_language"] = _D + _BLOCK_SQL + ", m AS (SELECT doc, [" + ", ".join(f"{{'n': len(regexp_extract_all(t, '{p}')), 'o': {-i}, 'name': '{n}'}}" for i, (n, p) in enumerate(code.LANGUAGE_MARKS.items())) + "] AS m FROM b) SELECT doc, list_max(m).name AS language FROM m"
+Q["d2_renamed_tokens"] = lambda s, d: blocks(s, d).select("doc", F.array_join(code.renamed_tokens(F.element_at("blocks", 1)), " ").alias("tokens"))
+SQL["d2_renamed_tokens"] = _D + """SELECT doc, CASE doc % 3 WHEN 0 THEN 'def var0 ( var1 ) : var2 = 0 for var3 in var1 : var2 + = var3 * ' || (doc % 5) || ' return var2'
+  WHEN 1 THEN '# include < var0 . var1 > int main ( ) { printf ( "%d" , ' || (doc % 5) || ' ) ; return 0 ; }'
+  ELSE 'public class var0 { private int var1 ; public int var2 ( ) { return var1 ; } }' END AS tokens FROM docs"""
 
 
 def _code_scores(s, d, pairs):
@@ -178,7 +174,6 @@ def _code_candidates(s, d):
 
 
 Q["d3_d5_code_score"] = lambda s, d: _code_scores(s, d, _code_candidates(s, d)).withColumn("code_score", F.round("code_score", 6))
-Q["d5_has_both"] = lambda s, d: _code_scores(s, d, base.pairs(s, d).where("fused >= 0.5").select("batch", "a", "b")).groupBy("batch").agg(F.count_if(C("code_score") > 0).alias("n_scored"), F.count_if(C("code_score") >= 0.999).alias("n_equal"), F.count("*").alias("n"))
-SQL["d5_has_both"] = base.with_(base.DOCS, base.PAIRS) + """SELECT batch, count(*) FILTER (WHERE a % 4 <> 0 AND b % 4 <> 0) AS n_scored,
-  count(*) FILTER (WHERE a % 4 <> 0 AND b % 4 <> 0 AND a % 3 = b % 3 AND a % 5 = b % 5) AS n_equal, count(*) AS n FROM pairs WHERE fused >= 0.5 GROUP BY 1"""
+Q["d5_has_both"] = lambda s, d: _code_scores(s, d, base.pairs(s, d).select("batch", "a", "b")).groupBy("batch").agg(F.count_if(C("code_score") > 0).alias("n_scored"), F.count_if(C("code_score") >= 0.999).alias("n_equal"), F.count("*").alias("n"))
+SQL["d5_has_both"] = base.with_(base.DOCS, base.PAIRS) + """SELECT batch, count(*) AS n_scored, count(*) FILTER (WHERE a % 3 = b % 3 AND (a % 5 = b % 5)) AS n_equal, count(*) AS n FROM pairs GROUP BY 1"""
 Q["d6_code_candidates"] = lambda s, d: _code_candidates(s, d).groupBy("batch").agg(F.count("*").alias("n"))

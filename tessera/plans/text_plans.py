@@ -35,11 +35,14 @@ SQL["a3_content_hash"] = _D + """, h AS (SELECT batch, doc, sha256(text) AS cont
 SELECT batch, doc, content_hash, count(*) OVER (PARTITION BY batch, content_hash) AS n_same, batch || '/' || content_hash || '.pdf' AS stored_path FROM h"""
 
 _ODD = "concat('ﬁne ', chr(8203), 'x', chr(173), chr(8206), text)"
-Q["b1_sanitize"] = lambda s, d: _docs(s, d).select("doc", F.md5(T.sanitize(F.concat(F.lit("ﬁne ​x­‎"), "text"))).alias("h"))
+Q["b1_sanitize"] = lambda s, d: T.sanitized(_docs(s, d).select("doc", F.concat(F.lit("ﬁne \u200bx\u00ad\u200e"), "text").alias("t")), "t").select("doc", F.md5("t").alias("h"))
 SQL["b1_sanitize"] = _D + "SELECT doc, md5('fine x' || nfc_normalize(text)) AS h FROM docs"
 
-Q["b2_strip_markdown"] = lambda s, d: _docs(s, d).select("doc", F.substring(T.strip_markdown(F.concat(F.lit("![i](a.png) [label "), C("doc").cast("string"), F.lit("](http://x.y) "), "text")), 1, 60).alias("head"))
-SQL["b2_strip_markdown"] = _D + r"SELECT doc, substring(regexp_replace(regexp_replace('![i](a.png) [label ' || doc || '](http://x.y) ' || text, '!\[.*?\]\(.*?\)', '', 'g'), '\[(.*?)\]\(.*?\)', '\1', 'g'), 1, 60) AS head FROM docs"
+Q["b2_strip_markdown"] = lambda s, d: (
+    _docs(s, d).select("doc", T.strip_markdown(F.concat(F.lit("![i](a.png) [label "), C("doc").cast("string"), F.lit("](http://x.y) "), "text")).alias("t")).select("doc", F.length("t").cast("long").alias("n"), F.md5("t").alias("h"))
+)
+SQL["b2_strip_markdown"] = _D + r""", t AS (SELECT doc, regexp_replace(regexp_replace('![i](a.png) [label ' || doc || '](http://x.y) ' || text, '!\[.*?\]\(.*?\)', '', 'g'), '\[(.*?)\]\(.*?\)', '\1', 'g') AS t FROM docs)
+SELECT doc, length(t) AS n, md5(t) AS h FROM t"""
 
 
 def _cover(s, d):
@@ -50,17 +53,33 @@ def _cover(s, d):
         .when(C("doc") % 4 == 2, F.concat(F.lit("Nr 2024-1-60-"), F.lpad(k, 3, "0"), F.lit("\nCourse Name: Algorithms\n")))
         .otherwise(F.lit("Student ID: section\nStudent Name: Lab Report\n"))
     )
-    return _docs(s, d).select("doc", head.alias("cover"))
+    return _docs(s, d).select("doc", F.concat(head, "text").alias("cover"))
 
 
-_COVER = """, c AS (SELECT doc, CASE doc % 4 WHEN 0 THEN 'Student ID: UG-' || doc || chr(10) || 'Student Name: Ada Lee ' || doc || ' Roll: 7' || chr(10)
+_COVER = """, c AS (SELECT doc, substring(CASE doc % 4 WHEN 0 THEN 'Student ID: UG-' || doc || chr(10) || 'Student Name: Ada Lee ' || doc || ' Roll: 7' || chr(10)
   WHEN 1 THEN 'ID: X' || doc || chr(10) || 'Name: Bo Chan | Section B' || chr(10) WHEN 2 THEN 'Nr 2024-1-60-' || lpad(CAST(doc AS VARCHAR), 3, '0') || chr(10) || 'Course Name: Algorithms' || chr(10)
-  ELSE 'Student ID: section' || chr(10) || 'Student Name: Lab Report' || chr(10) END AS cover FROM docs)"""
+  ELSE 'Student ID: section' || chr(10) || 'Student Name: Lab Report' || chr(10) END || text, 1, 3000) AS head FROM docs)"""
+
+
+def _lit(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def _sql_found(text: str, pattern: str) -> str:
+    return f"nullif(trim(regexp_extract({text}, {_lit(pattern)}, 1)), '')"
+
+
+_WORDS = "[" + ", ".join(f"'{w}'" for w in params.NOT_AN_ID) + "]"
 Q["b3_student_id"] = lambda s, d: _cover(s, d).select("doc", T.student_id(C("cover")).alias("student_id"))
-SQL["b3_student_id"] = _D + _COVER + """ SELECT doc, CASE doc % 4 WHEN 0 THEN 'UG-' || doc WHEN 1 THEN 'X' || doc
-  WHEN 2 THEN CASE WHEN doc < 1000 THEN '2024' ELSE '2024' END END AS student_id FROM c"""
+SQL["b3_student_id"] = _D + _COVER + f""", f AS (SELECT doc, {_sql_found('head', T.LABELLED_ID)} AS one, {_sql_found('head', T.PLAIN_ID)} AS two, {_sql_found('head', T.BARE_ID)} AS three FROM c)
+SELECT doc, coalesce(CASE WHEN NOT list_contains({_WORDS}, lower(one)) AND (regexp_matches(one, '[0-9]') OR length(one) >= 3) THEN one END,
+  CASE WHEN NOT list_contains({_WORDS}, lower(two)) AND regexp_matches(two, '[0-9]') THEN two END, three) AS student_id FROM f"""
 Q["b4_student_name"] = lambda s, d: _cover(s, d).select("doc", T.student_name(C("cover")).alias("student_name"))
-SQL["b4_student_name"] = _D + "SELECT doc, CASE doc % 4 WHEN 0 THEN 'Ada Lee ' || doc WHEN 1 THEN 'Bo Chan' END AS student_name FROM docs"
+_NO_OTHER = r"regexp_replace(head, '(?i)\b(Program|Project|Course|File|Assignment|Lab|Topic|Subject|Function|Class)(\s)Name', '\1\2N-ame', 'g')"
+SQL["b4_student_name"] = _D + _COVER + rf""", f AS (SELECT doc, coalesce({_sql_found('head', T.LABELLED_NAME)},
+  {_sql_found(_NO_OTHER, r"(?i)\bName\s*[:\-\s=]+\s*([^\r\n]{2,80})")}) AS raw FROM c),
+g AS (SELECT doc, regexp_replace(regexp_split_to_array(raw, {_lit(T.NAME_END)})[1], '^[ :\-–\t]+|[ :\-–\t]+$', '', 'g') AS name FROM f)
+SELECT doc, CASE WHEN length(name) >= 2 AND NOT coalesce(list_has_any(regexp_extract_all(lower(name), '\b([a-z]+)\b', 1), {_WORDS}), false) THEN name END AS student_name FROM g"""
 
 _CODE = "intro line\ndef f(x):\n    return x\n\nplain one\nplain two\nplain three\nint y = {k};\n```py\nprint({k})\n```\nlast"
 
@@ -69,8 +88,9 @@ def _coded(s, d):
     return _docs(s, d).select("doc", F.replace(F.lit(_CODE), F.lit("{k}"), C("doc").cast("string")).alias("t"), "text")
 
 
-Q["b5_fenced_code"] = lambda s, d: _coded(s, d).select("doc", F.array_join(T.fenced_code(C("t")), "|").alias("fenced"), F.length(T.without_fences(C("t"))).cast("long").alias("n"))
-SQL["b5_fenced_code"] = _D + f"""SELECT doc, 'print(' || doc || ')' || chr(10) AS fenced, {len(_CODE.replace("```py\nprint({k})\n```", "")) - 3} + length(CAST(doc AS VARCHAR)) AS n FROM docs"""
+_T = ", t AS (SELECT doc, replace(('{}'), '{{k}}', CAST(doc AS VARCHAR)) || chr(10) || text AS t FROM docs)".format(_CODE.replace("\n", "' || chr(10) || '"))
+Q["b5_fenced_code"] = lambda s, d: _coded(s, d).select("doc", F.array_join(T.fenced_code(F.concat_ws("\n", "t", "text")), "|").alias("fenced"), F.length(T.without_fences(F.concat_ws("\n", "t", "text"))).cast("long").alias("n"))
+SQL["b5_fenced_code"] = _D + _T + f" SELECT doc, array_to_string(regexp_extract_all(t, {_lit(T.FENCE)}, 1), '|') AS fenced, length(regexp_replace(t, {_lit(T.FENCE)}, '', 'g')) AS n FROM t"
 
 Q["b6_code_lines"] = lambda s, d: _coded(s, d).select("doc", F.explode(F.split(F.concat_ws("\n", "t", "text"), "\n")).alias("l")).groupBy("doc").agg(F.count_if(T.is_code_line(C("l"))).alias("n_code"), F.count("*").alias("n"))
 _marks = " OR ".join(["contains(l, '{}')".format(m) for m in params.CODE_MARKS] + [f"ends_with(trim(l), '{e}')" for e in params.CODE_ENDS] + [f"starts_with(trim(l), '{x}')" for x in params.CODE_STARTS])
@@ -93,7 +113,7 @@ TOKENS = f"tok AS (SELECT batch, doc, list_filter(regexp_split_to_array(lower(te
 Q["b10_content_tokens"] = lambda s, d: _docs(s, d).select("doc", T.content_tokens(C("text")).alias("w")).select("doc", F.size("w").cast("long").alias("n"), F.md5(F.array_join("w", " ")).alias("h"))
 SQL["b10_content_tokens"] = base.with_(base.DOCS, TOKENS) + "SELECT doc, len(w) AS n, md5(array_to_string(w, ' ')) AS h FROM tok"
 
-SENT = r"sent AS (SELECT batch, doc, list_filter(list_transform(regexp_split_to_array(text, '[.!?]+'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS s, text FROM docs)"
+SENT, STYLE = base.SENT, base.STYLE
 Q["b11_sentences"] = lambda s, d: _docs(s, d).select("doc", T.sentences(C("text")).alias("s")).select("doc", F.size("s").cast("long").alias("n"), F.md5(F.array_join("s", "|")).alias("h"))
 SQL["b11_sentences"] = base.with_(base.DOCS, SENT) + "SELECT doc, len(s) AS n, md5(array_to_string(s, '|')) AS h FROM sent"
 
@@ -105,10 +125,6 @@ SELECT doc, len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '
 Q["b13_safe_name"] = lambda s, d: _docs(s, d).select("doc", T.safe_name(F.when(C("doc") % 2 == 0, F.concat(F.lit("A b/"), "student_id")), F.md5(C("doc").cast("string"))).alias("name"))
 SQL["b13_safe_name"] = _D + "SELECT doc, CASE WHEN doc % 2 = 0 THEN 'A_b_' || student_id ELSE substring(md5(CAST(doc AS VARCHAR)), 1, 8) END AS name FROM docs"
 
-STYLE = """style AS (SELECT doc, batch, text, len(w) AS nw, len(s) AS ns, len(list_distinct(list_transform(w, lambda x: lower(x)))) AS nd, length(text) - length(regexp_replace(text, '[.,;:!?]', '', 'g')) AS np
-  FROM (SELECT doc, batch, text, s, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM sent)),
-stylometric AS (SELECT doc, batch, CASE WHEN nw > 0 AND ns > 0 THEN least(greatest(0.3::DOUBLE * least(nw / ns / 25, 1.0::DOUBLE) + 0.4::DOUBLE * (1 - nd / nw)
-  + 0.3::DOUBLE * (1 - least(np / greatest(length(text), 1) * 10, 1.0::DOUBLE)), 0.0::DOUBLE), 1.0::DOUBLE) END AS stylometric FROM style)"""
 Q["e3_stylometric"] = lambda s, d: _docs(s, d).select("doc", F.round(T.stylometric(C("text")), 6).alias("stylometric"))
 SQL["e3_stylometric"] = base.with_(base.DOCS, SENT, STYLE) + "SELECT doc, round(stylometric, 6) AS stylometric FROM stylometric"
 

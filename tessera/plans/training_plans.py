@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from tessera.operators import training
 from tessera.plans import base
 from tessera.plans.scoring_plans import SIGNALS, _signal_rows
-from tessera.plans.text_plans import SENT, STYLE
 
 Q, SQL = {}, {}
 C = F.col
@@ -31,7 +30,7 @@ def _features(s, d):
 
 
 Q["h3_training_features"] = lambda s, d: _features(s, d).select("doc", "y", "perplexity", "burstiness", F.round("stylometric", 6).alias("stylometric"))
-SQL["h3_training_features"] = base.with_(base.DOCS, base.ANNOTATIONS, SENT, STYLE, SIGNALS, _Y) + """SELECT y.doc, y, coalesce(perplexity, 0.0) AS perplexity, coalesce(burstiness, 0.0) AS burstiness, round(coalesce(stylometric, 0.0), 6) AS stylometric
+SQL["h3_training_features"] = base.with_(base.DOCS, base.ANNOTATIONS, SIGNALS, _Y) + """SELECT y.doc, y, coalesce(perplexity, 0.0) AS perplexity, coalesce(burstiness, 0.0) AS burstiness, round(coalesce(stylometric, 0.0), 6) AS stylometric
 FROM y JOIN sig ON sig.doc = y.doc WHERE coalesce(perplexity, 0) <> 0 OR coalesce(burstiness, 0) <> 0 OR coalesce(stylometric, 0) <> 0"""
 Q["h4_stratified_split"] = lambda s, d: training.stratified_split(_set(s, d)).select("doc", "y", "is_test")
 SQL["h4_stratified_split"] = _A + ", " + _Y + " SELECT doc, y, percent_rank() OVER (PARTITION BY y ORDER BY CAST('0x' || substr(md5('42:' || doc), 1, 8) AS BIGINT), doc) < 0.2 AS is_test FROM y"
@@ -56,10 +55,11 @@ Q["h6_cross_validation"] = _auc
 
 
 def _probabilities(s, d):
-    return _set(s, d).select("doc", "y", base.share(C("doc"), 37).alias("p"))
+    return _set(s, d).select("doc", "y").join(base.ai(s, d).select("doc", C("ai_prob").alias("p")), "doc")
 
 
-_PROB = "p AS (SELECT doc, y, CAST((doc * 37) % 101 AS DOUBLE) / 100 AS p FROM y)"
+_PROB = "p AS (SELECT y.doc, y, ai_prob AS p FROM y JOIN ai ON ai.doc = y.doc)"
+_AP = base.with_(base.DOCS, base.ANNOTATIONS, base.AI)
 _CONF = "count(*) FILTER (p >= {t} AND y = 1) AS tp, count(*) FILTER (p >= {t} AND y = 0) AS fp, count(*) FILTER (p < {t} AND y = 0) AS tn, count(*) FILTER (p < {t} AND y = 1) AS fn"
 _RATES = """round((tp + tn) / (tp + fp + tn + fn), 6) AS accuracy, round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END, 6) AS "precision", round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END, 6) AS recall,
   round(CASE WHEN fp + tn > 0 THEN fp / (fp + tn) ELSE 0 END, 6) AS fpr, round(CASE WHEN tp > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END, 6) AS f1"""
@@ -70,11 +70,11 @@ def _rounded(df, *names):
 
 
 Q["h7_metrics"] = lambda s, d: _rounded(training.classification_metrics(_probabilities(s, d)), "auc")
-SQL["h7_metrics"] = _A + f""", {_Y}, {_PROB}, c AS (SELECT {_CONF.format(t='0.5')} FROM p), r AS (SELECT y, p, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2 AS r FROM p),
+SQL["h7_metrics"] = _AP + f""", {_Y}, {_PROB}, c AS (SELECT {_CONF.format(t='0.5')} FROM p), r AS (SELECT y, p, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2 AS r FROM p),
 a AS (SELECT (sum(r) FILTER (y = 1) - count(*) FILTER (y = 1) * (count(*) FILTER (y = 1) + 1) / 2) / (count(*) FILTER (y = 1) * count(*) FILTER (y = 0)) AS auc FROM r)
 SELECT tp, fp, tn, fn, {_RATES}, round(auc, 6) AS auc FROM c, a"""
 Q["h8_confusion"] = lambda s, d: _probabilities(s, d).groupBy((C("doc") % 5).alias("grp")).agg(*training.confusion(C("p") >= 0.6, C("y")))
-SQL["h8_confusion"] = _A + f", {_Y}, {_PROB} SELECT doc % 5 AS grp, {_CONF.format(t='0.6')} FROM p GROUP BY 1"
+SQL["h8_confusion"] = _AP + f", {_Y}, {_PROB} SELECT doc % 5 AS grp, {_CONF.format(t='0.6')} FROM p GROUP BY 1"
 
 
 def _summary(s, d):
@@ -90,20 +90,23 @@ SQL["h9_feature_summary"] = " UNION ALL ".join(
 
 
 def _names(s, d):
-    """File names of an evaluation set, one for each document of two sources: originals and copies by number."""
+    """File names of an evaluation set, one for each document: originals and copies by number, in sets by source."""
     k = F.floor(C("doc") / 2).cast("string")
-    return base.docs(s, d).where("batch in ('src2', 'src3')").select(F.concat(F.lit("para_"), F.when(C("doc") % 2 == 0, "orig").otherwise("copy"), F.lit("_"), k).alias("name"))
+    return base.docs(s, d).select(C("batch").alias("set"), F.concat(F.lit("para_"), F.when(C("doc") % 2 == 0, "orig").otherwise("copy"), F.lit("_"), k, F.lit("_"), "batch").alias("name"))
 
 
-_NAMES = "f AS (SELECT CASE WHEN doc % 2 = 0 THEN 'orig' ELSE 'copy' END AS role, doc // 2 AS i, 'para_' || CASE WHEN doc % 2 = 0 THEN 'orig' ELSE 'copy' END || '_' || (doc // 2) AS name FROM docs WHERE batch IN ('src2', 'src3'))"
-_LABELLED = """, l AS (SELECT 'para' AS class, x.name AS a, y.name AS b FROM f x JOIN f y ON x.role = 'orig' AND y.role = 'copy' AND x.i = y.i),
-u AS (SELECT 'unrelated' AS class, x.name AS a, y.name AS b FROM f x JOIN f y ON x.role = 'orig' AND (y.role = 'orig' AND x.i < y.i OR y.role = 'copy' AND x.i <> y.i))"""
+_NAMES = "f AS (SELECT batch AS st, CASE WHEN doc % 2 = 0 THEN 'orig' ELSE 'copy' END AS role, doc // 2 AS i, 'para_' || CASE WHEN doc % 2 = 0 THEN 'orig' ELSE 'copy' END || '_' || (doc // 2) || '_' || batch AS name FROM docs)"
+_LABELLED = """, l AS (SELECT 'para' AS class, x.name AS a, y.name AS b FROM f x JOIN f y ON x.st = y.st AND x.role = 'orig' AND y.role = 'copy' AND x.i = y.i)"""
 Q["h10_labelled_pairs"] = lambda s, d: training.labelled_pairs(_names(s, d), "para")
-SQL["h10_labelled_pairs"] = base.with_(base.DOCS, _NAMES) + _LABELLED + " SELECT * FROM l UNION ALL SELECT * FROM u"
+SQL["h10_labelled_pairs"] = base.with_(base.DOCS, _NAMES) + _LABELLED + """, u AS (SELECT 'unrelated' AS class, x.name AS a, y.name AS b FROM f x JOIN f y ON x.st = y.st AND x.role = 'orig' AND (y.role = 'orig' AND x.i < y.i OR y.role = 'copy' AND x.i <> y.i))
+SELECT * FROM l UNION ALL SELECT * FROM u"""
 Q["h11_threshold_sweep"] = lambda s, d: _rounded(training.threshold_sweep(_probabilities(s, d)))
-SQL["h11_threshold_sweep"] = _A + f", {_Y}, {_PROB}, c AS (" + " UNION ALL ".join(f"SELECT {t}::DOUBLE AS threshold, {_CONF.format(t=t)} FROM p" for t in (0.5, 0.6, 0.7, 0.8)) + f") SELECT threshold, tp, fp, tn, fn, {_RATES} FROM c"
+SQL["h11_threshold_sweep"] = _AP + f", {_Y}, {_PROB}, c AS (" + " UNION ALL ".join(f"SELECT {t}::DOUBLE AS threshold, {_CONF.format(t=t)} FROM p" for t in (0.5, 0.6, 0.7, 0.8)) + f") SELECT threshold, tp, fp, tn, fn, {_RATES} FROM c"
 Q["h12_sampled_pairs"] = lambda s, d: training.labelled_pairs(_names(s, d), "para", unrelated=50)
-SQL["h12_sampled_pairs"] = base.with_(base.DOCS, _NAMES) + _LABELLED + ", w AS (SELECT * FROM u ORDER BY CAST('0x' || substr(md5('42:' || a || b), 1, 8) AS BIGINT), a, b LIMIT 50) SELECT * FROM l UNION ALL SELECT * FROM w"
+_HASH = "CAST('0x' || substr(md5('42:' || {x}), 1, 8) AS BIGINT)"
+SQL["h12_sampled_pairs"] = base.with_(base.DOCS, _NAMES) + _LABELLED + f""", o AS (SELECT *, row_number() OVER (PARTITION BY st ORDER BY {_HASH.format(x="name")}, name) AS r FROM f),
+w AS (SELECT x.name AS a, y.name AS b FROM o x JOIN o y ON x.st = y.st AND y.r - x.r BETWEEN 1 AND 2 AND x.role = 'orig' AND x.i <> y.i ORDER BY {_HASH.format(x="x.name || y.name")}, 1, 2 LIMIT 50)
+SELECT * FROM l UNION ALL SELECT 'unrelated', * FROM w"""
 
 
 def _means(s, d):
@@ -116,14 +119,14 @@ SQL["h13_class_means"] = base.with_(base.DOCS, base.PAIRS) + "SELECT CASE WHEN f
 
 
 def _events(s, d):
-    o = base.table(s, d, "orders").where("o_orderkey % 10 = 0")
+    o = base.table(s, d, "orders")
     v = F.concat(F.lit("v"), C("o_orderkey").cast("string"))
     kind = F.when(C("o_orderstatus") == "F", "activated")
     return o.select(v.alias("version"), F.explode(F.array_compact(F.array(F.lit("trained"), kind))).alias("event"), C("o_orderdate").alias("at"))
 
 
 Q["h14_registry_state"] = lambda s, d: training.registry_state(_events(s, d)).select("version", "is_active")
-SQL["h14_registry_state"] = """WITH o AS (SELECT 'v' || o_orderkey AS version, o_orderstatus AS st, o_orderdate AS done FROM orders WHERE o_orderkey % 10 = 0)
+SQL["h14_registry_state"] = """WITH o AS (SELECT 'v' || o_orderkey AS version, o_orderstatus AS st, o_orderdate AS done FROM orders)
 SELECT version, version = (SELECT version FROM o WHERE st = 'F' ORDER BY done DESC, version DESC LIMIT 1) AS is_active FROM o"""
 Q["h14_missing_runs"] = lambda s, d: training.missing_runs(_events(s, d).where("event = 'trained'"), _events(s, d).where("event = 'activated'")).select("version")
-SQL["h14_missing_runs"] = "SELECT 'v' || o_orderkey AS version FROM orders WHERE o_orderkey % 10 = 0 AND o_orderstatus <> 'F'"
+SQL["h14_missing_runs"] = "SELECT 'v' || o_orderkey AS version FROM orders WHERE o_orderstatus <> 'F'"

@@ -56,16 +56,26 @@ def scan_labelled_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def export_documents(batches: DataFrame, docs: DataFrame, risks: DataFrame, ai: DataFrame, pairs: DataFrame) -> DataFrame:
-    """One nested row a batch: header, submissions with risk and ai_detection (null if missing), similarity_pairs."""
+    """One nested row a batch: header, submissions with risk and ai_detection (null if missing), similarity_pairs; empty lists where there are none."""
     r = risks.select("doc", F.struct("weighted_score", "risk_level", "text_sim_max", "code_sim_max", "weight_profile").alias("risk"))
     a = ai.select("doc", F.struct("ai_prob", "source").alias("ai_detection"))
     subs = docs.join(r, "doc", "left").join(a, "doc", "left").groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("doc", "student_id", "risk", "ai_detection"))).alias("submissions"))
     found = pairs.groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("a", "b", "fused", "copy_direction"))).alias("similarity_pairs"))
-    return batches.join(subs, "batch", "left").join(found, "batch", "left")
+    out = batches.join(subs, "batch", "left").join(found, "batch", "left")
+    lists = {c: F.coalesce(F.col(c), F.array().cast(df.schema[c].dataType)) for df, c in ((subs, "submissions"), (found, "similarity_pairs"))}
+    return out.withColumns(lists)
 
 
 def percent_text(c: Column) -> Column:
-    return F.when(c.isNull(), "N/A").otherwise(F.format_string("%.1f", c * 100))
+    """A share from 0 on as percent with one digit, N/A for null; the double's own value is rounded, not its shortest text."""
+    x = c * 100
+    tens = 8 * x + 2 * x
+    rest = 2 * x - (tens - 8 * x)  # tens and rest together are ten times x exactly
+    low = F.floor(tens)
+    half = tens - low
+    up = (half > 0.5) | ((half == 0.5) & ((rest > 0) | ((rest == 0) & (low % 2 == 1))))
+    whole = low + up.cast("long")
+    return F.when(c.isNull(), "N/A").otherwise(F.concat(F.floor(whole / 10).cast("string"), F.lit("."), (whole % 10).cast("string")))
 
 
 def export_csv_rows(docs: DataFrame, risks: DataFrame, ai: DataFrame) -> DataFrame:

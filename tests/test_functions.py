@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tessera.functions import scores
 from tessera.functions import text as T
 from tessera.operators import code
+from tessera.sources import io
 from tessera.plans.base import CONFIG_JSON
 from tessera.operators.marking import parse_config
 
@@ -53,10 +54,28 @@ def test_text(spark):
     assert value(spark, T.stylometric(F.lit(" "))) is None
 
 
+def test_code_over_parquet(spark, tmp_path):
+    spark.createDataFrame([(i, f"def f{i}(x):\n    return x", f"def g(y):\n    return y + {i % 2}") for i in range(20)], "i int, x string, y string").write.parquet(f"{tmp_path}/t")
+    rows = spark.read.parquet(f"{tmp_path}/t").select("i", code.renamed_tokens(F.col("x")).alias("x"), code.renamed_tokens(F.col("y")).alias("y"))
+    got = code.sequence_ratio(rows, "x", "y", "r").where("r > 0.5").select("i", "r").collect()
+    assert len(got) == 20 and all(r["r"] < 1 for r in got)
+
+
+def test_percent_text_rounds_the_double(spark):
+    values = [0.1845, 0.0785, 0.0355, 0.125, 0.375, 0.999999, 0.0, 1.0, 0.29, *(i / 2000 for i in range(300))]
+    got = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double").select("v", io.percent_text(F.col("v")).alias("t")).collect()
+    assert all(r["t"] == ("N/A" if r["v"] is None else f"{r['v'] * 100:.1f}") for r in got)
+
+
+def test_sanitized_rows(spark):
+    rows = spark.createDataFrame([(1, "plain"), (2, "\ufb01ne\u200b"), (3, None)], "i int, t string")
+    assert {r["i"]: r["t"] for r in T.sanitized(rows, "t").collect()} == {1: "plain", 2: "fine", 3: ""}
+
+
 def test_code(spark):
     a, b = "def f(x):\n    return x + 1", "def g(y):\n    return y + 1"
     c = "while True:\n    print('stop', 3 * 4)\nimport os"
     rows = spark.createDataFrame([(1, a, a), (2, a, b), (3, a, c)], "i int, x string, y string").select("i", code.renamed_tokens(F.col("x")).alias("x"), code.renamed_tokens(F.col("y")).alias("y"))
-    ratio = {r["i"]: r["r"] for r in rows.select("i", code.sequence_ratio("x", "y").alias("r")).collect()}
+    ratio = {r["i"]: r["r"] for r in code.sequence_ratio(rows, "x", "y", "r").collect()}
     assert ratio[1] == 1.0 and ratio[2] == 1.0 and ratio[3] < 0.5
     assert value(spark, code.language(F.lit(a))) == "python"
