@@ -45,6 +45,18 @@ class BigramModel:
         return joined.groupBy(*key).agg(F.exp(-F.sum(F.log(p) * F.col("k")) / F.sum("k")).alias("perplexity"))
 
 
+class ScoredBy:
+    """A user's function from a text column to its perplexity, such as a ``pandas_udf`` around a language model, in the bigram model's place."""
+
+    def __init__(self, score):
+        self.score = score
+
+    def perplexity(self, rows: DataFrame, key: list[str]) -> DataFrame:
+        """(key, perplexity) of rows (key, text); none for blank texts and where the function gives null."""
+        some = rows.where(F.length(F.trim("text")) > 0)
+        return some.select(*key, self.score(F.col("text")).cast("double").alias("perplexity")).where("perplexity is not null")
+
+
 def long_sentences(docs: DataFrame, most: int = 12) -> DataFrame:
     """(doc, i, text): sentences of more than five words; of more than twelve, twelve evenly spaced; none if fewer than three."""
     long = F.filter(T.sentences(F.col("text")), lambda x: F.size(T.words(x)) > 5)
@@ -71,9 +83,10 @@ def probability(rows: DataFrame, model=None, external: DataFrame | None = None)
     if model is not None:
         from pyspark.ml.functions import vector_to_array
 
-        whole = rows.dropna(subset=["perplexity", "burstiness", "stylometric"])
-        p1 = model.transform(whole).select("doc", vector_to_array("probability")[1].alias("_p"))
-        rows = rows.join(p1, "doc", "left")
+        names, columns = ["perplexity", "burstiness", "stylometric"], rows.columns
+        filled = rows.select("*", *(F.col(c).alias(f"_{c}") for c in names)).withColumns({c: F.coalesce(c, F.lit(0.0)) for c in names})
+        p1 = F.when(F.expr(" and ".join(f"_{c} is not null" for c in names)), vector_to_array("probability")[1])
+        rows = model.transform(filled).select(*(F.col(f"_{c}").alias(c) if c in names else c for c in columns), p1.alias("_p"))
         local = F.coalesce("_p", local)
     rows = rows.join(external.select("doc", "api_score"), "doc", "left") if external is not None else rows.withColumn("api_score", F.lit(None).cast("double"))
     p, source = scores.blended(local, F.col("api_score"))

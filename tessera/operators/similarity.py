@@ -50,6 +50,14 @@ def tfidf_pairs(vectors: DataFrame) -> DataFrame:
     return a.join(b, ["batch", "term"]).where("a < b").groupBy("batch", "a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("tfidf"))
 
 
+def tfidf_of_pairs(vectors: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(batch, a, b, tfidf) of the given pairs that share a term. Each pair's terms meet once, and no term's postings meet one another."""
+    a = vectors.select("batch", F.col("doc").alias("a"), "term", F.col("weight").alias("wa"))
+    b = vectors.select("batch", F.col("doc").alias("b"), "term", F.col("weight").alias("wb"))
+    rows = pairs.select("batch", "a", "b").join(a, ["batch", "a"]).join(b, ["batch", "b", "term"])
+    return rows.groupBy("batch", "a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("tfidf"))
+
+
 def pair_grid(docs: DataFrame) -> DataFrame:
     """(batch, a, b) of all pairs of a batch; an equi-join on the batch with a range filter."""
     a, b = docs.select("batch", F.col("doc").alias("a")), docs.select("batch", F.col("doc").alias("b"))
@@ -63,12 +71,20 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm > 0, dot(a, b) / norm)
 
 
-def embedding_pairs(vectors: DataFrame) -> DataFrame:
-    """(batch, a, b, semantic) for all pairs of (batch, doc, embedding) of a batch; no vector gives 0."""
+def embedding_pairs(vectors: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """(batch, a, b, semantic) for the given pairs, or all pairs of a batch, of (batch, doc, embedding); no vector gives 0."""
     a = vectors.select("batch", F.col("doc").alias("a"), F.col("embedding").alias("ea"))
     b = vectors.select("batch", F.col("doc").alias("b"), F.col("embedding").alias("eb"))
-    pairs = a.join(b, "batch").where("a < b")
-    return pairs.select("batch", "a", "b", F.coalesce(cosine(F.col("ea"), F.col("eb")), F.lit(0.0)).alias("semantic"))
+    if pairs is None:
+        both = a.join(b, "batch").where("a < b")
+    else:
+        both = pairs.select("batch", "a", "b").join(a, ["batch", "a"], "left").join(b, ["batch", "b"], "left")
+    return both.select("batch", "a", "b", F.coalesce(cosine(F.col("ea"), F.col("eb")), F.lit(0.0)).alias("semantic"))
+
+
+def text_embeddings(docs: DataFrame, encode) -> DataFrame:
+    """(batch, doc, embedding) by a user's function from a text column to array<float>, such as a ``pandas_udf`` around an encoder."""
+    return docs.select("batch", "doc", encode(F.col("text")).alias("embedding"))
 
 
 def hashed_embeddings(docs: DataFrame, dims: int = 32) -> DataFrame:
@@ -185,6 +201,24 @@ def matched_sentences(docs: DataFrame) -> DataFrame:
     return both.groupBy("batch", "a", "b").agg(F.count("*").alias("n_sentences"), F.sum(F.length("sentence")).alias("n_chars"))
 
 
+def sentence_evidence(docs: DataFrame, pairs: DataFrame, least: int = 20) -> DataFrame:
+    """(batch, a, b, at_a, at_b, sentence): the normalised sentences that the given pairs share, and the first place of each on both sides, from 0."""
+    norm = F.regexp_replace(F.lower("s"), r"\s+", " ")
+    rows = docs.select("batch", "doc", F.posexplode(T.sentences(F.col("text"))).alias("i", "s")).select("batch", "doc", "i", norm.alias("sentence"))
+    rows = rows.where(F.length("sentence") >= least).groupBy("batch", "doc", "sentence").agg(F.min("i").alias("i"))
+    side = lambda x: rows.select("batch", F.col("doc").alias(x), "sentence", F.col("i").alias(f"at_{x}"))
+    both = pairs.select("batch", "a", "b").join(side("a"), ["batch", "a"]).join(side("b"), ["batch", "b", "sentence"])
+    return both.select("batch", "a", "b", "at_a", "at_b", "sentence")
+
+
+def covered(evidence: DataFrame, docs: DataFrame) -> DataFrame:
+    """(batch, a, b, n_sentences, share_a, share_b): how much of either text its shared sentences make, at most 1."""
+    size = lambda x: docs.select("batch", F.col("doc").alias(x), F.length("text").alias(f"n{x}"))
+    found = evidence.groupBy("batch", "a", "b").agg(F.count("*").alias("n_sentences"), F.sum(F.length("sentence")).alias("n"))
+    share = lambda x: F.least(F.lit(1.0), F.col("n") / F.col(f"n{x}")).alias(f"share_{x}")
+    return found.join(size("a"), ["batch", "a"]).join(size("b"), ["batch", "b"]).select("batch", "a", "b", "n_sentences", share("a"), share("b"))
+
+
 def both_sides(pairs: DataFrame) -> DataFrame:
     """Every pair once for each side, with ``doc`` and ``peer``, and the direction seen from doc."""
     flip = F.when(F.col("copy_direction") == "a_to_b", "b_to_a").when(F.col("copy_direction") == "b_to_a", "a_to_b").otherwise(F.col("copy_direction"))

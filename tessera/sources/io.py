@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera import params as P
+from tessera.functions import text as T
 
 UUID = r"(?i)^(?:urn:uuid:)?\{?[0-9a-f]{8}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{12}\}?$"
 
@@ -17,7 +18,7 @@ def scan_submissions(submissions: DataFrame, batch: str | None = None) -> DataFr
 
 
 def scan_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected) of the files under a folder."""
+    """(accepted, rejected) of the files under a folder. Spark's readers list no empty files, so these are in neither."""
     return validate_files(spark.read.format("binaryFile").load(path).select("path", "length", "content"))
 
 
@@ -45,7 +46,7 @@ def content_groups(rows: DataFrame, content: str) -> DataFrame:
 
 
 def scan_labelled_folder(spark: SparkSession, labels_csv: str, folder: str) -> DataFrame:
-    """(filename, label, y, text) of a CSV of file names and labels and the files it names."""
+    """(filename, label, y, text) of a CSV of file names and labels and the files it names; names of missing or empty files give no row."""
     labels = spark.read.csv(labels_csv, header=True, schema="filename string, label string")
     texts = spark.read.text(folder, wholetext=True).select(F.col("_metadata.file_name").alias("filename"), F.col("value").alias("text"))
     return labels.join(texts, "filename").withColumn("y", (F.col("label") == "ai-generated").cast("int"))
@@ -55,6 +56,12 @@ def scan_labelled_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, schema="text string, label int", multiLine=True, quote='"', escape='"').dropna(subset=["text", "label"])
 
 
+def write_features(rows: DataFrame, path: str, features) -> None:
+    """Features of (text, label) rows as CSV; rows whose text gives no style are left out. ``features``: from a text column to a struct."""
+    found = rows.where(T.stylometric(F.col("text")).isNotNull()).select(features(F.col("text")).alias("f"), "label").select("f.*", "label")
+    found.write.mode("overwrite").option("header", "true").csv(path)
+
+
 def export_documents(batches: DataFrame, docs: DataFrame, risks: DataFrame, ai: DataFrame, pairs: DataFrame) -> DataFrame:
     """One nested row a batch: header, submissions with risk and ai_detection (null if missing), similarity_pairs; empty lists where there are none."""
     r = risks.select("doc", F.struct("weighted_score", "risk_level", "text_sim_max", "code_sim_max", "weight_profile").alias("risk"))
@@ -130,6 +137,11 @@ def without_batches(table: DataFrame, deleted: DataFrame, key: str = "batch") ->
     return table.join(deleted.select(key), key, "left_anti")
 
 
+def delete_batches(tables: dict[str, DataFrame], deleted: DataFrame) -> dict[str, DataFrame]:
+    """What is left of every table that carries a batch once batches are deleted."""
+    return {name: without_batches(t, deleted) for name, t in tables.items()}
+
+
 # Actions by method and path pattern; * is any one segment.
 ACTIONS = [
     ("POST", "auth/login", "auth.login"), ("POST", "auth/logout", "auth.logout"), ("POST", "auth/register", "auth.register"),

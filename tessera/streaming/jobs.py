@@ -37,42 +37,47 @@ class Lockout:
         return self.count, False
 
     def rows(self, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "success"], kind="stable")
-        seen = [self.see(ts, bool(ok)) for ts, ok in zip(pdf["ts"], pdf["success"])]
+        """Events in time order; ``us`` is their time in microseconds, which knows no session's time zone."""
+        pdf = pdf.sort_values(["us", "success"], kind="stable")
+        seen = [self.see(ts, bool(ok)) for ts, ok in zip(pd.to_datetime(pdf["us"], unit="us"), pdf["success"])]
         return pdf.assign(attempts=[n for n, _ in seen], locked=[x for _, x in seen])[["email", "ip", "ts", "success", "attempts", "locked"]]
 
 
+def _timed(events: DataFrame) -> DataFrame:
+    return events.select("email", "ip", "ts", "success", F.unix_micros("ts").alias("us"))
+
+
 def lockout_batch(events: DataFrame) -> DataFrame:
     """Every event of (email, ip, ts, success) with the key's failures and lock at that time."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         return Lockout().rows(pdf)
 
-    return events.select("email", "ip", "ts", "success").groupBy("email", "ip").applyInPandas(run, LOCKOUT)
+    return _timed(events).groupBy("email", "ip").applyInPandas(run, LOCKOUT)
 
 
 class LockoutProcessor(StatefulProcessor):
     """The same over a stream: the state of a key is its count and its window's end in event time."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("lockout", "count int, ends timestamp")
+        self.state = handle.getValueState("lockout", "count int, ends long")  # microseconds
         self.handle = handle
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         old = self.state.get() if self.state.exists() else None
-        lock = Lockout(old[0], pd.Timestamp(old[1]) if old[1] is not None else None) if old else Lockout()
+        lock = Lockout(old[0], pd.Timestamp(old[1], unit="us")) if old else Lockout()
         yield lock.rows(pd.concat(list(rows)))
         if lock.count:
-            self.state.update((lock.count, lock.ends.to_pydatetime()))
-            self.handle.registerTimer(int(lock.ends.timestamp() * 1000))
+            ends = (lock.ends - pd.Timestamp(0)) // pd.Timedelta(microseconds=1)
+            self.state.update((lock.count, ends))
+            self.handle.registerTimer(ends // 1000 + 1)
         elif self.state.exists():
             self.state.clear()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         """Drops a window that has ended by event time; a newer one has a timer of its own."""
         if self.state.exists():
-            ends = self.state.get()[1]
-            if ends is not None and pd.Timestamp(ends).timestamp() * 1000 <= expiredTimerInfo.getExpiryTimeInMs():
+            if self.state.get()[1] <= expiredTimerInfo.getExpiryTimeInMs() * 1000:
                 self.state.clear()
         return iter(())
 
@@ -82,7 +87,7 @@ class LockoutProcessor(StatefulProcessor):
 
 def lockout_stream(events: DataFrame, late: str = "10 minutes") -> DataFrame:
     """Needs the RocksDB state store provider."""
-    rows = events.select("email", "ip", "ts", "success").withWatermark("ts", late).groupBy("email", "ip")
+    rows = _timed(events).withWatermark("ts", late).groupBy("email", "ip")
     return rows.transformWithStateInPandas(LockoutProcessor(), outputStructType=LOCKOUT, outputMode="Append", timeMode="EventTime")
 
 

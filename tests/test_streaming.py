@@ -1,5 +1,6 @@
 """The lockout stream gives what its batch twin gives; incremental scoring scores once."""
 
+import random
 import tempfile
 import time
 
@@ -29,3 +30,46 @@ def test_score_new(spark):
         q.awaitTermination(90)
         time.sleep(0.1)
     assert spark.read.parquet(f"{out}/r").count() == 4
+
+
+def run(rows, folder):
+    """Runs a stream of rows to its end; what it wrote."""
+    q = rows.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/ck").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert q.exception() is None
+
+
+def test_lockout_stream_gives_what_its_batch_twin_gives(spark, tmp_path):
+    rng = random.Random(3)
+    start = pd.Timestamp("2024-01-01")
+    rows = []
+    for minute in range(240):
+        rows += [(f"u{rng.randrange(3)}", "10.0.0.1", (start + pd.Timedelta(seconds=60 * minute + s)).to_pydatetime(), rng.random() < 0.15) for s in (1, 20, 40)]
+    schema = "email string, ip string, ts timestamp, success boolean"
+    for i in range(0, len(rows), 180):  # four batches; windows and locks reach across them
+        spark.createDataFrame(rows[i : i + 180], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        time.sleep(1.1)  # files are taken by time of change
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    run(jobs.lockout_stream(stream), str(tmp_path))
+    got = spark.read.parquet(f"{tmp_path}/out")
+    want = jobs.lockout_batch(spark.read.parquet(f"{tmp_path}/in"))
+    assert want.where("locked").count() > 10 and want.where("attempts = 5").count() > 5
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_audit_stream_and_counts(spark, tmp_path):
+    times = [pd.Timestamp("2024-01-01 10:00") + pd.Timedelta(minutes=7 * i) for i in range(40)]
+    rows = [("u1", "GET" if i % 4 == 0 else "POST", "/api/batches", None, "10.0.0.9", t.to_pydatetime()) for i, t in enumerate(times)]
+    schema = "user_id string, method string, path string, x_forwarded_for string, client_host string, ts timestamp"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+    q = jobs.audit_stream(stream, ["10.0.0.1"], f"{tmp_path}/audit", f"{tmp_path}/ck0").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    audit = spark.read.parquet(f"{tmp_path}/audit")
+    assert audit.count() == 30 and {r["action"] for r in audit.collect()} == {"batch.create"}
+    want = {(r["window_start"], r["n"]) for r in jobs.action_counts(audit).collect()}
+    run(jobs.action_counts(spark.readStream.schema(audit.schema).parquet(f"{tmp_path}/audit")), str(tmp_path))
+    got = {(r["window_start"], r["n"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    last = max(times) - pd.Timedelta(minutes=10)
+    assert got == {(w, n) for w, n in want if w + pd.Timedelta(hours=1) <= last}  # windows that the watermark has passed
+    assert sum(n for _, n in want) == 30 and len(got) >= 3
