@@ -160,5 +160,5 @@ def logins(s, d):
 
 
 Q["i1_login_lockout"] = lambda s, d: jobs.lockout_batch(logins(s, d))
-Q["i2_action_counts"] = lambda s, d: io.access_to_audit(access_log(s, d), ["10.0.0.1"]).groupBy(F.window("ts", "1 day").alias("w"), "action").agg(F.count("*").alias("n")).select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "action", "n")
+Q["i2_action_counts"] = lambda s, d: jobs.action_counts(io.access_to_audit(access_log(s, d), ["10.0.0.1"]), "1 day").select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "action", "n")
 SQL["i2_action_counts"] = base.with_(AUDIT) + "SELECT strftime(ts, '%Y-%m-%d') AS day, action, count(*) AS n FROM audit GROUP BY ALL"

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tessera.functions import scores
 from tessera.functions import text as T
-from tessera.operators import code, similarity
+from tessera.operators import code, processing, similarity
 from tessera.params import STOP_WORDS
 from tessera.plans import base
 from tessera.plans.text_plans import SENT, TOKENS
+from tessera.session import shared_dir
 
 Q, SQL = {}, {}
 C = F.col
@@ -133,6 +136,21 @@ Q["c13_matched_sentences"] = lambda s, d: similarity.matched_sentences(base.docs
 SQL["c13_matched_sentences"] = base.with_(base.DOCS, SENT) + r""", r AS (SELECT DISTINCT batch, doc, regexp_replace(lower(x), '\s+', ' ', 'g') AS x FROM (SELECT batch, doc, unnest(s) AS x FROM sent))
 SELECT p.batch, p.doc AS a, q.doc AS b, count(*) AS n_sentences, CAST(sum(length(p.x)) AS BIGINT) AS n_chars FROM r p JOIN r q ON p.batch = q.batch AND p.x = q.x AND p.doc < q.doc WHERE length(p.x) >= 20 GROUP BY ALL"""
 
+
+
+def _evidence(s, d):
+    docs = base.docs(s, d)
+    return similarity.sentence_evidence(docs, similarity.matched_sentences(docs))
+
+
+EVIDENCE = r"""fp AS (SELECT batch, doc, regexp_replace(lower(x), '\s+', ' ', 'g') AS x, min(i) AS i FROM (SELECT batch, doc, unnest(s) AS x, unnest(range(0, len(s))) AS i FROM sent) GROUP BY ALL),
+ev AS (SELECT p.batch, p.doc AS a, q.doc AS b, p.i AS at_a, q.i AS at_b, p.x AS sentence FROM fp p JOIN fp q ON p.batch = q.batch AND p.x = q.x AND p.doc < q.doc WHERE length(p.x) >= 20)"""
+Q["c13_evidence"] = lambda s, d: _evidence(s, d).select("batch", "a", "b", C("at_a").cast("long").alias("at_a"), C("at_b").cast("long").alias("at_b"), F.md5("sentence").alias("h"))
+SQL["c13_evidence"] = base.with_(base.DOCS, SENT, EVIDENCE) + "SELECT batch, a, b, at_a, at_b, md5(sentence) AS h FROM ev"
+Q["c13_covered"] = lambda s, d: similarity.covered(_evidence(s, d), base.docs(s, d)).withColumns({c: F.round(c, 6) for c in ("share_a", "share_b")})
+SQL["c13_covered"] = base.with_(base.DOCS, SENT, EVIDENCE) + """, e AS (SELECT batch, a, b, count(*) AS n_sentences, CAST(sum(length(sentence)) AS DOUBLE) AS n FROM ev GROUP BY ALL)
+SELECT e.batch, a, b, n_sentences, round(least(1.0::DOUBLE, n / length(x.text)), 6) AS share_a, round(least(1.0::DOUBLE, n / length(y.text)), 6) AS share_b FROM e JOIN docs x ON x.doc = a JOIN docs y ON y.doc = b"""
+
 Q["c14_matched_sources"] = lambda s, d: similarity.matched_sources(base.pairs(s, d))
 SQL["c14_matched_sources"] = base.with_(base.DOCS, base.PAIRS) + """, two AS (SELECT batch, a AS doc, b AS peer, fused, copy_direction AS direction FROM pairs UNION ALL
   SELECT batch, b, a, fused, CASE copy_direction WHEN 'a_to_b' THEN 'b_to_a' WHEN 'b_to_a' THEN 'a_to_b' ELSE copy_direction END FROM pairs)
@@ -176,4 +194,18 @@ def _code_candidates(s, d):
 Q["d3_d5_code_score"] = lambda s, d: _code_scores(s, d, _code_candidates(s, d)).withColumn("code_score", F.round("code_score", 6))
 Q["d5_has_both"] = lambda s, d: _code_scores(s, d, base.pairs(s, d).select("batch", "a", "b")).groupBy("batch").agg(F.count_if(C("code_score") > 0).alias("n_scored"), F.count_if(C("code_score") >= 0.999).alias("n_equal"), F.count("*").alias("n"))
 SQL["d5_has_both"] = base.with_(base.DOCS, base.PAIRS) + """SELECT batch, count(*) AS n_scored, count(*) FILTER (WHERE a % 3 = b % 3 AND (a % 5 = b % 5)) AS n_equal, count(*) AS n FROM pairs GROUP BY 1"""
+
+
+def raw_submissions(s, d):
+    """Every document; before the text of every third stands a fenced block, as the texts hold no code."""
+    found = blocks(s, d).select("doc", F.concat(F.lit("```\n"), F.element_at("blocks", 1), F.lit("\n```\n")).alias("fence"))
+    text = F.when(C("doc") % 3 == 0, F.concat("fence", "text")).otherwise(C("text"))
+    return base.docs(s, d).join(found, "doc").select("batch", "doc", text.alias("text"))
+
+
+# from raw texts to risks by every stage; tested on a small fixture
+Q["process_batches"] = lambda s, d: (
+    processing.process(raw_submissions(s, d), f"{shared_dir(s)}/batches-{uuid.uuid4().hex}")["risks"]
+    .select("batch", "doc", "has_code", *(F.round(c, 5).alias(c) for c in ("text_sim_max", "code_sim_max", "ai_prob", "weighted_score")), "risk_level", "weight_profile")
+)
 Q["d6_code_candidates"] = lambda s, d: _code_candidates(s, d).groupBy("batch").agg(F.count("*").alias("n"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tessera import params
 from tessera.functions import text as T
 from tessera.plans import base
+from tessera.session import shared_dir
 from tessera.sources import io
 
 Q, SQL = {}, {}
@@ -129,3 +132,32 @@ Q["e3_stylometric"] = lambda s, d: _docs(s, d).select("doc", F.round(T.stylometr
 SQL["e3_stylometric"] = base.with_(base.DOCS, SENT, STYLE) + "SELECT doc, round(stylometric, 6) AS stylometric FROM stylometric"
 
 Q["e4_stylometric_features"] = lambda s, d: _docs(s, d).select("doc", T.stylometric_features(C("text")).alias("f")).select("doc", F.round("f.ttr", 3).alias("ttr"), "f.avg_sent_len", "f.punct_density")
+
+
+def _rewritten(s, d):
+    """All documents' lengths by batch, written twice: the second run, over the batches with an annotation by number, adds 1000 to each of theirs."""
+    path = f"{shared_dir(s)}/rewritten-{uuid.uuid4().hex}"
+    rows = _docs(s, d).select("batch", "doc", F.length("text").cast("long").alias("n"))
+    io.overwrite_batches(rows, path)
+    for _ in range(2):  # a rerun changes nothing
+        io.overwrite_batches(rows.where(F.md5("batch") < "8").withColumn("n", C("n") + 1000), path)
+    return s.read.schema(rows.schema).parquet(path).select("batch", "doc", "n")
+
+
+Q["a11_overwrite_batches"] = _rewritten
+SQL["a11_overwrite_batches"] = _D + "SELECT batch, doc, length(text) + CASE WHEN md5(batch) < '8' THEN 1000 ELSE 0 END AS n FROM docs"
+
+
+def _featured(s, d):
+    """All documents as a labelled CSV, read again; then their features as CSV."""
+    path = f"{shared_dir(s)}/labelled-{uuid.uuid4().hex}"
+    rows = _docs(s, d).select("text", (C("doc") % 2).cast("int").alias("label"))
+    rows.write.option("header", "true").option("quoteAll", "true").option("escape", '"').csv(f"{path}/in")
+    io.write_features(io.scan_labelled_csv(s, f"{path}/in"), f"{path}/out", T.stylometric_features)
+    out = s.read.csv(f"{path}/out", header=True, schema="ttr double, avg_sent_len double, punct_density double, stylometric_score double, label int")
+    return out.groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg("punct_density"), 4).alias("punct_density"))
+
+
+Q["a5_labelled_csv"] = _featured
+SQL["a5_labelled_csv"] = base.with_(base.DOCS, SENT, STYLE) + r"""SELECT CAST(doc % 2 AS INTEGER) AS label, count(*) AS n, round(avg(CASE WHEN regexp_matches(text, '(^|[^\pL\pN_])[a-zA-Z]+($|[^\pL\pN_])') THEN round(np / length(text), 3) ELSE 0 END), 4) AS punct_density
+FROM style JOIN stylometric USING (doc, batch) WHERE stylometric IS NOT NULL GROUP BY 1"""

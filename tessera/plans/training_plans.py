@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from tessera.operators import training
+from tessera.operators import authorship, training
 from tessera.plans import base
-from tessera.plans.scoring_plans import SIGNALS, _signal_rows
+from tessera.plans.scoring_plans import SIGNALS, _external, _signal_rows
 
 Q, SQL = {}, {}
 C = F.col
@@ -45,6 +45,16 @@ def _predicted(s, d):
 Q["h5_e6_classifier"] = lambda s, d: _predicted(s, d).select("doc", "y", "is_test", F.round("p", 3).alias("p"))
 
 
+def _blended(s, d):
+    """The classifier where every signal is there, else the heuristic, averaged with external scores."""
+    rows = _signal_rows(s, d).drop("batch")
+    split = training.stratified_split(_features(s, d))
+    return authorship.probability(rows, training.fit(split.where("not is_test")), _external(s, d)).select("doc", F.round("ai_prob", 3).alias("ai_prob"), "source")
+
+
+Q["e6_blended_probability"] = _blended
+
+
 def _auc(s, d):
     mean, std = training.cross_validated_auc(_features(s, d)) or (None, None)
     mean, std = (None if x is None else float(x) for x in (mean, std))

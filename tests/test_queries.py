@@ -10,8 +10,8 @@ from tessera.plans import registry
 
 DATA = "/root/testdata/sf0.001"
 SOME = (
-    "a1_scan_submissions a6_export_json a7_export_csv a12_access_to_audit b3_student_id b4_student_name b7_segment_code b9_parse_status b10_content_tokens c2_tfidf_pairs c8_minhash d2_renamed_tokens e2_burstiness "
-    "f5_f6_marks f9_resolve_config g1_risk_ranking g10_bulk_annotate g15_insights g19_course_comparison h3_training_features h4_stratified_split h7_metrics h9_feature_summary h12_sampled_pairs flagship_risk_ranking"
+    "a1_scan_submissions a5_labelled_csv a6_export_json a7_export_csv a11_overwrite_batches a12_access_to_audit b3_student_id b4_student_name b7_segment_code b9_parse_status b10_content_tokens c2_tfidf_pairs c8_minhash c13_evidence c13_covered d2_renamed_tokens e2_burstiness "
+    "f5_f6_marks f9_resolve_config g1_risk_ranking g10_bulk_annotate g15_insights g19_course_comparison i2_action_counts h3_training_features h4_stratified_split h7_metrics h9_feature_summary h12_sampled_pairs flagship_risk_ranking"
 ).split()
 
 
