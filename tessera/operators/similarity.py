@@ -113,8 +113,8 @@ def shingle_hashes(text: Column, k: int = 2) -> Column:
 
 
 def permutations(n: int = 128) -> list[tuple[int, int, int]]:
-    """(i, a, b) of the hash family; a rule, so that any engine can build the same one."""
-    return [(i, (48271 * (i + 1) * (i + 7)) % MERSENNE, (69621 * (i + 3) * (i + 11)) % MERSENNE) for i in range(n)]
+    """(i, a, b) of the hash family: powers of two generators modulo the prime, so that factors are no small multiples of one another."""
+    return [(i, pow(48271, i + 2, MERSENNE), pow(69621, i + 2, MERSENNE)) for i in range(n)]
 
 
 def minhash_signatures(docs: DataFrame, n: int = 128, k: int = 2) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import random
 
+from tessera.operators import similarity
 from tessera.plans import registry
 
 WORDS = ["river", "stone", "paper", "cloud", "house", "light", "green", "table", "winter", "market", "letter", "garden"]
@@ -28,3 +29,34 @@ def test_code_pairs(spark, tmp_path):
     corpus(spark, str(tmp_path))
     got = {(r["a"], r["b"]): r["code_score"] for r in registry.queries()["d3_d5_code_score"](spark, str(tmp_path)).collect()}
     assert any(b - a > 100 for a, b in got) and all(x > 0.5 for x in got.values())
+
+
+def test_recall_of_signature_bands(spark):
+    """Candidates and estimates against exact Jaccard similarity of two-word shingles, at many degrees of change."""
+    rng = random.Random(8)
+    word = lambda: rng.choice(WORDS) + str(rng.randrange(400))
+    texts = []
+    for i in range(60):
+        base = [word() for _ in range(150)]
+        texts.append(base)
+        for share in (0.02, 0.05, 0.1, 0.15, 0.2, 0.3):
+            texts.append([word() if rng.random() < share else w for w in base])
+    sets = [set(zip(t, t[1:])) for t in texts]
+    exact = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in range(len(sets)) for b in range(a // 7 * 7 + 7) if a < b}
+    docs = spark.createDataFrame([("x", i, " ".join(t)) for i, t in enumerate(texts)], "batch string, doc long, text string")
+    signatures = similarity.minhash_signatures(docs).cache()
+    found = {(r["a"], r["b"]) for r in similarity.lsh_candidates(signatures).collect()}
+    near = [p for p, j in exact.items() if j >= 0.6]
+    values = {r["doc"]: r["signature"] for r in signatures.collect()}
+    first = {}  # documents of equal signature are represented by the smallest
+    for i in sorted(values):
+        first.setdefault(tuple(values[i]), i)
+    stands = {i: first[tuple(values[i])] for i in values}
+    recall = sum(stands[a] == stands[b] or tuple(sorted((stands[a], stands[b]))) in found for a, b in near) / len(near)
+    errors = [sum(x == y for x, y in zip(values[a], values[b])) / 128 - exact[a, b] for a, b in exact]
+    print("recall", recall, len(near), "mean error", sum(errors) / len(errors), "root of mean square", (sum(e * e for e in errors) / len(errors)) ** 0.5)
+    expected = sum(1 - (1 - exact[p] ** 4) ** 32 for p in near) / len(near)
+    print("expected", expected)
+    assert len(near) > 150 and recall >= expected - 0.02
+    assert abs(sum(errors) / len(errors)) < 0.02 and (sum(e * e for e in errors) / len(errors)) ** 0.5 < 0.06
+    assert len([p for p in found if p not in exact]) < 20  # of unlike texts
