@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tessera.llm import (
+    alignment_queries,
     bpe_queries,
     jaccard_queries,
     packing_queries,
@@ -26,6 +27,7 @@ MODULES = [
     quality_queries,
     pii_queries,
     packing_queries,
+    alignment_queries,
 ]
 
 
