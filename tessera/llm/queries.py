@@ -5,6 +5,7 @@ from __future__ import annotations
 from tessera.llm import (
     alignment_queries,
     bpe_queries,
+    divergence_queries,
     jaccard_queries,
     packing_queries,
     pii_queries,
@@ -14,6 +15,7 @@ from tessera.llm import (
     toxicity_queries,
     urls_queries,
     vafile_queries,
+    warc_queries,
 )
 
 MODULES = [
@@ -27,6 +29,8 @@ MODULES = [
     quality_queries,
     pii_queries,
     packing_queries,
+    warc_queries,
+    divergence_queries,
     alignment_queries,
 ]
 
