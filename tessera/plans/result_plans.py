@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessera.operators import results
 from tessera.plans import base
 from tessera.sources import io
-from tessera.streaming import jobs
+from tessera.streaming import jobs, lockout
 
 Q, SQL = {}, {}
 C = F.col
@@ -155,10 +155,18 @@ SQL["g20_ownership"] = base.with_(base.DOCS, base.BATCHES) + "SELECT batch, doc
 
 def logins(s, d):
     e = base.table(s, d, "events")
-    key = (C("user_id") % 20).cast("string")
+    key = (C("user_id") % 2).cast("string")  # so that windows hold several events
     return e.select(F.concat(F.lit("user"), key).alias("email"), F.concat(F.lit("10.0.0."), key).alias("ip"), "ts", (C("event_type") == "signup").alias("success"))
 
 
-Q["i1_login_lockout"] = lambda s, d: jobs.lockout_batch(logins(s, d))
+Q["i1_login_lockout"] = lambda s, d: lockout.lockout_batch(logins(s, d))
+# event by event: the state goes from each to the key's next
+SQL["i1_login_lockout"] = """WITH RECURSIVE e AS MATERIALIZED (SELECT user_id % 2 AS k, ts, event_type = 'signup' AS ok, row_number() OVER (PARTITION BY user_id % 2 ORDER BY ts, event_type = 'signup') AS i FROM events),
+run(k, i, ts, ok, n, ends, locked) AS (
+  SELECT k, i, ts, ok, CASE WHEN ok THEN 0 ELSE 1 END, CASE WHEN NOT ok THEN ts + INTERVAL 15 MINUTE END, false FROM e WHERE i = 1
+  UNION ALL
+  SELECT k, i, ts, ok, CASE WHEN was >= 5 THEN was WHEN ok THEN 0 ELSE was + 1 END, CASE WHEN was >= 5 THEN ends WHEN ok THEN NULL WHEN was = 0 THEN ts + INTERVAL 15 MINUTE ELSE ends END, was >= 5
+  FROM (SELECT e.k, e.i, e.ts, e.ok, run.ends, CASE WHEN run.ends IS NOT NULL AND e.ts >= run.ends THEN 0 ELSE run.n END AS was FROM run JOIN e ON e.k = run.k AND e.i = run.i + 1))
+SELECT 'user' || k AS email, '10.0.0.' || k AS ip, ts, ok AS success, n AS attempts, locked FROM run"""
 Q["i2_action_counts"] = lambda s, d: jobs.action_counts(io.access_to_audit(access_log(s, d), ["10.0.0.1"]), "1 day").select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "action", "n")
 SQL["i2_action_counts"] = base.with_(AUDIT) + "SELECT strftime(ts, '%Y-%m-%d') AS day, action, count(*) AS n FROM audit GROUP BY ALL"

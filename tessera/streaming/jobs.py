@@ -1,96 +1,14 @@
-"""Incremental jobs: login lockout, the audit stream, scoring of new submissions."""
+"""Incremental jobs: the audit stream, action counts, scoring of new submissions. Lockouts are in ``lockout``."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from tessera import params as P
 from tessera.sources.io import access_to_audit
 
-LOCKOUT = "email string, ip string, ts timestamp, success boolean, attempts int, locked boolean"
-
-
-class Lockout:
-    """A key's failures in a fixed window that begins at its first failure; success clears them."""
-
-    def __init__(self, count: int = 0, ends: pd.Timestamp | None = None, attempts: int = P.LOCKOUT_ATTEMPTS, minutes: int = P.LOCKOUT_MINUTES):
-        self.count, self.ends, self.attempts, self.window = count, ends, attempts, pd.Timedelta(minutes=minutes)
-
-    def see(self, ts: pd.Timestamp, success: bool) -> tuple[int, bool]:
-        """Failures counted after the event, and whether the key was locked when it came."""
-        if self.ends is not None and ts >= self.ends:
-            self.count, self.ends = 0, None
-        locked = self.count >= self.attempts
-        if locked:  # nothing is checked while locked
-            return self.count, True
-        if success:
-            self.count, self.ends = 0, None
-        else:
-            self.count += 1
-            if self.count == 1:
-                self.ends = ts + self.window
-        return self.count, False
-
-    def rows(self, pdf: pd.DataFrame) -> pd.DataFrame:
-        """Events in time order; ``us`` is their time in microseconds, which knows no session's time zone."""
-        pdf = pdf.sort_values(["us", "success"], kind="stable")
-        seen = [self.see(ts, bool(ok)) for ts, ok in zip(pd.to_datetime(pdf["us"], unit="us"), pdf["success"])]
-        return pdf.assign(attempts=[n for n, _ in seen], locked=[x for _, x in seen])[["email", "ip", "ts", "success", "attempts", "locked"]]
-
-
-def _timed(events: DataFrame) -> DataFrame:
-    return events.select("email", "ip", "ts", "success", F.unix_micros("ts").alias("us"))
-
-
-def lockout_batch(events: DataFrame) -> DataFrame:
-    """Every event of (email, ip, ts, success) with the key's failures and lock at that time."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return Lockout().rows(pdf)
-
-    return _timed(events).groupBy("email", "ip").applyInPandas(run, LOCKOUT)
-
-
-class LockoutProcessor(StatefulProcessor):
-    """The same over a stream: the state of a key is its count and its window's end in event time."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("lockout", "count int, ends long")  # microseconds
-        self.handle = handle
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        old = self.state.get() if self.state.exists() else None
-        lock = Lockout(old[0], pd.Timestamp(old[1], unit="us")) if old else Lockout()
-        yield lock.rows(pd.concat(list(rows)))
-        if lock.count:
-            ends = (lock.ends - pd.Timestamp(0)) // pd.Timedelta(microseconds=1)
-            self.state.update((lock.count, ends))
-            self.handle.registerTimer(ends // 1000 + 1)
-        elif self.state.exists():
-            self.state.clear()
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        """Drops a window that has ended by event time; a newer one has a timer of its own."""
-        if self.state.exists():
-            if self.state.get()[1] <= expiredTimerInfo.getExpiryTimeInMs() * 1000:
-                self.state.clear()
-        return iter(())
-
-    def close(self) -> None:
-        pass
-
-
-def lockout_stream(events: DataFrame, late: str = "10 minutes") -> DataFrame:
-    """Needs the RocksDB state store provider."""
-    rows = _timed(events).withWatermark("ts", late).groupBy("email", "ip")
-    return rows.transformWithStateInPandas(LockoutProcessor(), outputStructType=LOCKOUT, outputMode="Append", timeMode="EventTime")
-
-
 def audit_stream(access_log: DataFrame, trusted: list[str], path: str, checkpoint: str):
     """Appends the audit rows of an access log stream to a folder."""
     return access_to_audit(access_log, trusted).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")

@@ -3,21 +3,85 @@
 import random
 import tempfile
 import time
+from collections import Counter
 
+import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
-from tessera.streaming import jobs
+from tessera.streaming import jobs, lockout
+
+
+def plain(events, attempts=5, minutes=15):
+    """(attempts, locked) of a key's (time, success) in order, one after another."""
+    n, ends, out = 0, None, []
+    for ts, ok in events:
+        if ends is not None and ts >= ends:
+            n, ends = 0, None
+        if n >= attempts:
+            out.append((n, True))
+            continue
+        n = 0 if ok else n + 1
+        ends = None if ok else ts + pd.Timedelta(minutes=minutes) if n == 1 else ends
+        out.append((n, False))
+    return out
 
 
 def test_lockout_rules():
-    t = pd.Timestamp("2024-01-01")
-    lock = jobs.Lockout()
-    seen = [lock.see(t + pd.Timedelta(minutes=m), False) for m in range(5)]
-    assert seen == [(1, False), (2, False), (3, False), (4, False), (5, False)]
-    assert lock.see(t + pd.Timedelta(minutes=6), True) == (5, True)
-    assert lock.see(t + pd.Timedelta(minutes=15), False) == (1, False)
-    assert lock.see(t + pd.Timedelta(minutes=16), True) == (0, False)
+    t = [pd.Timestamp("2024-01-01") + pd.Timedelta(minutes=m) for m in (0, 1, 2, 3, 4, 6, 15, 16)]
+    ok = [False] * 5 + [True, False, True]
+    us = np.array([x.value // 1000 for x in t])
+    n, locked, state = lockout.Events(us, np.array(ok)).outcomes(lockout.State())
+    assert list(zip(n.tolist(), locked.tolist())) == plain(list(zip(t, ok))) == [(1, False), (2, False), (3, False), (4, False), (5, False), (5, True), (1, False), (0, False)]
+    assert state == lockout.State()
+
+
+def test_a_key_in_chunks():
+    """However a key's events are cut, the chunks' tables lead to the same states, and events to the same counts."""
+    rng = random.Random(12)
+    for case in range(300):
+        step = rng.choice([10, 60, 200, 400, 900])
+        us = np.cumsum([rng.choice([0, 1, 1, 2]) * rng.randrange(2 * step) * 1_000_000 for _ in range(rng.randrange(1, 60))])
+        ok = np.array([rng.random() < rng.choice([0.05, 0.3]) for _ in us])
+        want = plain([(pd.Timestamp(int(u), unit="us"), x) for u, x in zip(us, ok)])
+        cuts = sorted({0, len(us), *(rng.randrange(len(us)) for _ in range(rng.randrange(6)))})
+        state, got = lockout.State(), []
+        for lo, hi in zip(cuts, cuts[1:]):
+            part = lockout.Events(us[lo:hi], ok[lo:hi])
+            n, locked, after = part.outcomes(state)
+            got += zip(n.tolist(), locked.tolist())
+            assert part.table().leave(state) == after, (case, lo, hi, state)
+            state = after
+        assert got == want
+
+
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz"])
+def test_lockouts_of_a_table(spark, kind):
+    """A key with most of the events, cut into many chunks over all partitions; small keys; nulls; repeated rows; both kinds of time."""
+    rng = random.Random(4)
+    start = pd.Timestamp("2024-03-30 22:00")  # a change of summer time follows
+    rows = [("hot", "1", (start + pd.Timedelta(seconds=13 * i + rng.randrange(40))).to_pydatetime(), rng.random() < 0.04) for i in range(6000)]
+    rows += [(f"u{rng.randrange(300)}", None if rng.random() < 0.1 else "2", (start + pd.Timedelta(seconds=rng.randrange(40_000))).to_pydatetime(), rng.random() < 0.2) for _ in range(2000)]
+    rows += [(None, None, start.to_pydatetime(), None)] * 7 + [("hot", "1", None, False)]
+    rng.shuffle(rows)
+    events = spark.createDataFrame(rows, f"email string, ip string, ts {kind}, success boolean").selectExpr("*", "1 as us", "2 as ok", "3 as seq")
+    want = Counter()
+    keys = {(e, i) for e, i, _, _ in rows}
+    for key in keys:
+        own = sorted((pd.Timestamp(t), bool(ok)) for e, i, t, ok in rows if (e, i) == key and t is not None)
+        want.update((*key, t.to_pydatetime(), ok, n, shut) for (t, ok), (n, shut) in zip(own, plain(own)))
+    want[("hot", "1", None, False, None, None)] += 1
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        if kind == "timestamp_ntz":
+            spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+        found = lockout.lockout_batch(events, chunk=500)
+        assert dict(found.dtypes)["ts"] == kind and Counter(map(tuple, found.collect())) == want
+        assert lockout.lockout_batch(events.where("false")).count() == 0
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert sum(n for r, n in want.items() if r[5]) > 500
 
 
 def test_score_new(spark):
@@ -50,9 +114,9 @@ def test_lockout_stream_gives_what_its_batch_twin_gives(spark, tmp_path):
         spark.createDataFrame(rows[i : i + 180], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
         time.sleep(1.1)  # files are taken by time of change
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    run(jobs.lockout_stream(stream), str(tmp_path))
+    run(lockout.lockout_stream(stream), str(tmp_path))
     got = spark.read.parquet(f"{tmp_path}/out")
-    want = jobs.lockout_batch(spark.read.parquet(f"{tmp_path}/in"))
+    want = lockout.lockout_batch(spark.read.parquet(f"{tmp_path}/in"))
     assert want.where("locked").count() > 10 and want.where("attempts = 5").count() > 5
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
