@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import authorship, code, marking, similarity
+from tessera.scratch import Scratch
 from tessera.sources import io
 
 
@@ -24,29 +27,48 @@ def parse(submissions: DataFrame) -> DataFrame:
         ok(F.col("b")).alias("blocks"), ok(F.col("b").isNotNull()).alias("has_code"), "status")
 
 
-def candidates(parsed: DataFrame) -> DataFrame:
-    """(batch, a, b) of the documents that share a signature band in their text or in their code."""
-    text = similarity.lsh_candidates(similarity.minhash_signatures(parsed.where("text is not null").select("batch", "doc", "text")))
+DIMS = 256  #: of hashed embeddings: with few cells unlike texts score high
+LEAST = 0.3  #: fused scores below this have no copy direction and cost no marks
+
+
+def candidates(parsed: DataFrame, weights: DataFrame, embeddings: DataFrame, least: float = LEAST) -> DataFrame:
+    """(batch, a, b): all pairs whose fused score is at least ``least``, those where one text stands in the other, and those that share a signature band in their code.
+
+    A fused score is a mean of the two similarities, so one of them is at least as high: the pairs that reach it in the weighted terms
+    (``threshold_candidates``) or in the embeddings (by blocks) are all there are. Of equal texts the smallest document stands for all, and each other
+    is paired with it.
+    """
+    docs = parsed.where("text is not null").select("batch", "doc", "text")
+    first = docs.groupBy("batch", F.sha2("text", 256).alias("h")).agg(F.min("doc").alias("first"), F.count("*").alias("n"))
+    copies = docs.select("batch", "doc", F.sha2("text", 256).alias("h")).join(first.where("n > 1"), ["batch", "h"]).where("doc != first")
+    copies = Scratch(parsed.sparkSession, "copies").save(copies.select("batch", "first", "doc"))
+    sole = lambda rows: rows.join(copies.select("batch", "doc"), ["batch", "doc"], "left_anti")
     blocks = code.block_rows(parsed.where("has_code").select("batch", "doc", "blocks"))
-    return text.unionByName(similarity.lsh_candidates(similarity.minhash_signatures(code.token_grams(blocks), k=1))).distinct()
+    found = [
+        copies.select("batch", F.col("first").alias("a"), F.col("doc").alias("b")),
+        similarity.threshold_candidates(sole(weights), least),
+        similarity.embedding_pairs(sole(embeddings), least=least).select("batch", "a", "b"),
+        similarity.containment_pairs(sole(docs)).select("batch", "a", "b"),
+        similarity.lsh_candidates(similarity.minhash_signatures(code.token_grams(blocks), k=1)),
+    ]
+    return reduce(DataFrame.unionByName, found).distinct()
 
 
-def scored_pairs(parsed: DataFrame, pairs: DataFrame, encode=None) -> DataFrame:
-    """(batch, a, b, tfidf, semantic, fused, copy_direction, code_score) of the given pairs; ``encode`` as in ``similarity.text_embeddings``."""
+def scored_pairs(parsed: DataFrame, pairs: DataFrame, weights: DataFrame, embeddings: DataFrame) -> DataFrame:
+    """(batch, a, b, tfidf, semantic, fused, copy_direction, code_score) of the given pairs."""
     docs = parsed.where("text is not null").select("batch", "doc", "text")
-    vectors = similarity.text_embeddings(docs, encode) if encode is not None else similarity.hashed_embeddings(docs)
-    tfidf = similarity.tfidf_of_pairs(similarity.tfidf_vectors(docs), pairs)
-    found = similarity.score_pairs(docs, tfidf, similarity.embedding_pairs(vectors, pairs), pairs)
+    found = similarity.score_pairs(docs, similarity.tfidf_of_pairs(weights, pairs), similarity.embedding_pairs(embeddings, pairs), pairs)
     blocks = code.block_rows(parsed.where("has_code").select("batch", "doc", "blocks"))
     return code.with_code_score(found, code.max_block_similarity(pairs, blocks))
 
 
-def process(submissions: DataFrame, folder: str, *, encode=None, model=None, classifier=None, external: DataFrame | None = None, every_pair: bool = False, batches: DataFrame | None = None) -> dict[str, DataFrame]:
+def process(submissions: DataFrame, folder: str, *, encode=None, model=None, classifier=None, external: DataFrame | None = None, least: float = LEAST, every_pair: bool = False, batches: DataFrame | None = None) -> dict[str, DataFrame]:
     """Tables parsed, pairs, results, risks and, with ``batches``, marks of the submissions' batches.
 
     Each is written below ``folder`` in partitions by batch and read from there by the next, so a lost executor costs only
     the tasks that were running, and another run replaces the rows of its own batches and no others. Pairs are those of
-    ``candidates``, or all of each batch with ``every_pair``. ``model`` gives perplexities (the corpus's own bigram model by
+    ``candidates``, or all of each batch with ``every_pair``; so a document whose text_sim_max is below ``least`` has no closer peer. Embeddings are those of
+    ``encode``, as in ``similarity.text_embeddings``, or hashed ones of DIMS cells. ``model`` gives perplexities (the corpus's own bigram model by
     default), ``classifier`` and ``external`` are those of ``authorship.probability``.
     """
     spark = submissions.sparkSession
@@ -59,8 +81,12 @@ def process(submissions: DataFrame, folder: str, *, encode=None, model=None, cla
 
     parsed = stage("parsed", parse(submissions))
     texts = parsed.where("text is not null").select("batch", "doc", "text")
-    wanted = similarity.pair_grid(texts) if every_pair else stage("candidates", candidates(parsed))
-    pairs = stage("pairs", scored_pairs(parsed, wanted, encode))
+    scratch = Scratch(spark, "process")
+    weights = scratch.save(similarity.tfidf_vectors(texts))
+    embeddings = scratch.save(similarity.text_embeddings(texts, encode) if encode is not None else similarity.hashed_embeddings(texts, DIMS))
+    wanted = similarity.pair_grid(texts) if every_pair else stage("candidates", candidates(parsed, weights, embeddings, least))
+    pairs = stage("pairs", scored_pairs(parsed, wanted, weights, embeddings))
+    scratch.keep()
     signals = authorship.signals(texts, model if model is not None else authorship.BigramModel(texts))
     results = authorship.probability(signals, classifier, external).join(texts.select("batch", "doc"), "doc")
     results = stage("results", results)

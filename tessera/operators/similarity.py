@@ -1,7 +1,7 @@
 """Text similarity inside batches: vectors, pairs, candidates and evidence.
 
-A document is a row (batch, doc, text). Pairs are rows with a < b. Exact modes cost the square of a batch;
-``lsh_candidates`` is the way for batches where that is too much.
+A document is a row (batch, doc, text). Pairs are rows with a < b. Modes that return all pairs cost the square of a batch; ``threshold_pairs`` and
+``containment_pairs`` return what reaches a threshold, exactly, and ``lsh_candidates`` what is likely to.
 """
 
 from __future__ import annotations
@@ -12,7 +12,9 @@ from pyspark.sql.window import Window
 
 from tessera.functions import scores
 from tessera.functions import text as T
+from tessera.operators import products
 from tessera.params import TfidfParams
+from tessera.scratch import Scratch
 
 MERSENNE = (1 << 31) - 1
 
@@ -30,9 +32,9 @@ def tfidf_vectors(docs: DataFrame, params: TfidfParams = TfidfParams()) -> DataF
     """(batch, doc, term, weight): sublinear counts by smoothed inverse document frequency, of unit length.
 
     Fitted for each batch on its most frequent terms (ties by term). The rank is cut on every partition before
-    it is shuffled, so a batch's whole vocabulary never meets in one task.
+    it is shuffled, so a batch's whole vocabulary never meets in one task. Terms are counted once and written.
     """
-    tf = terms(docs, params)
+    tf = Scratch(docs.sparkSession, "terms").save(terms(docs, params))
     by_term = tf.groupBy("batch", "term").agg(F.sum("tf").alias("cf"), F.count("*").alias("df"))
     rank = F.row_number().over(Window.partitionBy("batch").orderBy(F.desc("cf"), "term"))
     kept = by_term.withColumn("rank", rank).where(F.col("rank") <= params.max_terms)
@@ -43,19 +45,64 @@ def tfidf_vectors(docs: DataFrame, params: TfidfParams = TfidfParams()) -> DataF
     return raw.join(norm, ["batch", "doc"]).select("batch", "doc", "term", (F.col("raw") / F.col("norm")).alias("weight"))
 
 
-def tfidf_pairs(vectors: DataFrame) -> DataFrame:
-    """(batch, a, b, tfidf) of the pairs that share a term, by an equi-join of postings."""
+def tfidf_pairs(vectors: DataFrame, *, blocks: bool = True) -> DataFrame:
+    """(batch, a, b, tfidf) of the pairs that share a term. By blocks, or for very many small batches by an equi-join of postings."""
+    if blocks:
+        return products.all_pairs(products.sparse(vectors)).withColumnRenamed("value", "tfidf")
     a = vectors.select("batch", "term", F.col("doc").alias("a"), F.col("weight").alias("wa"))
     b = vectors.select("batch", "term", F.col("doc").alias("b"), F.col("weight").alias("wb"))
     return a.join(b, ["batch", "term"]).where("a < b").groupBy("batch", "a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("tfidf"))
 
 
 def tfidf_of_pairs(vectors: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(batch, a, b, tfidf) of the given pairs that share a term. Each pair's terms meet once, and no term's postings meet one another."""
-    a = vectors.select("batch", F.col("doc").alias("a"), "term", F.col("weight").alias("wa"))
-    b = vectors.select("batch", F.col("doc").alias("b"), "term", F.col("weight").alias("wb"))
-    rows = pairs.select("batch", "a", "b").join(a, ["batch", "a"]).join(b, ["batch", "b", "term"])
-    return rows.groupBy("batch", "a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("tfidf"))
+    """(batch, a, b, tfidf) of the given pairs that share a term."""
+    return products.of_pairs(products.sparse(vectors), pairs).where("value > 0").withColumnRenamed("value", "tfidf")
+
+
+_SLACK = 1e-9
+
+
+def threshold_candidates(vectors: DataFrame, least: float) -> DataFrame:
+    """(batch, a, b): every pair of unit vectors (batch, doc, term, weight) whose product is at least ``least``, and some that is not.
+
+    Terms stand from the rarest of a batch to the most frequent. What a vector has from a term on has a length; where two vectors first
+    share a term, their product is at most that of these lengths. So terms from which on less than ``least`` is left are not joined,
+    which spares the frequent ones, and pairs are dropped whose lengths at a shared term multiply to less: at the first one they shared
+    no true pair's do.
+    """
+    df = vectors.groupBy("batch", "term").agg(F.count("*").alias("df"))
+    on = Window.partitionBy("batch", "doc").orderBy(F.desc("df"), "term").rowsBetween(Window.unboundedPreceding, 0)
+    rows = vectors.join(df, ["batch", "term"]).withColumn("rest", F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(on)))
+    rows = rows.where((F.col("rest") >= least - _SLACK) & (F.col("df") > 1))
+    a = rows.select("batch", "term", F.col("doc").alias("a"), F.col("rest").alias("ra"))
+    b = rows.select("batch", "term", F.col("doc").alias("b"), F.col("rest").alias("rb"))
+    return a.join(b, ["batch", "term"]).where((F.col("a") < F.col("b")) & (F.col("ra") * F.col("rb") >= least - _SLACK)).select("batch", "a", "b").distinct()
+
+
+def threshold_pairs(vectors: DataFrame, least: float) -> DataFrame:
+    """(batch, a, b, tfidf) of exactly the pairs of unit vectors whose product is at least ``least`` > 0."""
+    vectors = Scratch(vectors.sparkSession, "weights").save(vectors)
+    return tfidf_of_pairs(vectors, threshold_candidates(vectors, least)).where(F.col("tfidf") >= least - _SLACK)
+
+
+def containment_pairs(docs: DataFrame, least: float = 0.8, k: int = 3) -> DataFrame:
+    """(batch, a, b, contained): of exactly the pairs where the one with fewer word k-grams has at least this share of them in the other, however long that is.
+
+    Of n distinct k-grams of the shorter side, one of the n - least * n + 1 rarest of the batch must be in the other; so a text asks with those,
+    which few others have, and answers with all. Texts with fewer than k words have one gram; texts without words have no pairs.
+    """
+    grams = docs.select("batch", "doc", F.explode(shingle_grams(F.col("text"), k)).alias("g")).where("g != ''")
+    grams = Scratch(docs.sparkSession, "grams").save(grams.select("batch", "doc", F.xxhash64("g").alias("term")).distinct())
+    df = grams.groupBy("batch", "term").agg(F.count("*").alias("df"))
+    size = grams.groupBy("batch", "doc").agg(F.count("*").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("batch", "doc").orderBy("df", "term"))
+    rows = grams.join(df, ["batch", "term"]).join(size, ["batch", "doc"]).withColumn("rank", rank).where("df > 1")
+    asking = rows.where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * least - _SLACK) + 1).select("batch", "term", F.col("doc").alias("x"), F.col("n").alias("nx"))
+    whole = rows.select("batch", "term", F.col("doc").alias("y"), F.col("n").alias("ny"))
+    fewer = (F.col("nx") < F.col("ny")) | (F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y"))
+    found = asking.join(whole, ["batch", "term"]).where(fewer).select("batch", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "nx").distinct()
+    shared = products.of_pairs(products.sparse(grams.withColumn("weight", F.lit(1.0))), found)
+    return shared.join(found, ["batch", "a", "b"]).select("batch", "a", "b", (F.col("value") / F.col("nx")).alias("contained")).where(F.col("contained") >= least - _SLACK)
 
 
 def pair_grid(docs: DataFrame) -> DataFrame:
@@ -71,15 +118,15 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm > 0, dot(a, b) / norm)
 
 
-def embedding_pairs(vectors: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
-    """(batch, a, b, semantic) for the given pairs, or all pairs of a batch, of (batch, doc, embedding); no vector gives 0."""
-    a = vectors.select("batch", F.col("doc").alias("a"), F.col("embedding").alias("ea"))
-    b = vectors.select("batch", F.col("doc").alias("b"), F.col("embedding").alias("eb"))
-    if pairs is None:
-        both = a.join(b, "batch").where("a < b")
-    else:
-        both = pairs.select("batch", "a", "b").join(a, ["batch", "a"], "left").join(b, ["batch", "b"], "left")
-    return both.select("batch", "a", "b", F.coalesce(cosine(F.col("ea"), F.col("eb")), F.lit(0.0)).alias("semantic"))
+def embedding_pairs(vectors: DataFrame, pairs: DataFrame | None = None, least: float | None = None) -> DataFrame:
+    """(batch, a, b, semantic) of (batch, doc, embedding) for the given pairs, for all pairs of a batch, or for those of at least ``least`` > 0.
+
+    By products of blocks of unit vectors. A vector that is missing, or has a null or non-finite component or no length, gives 0; so do two of unequal length.
+    """
+    unit = products.dense(vectors)
+    if pairs is not None:
+        return products.of_pairs(unit, pairs, block=1024).withColumnRenamed("value", "semantic")
+    return products.all_pairs(unit, least, block=1024).withColumnRenamed("value", "semantic")
 
 
 def text_embeddings(docs: DataFrame, encode) -> DataFrame:
@@ -101,15 +148,19 @@ def hashed_embeddings(docs: DataFrame, dims: int = 32) -> DataFrame:
     return whole.where("norm > 0").select("batch", "doc", F.transform(place, value).alias("embedding"))
 
 
-def shingle_hashes(text: Column, k: int = 2) -> Column:
-    """Distinct 32-bit hashes of the k-word shingles of the lower-cased text; fewer words are one shingle."""
+def shingle_grams(text: Column, k: int) -> Column:
+    """The k-word shingles of the lower-cased text; fewer words are one shingle."""
     w = T.words(F.lower(text))
     n = F.greatest(F.size(w) - (k - 1), F.lit(0))
     grams = F.slice(w, F.lit(1), n)
     for j in range(1, k):
         grams = F.zip_with(grams, F.slice(w, F.lit(j + 1), n), lambda a, b: F.concat_ws(" ", a, b))
-    grams = F.when(F.size(w) >= k, grams).otherwise(F.array(F.array_join(w, " ")))
-    return F.array_distinct(F.transform(grams, lambda g: F.conv(F.substring(F.md5(g), 1, 8), 16, 10).cast("long")))
+    return F.when(F.size(w) >= k, grams).otherwise(F.array(F.array_join(w, " ")))
+
+
+def shingle_hashes(text: Column, k: int = 2) -> Column:
+    """Distinct 32-bit hashes of the k-word shingles."""
+    return F.array_distinct(F.transform(shingle_grams(text, k), lambda g: F.conv(F.substring(F.md5(g), 1, 8), 16, 10).cast("long")))
 
 
 def permutations(n: int = 128) -> list[tuple[int, int, int]]:
@@ -127,19 +178,42 @@ def minhash_signatures(docs: DataFrame, n: int = 128, k: int = 2) -> DataFrame:
     return rows.groupBy("batch", "doc").agg(*low).select("batch", "doc", F.array(*(f"m{i}" for i in range(n))).alias("signature"))
 
 
-def lsh_candidates(signatures: DataFrame, bands: int = 32, rows: int = 4) -> DataFrame:
+def lsh_candidates(signatures: DataFrame, bands: int = 32, rows: int = 4, *, most: int = 1000) -> DataFrame:
     """(batch, a, b) of the documents of a batch that agree in a whole band.
 
     Documents with equal signatures are represented by the smallest: they enter the join once, so a crowd of copies
-    costs a row each and not a pair each; ``copies`` counts them. Each other pair of classes is found as before.
+    costs a row each and not a pair each. Each other pair of classes is found, unless their bucket has more than ``most`` classes:
+    such a bucket is a star around its smallest document, and is split by twice as many rows of the signature, again and again
+    until no part is larger. So a bucket gives at most its own number of rows for each doubling and ``most`` / 2 for each document, and
+    those that agree in more rows are still paired.
     """
+    scratch = Scratch(signatures.sparkSession, "bands")
+    signatures = scratch.save(signatures)
     classes = signatures.groupBy("batch", "signature").agg(F.min("doc").alias("doc"), F.count("*").alias("copies"))
-    band = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.struct(i.alias("band"), F.slice("signature", i * rows + 1, F.lit(rows)).alias("key")))
-    keyed = classes.select("batch", "doc", F.explode(band).alias("x")).select("batch", "doc", "x.band", F.xxhash64("x.key").alias("key"))
-    a, b = keyed.withColumnRenamed("doc", "a"), keyed.withColumnRenamed("doc", "b")
-    between = a.join(b, ["batch", "band", "key"]).where("a < b").select("batch", "a", "b").distinct()
+    around = F.concat("signature", "signature")
+    key = lambda i, n: F.xxhash64(F.slice(around, i * rows + 1, F.lit(n)))
+    band = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.struct(i.alias("band"), key(i, rows).alias("key")))
+    keyed = scratch.save(classes.select("batch", "doc", F.explode(band).alias("x")).select("batch", "doc", "x.band", "x.key"))
+    found, n, bucket = [], rows, ["batch", "band", "key"]
+    while True:
+        sizes = keyed.groupBy(*bucket).agg(F.count("*").alias("n"), F.min("doc").alias("hub")).where("n > 1")
+        sized = keyed.join(sizes, bucket)
+        a = sized.where(F.col("n") <= most).select(*bucket, F.col("doc").alias("a"))
+        found.append(a.join(a.withColumnRenamed("a", "b"), bucket).where("a < b").select("batch", "a", "b"))
+        large = sized.where(F.col("n") > most)
+        if large.isEmpty():
+            break
+        large = scratch.save(large)
+        found.append(large.where("doc != hub").select("batch", F.col("hub").alias("a"), F.col("doc").alias("b")))
+        if n >= bands * rows:
+            break
+        n = min(2 * n, bands * rows)
+        keyed = scratch.save(large.join(classes.select("batch", "doc", "signature"), ["batch", "doc"]).select("batch", "doc", "band", key(F.col("band"), n).alias("key")))
+    between = found[0]
+    for more in found[1:]:
+        between = between.unionByName(more)
     same = signatures.join(classes.where("copies > 1").select("batch", "signature", F.col("doc").alias("a")), ["batch", "signature"])
-    return between.unionByName(same.where("doc != a").select("batch", "a", F.col("doc").alias("b")))
+    return between.distinct().unionByName(same.where("doc != a").select("batch", "a", F.col("doc").alias("b")))
 
 
 def jaccard_estimate(a: Column, b: Column) -> Column:
@@ -193,12 +267,38 @@ def sentence_rows(docs: DataFrame, least: int = 20) -> DataFrame:
     return rows.where(F.length("sentence") >= least)
 
 
+def sentence_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Membership (batch, doc, class, size) and links (batch, a, b, n_sentences, n_chars) of what documents of a batch have in common.
+
+    Documents whose sentences that others have, too, are the same set are one class, named by its smallest document. A link is between two
+    classes, or of a class with itself where it has several members, and holds for every pair of their members. So a
+    sentence that a crowd has, and nothing else in common, makes a row for each of the crowd and one link.
+    """
+    scratch = Scratch(docs.sparkSession, "sentences")
+    rows = sentence_rows(docs).select("batch", "doc", F.sha2("sentence", 256).alias("s"), F.length("sentence").alias("n"))
+    rows = scratch.save(rows)
+    common = rows.groupBy("batch", "s").agg(F.count("*").alias("df")).where("df > 1").drop("df")
+    rows = scratch.save(rows.join(common, ["batch", "s"]))
+    sets = rows.groupBy("batch", "doc").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("s")), ","), 256).alias("set"))
+    named = sets.groupBy("batch", "set").agg(F.min("doc").alias("class"), F.count("*").alias("size"))
+    members = scratch.save(sets.join(named, ["batch", "set"]).select("batch", "doc", "class", "size"))
+    one = scratch.save(rows.join(members.where("doc = class").select("batch", "doc", "size"), ["batch", "doc"]))
+    a = one.select("batch", "s", "n", F.col("doc").alias("a"))
+    b = one.select("batch", "s", F.col("doc").alias("b"))
+    between = a.join(b, ["batch", "s"]).where("a < b").select("batch", "a", "b", "n")
+    within = one.where("size > 1").select("batch", F.col("doc").alias("a"), F.col("doc").alias("b"), "n")
+    links = between.unionByName(within).groupBy("batch", "a", "b").agg(F.count("*").alias("n_sentences"), F.sum("n").alias("n_chars"))
+    links = scratch.save(links)
+    scratch.keep(members, links)
+    return members, links
+
+
 def matched_sentences(docs: DataFrame) -> DataFrame:
-    """(batch, a, b, n_sentences, n_chars): what two documents of a batch have in common, sentence by sentence."""
-    rows = sentence_rows(docs)
-    a, b = rows.withColumnRenamed("doc", "a"), rows.withColumnRenamed("doc", "b")
-    both = a.join(b, ["batch", "sentence"]).where("a < b")
-    return both.groupBy("batch", "a", "b").agg(F.count("*").alias("n_sentences"), F.sum(F.length("sentence")).alias("n_chars"))
+    """(batch, a, b, n_sentences, n_chars): what two documents of a batch have in common, sentence by sentence; the pairs of ``sentence_classes``, one by one."""
+    members, links = sentence_classes(docs)
+    of = lambda x, doc: members.select("batch", F.col("class").alias(x), F.col("doc").alias(doc))
+    pairs = links.join(of("a", "x"), ["batch", "a"]).join(of("b", "y"), ["batch", "b"]).where((F.col("a") != F.col("b")) | (F.col("x") < F.col("y")))
+    return pairs.select("batch", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "n_sentences", "n_chars")
 
 
 def sentence_evidence(docs: DataFrame, pairs: DataFrame, least: int = 20) -> DataFrame:

@@ -7,12 +7,15 @@ functions of a row's number, the same in both languages. A part of a WITH clause
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import scores
 from tessera.functions import text as T
 from tessera.operators import authorship, marking, similarity
+from tessera.scratch import Scratch
 
 CONFIG_JSON = (
     '{"total_marks": 100, "ai_thresholds": [{"min_value": 0, "max_value": 40, "marks_deduct": 0}, {"min_value": 40, "max_value": 100, "marks_deduct": 20}], '
@@ -26,6 +29,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_stored: dict[tuple[str, str], DataFrame] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A scored table that several queries read: written once a session for the documents as they are, by files, sizes and times of change."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(where)
+    state = ";".join(sorted(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}" for f in files))
+    key = (f"{spark.sparkContext.applicationId} {state}", name)
+    if key not in _stored:
+        _stored[key] = Scratch(spark, name).save(build())
+    return _stored[key]
+
+
 def share(key: Column, factor: int) -> Column:
     return ((key * factor) % 101).cast("double") / 100
 
@@ -64,6 +81,10 @@ bst AS (SELECT doc, var_pop(p) AS burstiness FROM sp GROUP BY 1)"""
 
 
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir, "signals", lambda: _signals(spark, sf_dir))
+
+
+def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measured signals of every document; a text that gives one no value has a null there.
 
     Perplexity and burstiness are scaled by fixed numbers, as a bigram model's lie far above a transformer's.
@@ -79,6 +100,10 @@ SIGNALS = (SENT, STYLE, BIGRAM, PPL, BURST, """sig AS (SELECT d.doc, d.batch, ro
 
 
 def ai(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir, "ai", lambda: _ai(spark, sf_dir))
+
+
+def _ai(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detection results of every document, from its style."""
     none = F.lit(None).cast("double")
     p = scores.heuristic_probability(none, none, T.stylometric(F.col("text")))
@@ -89,6 +114,10 @@ AI = (SENT, STYLE, "ai AS (SELECT doc, round(coalesce(stylometric, 0.0), 9) AS a
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir, "pairs", lambda: _pairs(spark, sf_dir))
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pairs of a batch that share sentences: fused is the share of the shorter text that these make.
 
     The texts hold no code, so where both sides count as having some, the number of shared sentences, up to ten, stands for its score.
@@ -111,6 +140,10 @@ pairs AS (SELECT batch, a, b, fused, code_score, CASE WHEN fused < 0.3 THEN 'unk
 
 
 def risks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir, "risks", lambda: _risks(spark, sf_dir))
+
+
+def _risks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Risk rows of all documents, by their style and their closest peer."""
     best = similarity.max_similarity(pairs(spark, sf_dir), {"fused": "text_sim_max", "code_score": "code_sim_max"})
     return marking.score_documents(docs(spark, sf_dir), best, ai(spark, sf_dir))

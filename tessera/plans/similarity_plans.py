@@ -120,7 +120,7 @@ def _pair_corpora(s, d, pairs):
     p = pairs.select(F.concat_ws("-", "a", "b").alias("batch"), "a", "b")
     t = base.docs(s, d).select(C("doc"), "text")
     docs = p.select("batch", F.explode(F.array("a", "b")).alias("doc")).join(t, "doc")
-    return similarity.tfidf_pairs(similarity.tfidf_vectors(docs))
+    return similarity.tfidf_pairs(similarity.tfidf_vectors(docs), blocks=False)
 
 
 Q["c12_pair_fitted_tfidf"] = lambda s, d: _pair_corpora(s, d, base.pairs(s, d)).select("a", "b", F.round("tfidf", 5).alias("tfidf"))
@@ -136,6 +136,19 @@ Q["c13_matched_sentences"] = lambda s, d: similarity.matched_sentences(base.docs
 SQL["c13_matched_sentences"] = base.with_(base.DOCS, SENT) + r""", r AS (SELECT DISTINCT batch, doc, regexp_replace(lower(x), '\s+', ' ', 'g') AS x FROM (SELECT batch, doc, unnest(s) AS x FROM sent))
 SELECT p.batch, p.doc AS a, q.doc AS b, count(*) AS n_sentences, CAST(sum(length(p.x)) AS BIGINT) AS n_chars FROM r p JOIN r q ON p.batch = q.batch AND p.x = q.x AND p.doc < q.doc WHERE length(p.x) >= 20 GROUP BY ALL"""
 
+# the same as classes of documents and links between them
+Q["c13_classes"] = lambda s, d: similarity.sentence_classes(base.docs(s, d))[0].withColumn("size", C("size").cast("long"))
+SQL["c13_classes"] = base.with_(base.DOCS, SENT) + r""", r AS (SELECT DISTINCT batch, doc, regexp_replace(lower(x), '\s+', ' ', 'g') AS x FROM (SELECT batch, doc, unnest(s) AS x FROM sent)),
+c AS (SELECT batch, x FROM r WHERE length(x) >= 20 GROUP BY ALL HAVING count(*) > 1), k AS (SELECT r.batch, doc, list(r.x ORDER BY r.x) AS k FROM r JOIN c ON c.batch = r.batch AND c.x = r.x GROUP BY ALL)
+SELECT batch, doc, min(doc) OVER w AS class, count(*) OVER w AS size FROM k WINDOW w AS (PARTITION BY batch, k)"""
+# exactly the pairs of at least 0.3
+Q["c2_threshold_pairs"] = lambda s, d: similarity.threshold_pairs(_vectors(s, d), 0.3).withColumn("tfidf", F.round("tfidf", 5))
+SQL["c2_threshold_pairs"] = _T + "SELECT batch, a, b, round(tfidf, 5) AS tfidf FROM sims WHERE tfidf >= 0.3"
+Q["c9_containment"] = lambda s, d: similarity.containment_pairs(base.docs(s, d)).withColumn("contained", F.round("contained", 5))
+SQL["c9_containment"] = base.with_(base.DOCS) + r""", w AS (SELECT batch, doc, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS w FROM docs),
+g AS (SELECT DISTINCT batch, doc, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) ELSE [array_to_string(w, ' ')] END) AS g FROM w WHERE len(w) > 0),
+n AS (SELECT batch, doc, count(*) AS n FROM g GROUP BY ALL), p AS (SELECT x.batch, x.doc AS a, y.doc AS b, count(*) AS k FROM g x JOIN g y ON x.batch = y.batch AND x.g = y.g AND x.doc < y.doc GROUP BY ALL)
+SELECT p.batch, a, b, round(k / least(x.n, y.n), 5) AS contained FROM p JOIN n x ON x.batch = p.batch AND x.doc = a JOIN n y ON y.batch = p.batch AND y.doc = b WHERE k >= 0.8 * least(x.n, y.n)"""
 
 
 def _evidence(s, d):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import authorship, marking, processing, similarity, training
 from tessera.plans.base import CONFIG_JSON
+from tests.test_candidates import batch_of_texts
 
 PROSE = "The river ran past the old mill and the children threw stones off the bridge. Nobody in the village had seen such a winter before that year. Every house kept a lamp in the window until the snow was gone on the hills. "
 OTHER = "Markets opened late because the letter of the capital had not arrived in time. Three merchants argued about the price of paper and of ink for hours. In the end the garden gate was shut and everyone went home without a word. "
@@ -59,7 +60,7 @@ def test_user_models(spark, submissions, tmp_path):
     model = training.fit(train)
     external = spark.createDataFrame([(3, 1.0)], "doc long, api_score double")
     out = processing.process(submissions, str(tmp_path), encode=encode, model=authorship.ScoredBy(perplexity), classifier=model, external=external)
-    assert out["pairs"].where("a = 1").first()["semantic"] == pytest.approx(1.0)
+    assert out["pairs"].where("a = 1 and b = 2").first()["semantic"] == pytest.approx(1.0)
     results = {r["doc"]: r for r in out["results"].collect()}
     texts = {r["doc"]: r["text"] for r in out["parsed"].collect()}
     assert all(r["perplexity"] == 20.0 + len(texts[d]) % 50 for d, r in results.items())
@@ -88,3 +89,23 @@ def test_evidence(spark, submissions):
     n = sum(len(r["sentence"]) for r in got)
     size = {r["doc"]: len(r["text"]) for r in docs.collect()}
     assert (share["share_a"], share["share_b"]) == (n / size[1], n / size[2])
+
+
+def test_candidates_lose_no_pair(spark, tmp_path):
+    """Pairs and risks of the candidates against those of every pair; a text inside another of fifty times its length is found."""
+    docs = batch_of_texts(spark)
+    some = processing.process(docs, f"{tmp_path}/some")
+    every = processing.process(docs, f"{tmp_path}/every", every_pair=True)
+    fused = {(r["a"], r["b"]): r["fused"] for r in every["pairs"].collect()}
+    got = {(r["a"], r["b"]): r["fused"] for r in some["pairs"].collect()}
+    assert len(got) < len(fused) and all(abs(got[p] - fused[p]) < 1e-12 for p in got)
+    texts = {r["doc"]: r["text"] for r in docs.collect()}
+    first = {t: min(i for i, u in texts.items() if u == t) for t in texts.values()}
+    for least in (0.3, 0.5, 0.75):
+        near = [p for p, v in fused.items() if v >= least]
+        assert len(near) > 2 and all((a, b) in got for a, b in near if first[texts[a]] == a and first[texts[b]] in (a, b))
+    assert (63, 64) in got and fused[63, 64] < 0.3
+    risk = lambda out: {r["doc"]: (r["text_sim_max"], r["weighted_score"]) for r in out["risks"].collect()}
+    a, b = risk(some), risk(every)
+    assert set(a) == set(b) and all(a[d] == pytest.approx(b[d]) for d in b if b[d][0] >= 0.3)
+    assert all(a[d][0] <= b[d][0] < 0.3 for d in b if b[d][0] < 0.3)
