@@ -146,8 +146,8 @@ def near_duplicates(
     """vec_id, n_links, component_id, kept of every row of (vec_id, embedding, label).
 
     Vectors are compared where labels are equal and not null and lengths are equal. Null, empty and zero
-    vectors, and such with null or non-finite components, link with nothing. Equal vectors are filed once, with their
-    number. Rows that share a vec_id are one node of the graph; a null vec_id keeps its row and names no component.
+    vectors, and such with null or non-finite components, link with nothing; finite ones of any size are compared. Vectors that are equal
+    but for a power of two are filed once, with their number. Rows that share a vec_id are one node of the graph; a null vec_id keeps its row and names no component.
 
     Codebooks are fitted on at most ``train`` vectors, by hash. Every vector is filed and every one is a query.
     Lists and their queries are split into parts of about ``part`` rows, so a group of near copies of any size is
@@ -158,9 +158,11 @@ def near_duplicates(
     radius = float(np.sqrt(2 - 2 * cosine))
     v = F.col("embedding").cast("array<double>")
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), v.alias("v"))
-    norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
-    good = usable(F.col("v")) & F.col("label").isNotNull() & (norm > 0) & (norm < float("inf"))
-    rows = scratch.save(rows.withColumn("good", F.coalesce(good, F.lit(False))))
+    top = F.array_max(F.transform("v", lambda x: F.abs(x)))
+    good = F.coalesce(usable(F.col("v")) & F.col("label").isNotNull() & (top > 0), F.lit(False))
+    unit = F.pow(F.lit(2.0), F.floor(F.log2(top)))  # by a power of two, which changes no digit, so that no square overflows or vanishes
+    rows = rows.withColumns({"good": good, "unit": unit}).withColumn("v", F.when(F.col("good"), F.transform("v", lambda x: x / F.col("unit"))).otherwise(F.col("v")))
+    rows = scratch.save(rows.drop("unit"))
     grp = F.concat_ws(":", F.size("v").cast("string"), "label")
     classes = rows.where("good").withColumn("grp", grp).groupBy("grp", "v").agg(F.count("*").alias("copies"), F.min("vec_id").alias("node"))
     classes = scratch.save(classes.select(F.monotonically_increasing_id().alias("uid"), "node", "copies", "grp", "v"))

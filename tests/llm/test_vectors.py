@@ -84,3 +84,10 @@ def test_near_duplicates_of_repeats_and_clashing_columns(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumns({"uid": F.lit("x"), "node": F.lit(1), "cell": F.lit(2), "grp": F.lit("g")})
     got = sorted((r["vec_id"] or 0, r["n_links"], r["component_id"]) for r in pq.near_duplicates(df).collect())
     assert got == [(0, 3, 1), (1, 3, 1), (1, 3, 1), (2, 3, 1), (3, 0, 3)]
+
+
+def test_finite_vectors_of_any_size(spark):
+    """Squares that overflow or vanish do not matter."""
+    rows = [(1, [1e200, 1e200], 0), (2, [1e200, 1e200], 0), (3, [1e-200, 1e-200], 0), (4, [3.0, 3.1], 0), (5, [5e-324, 5e-324], 0), (6, [1.7e308, 1.7e308], 0), (7, [1e200, -1e200], 0)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in pq.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {i: (5, 1) for i in range(1, 7)} | {7: (0, 7)}
