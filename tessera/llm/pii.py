@@ -3,7 +3,8 @@
 Patterns give the base spans. The random field labels the other number-like and address-like tokens of a
 document: neighbours in the text share chain potentials, and repeated or similar tokens, however far apart,
 share skip potentials, so what is an entity at one place is one at the others. Its weights are learned from
-the base spans of a bounded sample of documents; inference is loopy belief propagation.
+the base spans of a bounded sample of documents, and from other spellings of the same tokens, whose label is known and which the
+patterns do not find: what they have to go by is the tie. Inference is loopy belief propagation on the same graph.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -82,6 +83,7 @@ class Nodes:
     feature: list[list[int]]
     chain: list[tuple[int, int]]
     skip: list[tuple[int, int]]
+    whole: dict[int, str] = field(default_factory=dict)  # base span that ends with a token
 
 
 def _shape(token: str) -> list[int]:
@@ -98,10 +100,27 @@ def _shape(token: str) -> list[int]:
 N_FEATURES = 100
 
 
-def _key(token: str) -> str:
-    """What similar tokens share: the letters in lower case and the digits, without marks; the last seven of long numbers."""
+def _keys(token: str) -> list[str]:
+    """What similar tokens share: the letters in lower case and the digits, without marks; the last six of longer numbers; of an address also what stands before the @."""
     plain = "".join(c for c in token.lower() if c.isalnum() or c == "@")
-    return plain[-7:] if plain.isdigit() and len(plain) > 7 else plain
+    if plain.isdigit():
+        plain = plain[-6:]
+    found = [plain, plain.split("@")[0]] if "@" in plain else [plain]
+    return [k for k in found if len(k) >= 5]
+
+
+def spellings(token: str) -> list[list[str]]:
+    """Other ways to write a token, each as a row of tokens, whose last one has a key of the token's; none for short numbers and plain words."""
+    digits = "".join(c for c in token if "0" <= c <= "9")
+    if "@" in token:
+        local = token.split("@")[0]
+        return [[token.upper()], *([[local]] if any("0" <= c <= "9" for c in local) and _keys(local) else [])]
+    if len(digits) < 7 or any(c.isalpha() for c in token):
+        return []
+    if len(digits) >= 13:
+        return [[".".join(digits[i : i + 4] for i in range(0, len(digits), 4))], [digits[:-6], digits[-6:]]]
+    short = digits[-10:]
+    return [[digits], [short], [f"{digits[-7:-4]}-{digits[-4:]}"], [f"{short[:-7]}-{short[-7:-4]}-{short[-4:]}"[-12:].lstrip("-")], [digits[:-6], digits[-6:]], [digits[:2], digits[2:-6] or "0", digits[-6:]]]
 
 
 def _ties(like: list[int], seen: np.ndarray) -> list[tuple[int, int]]:
@@ -115,26 +134,50 @@ def _ties(like: list[int], seen: np.ndarray) -> list[tuple[int, int]]:
     return [(hub, i) for i in like if i != hub]
 
 
-def nodes(text: str, base: list[tuple[int, int, int]], *, learn: bool = False) -> Nodes:
-    """The tokens of a text with their base labels, neighbours at most two characters apart, and ties between repeats.
+def _skips(tokens: list[str], seen: np.ndarray, whole: dict[int, str]) -> list[tuple[int, int]]:
+    """Ties between tokens that share a key; ``whole`` has the base span that ends with a token, whose keys are the token's, too."""
+    by: dict[str, list[int]] = defaultdict(list)
+    for i, t in enumerate(tokens):
+        for k in dict.fromkeys([*_keys(t), *(_keys(whole[i]) if i in whole else [])]):
+            by[k].append(i)
+    return list(dict.fromkeys(e for like in by.values() for e in _ties(like, seen)))
+
 
-    learn: repeated tokens are tied to the next of their like, so that each weighs about the same in training."""
+def nodes(text: str, base: list[tuple[int, int, int]]) -> Nodes:
+    """The tokens of a text with their base labels, neighbours at most two characters apart, and ties between repeats."""
     span = [m.span() for m in _TOKEN.finditer(text)]
     cover = sorted((a, b, k) for k, a, b in base)
-    seen = np.full(len(span), O)
+    seen, whole = np.full(len(span), O), {}
     j = 0
     for i, (a, b) in enumerate(span):
         while j < len(cover) and cover[j][1] <= a:
             j += 1
         if j < len(cover) and cover[j][0] < b:
             seen[i] = cover[j][2]
+            if b >= cover[j][1]:
+                whole[i] = text[cover[j][0] : cover[j][1]]
     chain = [(i, i + 1) for i in range(len(span) - 1) if span[i + 1][0] - span[i][1] <= 2]
-    by: dict[str, list[int]] = defaultdict(list)
-    for i, (a, b) in enumerate(span):
-        if len(k := _key(text[a:b])) >= 5:
-            by[k].append(i)
-    skip = [e for like in by.values() for e in (zip(like, like[1:]) if learn else _ties(like, seen))]
-    return Nodes(span, seen, [_shape(text[a:b]) for a, b in span], chain, skip)
+    tokens = [text[a:b] for a, b in span]
+    return Nodes(span, seen, [_shape(t) for t in tokens], chain, _skips(tokens, seen, whole), whole)
+
+
+def lesson(text: str, base: list[tuple[int, int, int]], lo: int, hi: int, seed: int) -> Nodes:
+    """Tokens lo to hi of a text with their labels, and one other spelling of each base span and each other token that has some, with its label.
+
+    The spellings stand apart from the text and from each other; they are tied as in ``nodes``, where only base labels are given.
+    """
+    d = nodes(text, base)
+    seen, tokens = d.seen[lo:hi], [text[a:b] for a, b in d.span[lo:hi]]
+    chain = [(x - lo, y - lo) for x, y in d.chain if lo <= x and y < hi]
+    label, whole = seen.tolist(), {i - lo: t for i, t in d.whole.items() if lo <= i < hi}
+    for i in range(len(seen)):
+        if other := spellings(whole.get(i, tokens[i]) if seen[i] == O or i in whole else ""):
+            row = other[(seed + i) % len(other)]
+            chain += [(len(tokens) + j, len(tokens) + j + 1) for j in range(len(row) - 1)]
+            tokens += row
+            label += [label[i]] * len(row)
+    given = np.concatenate([seen, np.full(len(tokens) - len(seen), O)])
+    return Nodes([(0, 0)] * len(tokens), np.array(label, np.int64), [_shape(t) for t in tokens], chain, _skips(tokens, given, whole))
 
 
 @dataclass
@@ -144,8 +187,8 @@ class SkipChain:
     skip: np.ndarray
 
     @classmethod
-    def fit(cls, docs: list[Nodes], *, steps: int = 200, rate: float = 0.5, l2: float = 1e-3) -> SkipChain:
-        """Pseudo-likelihood: each token's label given those of its neighbours, by gradient descent."""
+    def fit(cls, docs: list[Nodes], *, steps: int = 600, rate: float = 0.5, l2: float = 1e-4, keep: float = 0.9) -> SkipChain:
+        """Pseudo-likelihood: each token's label given those of its neighbours, by gradient descent with momentum."""
         k = O + 1
         y, feats, chain, skip = [], [], [], []
         for d in docs:
@@ -170,16 +213,17 @@ class SkipChain:
             np.add.at(c, (e[:, 1], y[e[:, 0]]), 1)
             near.append(c)
         u, ws = np.zeros((N_FEATURES, k)), [np.zeros((k, k)), np.zeros((k, k))]
-        target = np.eye(k)[y]
+        target, du, dws = np.eye(k)[y], np.zeros_like(u), [np.zeros((k, k)), np.zeros((k, k))]
         for _ in range(steps):
             z = x @ u + sum(c @ w for c, w in zip(near, ws))
             p = np.exp(z - z.max(axis=1, keepdims=True))
             err = (p / p.sum(axis=1, keepdims=True) - target) / len(y)
-            u -= rate * 10 * (x.T @ err + l2 * u)
-            for c, w in zip(near, ws):
+            du[:] = keep * du - rate * (x.T @ err + l2 * u)
+            u += du
+            for c, w, dw in zip(near, ws, dws):
                 g = c.T @ err
-                w -= rate * 10 * ((g + g.T) / 2 + l2 * w)
-        ws[1] += np.eye(k) * 2.0  # repeated tokens agree at least this much
+                dw[:] = keep * dw - rate * ((g + g.T) / 2 + l2 * w)
+                w += dw
         return cls(u, *ws)
 
     def infer(self, d: Nodes, rounds: int = 200) -> np.ndarray:
@@ -223,6 +267,7 @@ class SkipChain:
         p = self.infer(d)
         label = np.where(p.max(axis=1) >= sure, p.argmax(axis=1), O)
         label[d.seen != O] = O  # they have their base span
+        names = {k for kind, a, b in base if kind == 0 for k in _keys(text[a:b])}
         linked, added, i = set(d.chain), [], 0
         while i < len(label):
             j = i
@@ -232,17 +277,17 @@ class SkipChain:
                 a, b = d.span[i][0], d.span[j][1]
                 while b > a and text[b - 1] in ".-":
                     b -= 1
-                if _plausible(int(label[i]), text[a:b]):
+                if _plausible(int(label[i]), text[a:b], names):
                     added.append((int(label[i]), a, b))
             i = j + 1
         return sorted({*base, *added})
 
 
-def _plausible(kind: int, text: str) -> bool:
-    """An added span has at least the body of its kind."""
+def _plausible(kind: int, text: str, names: set[str]) -> bool:
+    """An added span has at least the body of its kind; ``names`` are the keys of the addresses that the patterns found."""
     digits = sum("0" <= c <= "9" for c in text)
     if kind == 0:
-        return "@" in text[1:-1]
+        return "@" in text[1:-1] or any(k in names for k in _keys(text))
     if kind == 1:
         return text.count(".") == 3 and all(x.isdigit() and len(x) <= 3 for x in text.split("."))
     return 13 <= digits <= 19 if kind == 2 else 7 <= digits <= 15
@@ -266,7 +311,8 @@ def train(docs: DataFrame, *, sample: int = 4000, tokens: int = 50_000) -> SkipC
     """Learns from at most ``sample`` documents that hold a digit or an @ sign, the same at every run.
 
     All of them give at most ``tokens`` tokens together. Where they hold more, the long ones give a stretch, at a place by
-    their hash, of as many tokens as leaves room for every other; it is cut on the executors, which first count.
+    their hash, of as many tokens as leaves room for every other; it is cut on the executors, which first count. Other spellings
+    come on top, at most three tokens for each.
     """
     scratch = Scratch(docs.sparkSession, "pii")
 
@@ -279,11 +325,10 @@ def train(docs: DataFrame, *, sample: int = 4000, tokens: int = 50_000) -> SkipC
             for b in batches:
                 out = []
                 for h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    d = nodes(t, base_spans(t), learn=True)
-                    lo = h % (len(d.seen) - limit + 1) if len(d.seen) > limit else 0
-                    hi = lo + limit
-                    inside = lambda edges: [[x - lo, y - lo] for x, y in edges if lo <= x and y < hi]  # noqa: B023, E731
-                    out.append((d.seen[lo:hi].tolist(), d.feature[lo:hi], inside(d.chain), inside(d.skip)))
+                    n = sum(1 for _ in _TOKEN.finditer(t))
+                    lo = h % (n - limit + 1) if n > limit else 0
+                    d = lesson(t, base_spans(t), lo, lo + limit, h)
+                    out.append((d.seen.tolist(), d.feature, [list(e) for e in d.chain], [list(e) for e in d.skip]))
                 kinds = (pa.list_(pa.int64()), *[pa.list_(pa.list_(pa.int64()))] * 3)
                 yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([o[i] for o in out], k) for i, k in enumerate(kinds))], names=["h", "seen", "feature", "chain", "skip"])
 
