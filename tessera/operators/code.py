@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ast
 import difflib
+import warnings
+from collections import Counter
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,13 +48,60 @@ def renamed_tokens(block: Column) -> Column:
     Comments go; literals under 50 characters, reserved words and marks stay.
     """
     tokens = F.filter(F.regexp_extract_all(F.regexp_replace(F.coalesce(block, F.lit("")), _COMMENT, " "), F.lit(_LEX), F.lit(1)), lambda t: F.length(t) < 50)
-    reserved = F.array(*map(F.lit, RESERVED))
-    is_name = lambda t: t.rlike(r"^[A-Za-z_]") & ~F.array_contains(reserved, F.lower(t))
+    is_name = lambda t: t.rlike(r"^[A-Za-z_]") & ~F.lower(t).isin(RESERVED)
     both = lambda ts: F.struct(ts.alias("tokens"), F.array_distinct(F.filter(ts, is_name)).alias("names"))
     rename = lambda s: F.transform(s["tokens"], lambda t: F.when(is_name(t), F.concat(F.lit("var"), (F.array_position(s["names"], t) - 1).cast("string"))).otherwise(t))
     return let(let(tokens, both), rename)
 
 
+def _walk(root: ast.AST) -> list[str]:
+    """Kinds of the nodes in source order, with names numbered by first appearance and short constants as they are."""
+    names: dict[str, str] = {}
+    out, left = [], [root]
+    while left:
+        node = left.pop()
+        out.append(type(node).__name__)
+        for key in ("id", "arg", "name", "attr"):
+            own = getattr(node, key, None)
+            if isinstance(own, str):
+                out.append(names.setdefault(own, f"var{len(names)}"))
+        if isinstance(node, ast.Constant) and len(shown := repr(node.value)) < 50:
+            out.append(shown)
+        left += [n for n in reversed([*ast.iter_child_nodes(node)]) if not isinstance(n, (ast.expr_context, ast.Load))]
+    return out
+
+
+def syntax_tokens(source: str, *, ordered: bool = True) -> list[str] | None:
+    """Tokens of a Python program's syntax tree; None if it is not one.
+
+    ordered: False sorts the definitions and statements at the top, each with names of its own, so that moving functions about changes nothing.
+    """
+    try:
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            tree = ast.parse(source)
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return None
+    return _walk(tree) if ordered else ["Module", *(t for part in sorted(_walk(n) for n in tree.body) for t in part)]
+
+
+def code_tokens(rows: DataFrame, block: str, name: str, *, mode: str = "lexer", ordered: bool = True) -> DataFrame:
+    """Adds a column of a block's tokens: ``lexer`` those of ``renamed_tokens``; ``ast`` those of ``syntax_tokens`` for blocks whose language is Python
+    and that parse, the lexer's for all others. Null blocks have no tokens. Only Python blocks reach Python."""
+    if mode == "lexer":
+        return rows.withColumn(name, renamed_tokens(F.col(block)))
+    if mode != "ast":
+        raise ValueError(f"no such mode: {mode}")
+
+    @F.pandas_udf("array<string>")
+    def parsed(source: pd.Series) -> pd.Series:
+        return source.map(lambda t: syntax_tokens(t, ordered=ordered), na_action="ignore")
+
+    python = F.col(block).isNotNull() & (language(F.col(block)) == "python")
+    mine = rows.where(python).withColumn("_tree", parsed(F.col(block))).withColumn(name, F.coalesce("_tree", renamed_tokens(F.col(block)))).drop("_tree")
+    return mine.unionByName(rows.where(~python | python.isNull()).withColumn(name, renamed_tokens(F.col(block))))
+
+
 def _ratio(x: list | None, y: list | None) -> float:
     x, y = (x or [])[:MAX_TOKENS], (y or [])[:MAX_TOKENS]
     if x == y:
@@ -74,23 +125,51 @@ def sequence_ratio(rows: DataFrame, a: str, b: str, name: str) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def block_rows(docs: DataFrame) -> DataFrame:
-    """(batch, doc, tokens) of every block of (batch, doc, blocks) that has tokens."""
-    rows = docs.select("batch", "doc", F.explode("blocks").alias("block")).select("batch", "doc", renamed_tokens(F.col("block")).alias("tokens"))
+def block_rows(docs: DataFrame, *, mode: str = "lexer") -> DataFrame:
+    """(batch, doc, tokens) of every block of (batch, doc, blocks) that has tokens; modes as in ``code_tokens``."""
+    rows = code_tokens(docs.select("batch", "doc", F.explode("blocks").alias("block")), "block", "tokens", mode=mode).select("batch", "doc", "tokens")
     return rows.where(F.size("tokens") > 0)
 
 
-def max_block_similarity(pairs: DataFrame, blocks: DataFrame) -> DataFrame:
-    """(batch, a, b, code_score) of the pairs whose sides both have blocks: the best ratio of two blocks.
+def best_ratio(left: list[list[str]], right: list[list[str]]) -> tuple[float, int, int]:
+    """The best ratio of two blocks, how many ratios were computed, and how many there are.
 
-    Equal token arrays score 1 without Python.
+    Twice the tokens that two blocks have in common, in any order, over their lengths is no less than their ratio; blocks are tried
+    by falling bound until none that is left can beat the best.
     """
-    x = blocks.select("batch", F.col("doc").alias("a"), F.col("tokens").alias("ta"))
-    y = blocks.select("batch", F.col("doc").alias("b"), F.col("tokens").alias("tb"))
-    rows = pairs.select("batch", "a", "b").join(x, ["batch", "a"]).join(y, ["batch", "b"]).select("batch", "a", "b", "ta", "tb")
-    same = rows.where(F.col("ta") == F.col("tb")).select("batch", "a", "b", F.lit(1.0).alias("s"))
-    rest = sequence_ratio(rows.where(F.col("ta") != F.col("tb")), "ta", "tb", "s").select("batch", "a", "b", "s")
-    return same.unionByName(rest).groupBy("batch", "a", "b").agg(F.max("s").alias("code_score"))
+    left, right = ([x[:MAX_TOKENS] for x in side] for side in (left, right))
+    counts = [[Counter(x) for x in side] for side in (left, right)]
+    bounds = [(2 * (p & q).total() / (len(x) + len(y)), i, j) for i, (x, p) in enumerate(zip(left, counts[0])) for j, (y, q) in enumerate(zip(right, counts[1]))]
+    best, tried = 0.0, 0
+    for bound, i, j in sorted(bounds, key=lambda b: (-b[0], b[1:])):
+        if bound <= best:
+            break
+        best, tried = max(best, _ratio(left[i], right[j])), tried + 1
+    return best, tried, len(bounds)
+
+
+def block_scores(pairs: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(batch, a, b, code_score, n_tried, n_ratios) of the pairs whose sides both have blocks: the best ratio of two blocks, and what it took.
+
+    Equal blocks of a document count once; a pair's row holds the blocks of its two sides.
+    """
+    side = blocks.groupBy("batch", "doc").agg(F.collect_set("tokens").alias("blocks"))
+    x, y = (side.select("batch", F.col("doc").alias(d), F.col("blocks").alias(f"x{d}")) for d in "ab")
+    rows = pairs.select("batch", "a", "b").join(x, ["batch", "a"]).join(y, ["batch", "b"]).select("batch", "a", "b", "xa", "xb")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [best_ratio(p, q) for p, q in zip(b.column(3).to_pylist(), b.column(4).to_pylist())]
+            cols = [pa.array([f[i] for f in found], t) for i, t in enumerate((pa.float64(), pa.int64(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *cols], names=["batch", "a", "b", "code_score", "n_tried", "n_ratios"])
+
+    kinds = dict(rows.dtypes)
+    return rows.mapInArrow(run, f"batch {kinds['batch']}, a {kinds['a']}, b {kinds['b']}, code_score double, n_tried long, n_ratios long")
+
+
+def max_block_similarity(pairs: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(batch, a, b, code_score) of ``block_scores``."""
+    return block_scores(pairs, blocks).select("batch", "a", "b", "code_score")
 
 
 def with_code_score(pairs: DataFrame, code: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import authorship, code, marking, similarity
+from tessera.operators import authorship, calibration, code, marking, similarity
 from tessera.scratch import Scratch
 from tessera.sources import io
 
@@ -62,14 +62,14 @@ def scored_pairs(parsed: DataFrame, pairs: DataFrame, weights: DataFrame, embedd
     return code.with_code_score(found, code.max_block_similarity(pairs, blocks))
 
 
-def process(submissions: DataFrame, folder: str, *, encode=None, model=None, classifier=None, external: DataFrame | None = None, least: float = LEAST, every_pair: bool = False, batches: DataFrame | None = None) -> dict[str, DataFrame]:
+def process(submissions: DataFrame, folder: str, *, encode=None, model=None, classifier=None, external: DataFrame | None = None, labels: DataFrame | None = None, least: float = LEAST, every_pair: bool = False, batches: DataFrame | None = None) -> dict[str, DataFrame]:
     """Tables parsed, pairs, results, risks and, with ``batches``, marks of the submissions' batches.
 
     Each is written below ``folder`` in partitions by batch and read from there by the next, so a lost executor costs only
     the tasks that were running, and another run replaces the rows of its own batches and no others. Pairs are those of
     ``candidates``, or all of each batch with ``every_pair``; so a document whose text_sim_max is below ``least`` has no closer peer. Embeddings are those of
     ``encode``, as in ``similarity.text_embeddings``, or hashed ones of DIMS cells. ``model`` gives perplexities (the corpus's own bigram model by
-    default), ``classifier`` and ``external`` are those of ``authorship.probability``.
+    default), which with ``labels`` (doc, y) are calibrated by them, ``classifier`` and ``external`` are those of ``authorship.probability``.
     """
     spark = submissions.sparkSession
     names = submissions.select("batch").distinct()
@@ -86,10 +86,12 @@ def process(submissions: DataFrame, folder: str, *, encode=None, model=None, cla
     embeddings = scratch.save(similarity.text_embeddings(texts, encode) if encode is not None else similarity.hashed_embeddings(texts, DIMS))
     wanted = similarity.pair_grid(texts) if every_pair else stage("candidates", candidates(parsed, weights, embeddings, least))
     pairs = stage("pairs", scored_pairs(parsed, wanted, weights, embeddings))
-    scratch.keep()
     signals = authorship.signals(texts, model if model is not None else authorship.BigramModel(texts))
+    if labels is not None:
+        signals = calibration.calibrated(scratch.save(signals), labels)
     results = authorship.probability(signals, classifier, external).join(texts.select("batch", "doc"), "doc")
     results = stage("results", results)
+    scratch.keep()
     best = similarity.max_similarity(pairs, {"fused": "text_sim_max", "code_score": "code_sim_max"})
     risks = stage("risks", marking.score_documents(parsed.where("text is not null"), best, results))
     out = {"parsed": parsed, "pairs": pairs, "results": results, "risks": risks}

@@ -32,6 +32,35 @@ def dense_matrix(cells: DataFrame) -> DataFrame:
     return whole.select("batch", F.col("rows.row_label").alias("labels"), F.col("rows.row").alias("matrix"))
 
 
+def heatmap_tiles(docs: DataFrame, pairs: DataFrame, order: list, size: int = 64) -> DataFrame:
+    """(batch, tile_row, tile_col, cells array<struct<at, score>>): the pairs of a batch's matrix in tiles of size * size, only those that hold some.
+
+    Documents are numbered by ``order`` from 0; a cell is at row * size + column inside its tile. Only cells above the diagonal are stored, so rows follow
+    the pairs; what lies below, the diagonal and the zeros are made when a tile is read.
+    """
+    i = F.row_number().over(Window.partitionBy("batch").orderBy(*order)) - 1
+    number = docs.select("batch", "doc", i.alias("i"))
+    side = lambda d, n: number.select("batch", F.col("doc").alias(d), F.col("i").alias(n))
+    rows = pairs.select("batch", "a", "b", "fused").join(side("a", "x"), ["batch", "a"]).join(side("b", "y"), ["batch", "b"])
+    rows = rows.select("batch", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "fused")
+    cell = F.struct(((F.col("i") % size) * size + F.col("j") % size).alias("at"), F.col("fused").alias("score"))
+    tile = [F.floor(F.col(c) / size).cast("int").alias(n) for c, n in (("i", "tile_row"), ("j", "tile_col"))]
+    return rows.groupBy("batch", *tile).agg(F.sort_array(F.collect_list(cell)).alias("cells"))
+
+
+def tile_cells(tiles: DataFrame, wanted: DataFrame, size: int = 64) -> DataFrame:
+    """(batch, i, j, score) of every cell of the wanted tiles (batch, tile_row, tile_col, n), where n is the batch's number of documents."""
+    upper = wanted.select("*", F.least("tile_row", "tile_col").alias("r"), F.greatest("tile_row", "tile_col").alias("c"))
+    stored = tiles.select("batch", F.col("tile_row").alias("r"), F.col("tile_col").alias("c"), F.map_from_entries("cells").alias("cells"))
+    rows = upper.join(stored, ["batch", "r", "c"], "left")
+    for axis, name in (("tile_row", "i"), ("tile_col", "j")):
+        low = F.col(axis) * size
+        rows = rows.withColumn(name, F.explode(F.sequence(low, F.least(low + size, F.col("n")) - 1)))
+    at = (F.least("i", "j") % size) * size + F.greatest("i", "j") % size
+    score = F.when(F.col("i") == F.col("j"), 1.0).otherwise(F.coalesce(F.try_element_at("cells", at.cast("int")), F.lit(0.0)))
+    return rows.select("batch", "i", "j", score.alias("score"))
+
+
 def pairs_of(pairs: DataFrame, doc: int, docs: DataFrame) -> DataFrame:
     """The pairs that one document is in, with the other side and its name."""
     peer = F.when(F.col("a") == doc, F.col("b")).otherwise(F.col("a"))
@@ -79,6 +108,17 @@ def audit_query(log: DataFrame, user: str | None = None, action: str | None = No
     return log.withColumn("category", action_category(F.col("action"))).orderBy(F.desc("ts"), F.desc("id")).offset(offset).limit(min(limit, 1000))
 
 
+def annotations_of(annotations: DataFrame, docs: DataFrame, batch: str) -> DataFrame:
+    """A batch's annotations with their students, oldest first."""
+    return annotations.join(docs.where(F.col("batch") == batch).select("doc", "student_id"), "doc").orderBy("created_at", "doc")
+
+
+def submission_detail(docs: DataFrame, risks: DataFrame, marked: DataFrame, doc: int) -> DataFrame:
+    """One row: a document with its scores and marks, null where it has none."""
+    own = docs.where(F.col("doc") == doc).drop("text")
+    return own.join(risks.drop("batch", "has_code"), "doc", "left").join(marked.select("doc", "marks_obtained"), "doc", "left")
+
+
 LABELS = ["human", "ai_generated", "plagiarized", "mixed"]
 
 

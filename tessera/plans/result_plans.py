@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tessera.operators import results
-from tessera.plans import base
+from tessera.plans import base, similarity_plans
+from tessera.session import shared_dir
 from tessera.sources import io
 from tessera.streaming import jobs, lockout
 
 Q, SQL = {}, {}
 C = F.col
+_D = base.with_(base.DOCS)
 _R = base.with_(base.DOCS, base.AI, base.RISKS)
 _M = base.with_(base.DOCS, base.AI, base.RISKS, base.BATCHES, base.MARKED)
 _P = base.with_(base.DOCS, base.PAIRS)
@@ -27,6 +31,26 @@ def _export(s, d):
 Q["a6_export_json"] = _export
 SQL["a6_export_json"] = base.with_(base.DOCS, base.AI, base.RISKS, base.BATCHES, base.PAIRS) + """SELECT b.batch, b.name, (SELECT count(*) FROM docs d WHERE d.batch = b.batch) AS n,
   (SELECT count(*) FROM docs d WHERE d.batch = b.batch AND d.doc NOT IN (SELECT doc FROM risks)) AS n_unscored, (SELECT count(*) FROM pairs p WHERE p.batch = b.batch) AS n_pairs FROM batches b"""
+# the same documents line by line, as they are written
+_LINES = lambda s, d: io.document_lines(base.batches(s, d).select("batch", "name"), base.docs(s, d), base.risks(s, d), base.ai(s, d), base.pairs(s, d))
+Q["a6_json_lines"] = lambda s, d: _LINES(s, d).groupBy("batch", "part").agg(F.count("*").alias("n"), F.count_if(C("line").startswith(",")).alias("n_commas"), F.count_if(C("line").contains('"a":')).alias("n_pairs"))
+SQL["a6_json_lines"] = base.with_(base.DOCS, base.BATCHES, base.PAIRS) + """, l AS (SELECT batch, unnest([0, 2, 4]) AS part, 1 AS n, 0 AS p FROM batches UNION ALL SELECT batch, 1, count(*), 0 FROM docs GROUP BY 1 UNION ALL SELECT batch, 3, count(*), count(*) FROM pairs GROUP BY 1)
+SELECT batch, CAST(part AS INTEGER) AS part, n, CASE WHEN part IN (1, 3) THEN n - 1 ELSE 0 END AS n_commas, p AS n_pairs FROM l"""
+
+
+def _manifest(s, d):
+    """The risks exported in three formats, each read back, with what the manifest says of them."""
+    folder = f"{shared_dir(s)}/exports-{uuid.uuid4().hex}"
+    risks, out = base.risks(s, d), None
+    for kind in ("csv", "json", "parquet"):
+        io.write_export(risks, f"{folder}/{kind}", kind, f"{folder}/manifest", "all", "u1")
+        n = s.read.option("header", "true").format(kind).load(f"{folder}/{kind}").agg(F.count("*").alias("n")).select(F.lit(kind).alias("format"), "n")
+        out = n if out is None else out.unionByName(n)
+    return s.read.parquet(f"{folder}/manifest").select("batch", "format", "generated_by").join(out, "format")
+
+
+Q["a10_manifest"] = _manifest
+SQL["a10_manifest"] = _D + "SELECT 'all' AS batch, unnest(['csv', 'json', 'parquet']) AS format, 'u1' AS generated_by, count(*) AS n FROM docs"
 Q["a7_export_csv"] = lambda s, d: io.export_csv_rows(base.docs(s, d), base.risks(s, d), base.ai(s, d)).select("submission_id", "student_id", "student_name", "risk_level", "ai_probability", "text_sim_max", "code_sim_max", "weight_profile")
 _PCT = "CASE WHEN {0} IS NULL THEN 'N/A' ELSE format('{{:.1f}}', {0} * 100) END"
 SQL["a7_export_csv"] = _R + f"""SELECT CAST(d.doc AS VARCHAR) AS submission_id, student_id, coalesce(student_name, 'Unknown') AS student_name, coalesce(upper(risk_level), 'N/A') AS risk_level,
@@ -88,6 +112,13 @@ FROM docs x JOIN docs y ON x.batch = y.batch LEFT JOIN pairs p ON p.a = least(x.
 Q["g3_dense_matrix"] = lambda s, d: results.dense_matrix(results.heatmap_cells(base.docs(s, d), base.pairs(s, d), C("student_id"))).select("batch", F.size("labels").cast("long").alias("n"), F.element_at("labels", 1).alias("first"), F.element_at(F.element_at("matrix", 1), 2).alias("cell"))
 SQL["g3_dense_matrix"] = _P + """, l AS (SELECT batch, list(doc ORDER BY student_id) AS ds, list(student_id ORDER BY student_id) AS ls FROM docs GROUP BY 1)
 SELECT l.batch, len(ls) AS n, ls[1] AS first, CAST(coalesce(fused, 0.0) AS DOUBLE) AS cell FROM l LEFT JOIN pairs p ON p.a = least(ds[1], ds[2]) AND p.b = greatest(ds[1], ds[2])"""
+Q["g3_tiles"] = lambda s, d: (
+    results.heatmap_tiles(base.docs(s, d), base.pairs(s, d), ["student_id"], 16)
+    .select("batch", "tile_row", "tile_col", F.size("cells").cast("long").alias("n"), F.round(F.aggregate("cells", F.lit(0.0), lambda t, c: t + c["score"]), 4).alias("total"))
+)
+SQL["g3_tiles"] = _P + """, r AS (SELECT batch, doc, CAST(row_number() OVER (PARTITION BY batch ORDER BY student_id) - 1 AS INTEGER) AS i FROM docs),
+t AS (SELECT p.batch, least(x.i, y.i) // 16 AS tile_row, greatest(x.i, y.i) // 16 AS tile_col, fused FROM pairs p JOIN r x ON x.doc = p.a JOIN r y ON y.doc = p.b)
+SELECT batch, tile_row, tile_col, count(*) AS n, round(sum(fused), 4) AS total FROM t GROUP BY ALL"""
 Q["g4_pairs_of_submission"] = lambda s, d: results.pairs_of(base.pairs(s, d), 132, base.docs(s, d)).select("a", "b", "peer", "student_name", "fused")
 SQL["g4_pairs_of_submission"] = _P + "SELECT a, b, d.doc AS peer, d.student_name, fused FROM pairs JOIN docs d ON d.doc = CASE WHEN a = 132 THEN b ELSE a END WHERE a = 132 OR b = 132"
 Q["g5_top_pairs"] = lambda s, d: results.top_pairs(base.pairs(s, d)).select("batch", "a", "b", "rank", "percent", "level")
@@ -100,7 +131,7 @@ SQL["g7_batch_search"] = _B + "SELECT batch, status FROM batches WHERE contains(
 Q["g8_audit_query"] = lambda s, d: results.audit_query(audit(s, d).where("id is not null"), action="BATCH", limit=100, offset=20).select("id", "action", "category", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"))
 SQL["g8_audit_query"] = base.with_(AUDIT) + """SELECT id, CASE id % 6 WHEN 1 THEN 'batch.process' ELSE 'batch.delete' END AS action, CASE id % 6 WHEN 2 THEN 'delete' ELSE 'other' END AS category, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at
 FROM audit WHERE id % 6 IN (1, 2) ORDER BY ts DESC, id DESC LIMIT 100 OFFSET 20"""
-Q["g9_annotations_of_batch"] = lambda s, d: base.annotations(s, d).join(base.docs(s, d).where("batch = 'src3'").select("doc", "student_id"), "doc").orderBy("created_at")
+Q["g9_annotations_of_batch"] = lambda s, d: results.annotations_of(base.annotations(s, d), base.docs(s, d), "src3")
 SQL["g9_annotations_of_batch"] = _A + "SELECT a.*, student_id FROM annotations a JOIN docs d ON d.doc = a.doc WHERE batch = 'src3'"
 
 
@@ -144,7 +175,7 @@ def runs(s, d):
 
 Q["g17_latest_runs"] = lambda s, d: results.latest_runs(runs(s, d)).select("run_id", "status")
 SQL["g17_latest_runs"] = "SELECT 'v' || o_orderkey AS run_id, o_orderstatus AS status FROM orders ORDER BY o_orderdate DESC, 'v' || o_orderkey DESC LIMIT 50"
-Q["g18_submission_detail"] = lambda s, d: base.docs(s, d).where("doc = 101").drop("text").join(base.risks(s, d).drop("batch", "has_code"), "doc", "left").join(base.marked(s, d).select("doc", "marks_obtained"), "doc", "left").withColumn("weighted_score", F.round("weighted_score", 6))
+Q["g18_submission_detail"] = lambda s, d: results.submission_detail(base.docs(s, d), base.risks(s, d), base.marked(s, d), 101).withColumn("weighted_score", F.round("weighted_score", 6))
 SQL["g18_submission_detail"] = _M + """SELECT d.batch, d.doc, d.has_code, student_id, student_name, text_sim_max, code_sim_max, ai_prob, round(weighted_score, 6) AS weighted_score, risk_level, weight_profile, marks_obtained
 FROM docs d LEFT JOIN risks r ON r.doc = d.doc LEFT JOIN marked m ON m.doc = d.doc WHERE d.doc = 101"""
 Q["g19_course_comparison"] = lambda s, d: results.course_comparison(base.docs(s, d).join(base.batches(s, d).select("batch", "course_code"), "batch"), base.risks(s, d), base.ai(s, d))
@@ -170,3 +201,17 @@ run(k, i, ts, ok, n, ends, locked) AS (
 SELECT 'user' || k AS email, '10.0.0.' || k AS ip, ts, ok AS success, n AS attempts, locked FROM run"""
 Q["i2_action_counts"] = lambda s, d: jobs.action_counts(io.access_to_audit(access_log(s, d), ["10.0.0.1"]), "1 day").select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "action", "n")
 SQL["i2_action_counts"] = base.with_(AUDIT) + "SELECT strftime(ts, '%Y-%m-%d') AS day, action, count(*) AS n FROM audit GROUP BY ALL"
+
+
+def _incremental(s, d):
+    """The documents in three micro-batches by their numbers, each compared with itself and with those before."""
+    docs = base.docs(s, d).select("batch", "doc", "text")
+    low, mid = docs.approxQuantile("doc", [0.33, 0.66], 0.01)
+    index = jobs.BandIndex(s, f"{shared_dir(s)}/index-{uuid.uuid4().hex}")
+    for i, part in enumerate((C("doc") < low, (C("doc") >= low) & (C("doc") < mid), C("doc") >= mid)):
+        index.add(docs.where(part), i)
+    return index.pairs()
+
+
+Q["i3_incremental_pairs"] = _incremental
+SQL["i3_incremental_pairs"] = similarity_plans.SQL["c9_lsh_pairs"]

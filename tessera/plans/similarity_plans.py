@@ -171,7 +171,7 @@ SELECT batch, doc, CAST(row_number() OVER (PARTITION BY batch, doc ORDER BY fuse
 QUALIFY row_number() OVER (PARTITION BY batch, doc ORDER BY fused DESC, peer) <= 4"""
 
 
-# code blocks: templates with names and numbers taken from the document
+# code blocks: templates with names, numbers and a string taken from the document
 _BLOCKS = [
     "def total(xs):\n    s = 0\n    for x in xs:\n        s += x * {k}\n    return s",
     "#include <stdio.h>\nint main() {\n    printf(\"%d\", {k});\n    return 0;\n}",
@@ -179,21 +179,30 @@ _BLOCKS = [
 ]
 
 
+def _literal():
+    """A string of 40 characters at most, from the hash and the first letters of the whole text."""
+    return F.concat(F.substring(F.md5("text"), 1, 8), F.lit(" "), F.substring(F.regexp_replace("text", "[^A-Za-z]+", " "), 1, 30))
+
+
+_LITERAL = "substr(md5(text), 1, 8) || ' ' || substr(regexp_replace(text, '[^A-Za-z]+', ' ', 'g'), 1, 30)"
+
+
 def blocks(s, d):
-    """Every document has a block after one of three templates; its names come from the document's first words."""
+    """Every document has a block after one of three templates with a name from its text and a string that tells its text from others, and the same with one line more."""
     word = F.regexp_extract("text", "([A-Za-z]{3,})", 1)
     template = F.element_at(F.array(*map(F.lit, _BLOCKS)), (C("doc") % 3 + 1).cast("int"))
     block = F.replace(F.replace(template, F.lit("{k}"), (C("doc") % 5).cast("string")), F.lit("total"), F.concat(F.lit("f_"), word))
+    block = F.concat(block, F.lit('\nnote = "'), _literal(), F.lit('"'))
     return base.docs(s, d).select("batch", "doc", F.array(block, F.concat(block, F.lit("\nx = 1"))).alias("blocks"))
 
 
 Q["d1_language"] = lambda s, d: blocks(s, d).join(base.docs(s, d).select("doc", "text"), "doc").select("doc", code.language(F.concat_ws("\n", F.element_at("blocks", 1), "text")).alias("language"))
-_BLOCK_SQL = ", b AS (SELECT doc, replace(replace([" + ", ".join("'" + b.replace("'", "''") + "'" for b in _BLOCKS) + r"][doc % 3 + 1], '{k}', CAST(doc % 5 AS VARCHAR)), 'total', 'f_' || regexp_extract(text, '([A-Za-z]{3,})', 1)) || chr(10) || text AS t FROM docs)"
+_BLOCK_SQL = ", b AS (SELECT doc, replace(replace([" + ", ".join("'" + b.replace("'", "''") + "'" for b in _BLOCKS) + r"][doc % 3 + 1], '{k}', CAST(doc % 5 AS VARCHAR)), 'total', 'f_' || regexp_extract(text, '([A-Za-z]{3,})', 1)) || chr(10) || 'note = \"' || " + _LITERAL + " || '\"' || chr(10) || text AS t FROM docs)"
 SQL["d1_language"] = _D + _BLOCK_SQL + ", m AS (SELECT doc, [" + ", ".join(f"{{'n': len(regexp_extract_all(t, '{p}')), 'o': {-i}, 'name': '{n}'}}" for i, (n, p) in enumerate(code.LANGUAGE_MARKS.items())) + "] AS m FROM b) SELECT doc, list_max(m).name AS language FROM m"
 Q["d2_renamed_tokens"] = lambda s, d: blocks(s, d).select("doc", F.array_join(code.renamed_tokens(F.element_at("blocks", 1)), " ").alias("tokens"))
-SQL["d2_renamed_tokens"] = _D + """SELECT doc, CASE doc % 3 WHEN 0 THEN 'def var0 ( var1 ) : var2 = 0 for var3 in var1 : var2 + = var3 * ' || (doc % 5) || ' return var2'
-  WHEN 1 THEN '# include < var0 . var1 > int main ( ) { printf ( "%d" , ' || (doc % 5) || ' ) ; return 0 ; }'
-  ELSE 'public class var0 { private int var1 ; public int var2 ( ) { return var1 ; } }' END AS tokens FROM docs"""
+SQL["d2_renamed_tokens"] = _D + f"""SELECT doc, CASE doc % 3 WHEN 0 THEN 'def var0 ( var1 ) : var2 = 0 for var3 in var1 : var2 + = var3 * ' || (doc % 5) || ' return var2 var4'
+  WHEN 1 THEN '# include < var0 . var1 > int main ( ) {{ printf ( "%d" , ' || (doc % 5) || ' ) ; return 0 ; }} var2'
+  ELSE 'public class var0 {{ private int var1 ; public int var2 ( ) {{ return var1 ; }} }} var3' END || ' = "' || {_LITERAL} || '"' AS tokens FROM docs"""
 
 
 def _code_scores(s, d, pairs):
@@ -205,8 +214,12 @@ def _code_candidates(s, d):
 
 
 Q["d3_d5_code_score"] = lambda s, d: _code_scores(s, d, _code_candidates(s, d)).withColumn("code_score", F.round("code_score", 6))
+# pairs that share sentences: those with equal code after renaming, and how many ratios the bounds spared
 Q["d5_has_both"] = lambda s, d: _code_scores(s, d, base.pairs(s, d).select("batch", "a", "b")).groupBy("batch").agg(F.count_if(C("code_score") > 0).alias("n_scored"), F.count_if(C("code_score") >= 0.999).alias("n_equal"), F.count("*").alias("n"))
-SQL["d5_has_both"] = base.with_(base.DOCS, base.PAIRS) + """SELECT batch, count(*) AS n_scored, count(*) FILTER (WHERE a % 3 = b % 3 AND (a % 5 = b % 5)) AS n_equal, count(*) AS n FROM pairs GROUP BY 1"""
+SQL["d5_has_both"] = base.with_(base.DOCS, base.PAIRS) + f""", l AS (SELECT doc, {_LITERAL} AS l FROM docs)
+SELECT batch, count(*) AS n_scored, count(*) FILTER (WHERE a % 3 = b % 3 AND (a % 3 = 2 OR a % 5 = b % 5) AND x.l = y.l) AS n_equal, count(*) AS n FROM pairs JOIN l x ON x.doc = a JOIN l y ON y.doc = b GROUP BY 1"""
+Q["d4_bounds"] = lambda s, d: code.block_scores(base.pairs(s, d), code.block_rows(blocks(s, d))).groupBy("batch").agg(F.count("*").alias("n"), F.sum("n_ratios").alias("n_ratios"), (F.sum("n_tried") <= F.sum("n_ratios")).alias("spared"))
+SQL["d4_bounds"] = base.with_(base.DOCS, base.PAIRS) + "SELECT batch, count(*) AS n, CAST(4 * count(*) AS BIGINT) AS n_ratios, true AS spared FROM pairs GROUP BY 1"
 
 
 def raw_submissions(s, d):

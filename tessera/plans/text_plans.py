@@ -101,12 +101,26 @@ SQL["b6_code_lines"] = _D + ", t AS (SELECT doc, replace('{}', '{{k}}', CAST(doc
     f"SELECT doc, count(*) FILTER (WHERE {_marks} OR ((starts_with(l, '    ') OR starts_with(l, chr(9))) AND NOT regexp_matches(trim(l), '^[*#-]'))) AS n_code, count(*) AS n FROM l GROUP BY 1"
 )
 
-Q["b7_segment_code"] = lambda s, d: _coded(s, d).select("doc", T.split_code(C("t")).alias("r")).select("doc", C("r.prose").alias("prose"), F.array_join("r.blocks", "#").alias("blocks"))
-SQL["b7_segment_code"] = _D + """SELECT doc, 'intro line' || chr(10) || 'plain three' AS prose, 'print(' || doc || ')' || chr(10) || '#def f(x):' || chr(10) || '    return x' || chr(10) || chr(10)
-  || 'plain one' || chr(10) || 'plain two#int y = ' || doc || ';' || chr(10) || chr(10) || 'last' AS blocks FROM docs"""
-
-Q["b8_merge_blocks"] = lambda s, d: _docs(s, d).select("doc", T.merge_blocks(F.when(C("doc") % 2 == 0, F.array(F.lit("a"), F.lit("b"))), F.when(C("doc") % 3 == 0, F.array(F.lit("b"), F.lit("c")))).alias("m")).select("doc", F.array_join("m", ",").alias("merged"), C("m").isNotNull().alias("has_code"))
-SQL["b8_merge_blocks"] = _D + "SELECT doc, CASE WHEN doc % 6 = 0 THEN 'a,b,c' WHEN doc % 2 = 0 THEN 'a,b' WHEN doc % 3 = 0 THEN 'b,c' END AS merged, doc % 2 = 0 OR doc % 3 = 0 AS has_code FROM docs"
+# after the code come the whole text's letters in one line, and the same backwards in another: whether they look like code decides what they belong to
+_plain = lambda: F.trim(F.regexp_replace("text", "[^A-Za-z]+", " "))
+Q["b7_segment_code"] = lambda s, d: (
+    _coded(s, d).select("doc", T.split_code(F.concat_ws("\n", "t", _plain(), F.reverse(_plain()))).alias("r"))
+    .select("doc", C("r.prose").alias("prose"), F.array_join("r.blocks", "#").alias("blocks"))
+)
+_LETTER_MARKS = "(" + " OR ".join("contains({0}, '%s')" % m for m in params.CODE_MARKS if m.replace(" ", "").isalpha()) + ")"
+SQL["b7_segment_code"] = _D + f""", p AS (SELECT doc, trim(regexp_replace(text, '[^A-Za-z]+', ' ', 'g')) AS x, reverse(trim(regexp_replace(text, '[^A-Za-z]+', ' ', 'g'))) AS y FROM docs),
+q AS (SELECT *, x = '' OR {_LETTER_MARKS.format('x')} OR {_LETTER_MARKS.format('y')} AS kept FROM p)
+SELECT doc, 'intro line' || chr(10) || 'plain three' || CASE WHEN kept THEN '' ELSE chr(10) || y END AS prose, 'print(' || doc || ')' || chr(10) || '#def f(x):' || chr(10) || '    return x' || chr(10) || chr(10)
+  || 'plain one' || chr(10) || 'plain two#int y = ' || doc || ';' || chr(10) || chr(10) || 'last' || CASE WHEN x = '' THEN '' ELSE chr(10) || x END || CASE WHEN kept AND x <> '' THEN chr(10) || y ELSE '' END AS blocks FROM q"""
+
+Q["b8_merge_blocks"] = lambda s, d: (
+    _docs(s, d).select("doc", F.md5("text").alias("h"), F.regexp_extract("text", "([A-Za-z]+)", 1).alias("f"))
+    .select("doc", T.merge_blocks(F.when(C("doc") % 2 == 0, F.array("f", "h")), F.when(C("doc") % 3 == 0, F.array(C("h"), F.lit("c"), C("f")))).alias("m"))
+    .select("doc", F.array_join("m", ",").alias("merged"), C("m").isNotNull().alias("has_code"))
+)
+SQL["b8_merge_blocks"] = _D + """, h AS (SELECT doc, md5(text) AS h, regexp_extract(text, '([A-Za-z]+)', 1) AS f FROM docs)
+SELECT doc, CASE WHEN doc % 6 = 0 THEN f || ',' || h || CASE WHEN f = 'c' THEN '' ELSE ',c' END WHEN doc % 2 = 0 THEN f || ',' || h WHEN doc % 3 = 0 THEN h || ',c' || CASE WHEN f = 'c' THEN '' ELSE ',' || f END END AS merged,
+  doc % 2 = 0 OR doc % 3 = 0 AS has_code FROM h"""
 
 Q["b9_parse_status"] = lambda s, d: _docs(s, d).groupBy(T.parse_status(F.when(C("doc") % 10 == 0, F.lit("  ")).when(C("doc") % 10 != 1, C("text"))).alias("status")).agg(F.count("*").alias("n"))
 SQL["b9_parse_status"] = _D + "SELECT CASE WHEN doc % 10 IN (0, 1) OR trim(text) = '' THEN 'parse_error' ELSE 'ok' END AS status, count(*) AS n FROM docs GROUP BY 1"

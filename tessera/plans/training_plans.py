@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from tessera.operators import authorship, training
-from tessera.plans import base
+from tessera.operators import authorship, calibration, similarity, training
+from tessera.plans import base, similarity_plans
 from tessera.plans.scoring_plans import SIGNALS, _external, _signal_rows
+from tessera.plans.text_plans import TOKENS
 
 Q, SQL = {}, {}
 C = F.col
@@ -120,12 +121,20 @@ SELECT * FROM l UNION ALL SELECT 'unrelated', * FROM w"""
 
 
 def _means(s, d):
+    docs = base.docs(s, d)
     p = base.pairs(s, d).withColumn("class", F.when(C("fused") >= 0.7, "verbatim").when(C("fused") >= 0.4, "paraphrase").otherwise("unrelated"))
-    return training.class_means(p, ["fused", "code_score"]).select("class", "n", F.round("fused", 6).alias("fused"), F.round("code_score", 6).alias("code_score"))
+    of = p.select("batch", "a", "b")
+    both = p.join(similarity.tfidf_of_pairs(similarity.tfidf_vectors(docs), of), ["batch", "a", "b"], "left").join(similarity.embedding_pairs(similarity.hashed_embeddings(docs), of), ["batch", "a", "b"])
+    found = training.class_means(both.withColumn("tfidf", F.coalesce("tfidf", F.lit(0.0))), ["fused", "code_score", "tfidf", "semantic"])
+    return found.select("class", "n", *(F.round(c, 6).alias(c) for c in ("fused", "code_score", "tfidf", "semantic")))
 
 
 Q["h13_class_means"] = _means
-SQL["h13_class_means"] = base.with_(base.DOCS, base.PAIRS) + "SELECT CASE WHEN fused >= 0.7 THEN 'verbatim' WHEN fused >= 0.4 THEN 'paraphrase' ELSE 'unrelated' END AS class, count(*) AS n, round(avg(fused), 6) AS fused, round(avg(code_score), 6) AS code_score FROM pairs GROUP BY 1"
+SQL["h13_class_means"] = base.with_(base.DOCS, base.PAIRS, TOKENS, similarity_plans.TFIDF, similarity_plans.HASHED) + """, nrm AS (SELECT doc, sqrt(sum(v * v)) AS n FROM cell GROUP BY 1),
+sem AS (SELECT pairs.a, pairs.b, sum(x.v * y.v) / (max(m.n) * max(o.n)) AS semantic FROM pairs JOIN cell x ON x.doc = a JOIN cell y ON y.doc = b AND y.i = x.i JOIN nrm m ON m.doc = a JOIN nrm o ON o.doc = b WHERE m.n > 0 AND o.n > 0 GROUP BY ALL)
+SELECT CASE WHEN fused >= 0.7 THEN 'verbatim' WHEN fused >= 0.4 THEN 'paraphrase' ELSE 'unrelated' END AS class, count(*) AS n, round(avg(fused), 6) AS fused, round(avg(code_score), 6) AS code_score,
+  round(avg(coalesce(tfidf, 0)), 6) AS tfidf, round(avg(coalesce(semantic, 0)), 6) AS semantic
+FROM pairs p LEFT JOIN sims s ON s.a = p.a AND s.b = p.b LEFT JOIN sem m ON m.a = p.a AND m.b = p.b GROUP BY 1"""
 
 
 def _events(s, d):
@@ -140,3 +149,24 @@ SQL["h14_registry_state"] = """WITH o AS (SELECT 'v' || o_orderkey AS version, o
 SELECT version, version = (SELECT version FROM o WHERE st = 'F' ORDER BY done DESC, version DESC LIMIT 1) AS is_active FROM o"""
 Q["h14_missing_runs"] = lambda s, d: training.missing_runs(_events(s, d).where("event = 'trained'"), _events(s, d).where("event = 'activated'")).select("version")
 SQL["h14_missing_runs"] = "SELECT 'v' || o_orderkey AS version FROM orders WHERE o_orderstatus <> 'F'"
+
+
+def _calibrated(s, d):
+    """Signals of all documents on the scales of the thresholds, by curves that the annotations teach."""
+    y = training.training_set(base.annotations(s, d), base.docs(s, d)).select("doc", "y")
+    found = calibration.calibrated(base.signals(s, d), y)
+    return found.select("doc", F.round("perplexity", 4).alias("perplexity"), F.round("burstiness", 4).alias("burstiness"))
+
+
+def _curve_sql(x: str) -> str:
+    """The falling curve as the least, over where a pool may begin, of the greatest mean over where it may end."""
+    return f"""{x}b AS (SELECT CAST(floor(ln(greatest({x}, 1.0)) * 4) AS INTEGER) AS bin, count(*) AS n, sum(y) AS ones FROM sig JOIN lab USING (doc) WHERE {x} IS NOT NULL GROUP BY 1),
+{x}c AS (SELECT bin, sum(n) OVER (ORDER BY bin) AS n, sum(ones) OVER (ORDER BY bin) AS ones, n AS own, ones AS own1 FROM {x}b),
+{x}m AS (SELECT i.bin, j.bin AS j, max(CAST(k.ones - j.ones + j.own1 AS DOUBLE) / (k.n - j.n + j.own)) AS m FROM {x}c i JOIN {x}c j ON j.bin <= i.bin JOIN {x}c k ON k.bin >= i.bin GROUP BY ALL),
+{x}p AS (SELECT bin, min(m) AS p FROM {x}m GROUP BY 1),
+{x}v AS (SELECT s.doc, coalesce(arg_max(p, bin) FILTER (WHERE bin <= CAST(floor(ln(greatest({x}, 1.0)) * 4) AS INTEGER)), arg_min(p, bin)) AS p FROM sig s, {x}p WHERE {x} IS NOT NULL GROUP BY 1)"""
+
+
+Q["e1_e2_calibrated"] = _calibrated
+SQL["e1_e2_calibrated"] = base.with_(base.DOCS, base.SIGNALS, base.ANNOTATIONS, "lab AS (SELECT a.doc, CASE WHEN label IN ('ai_generated', 'mixed') THEN 1 ELSE 0 END AS y FROM annotations a JOIN docs USING (doc))", _curve_sql("perplexity"), _curve_sql("burstiness")) + """
+SELECT sig.doc, round(20 + 180 * (1 - x.p), 4) AS perplexity, round(100 * (1 - z.p), 4) AS burstiness FROM sig LEFT JOIN perplexityv x ON x.doc = sig.doc LEFT JOIN burstinessv z ON z.doc = sig.doc"""

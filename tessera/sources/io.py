@@ -73,6 +73,37 @@ def export_documents(batches: DataFrame, docs: DataFrame, risks: DataFrame, ai:
     return out.withColumns(lists)
 
 
+def document_lines(batches: DataFrame, docs: DataFrame, risks: DataFrame, ai: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(batch, part, x, y, line): the lines of the documents of ``export_documents`` in order of part, x and y, a line for each submission and pair.
+
+    So no row holds a batch. Fields without a value are null.
+    """
+    json = lambda c: F.to_json(c, {"ignoreNullFields": "false"})
+    none = F.lit(None).cast("long")
+    head = json(F.struct(*(F.col(c) for c in batches.columns)))
+    mark = lambda part, text: batches.select("batch", F.lit(part).alias("part"), none.alias("x"), none.alias("y"), text.alias("line"))
+    r = risks.select("doc", F.struct("weighted_score", "risk_level", "text_sim_max", "code_sim_max", "weight_profile").alias("risk"))
+    a = ai.select("doc", F.struct("ai_prob", "source").alias("ai_detection"))
+    known = batches.select("batch")
+    subs = docs.join(known, "batch", "left_semi").join(r, "doc", "left").join(a, "doc", "left")
+    subs = subs.select("batch", F.col("doc").alias("x"), none.alias("y"), json(F.struct("doc", "student_id", "risk", "ai_detection")).alias("line"))
+    found = pairs.join(known, "batch", "left_semi").select("batch", F.col("a").alias("x"), F.col("b").alias("y"), json(F.struct("a", "b", "fused", "copy_direction")).alias("line"))
+
+    def listed(rows: DataFrame, part: int) -> DataFrame:
+        first = rows.groupBy("batch").agg(F.min(F.struct("x", "y")).alias("first"))
+        comma = F.when(F.struct("x", "y") == F.col("first"), F.col("line")).otherwise(F.concat(F.lit(","), F.col("line")))
+        return rows.join(first, "batch").select("batch", F.lit(part).alias("part"), "x", "y", comma.alias("line"))
+
+    out = mark(0, F.concat(F.substring(head, F.lit(1), F.length(head) - 1), F.lit(',"submissions":['))).unionByName(listed(subs, 1))
+    return out.unionByName(mark(2, F.lit('],"similarity_pairs":['))).unionByName(listed(found, 3)).unionByName(mark(4, F.lit("]}")))
+
+
+def write_documents(lines: DataFrame, folder: str, files: int = 200) -> None:
+    """Text below ``folder``/batch=...: a batch's files, in order of their names, are its JSON document. Lines are dealt out by range, so a large batch is many files."""
+    order = ["batch", "part", "x", "y"]
+    lines.repartitionByRange(files, *order).sortWithinPartitions(*order).select("batch", "line").write.partitionBy("batch").text(folder)
+
+
 def percent_text(c: Column) -> Column:
     """A share from 0 on as percent with one digit, N/A for null; the double's own value is rounded, not its shortest text."""
     x = c * 100

@@ -1,4 +1,4 @@
-"""Registered queries against their SQL on the smallest tables."""
+"""Every registered query on the smallest tables, against its SQL."""
 
 import os
 from glob import glob
@@ -9,12 +9,8 @@ import pytest
 from tessera.plans import registry
 
 DATA = "/root/testdata/sf0.001"
-SOME = (
-    "a1_scan_submissions a5_labelled_csv a6_export_json a7_export_csv a11_overwrite_batches a12_access_to_audit b3_student_id b4_student_name b7_segment_code b9_parse_status b10_content_tokens c2_tfidf_pairs c8_minhash c13_evidence c13_covered d2_renamed_tokens e2_burstiness "
-    "f5_f6_marks f9_resolve_config g1_risk_ranking g10_bulk_annotate g15_insights g19_course_comparison i2_action_counts h3_training_features h4_stratified_split h7_metrics h9_feature_summary h12_sampled_pairs flagship_risk_ranking"
-).split()
-
-
+#: Of 200 documents none need be alike, or be the one asked for.
+MAY_BE_EMPTY = "c2_threshold_pairs c9_containment c9_lsh_pairs c10_jaccard_estimate c11_lexical_overlap c11_word_jaccard c12_candidates_tfidf g4_pairs_of_submission i3_incremental_pairs g16_triage_filter".split()
 @pytest.fixture(scope="module")
 def tables():
     c = duckdb.connect()
@@ -29,8 +25,12 @@ def rows(df):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
-@pytest.mark.parametrize("name", SOME)
-def test_against_sql(spark, tables, name):
+@pytest.mark.parametrize("name", sorted(registry.queries()))
+def test_every_query(spark, tables, name):
+    """Runs over the given tables, and gives what its SQL gives where it has some."""
     got = registry.queries()[name](spark, DATA).toPandas()
-    want = tables.sql(registry.oracle_sql()[name]).df()
-    assert rows(got) == rows(want) and len(got)
+    sql = registry.oracle_sql().get(name)
+    if sql:
+        want = tables.sql(sql).df()
+        assert sorted(got.columns) == sorted(want.columns) and rows(got) == rows(want)
+    assert len(got) or name in MAY_BE_EMPTY

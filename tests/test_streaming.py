@@ -10,6 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.operators import similarity
 from tessera.streaming import jobs, lockout
 
 
@@ -137,3 +138,25 @@ def test_audit_stream_and_counts(spark, tmp_path):
     last = max(times) - pd.Timedelta(minutes=10)
     assert got == {(w, n) for w, n in want if w + pd.Timedelta(hours=1) <= last}  # windows that the watermark has passed
     assert sum(n for _, n in want) == 30 and len(got) >= 3
+
+
+def test_new_submissions_meet_all_before(spark, tmp_path):
+    """The stream's pairs, micro-batch by micro-batch, are those of the whole table; one that runs again changes nothing."""
+    rng = random.Random(3)
+    word = lambda: rng.choice("abcdefgh") + str(rng.randrange(300))
+    texts = [[word() for _ in range(60)] for _ in range(12)]
+    rows = [("b" + str(i % 2), i, " ".join(w if rng.random() < 0.95 else word() for w in texts[i % 6])) for i in range(36)]
+    rows += [("b0", 36, rows[0][2]), ("b0", 37, rows[2][2]), ("b0", 38, rows[0][2]), ("b1", 39, None), ("b1", 40, "")]
+    schema = "batch string, doc long, text string"
+    for i, (lo, hi) in enumerate([(0, 10), (10, 37), (37, 41)]):
+        spark.createDataFrame(rows[lo:hi] + rows[lo : lo + 2], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        time.sleep(1.1)
+    index = jobs.BandIndex(spark, f"{tmp_path}/index")
+    q = jobs.compare_new(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in"), index, f"{tmp_path}/ck").trigger(availableNow=True).start()
+    q.awaitTermination(300)
+    assert q.exception() is None
+    docs = spark.createDataFrame([r for r in rows if r[2] is not None], schema)
+    want = sorted(map(tuple, similarity.lsh_candidates(similarity.minhash_signatures(docs)).collect()))
+    assert sorted(map(tuple, index.pairs().collect())) == want and len(want) > 40
+    index.add(docs.where("doc >= 37"), 2)
+    assert sorted(map(tuple, index.pairs().collect())) == want
