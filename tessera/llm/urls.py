@@ -98,7 +98,41 @@ def matching_rule(h: Column, p: Column, rules: list[tuple[str, str]]) -> Column:
     return F.array_max(F.transform(fits, lambda r: F.struct(r["size"].alias("size"), r["allow"].alias("allow"), r["rule"].alias("rule"))))
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str]], *, redirects: DataFrame | None = None, spellings: bool = True) -> DataFrame:
+def rule_table(rules: DataFrame) -> DataFrame:
+    """(h, p, allow, rule) of a table (rule, verdict): a rule is host and path in one string, up to its first slash the host."""
+    r = F.col("rule").cast("string")
+    rows = rules.select(F.regexp_extract(r, "(?s)^([^/]*)", 1).alias("h"), F.regexp_extract(r, "(?s)^[^/]*/?(.*)$", 1).alias("p"), (F.col("verdict") == "allow").alias("allow"), r.alias("rule"))
+    return rows.where("rule is not null").select("h", F.concat(F.lit("/"), "p").alias("p"), "allow", "rule")
+
+
+def fitting(places: DataFrame, rules: DataFrame) -> DataFrame:
+    """(host, path, own) of the distinct (host, path) that a rule of a table of any size fits; ``own`` as in ``matching_rule``.
+
+    Every suffix of a host at a dot asks for the lengths of paths that rules have for it, and with each of these its path's beginning asks for the
+    rule. Both are joins of equal keys; a place asks as often as its host has parts and these have lengths.
+    """
+    table = rule_table(rules)
+    some = places.select("host", "path").where("host != ''").distinct()
+    part = F.split("host", r"\.")
+    suffix = F.transform(F.sequence(F.lit(1), F.size("part")), lambda i: F.array_join(F.slice("part", i, F.size("part") - i + 1), "."))
+    asked = some.withColumn("part", part).select("host", "path", F.explode(F.array_distinct(suffix)).alias("h"))
+    lengths = table.select("h", F.length("p").alias("n")).distinct()
+    asked = asked.join(lengths, "h").where(F.col("n") <= F.length("path")).select("host", "path", "h", F.substring("path", F.lit(1), F.col("n")).alias("p"))
+    best = F.struct(F.length("rule").alias("size"), F.col("allow"), F.col("rule"))
+    return asked.join(table, ["h", "p"]).groupBy("host", "path").agg(F.max(best).alias("own"))
+
+
+def _with_rule(rows: DataFrame, url: str, rules: list[tuple[str, str]] | DataFrame) -> DataFrame:
+    """Adds ``own``, the rule that fits the url's host and path; a list is tried as literals, a table is joined."""
+    if not isinstance(rules, DataFrame):
+        return rows.withColumn("own", matching_rule(host(F.col(url)), path(F.col(url)), rules))
+    placed = rows.withColumns({"_h": host(F.col(url)), "_p": path(F.col(url))})
+    found = fitting(placed.select(F.col("_h").alias("host"), F.col("_p").alias("path")), rules)
+    found = found.select(F.col("host").alias("_h"), F.col("path").alias("_p"), "own")
+    return placed.join(found, ["_h", "_p"], "left").drop("_h", "_p")
+
+
+def judge(pages: DataFrame, rules: list[tuple[str, str]] | DataFrame, *, redirects: DataFrame | None = None, spellings: bool = True) -> DataFrame:
     """page_id, url, host, path, rule, verdict, component of every row.
 
     A page with a fitting rule has that rule's verdict. Any other is blocked if a page or link target of
@@ -110,7 +144,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], *, redirects: DataFram
     Null urls and urls without :// have empty host and path, no rule, no edges, and are allowed. Repeated rows and ids
     keep their rows; other columns are ignored. The html column may be missing or null. A hub that very many pages link to is an
     ordinary node: nothing is gathered by component but two flags. Only addresses with a link are nodes, numbered one by
-    one, so no two share a number. A tag ends at its first >, and <base> is not read. Rules are literals of the plan.
+    one, so no two share a number. A tag ends at its first >, and <base> is not read. ``rules`` is a list of (rule, verdict), which become literals of the plan and are each tried
+    on each url, or for more than some hundreds a table of these columns, which is joined.
     """
     scratch = Scratch(pages.sparkSession, "urls")
     html = F.col("html").cast("string") if "html" in pages.columns else F.lit(None).cast("string")
@@ -119,15 +154,15 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], *, redirects: DataFram
         F.col("page_id").cast("long").alias("page_id"), url.alias("url"), host(url).alias("host"), path(url).alias("path"), address(url, spellings).alias("address"),
         F.when(html.rlike("(?i)canonical|http-equiv"), targets(html)).alias("targets"),
     )
-    rows = scratch.save(rows.withColumn("own", matching_rule(F.col("host"), F.col("path"), rules)))
+    rows = scratch.save(_with_rule(rows, "url", rules))
 
     links = rows.where("host != ''").select("url", F.explode("targets").alias("to")).select("url", resolved(F.col("url"), F.col("to")).alias("to"))
     if redirects is not None:
         links = links.unionByName(redirects.select(F.col(redirects.columns[0]).cast("string").alias("url"), F.col(redirects.columns[1]).cast("string").alias("to")))
     ends = address(F.col("url"), spellings).alias("a"), address(F.col("to"), spellings).alias("b")
     links = scratch.save(links.select("url", "to", *ends).where("a is not null and b is not null"))
-    own = lambda c: matching_rule(host(F.col(c)), path(F.col(c)), rules)["allow"]
-    places = links.select(F.col("a").alias("address"), own("url").alias("allow")).unionByName(links.select(F.col("b").alias("address"), own("to").alias("allow")))
+    own = lambda c, at: _with_rule(links.select(c, at), c, rules).select(F.col(at).alias("address"), F.col("own.allow").alias("allow"))
+    places = own("url", "a").unionByName(own("to", "b"))
     places = places.groupBy("address").agg(F.max("allow").alias("any_allow"), F.min("allow").alias("all_allow"))
     # a page's other spellings and repeats share its node, with their rules
     same = rows.where("own is not null").select("address", F.col("own.allow").alias("allow")).groupBy("address").agg(F.max("allow").alias("more"), F.min("allow").alias("less"))
@@ -147,6 +182,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], *, redirects: DataFram
     if spellings:
         alone = same.join(placed, "address", "left_anti").select("address", (~F.col("less") & ~F.col("more")).alias("blocked"), F.lit(None).cast("long").alias("component"))
         placed = placed.unionByName(alone)
-    out = rows.join(placed, "address", "left")
+    out = rows.where("address is not null").join(placed, "address", "left")
+    nowhere = {f.name: F.lit(None).cast(f.dataType) for f in out.schema.fields if f.name not in rows.columns}
+    out = out.unionByName(rows.where("address is null").withColumns(nowhere))  # so that they don't meet in one task
     verdict = F.when(F.col("own").isNotNull(), F.when(F.col("own.allow"), "allow").otherwise("block")).when(F.col("blocked"), "block").otherwise("allow")
     return out.select("page_id", "url", "host", "path", F.col("own.rule").alias("rule"), verdict.alias("verdict"), "component")

@@ -104,6 +104,9 @@ def test_urls(spark):
     assert got[1]["rule"] == "example.org/es/" and got[2]["host"] == "a.example.org" and got[2]["path"] == "/en/1" and got[11]["rule"] == "org/"
     assert (got[6]["host"], got[6]["path"], got[6]["rule"]) == ("", "", None)
     assert urls.judge(pages.limit(0), RULES).count() == 0
+    table = spark.createDataFrame([*RULES, (None, "block"), ("unused.net/", "block")], "rule string, verdict string")
+    joined = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in urls.judge(pages, table).collect()}
+    assert joined == {i: (r["host"], r["path"], r["rule"], r["verdict"]) for i, r in got.items()}
     crawl = spark.createDataFrame([("http://e.net/z", "http://q.com/de/moved")], "a string, b string")
     more = {r["page_id"]: r["verdict"] for r in urls.judge(pages.drop("html"), RULES, redirects=crawl, spellings=False).collect()}
     assert {i for i, v in more.items() if v == "block"} == {1, 2, 10, 23}
@@ -117,3 +120,19 @@ def test_relative_targets(spark):
     rows = spark.createDataFrame([(b, t) for b in bases for t in some], "u string, t string")
     for r in rows.withColumn("to", urls.resolved(F.col("u"), F.col("t"))).collect():
         assert r["to"] == urljoin(r["u"], r["t"]), r
+
+
+def test_a_million_rules(spark):
+    """A table of rules is joined; each of some urls has the longest rule that fits, as trying all of them would say."""
+    rules = spark.range(1_000_000).select(F.concat(F.lit("h"), (F.col("id") % 50_000).cast("string"), F.lit(".net/"), F.when(F.col("id") >= 50_000, (F.col("id") % 1009).cast("string")).otherwise("")).alias("rule"), F.when(F.col("id") % 3 == 0, "allow").otherwise("block").alias("verdict"))
+    hosts = [f"{sub}h{h}.net" for sub in ("", "a.", "b.c.", "x") for h in (0, 7, 49_999, 50_000)]
+    places = spark.createDataFrame([(h, p) for h in hosts for p in ("/", "/7", "/57", "/100", "/1008/x", "", "/x7")] + [("", ""), ("h7.net", "/57")], "host string, path string")
+    some = rules.where(F.col("rule").rlike("^h(0|7|49999|50000)[.]")).collect()
+    fits = lambda h, p, r: (h == r.partition("/")[0] or h.endswith("." + r.partition("/")[0])) and p.startswith("/" + r.partition("/")[2])
+    want = {}
+    for h, p in {tuple(r) for r in places.collect()}:
+        found = [(len(r["rule"]), r["verdict"] == "allow", r["rule"]) for r in some if fits(h, p, r["rule"])]
+        if found:
+            want[h, p] = max(found)
+    got = {(r["host"], r["path"]): tuple(r["own"]) for r in urls.fitting(places, rules).collect()}
+    assert got == want and len(want) > 40
