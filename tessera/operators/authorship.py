@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import scores
 from tessera.functions import text as T
+from tessera.scratch import Scratch
 
 ADD = 0.5
 
@@ -26,11 +27,20 @@ class BigramModel:
     """
 
     def __init__(self, texts: DataFrame, add: float = ADD):
-        pairs = texts.select(F.explode(_bigrams(T.words(F.lower("text")))).alias("p")).select("p.w1", "p.w2")
-        self.pairs = pairs.groupBy("w1", "w2").agg(F.count("*").alias("n12"))
-        self.firsts = self.pairs.groupBy("w1").agg(F.sum("n12").alias("n1"))
-        self.size = self.pairs.agg(F.count_distinct("w2").alias("v"))
-        self.add = add
+        scratch = Scratch(texts.sparkSession, "bigrams")
+        self.texts, self.add = texts, add
+        # the pairs of each text are counted once; the model and the texts' own perplexities both come from these counts
+        doc = F.col("doc") if "doc" in texts.columns else F.lit(None).cast("long").alias("doc")
+        self.counts = scratch.save(texts.select(doc, F.explode(_bigrams(T.words(F.lower("text")))).alias("p")).groupBy("doc", "p.w1", "p.w2").agg(F.count("*").alias("k")))
+        self.pairs = scratch.save(self.counts.groupBy("w1", "w2").agg(F.sum("k").alias("n12")))
+        self.firsts = scratch.save(self.pairs.groupBy("w1").agg(F.sum("n12").alias("n1")))
+        self.size = scratch.save(self.pairs.agg(F.count_distinct("w2").alias("v")))
+
+    def own_perplexity(self) -> DataFrame:
+        """(doc, perplexity) of the model's own texts, as ``perplexity`` gives it: all their pairs are known, so one join is enough."""
+        known = self.pairs.join(self.firsts, "w1").crossJoin(F.broadcast(self.size))  # one row
+        known = known.select("w1", "w2", F.log((F.col("n12") + self.add) / (F.col("n1") + self.add * F.col("v"))).alias("p"))
+        return self.counts.join(known, ["w1", "w2"]).groupBy("doc").agg(F.exp(-F.sum(F.col("p") * F.col("k")) / F.sum("k")).alias("perplexity"))
 
     def perplexity(self, rows: DataFrame, key: list[str]) -> DataFrame:
         """(key, perplexity) of rows (key, text): exp of the mean negative log-probability; none for blank texts.
@@ -73,7 +83,8 @@ def burstiness(docs: DataFrame, model: BigramModel) -> DataFrame:
 def signals(docs: DataFrame, model: BigramModel) -> DataFrame:
     """(doc, perplexity, burstiness, stylometric); a signal that a text doesn't give is null."""
     style = docs.select("doc", T.stylometric(F.col("text")).alias("stylometric"))
-    return style.join(model.perplexity(docs.select("doc", "text"), ["doc"]), "doc", "left").join(burstiness(docs, model), "doc", "left")
+    own = model.own_perplexity() if docs is getattr(model, "texts", None) else model.perplexity(docs.select("doc", "text"), ["doc"])
+    return style.join(own, "doc", "left").join(burstiness(docs, model), "doc", "left")
 
 
 def probability(rows: DataFrame, model=None, external: DataFrame | None = None) -> DataFrame:

@@ -43,7 +43,7 @@ def _model(s, d):
     return authorship.BigramModel(base.docs(s, d))
 
 
-Q["e1_perplexity"] = lambda s, d: _model(s, d).perplexity(base.docs(s, d).select("doc", "text"), ["doc"]).withColumn("perplexity", F.round("perplexity", 4))
+Q["e1_perplexity"] = lambda s, d: _model(s, d).own_perplexity().withColumn("perplexity", F.round("perplexity", 4))
 SQL["e1_perplexity"] = base.with_(base.DOCS, BIGRAM, base.PPL) + " SELECT doc, round(perplexity, 4) AS perplexity FROM ppl"
 Q["e2_burstiness"] = lambda s, d: authorship.burstiness(base.docs(s, d), _model(s, d)).withColumn("burstiness", F.round(C("burstiness") / 1000, 4))
 SQL["e2_burstiness"] = base.with_(base.DOCS, base.SENT, BIGRAM, base.BURST) + "SELECT doc, round(burstiness / 1000, 4) AS burstiness FROM bst"
