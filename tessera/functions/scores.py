@@ -47,7 +47,7 @@ def confidence_band(ai: Column) -> Column:
 
 
 def band_policy(ai: Column) -> Column:
-    """Struct (zone, automated_penalty_allowed, action)."""
+    """Struct (zone, automated_penalty_allowed, action). The zones' names and what is to be done."""
     row = lambda zone, allowed, action: F.struct(F.lit(zone).alias("zone"), F.lit(allowed).alias("automated_penalty_allowed"), F.lit(action).alias("action"))
     return (
         F.when(ai < P.BAND_LOW, row("HUMAN_ZONE", False, "Pass without penalty. High confidence authentic."))

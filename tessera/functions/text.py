@@ -234,7 +234,7 @@ def stylometric(text: Column) -> Column:
 
 def stylometric_features(text: Column) -> Column:
     """Struct of rounded features from alphabetic words; zeros without any."""
-    w, s = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\b([a-zA-Z]+)\b"), F.lit(1)), sentences(text)
+    w, s = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(?<![\p{L}\p{N}_])[a-zA-Z]++(?![\p{L}\p{N}_])"), F.lit(0)), sentences(text)
     some = (F.size(w) > 0) & (F.size(s) > 0)
     length, variety = F.size(w) / F.size(s), F.size(F.array_distinct(F.transform(w, F.lower))) / F.size(w)
     density = _punctuation(text) / F.greatest(F.length(text), F.lit(1))

@@ -191,7 +191,7 @@ def insights(risks: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def triage_filters(query: Column) -> Column:
-    """Struct of what a phrase asks for; null fields ask nothing."""
+    """Struct of what a phrase asks for; null fields ask nothing. The words that ask, and what they mean without a number."""
     q = F.lower(F.trim(query))
     has = lambda *ws: F.coalesce(q.rlike("|".join(ws)), F.lit(False))
     number = lambda p: F.regexp_extract(q, p, 1)

@@ -231,7 +231,7 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def lexical_words(text: Column) -> Column:
     """Runs of three or more letters that stand alone, lower-cased."""
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"\b([a-z]{3,})\b"), F.lit(1))
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?<![\p{L}\p{N}_])[a-z]{3,}+(?![\p{L}\p{N}_])"), F.lit(0))
 
 
 def lexical_overlap(pairs: DataFrame, ratio) -> DataFrame:

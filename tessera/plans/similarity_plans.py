@@ -115,6 +115,10 @@ def _near(s, d):
 
 Q["c11_word_jaccard"] = lambda s, d: _near(s, d).select("a", "b", F.round(similarity.jaccard(similarity.lexical_words(C("text_a")), similarity.lexical_words(C("text_b"))), 6).alias("jaccard"))
 
+SQL["c11_word_jaccard"] = "WITH c AS (" + SQL["c9_lsh_pairs"] + r"""),
+lw AS (SELECT doc_id AS doc, list_distinct(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda x: regexp_full_match(x, '[a-z]{3,}'))) AS w FROM documents)
+SELECT a, b, round(CASE WHEN len(x.w) > 0 AND len(y.w) > 0 THEN len(list_intersect(x.w, y.w)) / len(list_distinct(list_concat(x.w, y.w))) ELSE 0.0 END, 6) AS jaccard FROM c JOIN lw x ON x.doc = a JOIN lw y ON y.doc = b"""
+
 
 def _pair_corpora(s, d, pairs):
     p = pairs.select(F.concat_ws("-", "a", "b").alias("batch"), "a", "b")
@@ -130,6 +134,10 @@ SQL["c12_pair_fitted_tfidf"] = (
     + "SELECT a, b, round(tfidf, 5) AS tfidf FROM sims"
 )
 # the same over the pairs that share a signature band
+SQL["c12_candidates_tfidf"] = (
+    "WITH c AS (" + SQL["c9_lsh_pairs"] + "),\n" + base.with_(base.DOCS.replace("docs AS", "docs0 AS", 1), "own AS (SELECT a || '-' || b AS batch, unnest([a, b]) AS doc FROM c)",
+    "docs AS (SELECT own.batch, own.doc, text FROM own JOIN docs0 ON docs0.doc = own.doc)", TOKENS, TFIDF).removeprefix("WITH ") + "SELECT a, b, round(tfidf, 5) AS tfidf FROM sims"
+)
 Q["c12_candidates_tfidf"] = lambda s, d: _pair_corpora(s, d, similarity.lsh_candidates(_signatures(s, d))).select("a", "b", F.round("tfidf", 5).alias("tfidf"))
 
 Q["c13_matched_sentences"] = lambda s, d: similarity.matched_sentences(base.docs(s, d)).withColumn("n_chars", C("n_chars").cast("long"))

@@ -146,6 +146,10 @@ Q["e3_stylometric"] = lambda s, d: _docs(s, d).select("doc", F.round(T.stylometr
 SQL["e3_stylometric"] = base.with_(base.DOCS, SENT, STYLE) + "SELECT doc, round(stylometric, 6) AS stylometric FROM stylometric"
 
 Q["e4_stylometric_features"] = lambda s, d: _docs(s, d).select("doc", T.stylometric_features(C("text")).alias("f")).select("doc", F.round("f.ttr", 3).alias("ttr"), "f.avg_sent_len", "f.punct_density")
+SQL["e4_stylometric_features"] = base.with_(base.DOCS, SENT) + r""", f AS (SELECT doc, text, s, list_filter(regexp_extract_all(text, '[\p{L}\p{N}_]+'), lambda x: regexp_full_match(x, '[a-zA-Z]+')) AS w, length(text) - length(regexp_replace(text, '[.,;:!?]', '', 'g')) AS np FROM sent),
+g AS (SELECT *, len(w) > 0 AND len(s) > 0 AS ok FROM f)
+SELECT doc, CASE WHEN ok THEN round(CAST(len(list_distinct(list_transform(w, lambda x: lower(x)))) AS DOUBLE) / len(w), 3) ELSE 0.0 END AS ttr, CASE WHEN ok THEN round(CAST(len(w) AS DOUBLE) / len(s), 2) ELSE 0.0 END AS avg_sent_len,
+  CASE WHEN ok THEN round(CAST(np AS DOUBLE) / greatest(length(text), 1), 3) ELSE 0.0 END AS punct_density FROM g"""
 
 
 def _rewritten(s, d):

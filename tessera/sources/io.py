@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera import params as P
 from tessera.functions import text as T
 
+# Fixed value: the form of an identifier in a path.
 UUID = r"(?i)^(?:urn:uuid:)?\{?[0-9a-f]{8}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{12}\}?$"
 
 
@@ -181,6 +182,7 @@ ACTIONS = [
     ("DELETE", "annotations/*", "annotation.delete"), ("PUT", "submissions/*/marks", "submission.update_marks"),
     ("POST", "admin/users", "admin.user_create"), ("DELETE", "admin/users/*", "admin.user_delete"), ("PATCH", "admin/users/*/role", "admin.user_update_role"),
 ]
+# Paths that leave no audit rows.
 SKIPPED = ["/api/health", "/api/docs", "/api/redoc", "/api/openapi.json"]
 
 
