@@ -21,6 +21,7 @@ VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of some documents; the classifiers leave out those that are held out."""
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
