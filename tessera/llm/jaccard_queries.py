@@ -6,6 +6,7 @@ NAME = "op6_ngram_jaccard"
 
 
 def query(spark, sf_dir):
+    """Shingle counts and components of all documents."""
     return JaccardJoin().components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 

@@ -9,4 +9,5 @@ VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
 def query(spark, sf_dir):
+    """The pieces of all documents in windows of 4096 tokens."""
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), VOCABULARY)

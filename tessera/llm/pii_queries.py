@@ -8,6 +8,7 @@ NAME = "op9_skip_chain_pii"
 
 
 def query(spark, sf_dir):
+    """Base and added spans of all documents, by a field taught on a bounded sample of them."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = find(docs, train(docs))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")

@@ -6,6 +6,7 @@ NAME = "op2_product_quantisation"
 
 
 def query(spark, sf_dir):
+    """Links and components of all vectors."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), 0.98)
 
 

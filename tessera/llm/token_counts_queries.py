@@ -9,4 +9,5 @@ VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
 def query(spark, sf_dir):
+    """Totals for every length that occurs, over all documents."""
     return limits(length_histogram(spark.read.parquet(f"{sf_dir}/documents.parquet"), VOCABULARY, public_tokenizers.PATTERN))

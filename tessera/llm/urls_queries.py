@@ -7,6 +7,7 @@ RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "
 
 
 def query(spark, sf_dir):
+    """Host, path, rule and verdict of all pages."""
     return judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), RULES).select("page_id", "host", "path", "rule", "verdict")
 
 

@@ -8,6 +8,7 @@ NAME = "op5_va_file_top_k"
 
 
 def query(spark, sf_dir):
+    """The five best of every 50th vector among all others."""
     rows = quantised(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
     return top_k(rows, rows.where(F.pmod("vec_id", F.lit(50)) == 0), 5)
 
