@@ -48,8 +48,8 @@ class Codebook:
         known = np.concatenate([book[codes[:, i]] for i, book in enumerate(self.books)], axis=1)
         return at, codes.astype(np.uint8), np.linalg.norm(rest - known, axis=1)
 
-    def probes(self, x: np.ndarray, at: np.ndarray, radius: float) -> np.ndarray:
-        """[vectors, lists]: True where the list may hold a vector within the radius.
+    def probes(self, x: np.ndarray, at: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+        """[vectors, lists]: True where the list may hold a vector within the radius; and the distances to the centres.
 
         Vectors of another list lie beyond the plane midway between its centre and the nearest one.
         """
@@ -57,7 +57,7 @@ class Codebook:
         own = d[np.arange(len(x)), at]
         gap = np.linalg.norm(self.centre[at][:, None, :] - self.centre[None], axis=2)
         beyond = (d - own[:, None]) / (2 * np.maximum(gap, 1e-12))
-        return (beyond <= radius + _SLACK) | (gap <= 1e-12)
+        return (beyond <= radius + _SLACK) | (gap <= 1e-12), np.sqrt(np.maximum(d, 0))
 
     def table_distances(self, x: np.ndarray, cell: int, codes: np.ndarray) -> np.ndarray:
         """[queries, vectors]: distance of each query from what each vector's code stands for."""
@@ -70,7 +70,7 @@ class Codebook:
 
 
 def _file(book, radius: float):
-    """Rows (uid, node, copies, grp, v) with list, code, error and the lists to probe."""
+    """Rows (uid, node, copies, grp, v) with list, code, error, the distance from the list's centre, and the lists to probe with theirs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b_ = book.value
@@ -80,13 +80,13 @@ def _file(book, radius: float):
                 v = matrix(b.column(4))
                 x = v / np.linalg.norm(v, axis=1)[:, None]
                 at, codes, err = b_.code(x)
-                probes = b_.probes(x, at, radius)
+                probes, far = b_.probes(x, at, radius)
                 yield pa.RecordBatch.from_arrays(
                     [
                         *(b.column(i) for i in range(5)), pa.array(at.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(err),
-                        pa.array([np.flatnonzero(p).astype(np.int32) for p in probes], pa.list_(pa.int32())),
+                        pa.array(far[np.arange(len(x)), at]), pa.array([np.flatnonzero(p).astype(np.int32) for p in probes], pa.list_(pa.int32())), pa.array([f[p] for f, p in zip(far, probes)], pa.list_(pa.float64())),
                     ],
-                    names=["uid", "node", "copies", "grp", "v", "cell", "codes", "err", "probes"],
+                    names=["uid", "node", "copies", "grp", "v", "cell", "codes", "err", "home", "probes", "far"],
                 )
 
     return run
@@ -173,15 +173,18 @@ def near_duplicates(
         x = sample(own, "v", train)
         x = x / np.linalg.norm(x, axis=1)[:, None]
         book = spark.sparkContext.broadcast(Codebook.fit(x, max(1, min(max_lists, n // list_size)), subspaces, codes))
-        filed = own.mapInArrow(_file(book, radius), "uid long, node long, copies long, grp string, v array<double>, cell int, codes binary, err double, probes array<int>")
+        filed = own.mapInArrow(_file(book, radius), "uid long, node long, copies long, grp string, v array<double>, cell int, codes binary, err double, home double, probes array<int>, far array<double>")
         filed = scratch.save(filed)
-        homes = filed.groupBy("grp", "cell").agg(F.ceil(F.count("*") / part).cast("int").alias("parts"))
-        asked = filed.select("grp", F.explode("probes").alias("cell")).groupBy("grp", "cell").agg(F.ceil(F.count("*") / part).cast("int").alias("rounds"))
+        # a list is asked only by what is no farther from its centre than its farthest member and the radius together
+        homes = filed.groupBy("grp", "cell").agg(F.ceil(F.count("*") / part).cast("int").alias("parts"), (F.max("home") + radius + _SLACK).alias("reach"))
+        homes = scratch.save(homes)
+        probe = filed.withColumn("x", F.explode(F.arrays_zip("probes", "far"))).withColumns({"cell": F.col("x.probes"), "far": F.col("x.far")})
+        asked = probe.select("grp", "cell", "far").join(homes, ["grp", "cell"]).where("far <= reach").groupBy("grp", "cell").agg(F.ceil(F.count("*") / part).cast("int").alias("rounds"))
         sizes = scratch.save(homes.join(asked, ["grp", "cell"]))
         salt = lambda n_, seed: F.pmod(F.xxhash64("uid", F.lit(seed)), F.col(n_)).cast("int")
         columns = ["uid", "node", "copies", "grp", "cell", "v", "codes", "err"]
         home = filed.select(*columns).join(sizes, ["grp", "cell"]).withColumns({"p": salt("parts", 1), "q": F.explode(F.sequence(F.lit(0), F.col("rounds") - 1))})
-        query = filed.withColumn("cell", F.explode("probes")).select(*columns).join(sizes, ["grp", "cell"])
+        query = probe.select(*columns, "far").join(sizes, ["grp", "cell"]).where("far <= reach")
         query = query.withColumns({"q": salt("rounds", 2), "p": F.explode(F.sequence(F.lit(0), F.col("parts") - 1))})
         keys = ["grp", "cell", "p", "q"]
         query = query.withColumns({"codes": F.lit(None).cast("binary"), "err": F.lit(None).cast("double")})
