@@ -106,8 +106,8 @@ def ai(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _ai(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detection results of every document, from its style."""
     none = F.lit(None).cast("double")
-    p = scores.heuristic_probability(none, none, T.stylometric(F.col("text")))
-    return docs(spark, sf_dir).select("doc", F.round(p, 9).alias("ai_prob"), F.lit("local").alias("source"))
+    p = T.let(T.stylometric(F.col("text")), lambda x: F.round(scores.heuristic_probability(none, none, x), 9))
+    return docs(spark, sf_dir).select("doc", p.alias("ai_prob"), F.lit("local").alias("source"))
 
 
 AI = (SENT, STYLE, "ai AS (SELECT doc, round(coalesce(stylometric, 0.0), 9) AS ai_prob, 'local' AS source FROM stylometric)")

@@ -24,7 +24,7 @@ def flagship(s, d):
     fused = similarity.tfidf_pairs(similarity.tfidf_vectors(docs)).withColumn("fused", scores.fused(C("tfidf"), F.lit(None).cast("double")))
     best = similarity.max_similarity(fused, {"fused": "text_sim_max"}).withColumn("code_sim_max", F.lit(None).cast("double"))
     none = F.lit(None).cast("double")
-    ai = docs.select("doc", scores.heuristic_probability(none, none, T.stylometric(C("text"))).alias("ai_prob"))
+    ai = docs.select("doc", T.let(T.stylometric(C("text")), lambda x: scores.heuristic_probability(none, none, x)).alias("ai_prob"))
     risk = marking.score_documents(docs.withColumn("has_code", F.lit(False)), best, ai)
     ranked = results.risk_ranking(risk.withColumn("weighted_score", F.round("weighted_score", 5)))
     return ranked.select("batch", "doc", "position", F.round("text_sim_max", 5).alias("text_sim_max"), F.round("ai_prob", 5).alias("ai_prob"), "weighted_score", "risk_level")
