@@ -41,8 +41,8 @@ def tfidf_vectors(docs: DataFrame, params: TfidfParams = TfidfParams()) -> DataF
     n = docs.groupBy("batch").agg(F.count("*").alias("n"))
     idf = kept.join(n, "batch").select("batch", "term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
     raw = tf.join(idf, ["batch", "term"]).select("batch", "doc", "term", ((1 + F.log("tf")) * F.col("idf")).alias("raw"))
-    norm = raw.groupBy("batch", "doc").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return raw.join(norm, ["batch", "doc"]).select("batch", "doc", "term", (F.col("raw") / F.col("norm")).alias("weight"))
+    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("batch", "doc")))  # of at most ``max_terms`` rows
+    return raw.select("batch", "doc", "term", (F.col("raw") / norm).alias("weight"))
 
 
 def tfidf_pairs(vectors: DataFrame, *, blocks: bool = True) -> DataFrame:

@@ -16,6 +16,7 @@ from tessera.functions import scores
 from tessera.functions import text as T
 from tessera.operators import authorship, marking, similarity
 from tessera.scratch import Scratch
+from tessera.sources import io
 
 CONFIG_JSON = (
     '{"total_marks": 100, "ai_thresholds": [{"min_value": 0, "max_value": 40, "marks_deduct": 0}, {"min_value": 40, "max_value": 100, "marks_deduct": 20}], '
@@ -48,7 +49,7 @@ def share(key: Column, factor: int) -> Column:
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").where("text is not null")
+    rows = io.spread(table(spark, sf_dir, "documents").where("text is not null"))
     return rows.select(
         F.col("source").alias("batch"), F.col("doc_id").alias("doc"), "text", (F.col("doc_id") % 3 == 0).alias("has_code"),
         F.concat(F.lit("S"), F.col("doc_id").cast("string")).alias("student_id"),

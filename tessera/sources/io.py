@@ -12,6 +12,19 @@ from tessera.functions import text as T
 UUID = r"(?i)^(?:urn:uuid:)?\{?[0-9a-f]{8}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{12}\}?$"
 
 
+ROW_GROUP = 128 << 20  #: bytes of a usual row group, the least that a scan can split
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """The rows dealt out evenly where the input, by the planner's size of it, may have fewer row groups than there are cores; else as they are.
+
+    One task reads a row group, however many cores are idle. So a core receives at most a row group's bytes, and a large input is not shuffled.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return rows.repartition(cores) if size < cores * ROW_GROUP else rows
+
+
 def scan_submissions(submissions: DataFrame, batch: str | None = None) -> DataFrame:
     """Rows with text, of one batch if given; the filter reaches the scan and prunes partitions by batch."""
     rows = submissions.where(F.col("text").isNotNull())
