@@ -59,3 +59,13 @@ def test_cascade(spark):
     tables = {k: spark.createDataFrame([("x", i), ("y", i)], "batch string, n int") for i, k in enumerate(("docs", "pairs", "risks", "results", "annotations", "exports"))}
     left = io.delete_batches(tables, gone)
     assert set(left) == set(tables) and all([r["batch"] for r in t.collect()] == ["y"] for t in left.values())
+
+
+def test_small_inputs_are_dealt_out(spark, tmp_path, monkeypatch):
+    spark.range(1000).coalesce(1).write.parquet(f"{tmp_path}/t")
+    rows = spark.read.parquet(f"{tmp_path}/t")
+    used = lambda df: df.groupBy(F.spark_partition_id()).count().count()
+    assert used(io.spread(rows)) == spark.sparkContext.defaultParallelism and io.spread(rows).count() == 1000
+    assert used(io.spread(rows.where("id < 0"))) == 0
+    monkeypatch.setattr(io, "ROW_GROUP", 1)
+    assert io.spread(rows) is rows
