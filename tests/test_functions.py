@@ -79,3 +79,17 @@ def test_code(spark):
     ratio = {r["i"]: r["r"] for r in code.sequence_ratio(rows, "x", "y", "r").collect()}
     assert ratio[1] == 1.0 and ratio[2] == 1.0 and ratio[3] < 0.5
     assert value(spark, code.language(F.lit(a))) == "python"
+
+
+def test_rounding_is_that_of_the_sql(spark):
+    """Halves as they are after the multiplication: 0.07125 is below its half then, and its shortest text is at it."""
+    import duckdb
+
+    xs = [0.07125, 0.08625, 0.14125, 0.5, 0.0, 1.0, 0.28499999999999998, 0.12345]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in xs], "x double").select(scores.rounded(F.col("x"), 4)).collect()]
+    assert got == [duckdb.execute(f"SELECT round({x!r}::DOUBLE, 4)").fetchone()[0] for x in xs] and got[0] == 0.0712
+    sheet = spark.createDataFrame([(1, "s", "n", False, 0.0715)], "doc long, student_id string, student_name string, has_code boolean, t double")
+    risks = sheet.select("doc", F.lit("b").alias("batch"), "has_code", F.col("t").alias("text_sim_max"), F.col("t").alias("code_sim_max"), F.col("t").alias("ai_prob"), F.lit(0.1).alias("weighted_score"), F.lit("low").alias("risk_level"), F.lit("x").alias("weight_profile"))
+    row = io.analysis_sheet(sheet.drop("t"), risks, sheet.select("doc", F.col("t").alias("ai_prob")), sheet.select("doc", F.lit(1.0).alias("marks_obtained"), F.lit(2.0).alias("total_marks"))).first()
+    want = duckdb.execute("SELECT round(0.0715::DOUBLE * 100, 1)").fetchone()[0]
+    assert (row["text_sim_max"], row["ai_probability"], row["code_sim_max"]) == (want, want, str(want))
