@@ -5,7 +5,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from tessera.operators import authorship
+from tessera.operators import authorship, similarity
 
 
 def plan(df):
@@ -28,3 +28,27 @@ def test_pairs_of_words_are_no_rows(spark):
     want = {i: math.exp(-sum(math.log((n12[p] + 0.5) / (n1[p[0]] + 0.5 * v)) for p in pairs(t.split())) / len(t.split())) for i, t in enumerate(asked) if t.split()}
     got = {r["doc"]: r["perplexity"] for r in out.collect()}
     assert got.keys() == want.keys() and all(math.isclose(got[k], want[k]) for k in want)
+
+
+def test_risks_and_insights_expand_no_class(spark):
+    """The maxima and counts over all pairs come from the links of classes; a crowd of copies is no pairs."""
+    crowd = "This sentence is known to all of them. "
+    texts = [crowd, crowd + "x", crowd + "Another one that some have too. ", crowd + "Another one that some have too. And more words stand here", "Nothing in common with any of them"]
+    docs = spark.createDataFrame([("b", i, texts[i % 5], i % 3 == 0) for i in range(24)], "batch string, doc long, text string, has_code boolean")
+    members, links = similarity.sentence_classes(docs)
+    members = members.join(docs.select("doc", F.length("text").alias("n"), F.col("has_code").alias("c")), "doc").localCheckpoint()
+    score = F.least(F.col("n_sentences"), F.lit(10)) / 10
+    pairs = similarity.class_pairs(members, links).withColumns({"fused": F.least(F.lit(1.0), F.col("n_chars") / F.least("na", "nb")), "code": F.when(F.col("ca") & F.col("cb"), score).otherwise(0.0)})
+    key = lambda df: sorted((r["doc"], r["text_sim_max"], r["code_sim_max"]) for r in df.collect())
+    out = similarity.closest(members, links, score)
+    assert key(out) == key(similarity.max_similarity(pairs, {"fused": "text_sim_max", "code": "code_sim_max"})) and len(key(out)) == 24
+    assert links.count() < 10 < 100 < pairs.count()
+
+
+def test_evidence_joins_common_sentences_only(spark):
+    """A pair's texts meet in no row before the sentence that they share; without given pairs, all that share one are found."""
+    docs = spark.createDataFrame([("b", i, f"Own sentence of number {i} here. All have this sentence here. " * 2) for i in range(4)], "batch string, doc long, text string")
+    got = sorted((r["a"], r["b"], r["at_a"], r["at_b"], r["sentence"]) for r in similarity.sentence_evidence(docs).collect())
+    assert got == [(i, j, 1, 1, "all have this sentence here") for i in range(4) for j in range(i + 1, 4)]
+    some = spark.createDataFrame([("b", 0, 3)], "batch string, a long, b long")
+    assert [(r["a"], r["b"]) for r in similarity.sentence_evidence(docs, some).collect()] == [(0, 3)]
