@@ -5,7 +5,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from tessera.operators import authorship, similarity
+from tessera.operators import authorship, code, similarity
 
 
 def plan(df):
@@ -52,3 +52,19 @@ def test_evidence_joins_common_sentences_only(spark):
     assert got == [(i, j, 1, 1, "all have this sentence here") for i in range(4) for j in range(i + 1, 4)]
     some = spark.createDataFrame([("b", 0, 3)], "batch string, a long, b long")
     assert [(r["a"], r["b"]) for r in similarity.sentence_evidence(docs, some).collect()] == [(0, 3)]
+
+
+def test_equal_patterns_are_scored_once(spark, monkeypatch):
+    """Pairs whose tokens differ by name only take one search; the score is that of the tokens themselves."""
+    import pyarrow as pa
+
+    own = [[["def", "f", "(", str(i), ")"], ["x", str(i), "y"]] for i in range(6)]
+    rows = pa.table({"doc": list(range(6)), "blocks": own})
+    pairs = pa.table({"batch": ["b"] * 16, "a": [i for i in range(6) for j in range(i + 1, 6)] + [0], "b": [j for i in range(6) for j in range(i + 1, 6)] + [9]})
+    taken, best = [], code.best_ratio
+    monkeypatch.setattr(code, "best_ratio", lambda x, y: (taken.append(1), best(x, y))[1])
+    code._of_pattern.cache_clear()
+    got = code._cell_scores(True)(pairs, rows).to_pylist()
+    assert len(taken) == 1 and got[-1]["code_score"] == 0.0
+    assert all(r["code_score"] == best(own[r["a"]], own[r["b"]])[0] for r in got[:-1])
+    assert len(code._cell_scores(False)(pairs, rows)) == 15
