@@ -68,3 +68,18 @@ def test_equal_patterns_are_scored_once(spark, monkeypatch):
     assert len(taken) == 1 and got[-1]["code_score"] == 0.0
     assert all(r["code_score"] == best(own[r["a"]], own[r["b"]])[0] for r in got[:-1])
     assert len(code._cell_scores(False)(pairs, rows)) == 15
+
+
+def test_shingles_are_no_rows(spark):
+    """Signatures are taken where the text is read: no shingle is a row of an aggregation. Rows of one document are combined."""
+    import hashlib
+
+    texts = {0: "one two three two three", 1: "", 2: "alone", 3: " ".join(f"w{i % 1500}x{i}" for i in range(3000)), 4: "ONE  Two\tthree"}
+    rows = [("b", i, t) for i, t in texts.items()] + [("b", 4, "four five"), ("b", 5, None)]
+    signed = similarity.minhash_signatures(spark.createDataFrame(rows, "batch string, doc long, text string"))
+    assert "Generate" not in plan(signed)
+    got = {r["doc"]: r["signature"] for r in signed.collect()}
+    grams = lambda t: {" ".join(p) for p in zip(t.split(), t.split()[1:])} or {t.strip()}
+    sets = {i: grams(t.lower()) for i, t in texts.items()} | {4: {"one two", "two three", "four five"}}
+    x = {i: [int(hashlib.md5(g.encode()).hexdigest()[:8], 16) for g in s] for i, s in sets.items()}
+    assert got == {i: [min((a * v + b) % similarity.MERSENNE for v in x[i]) for _, a, b in similarity.permutations()] for i in sets}
