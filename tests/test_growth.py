@@ -83,3 +83,29 @@ def test_shingles_are_no_rows(spark):
     sets = {i: grams(t.lower()) for i, t in texts.items()} | {4: {"one two", "two three", "four five"}}
     x = {i: [int(hashlib.md5(g.encode()).hexdigest()[:8], 16) for g in s] for i, s in sets.items()}
     assert got == {i: [min((a * v + b) % similarity.MERSENNE for v in x[i]) for _, a, b in similarity.permutations()] for i in sets}
+
+
+def test_pairs_are_fitted_without_their_texts(spark):
+    """Vectors fitted for each pair alone, with the cut to the most frequent terms, against plain Python; no text is a row for each of its pairs."""
+    import random
+
+    from tessera.operators import products
+
+    rng = random.Random(3)
+    texts = [" ".join(f"w{min(rng.randrange(60), rng.randrange(60))}" for _ in range(rng.randrange(2, 60))) for _ in range(14)] + ["", "alone"]
+    docs = spark.createDataFrame([("b", i, t) for i, t in enumerate(texts)], "batch string, doc long, text string")
+    pairs = spark.createDataFrame([("b", i, j) for i in range(16) for j in range(i + 1, 16)], "batch string, a long, b long")
+    counts = similarity.term_counts(docs)
+    tf = {r["doc"]: dict(zip(r["term"], r["tf"])) for r in counts.collect()}
+    assert tf == {i: dict(Counter(t.split()) + Counter(map(" ".join, zip(t.split(), t.split()[1:])))) for i, t in enumerate(texts)}
+    for most in (7, 10_000):
+        want = {}
+        for i, j in ((i, j) for i in tf for j in tf if i < j):
+            cf = Counter(tf[i]) + Counter(tf[j])
+            kept = set(sorted(cf, key=lambda t: (-cf[t], t))[:most])
+            x, y = ({t: (1 + math.log(n)) * (math.log(3 / (1 + (t in tf[i]) + (t in tf[j]))) + 1) for t, n in tf[k].items() if t in kept} for k in (i, j))
+            if set(x) & set(y):
+                want[i, j] = sum(x[t] * y[t] for t in set(x) & set(y)) / math.sqrt(sum(v * v for v in x.values()) * sum(v * v for v in y.values()))
+        out = products.fitted_to_pairs(counts, pairs, most, block=4)
+        got = {(r["a"], r["b"]): r["tfidf"] for r in out.collect()}
+        assert "Generate explode(term" not in plan(out) and got.keys() == want.keys() and all(math.isclose(got[k], want[k]) for k in want)
