@@ -109,3 +109,16 @@ def test_pairs_are_fitted_without_their_texts(spark):
         out = products.fitted_to_pairs(counts, pairs, most, block=4)
         got = {(r["a"], r["b"]): r["tfidf"] for r in out.collect()}
         assert "Generate explode(term" not in plan(out) and got.keys() == want.keys() and all(math.isclose(got[k], want[k]) for k in want)
+
+
+def test_greatest_products_make_no_pair(spark):
+    """Each document's greatest product comes from the cells; pairs are no rows."""
+    from tessera.operators import products
+
+    docs = spark.createDataFrame([("b" if i % 5 else "c", i, " ".join(f"w{(i * j) % 23}" for j in range(i % 7 + 1))) for i in range(1, 40)] + [("b", 99, "lonely word")], "batch string, doc long, text string")
+    packed = products.sparse(similarity.tfidf_vectors(docs)).localCheckpoint()
+    want = similarity.max_similarity(products.all_pairs(packed), {"value": "value"}).collect()
+    for block in (4, 2048):
+        out = products.greatest(packed, block=block)
+        assert "Union" not in plan(out)
+        assert sorted((r["doc"], round(r["value"], 9)) for r in out.collect()) == sorted((r["doc"], round(r["value"], 9)) for r in want)
