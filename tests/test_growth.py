@@ -122,3 +122,26 @@ def test_greatest_products_make_no_pair(spark):
         out = products.greatest(packed, block=block)
         assert "Union" not in plan(out)
         assert sorted((r["doc"], round(r["value"], 9)) for r in out.collect()) == sorted((r["doc"], round(r["value"], 9)) for r in want)
+
+
+def test_lines_are_joined_without_a_shuffle_by_batch(spark):
+    """A line is shuffled by no batch, and the pairs of a class's members come after the joins of links."""
+    from tessera.sources import io
+
+    batches = spark.createDataFrame([("b", "Batch b"), ("c", "Batch c")], "batch string, name string")
+    docs = spark.createDataFrame([("b", i, f"S{i}") for i in range(6)], "batch string, doc long, student_id string")
+    risks = spark.createDataFrame([(i, 0.5, "medium", 0.5, None, "theory_only") for i in range(5)], "doc long, weighted_score double, risk_level string, text_sim_max double, code_sim_max double, weight_profile string")
+    ai = spark.createDataFrame([(i, 0.5, "local") for i in range(6)], "doc long, ai_prob double, source string")
+    members = spark.createDataFrame([("b", i, i // 3 * 3, 3) for i in range(6)], "batch string, doc long, class long, size long")
+    links = spark.createDataFrame([("b", 0, 3, 1, 30), ("b", 0, 0, 2, 50)], "batch string, a long, b long, n_sentences long, n_chars long")
+    pairs = similarity.class_pairs(members, links)
+    assert sorted((r["a"], r["b"], r["n_chars"]) for r in pairs.collect()) == sorted([(i, j, 30) for i in range(3) for j in range(3, 6)] + [(0, 1, 50), (0, 2, 50), (1, 2, 50)])
+    own = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as where the planner knows no sizes
+    try:
+        lines = io.document_lines(batches, docs, risks, ai, pairs.withColumns({"fused": F.lit(0.5), "copy_direction": F.lit("mutual")}))
+        assert not [x for x in plan(lines).splitlines() if "SortMergeJoin [batch#" in x and "], [batch#" in x and "a#" not in x and "b#" not in x.replace("batch#", "")]
+        got = Counter((r["batch"], r["part"]) for r in lines.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", own)
+    assert got == {("b", 0): 1, ("b", 1): 6, ("b", 2): 1, ("b", 3): 12, ("b", 4): 1, ("c", 0): 1, ("c", 2): 1, ("c", 4): 1}
