@@ -145,3 +145,21 @@ def test_lines_are_joined_without_a_shuffle_by_batch(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", own)
     assert got == {("b", 0): 1, ("b", 1): 6, ("b", 2): 1, ("b", 3): 12, ("b", 4): 1, ("c", 0): 1, ("c", 2): 1, ("c", 4): 1}
+
+
+def test_matrix_by_cells_and_rows(spark):
+    """Every cell of a batch's matrix from cells of blocks, and its rows one by one; a batch is no single row and its grid is in no join."""
+    from tessera.operators import products, results
+
+    docs = spark.createDataFrame([("b", 7 * i % 30, f"S{i}") for i in range(30)] + [("c", 50, "T")], "batch string, doc long, label string")
+    score = {(i, j): (i + j) / 100 for i in range(30) for j in range(i + 1, 30) if i * j % 3 == 1}
+    pairs = spark.createDataFrame([("b", *p, s) for p, s in score.items()], "batch string, a long, b long, fused double")
+    name = {r["doc"]: r["label"] for r in docs.collect()}
+    want = {("b", name[i], name[j]): 1.0 if i == j else score.get((min(i, j), max(i, j)), 0.0) for i in range(30) for j in range(30)} | {("c", "T", "T"): 1.0}
+    for block in (7, 512):
+        got = products.grid(docs, pairs.withColumnRenamed("fused", "score"), block=block).collect()
+        assert len(got) == len(want) and {(r["batch"], r["row_label"], r["col_label"]): r["score"] for r in got} == want
+    rows = results.matrix_rows(docs, pairs, F.col("label")).collect()
+    order = {b: sorted(r["label"] for r in rows if r["batch"] == b) for b in "bc"}
+    assert len(rows) == 31 and all(r["row"] == [want[r["batch"], r["label"], c] for c in order[r["batch"]]] and order[r["batch"]][r["i"] - 1] == r["label"] for r in rows)
+    assert {(r["batch"], r["i"]) for r in results.matrix_rows(docs, pairs, F.col("label"), F.col("i") == 1).collect()} == {("b", 1), ("c", 1)}
