@@ -163,3 +163,31 @@ def test_matrix_by_cells_and_rows(spark):
     order = {b: sorted(r["label"] for r in rows if r["batch"] == b) for b in "bc"}
     assert len(rows) == 31 and all(r["row"] == [want[r["batch"], r["label"], c] for c in order[r["batch"]]] and order[r["batch"]][r["i"] - 1] == r["label"] for r in rows)
     assert {(r["batch"], r["i"]) for r in results.matrix_rows(docs, pairs, F.col("label"), F.col("i") == 1).collect()} == {("b", 1), ("c", 1)}
+
+
+def test_pairs_of_buckets_are_no_rows_before_they_are_results(spark, monkeypatch):
+    """Candidates are those of buckets split step by step, each once; no pair is joined or compared with other pairs, in one cell or several."""
+    import random
+
+    rng = random.Random(4)
+    signed = {i: [rng.randrange(3) for _ in range(8)] + [rng.randrange(40) for _ in range(120)] for i in range(90)} | {90: [0] * 128, 91: [0] * 128, 92: [0] * 4 + [1] * 124}
+    most, want, stack = 6, set(), [(band, 4, list(range(91)) + [92]) for band in range(32)]
+    while stack:
+        band, n, members = stack.pop()
+        buckets = {}
+        for i in members:
+            buckets.setdefault(tuple((signed[i] * 2)[band * 4 : band * 4 + n]), []).append(i)
+        for own in buckets.values():
+            if len(own) <= most:
+                want |= {(x, y) for x in own for y in own if x < y}
+            else:
+                want |= {(min(own), y) for y in own if y != min(own)}
+                stack += [(band, 2 * n, own)] if n < 128 else []
+    signatures = spark.createDataFrame([(b, i, s) for b in "xy" for i, s in signed.items()], "batch string, doc long, signature array<long>")
+    for cell, held in ((4096, 1 << 19), (20, 5)):
+        monkeypatch.setattr(similarity, "CELL", cell)
+        monkeypatch.setattr(similarity, "PAIRS", held)
+        found = similarity.lsh_candidates(signatures, most=most)
+        assert "a#" not in "".join(line for line in plan(found).splitlines() if "Aggregate" in line) and "(a#" not in plan(found)
+        got = [tuple(r) for r in found.collect()]
+        assert len(got) == len(set(got)) and set(got) == {(b, x, y) for b in "xy" for x, y in want | {(90, 91)}}
