@@ -109,3 +109,20 @@ def test_candidates_lose_no_pair(spark, tmp_path):
     a, b = risk(some), risk(every)
     assert set(a) == set(b) and all(a[d] == pytest.approx(b[d]) for d in b if b[d][0] >= 0.3)
     assert all(a[d][0] <= b[d][0] < 0.3 for d in b if b[d][0] < 0.3)
+
+
+def test_near_pairs_and_maxima_come_from_tiles(spark):
+    """The pairs of which one similarity reaches the threshold, and each document's greatest fused score, below the threshold, too; no pair is a row of a join."""
+    docs = batch_of_texts(spark, n=30).select("batch", "doc", "text")
+    weights, embeddings = similarity.tfidf_packed(docs).cache(), similarity.hashed_embeddings(docs, processing.DIMS).cache()
+    found = processing.near(docs, weights, embeddings, 0.3)
+    assert "(a#" not in found._jdf.queryExecution().executedPlan().toString()
+    tfidf = {(r["a"], r["b"]): r["tfidf"] for r in similarity.tfidf_pairs(weights).collect()}
+    semantic = {(r["a"], r["b"]): r["semantic"] for r in similarity.embedding_pairs(embeddings).collect()}
+    ids = sorted(r["doc"] for r in docs.collect())
+    fused = {(a, b): 0.4 * tfidf.get((a, b), 0.0) + 0.6 * semantic.get((a, b), 0.0) for a in ids for b in ids if a < b}
+    rows = [r.asDict() for r in found.collect()]
+    got = {(r["a"], r["b"]): r["fused"] for r in rows if r["a"] != r["b"]}
+    assert got.keys() == {p for p in fused if max(tfidf.get(p, 0.0), semantic.get(p, 0.0)) >= 0.3} and all(v == pytest.approx(fused[p]) for p, v in got.items())
+    best = {d: max(r["fused"] for r in rows if r["a"] == r["b"] == d) for d in ids}
+    assert best == pytest.approx({d: max(v for p, v in fused.items() if d in p) for d in ids}) and min(best.values()) < 0.3
