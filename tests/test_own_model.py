@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from tessera.operators import authorship
+from tessera.operators import authorship, products
 
 
 @pytest.mark.parametrize("chunk", [8 << 20, 40])
@@ -26,5 +26,5 @@ def test_signals_of_own_texts(spark, monkeypatch, chunk):
 
     steps = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert "Union" not in steps and steps.count("FlatMapCoGroupsInArrow") == 1
-    lists = authorship._packed(np.array([1, 300, 2], "uint64"))
-    assert len(lists) == 7 and authorship._unpacked(lists).tolist() == [1, 300, 2]
+    lists = products.packed_numbers(np.array([1, 300, 2], "uint64"))
+    assert len(lists) == 7 and products.unpacked_numbers(lists).tolist() == [1, 300, 2]
